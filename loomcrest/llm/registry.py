@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import mixing, quality_rules
 
 
 def queries() -> dict:
-    return {"op2_quality_rules": quality_rules.op2_quality_rules}
+    return {
+        "op2_quality_rules": quality_rules.op2_quality_rules,
+        "op4_mixing": mixing.op4_mixing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
