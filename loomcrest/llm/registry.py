@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, secrets
+from . import chat_format, mixing, quality_rules, secrets
 
 
 def queries() -> dict:
     return {
         "op2_quality_rules": quality_rules.op2_quality_rules,
         "op4_mixing": mixing.op4_mixing,
+        "op6_chat_format": chat_format.op6_chat_format,
         "op10_secrets": secrets.op10_secrets,
     }
 
