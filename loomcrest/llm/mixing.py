@@ -94,7 +94,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     bounds = np.cumsum(goal) / all_words if all_words else np.array([1.0])
     slots = _slots(spark, n_slots, bounds, 4 * spark.sparkContext.defaultParallelism)
     before = slots.groupBy("s", "chunk").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.partitionBy("s").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)))
-    ranked = slots.join(before.select("s", "chunk", F.coalesce("before", F.lit(0)).alias("before")), ["s", "chunk"]).select("s", (F.col("before") + F.col("at")).alias("rank"))
+    # merge hints: the planner takes the slots' size for that of their chunk numbers, and would broadcast them
+    ranked = slots.hint("merge").join(before.select("s", "chunk", F.coalesce("before", F.lit(0)).alias("before")), ["s", "chunk"]).select("s", (F.col("before") + F.col("at")).alias("rank"))
     takes = ranked.join(plan.select("s", "blocks"), "s").where(f"blocks > 0 and rank < {most} * blocks").groupBy("s", F.expr("rank % blocks").alias("block")).agg(F.count("*").alias("takes"))
 
     buckets = max(1, int(sum(r.docs for r in totals) ** 0.5))
@@ -106,7 +107,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     first, last = f"o div {block_words}", f"(o + size - 1) div {block_words}"
     cut = offset.withColumn("block", F.explode_outer(F.expr(f"case when size > 0 then sequence({first}, {last}) end")))
     cut = cut.withColumn("part", F.expr(f"least(o + size, (block + 1) * {block_words}) - greatest(o, block * {block_words})"))
-    joined = cut.join(takes, ["s", "block"], "left")
+    joined = cut.join(takes.hint("merge"), ["s", "block"], "left")
     keys = ["s", "bucket", "twin", "o", "doc_id", "source", "h", "size", "source_size", "target"]
     return joined.groupBy(*keys).agg(
         F.coalesce(F.sum(F.expr("part * coalesce(takes, 0)")), F.lit(0)).alias("taken"),
