@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, mixing, quality_rules, secrets
+from . import chat_format, minhash, mixing, quality_rules, secrets
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_quality_rules": quality_rules.op2_quality_rules,
         "op4_mixing": mixing.op4_mixing,
         "op6_chat_format": chat_format.op6_chat_format,
+        "op7_minhash": minhash.op7_minhash,
         "op10_secrets": secrets.op10_secrets,
     }
 
