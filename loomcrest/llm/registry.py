@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat_format, minhash, mixing, quality_rules, secrets
+from . import chat_format, decontaminate, minhash, mixing, quality_rules, secrets
 
 
 def queries() -> dict:
     return {
+        "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_quality_rules": quality_rules.op2_quality_rules,
         "op4_mixing": mixing.op4_mixing,
         "op6_chat_format": chat_format.op6_chat_format,
