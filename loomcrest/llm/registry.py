@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, minhash, mixing, quality_rules, secrets, toxicity
+from . import chat_format, decontaminate, lm_score, minhash, mixing, quality_rules, secrets, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_mixing": mixing.op4_mixing,
         "op6_chat_format": chat_format.op6_chat_format,
         "op7_minhash": minhash.op7_minhash,
+        "op8_lm_score": lm_score.op8_lm_score,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_secrets": secrets.op10_secrets,
     }
