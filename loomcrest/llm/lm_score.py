@@ -208,33 +208,12 @@ def learn_weights(rows: list[tuple[int, int, int, int]], uniform: float, rounds:
 
 def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs, which comes from files (or is written first)."""
-    named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    try:
-        placed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), "_metadata.file_path", "_metadata.row_index")
-        placed.schema  # noqa: B018
-    except Exception as e:
-        if "_metadata" not in str(e):
-            raise
-        placed = C.materialize(named).select("doc_id", "text", "_metadata.file_path", "_metadata.row_index")
-    n, size = placed.agg(F.count("*"), F.sum(F.octet_length("text") + 8)).first()
-    per = max(1, int(chunk_bytes * (n or 1) / max(size or 1, 1)))
-    chunks = max(1, -(-(size or 1) // chunk_bytes))
+    rows, chunks = C.chunked(docs, doc_id, text, chunk_bytes)
     shards = 1 << max(3, int(chunks - 1).bit_length())
-    rows = placed.select(F.xxhash64("file_path", F.expr(f"row_index div {per}")).alias("chunk"), "doc_id", "text")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = [None, [], [], 0]
-        for piece in C.slices(batches, "text", 1 << 20):
-            for c, i, t in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), C.bytes_column(piece, "text"), strict=True):
-                if held[1] and (c != held[0] or held[3] > 3 * chunk_bytes):
-                    yield from _sent(held[0], held[2], held[1], shards)
-                    held = [None, [], [], 0]
-                held[0] = c
-                held[1].append(i)
-                held[2].append(t)
-                held[3] += len(t or b"")
-        if held[1]:
-            yield from _sent(held[0], held[2], held[1], shards)
+        for chunk, ids, texts in C.by_chunk(batches, 3 * chunk_bytes):
+            yield from _sent(chunk, texts, ids, shards)
 
     back = C.materialize(rows.mapInArrow(send, _SENT).groupBy("shard").applyInArrow(_totals, _BACK))
     total, types = back.where("chunk is null").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()

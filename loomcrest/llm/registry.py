@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, lm_score, minhash, mixing, quality_rules, secrets, toxicity
+from . import chat_format, decontaminate, lm_score, minhash, mixing, quality_rules, secrets, suffix_dedup, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_quality_rules": quality_rules.op2_quality_rules,
         "op4_mixing": mixing.op4_mixing,
+        "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
         "op6_chat_format": chat_format.op6_chat_format,
         "op7_minhash": minhash.op7_minhash,
         "op8_lm_score": lm_score.op8_lm_score,
