@@ -2,13 +2,14 @@
 
 1. One pass makes each document's set hash, `perms` minima in bands, and a packed signature of the minima's low `bits`.
 2. Equal sets collapse into a class (pre-aggregated), so copies never meet each other.
-3. Classes share a band's bucket. Each bucket's least class is paired with every other (linear in the bucket); a pair
-   goes on if its collision-corrected estimate, read from bit counts, is not `slack` standard errors below the
-   threshold, and is confirmed on the full sets. This is done `star_rounds` times, the next time with what the first
-   left unlinked.
-4. Pairs of a bucket whose classes are still in different components are then compared, only with those that the
-   rounds left outside their bucket's main component. Pairs inside one component can't change the result and are
-   skipped. So the links found connect exactly what all of the bucket's links connect.
+3. Classes share a band's bucket. `pivots` classes of each bucket are paired with every other (linear in the bucket); a
+   pair goes on if its collision-corrected estimate, read from bit counts, is not `slack` standard errors below the
+   threshold, and is confirmed on the full sets. This is done `star_rounds` times, the next time with pivots among what
+   the first left outside the bucket's main component.
+4. What is still outside its bucket's main component is compared with the whole bucket, block by block (`_BLOCK` by
+   `_PANEL` classes a task): bit counts first, then full sets, and only confirmed links leave the task. Pairs inside one
+   component can't change the result and are skipped. So the links found connect exactly what all of the bucket's
+   links connect.
 
 A pair at the threshold 0.8 misses all 32 bands of 4 minima with probability 5e-8. Sets and classes are compared by
 64-bit hashes of shingles.
@@ -131,7 +132,11 @@ def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
         for piece in C.slices(batches, "text"):
             hashes, counts = shingle_hashes(C.bytes_column(piece, "text"), width)
             ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.view(np.int64)))], ["node", "shingles"])
+            # sorted as signed integers, within each
+            doc = np.repeat(np.arange(len(counts)), counts)
+            values = hashes.view(np.int64)
+            values = values[np.lexsort((values, doc))]
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["node", "shingles"])
 
     return docs.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
 
@@ -145,7 +150,7 @@ def mismatch_limit(threshold: float, perms: int, bits: int, slack: float) -> int
     return int(np.ceil(perms * (1 - p) + slack * np.sqrt(perms * p * (1 - p))))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, threshold_percent: int = 80, perms: int = 128, rows: int = 4, bits: int = 2, slack: float = 5.0, star_rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, threshold_percent: int = 80, perms: int = 128, rows: int = 4, bits: int = 2, slack: float = 5.0, star_rounds: int = 2, pivots: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row a row of docs. Links: 100 * shared >= threshold_percent * union."""
     if bits != 2:
         raise ValueError("bit counts are written for lanes of two bits")
@@ -177,10 +182,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                 break
             least = live.where("comp <> main")
         if k < star_rounds:
-            star = least.groupBy("bucket").agg(F.min(F.struct("node", "n", *sig, "comp")).alias("r")).select("bucket", "r.*")
+            chosen = F.array_distinct(F.array(*(F.min_by(F.struct("node", "n", *sig, "comp"), F.xxhash64("node", F.lit(j))) for j in range(pivots))))
+            star = least.groupBy("bucket").agg(chosen.alias("r")).select("bucket", F.explode("r").alias("r")).select("bucket", "r.*")
             found = live.alias("a").join(star.alias("b"), "bucket").where(alike & F.expr("a.comp <> b.comp"))
         else:
-            found = live.alias("a").join(least.alias("b"), "bucket").where(alike & F.expr("a.comp <> b.comp and (a.comp = a.main or a.node < b.node)"))
+            links = C.materialize(_blocks(docs, classes, live, sig, width, threshold_percent, limit))
+            edges = edges.unionByName(links.select("u", "v", F.lit(True).alias("linked")))
+            comp = components(edges.where("linked"))
+            break
         found = found.select(*pair).distinct()
         if edges is not None:
             found = found.join(edges.select("u", "v"), ["u", "v"], "left_anti")
@@ -201,12 +210,60 @@ def _labels(classes: DataFrame, comp: DataFrame | None) -> DataFrame:
     return named.select("node", "component").join(least, "component").select("node", "component_id")
 
 
+def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """The shingles of one document of each class in nodes, written once."""
+    chosen = nodes.join(classes.select("node", "doc_id", "row"), "node")
+    texts = docs.withColumn("row", F.xxhash64("text")).join(chosen, ["doc_id", "row"]).dropDuplicates(["node"])
+    return C.materialize(_shingle_sets(texts, width), "lz4")
+
+
+_BLOCK, _PANEL = 256, 4096
+
+
+def _blocks(docs: DataFrame, classes: DataFrame, live: DataFrame, sig: list[str], width: int, percent: int, limit: int) -> DataFrame:
+    """(u, v): confirmed links between classes outside a bucket's main component and all classes of the bucket."""
+    live = live.withColumn("rest", F.col("comp") != F.col("main"))
+    sizes = live.groupBy("bucket").agg(F.sum(F.col("rest").cast("int")).alias("r"), F.count("*").alias("m"))
+    dealt = live.join(sizes.select("bucket", F.expr(f"int(ceil(r / {_BLOCK}))").alias("rows"), F.expr(f"int(ceil(m / {_PANEL}))").alias("panels")), "bucket")
+    place = lambda n: F.expr(f"pmod(xxhash64(node, {n}), {n})").cast("int")
+    cols = ["bucket", "node", "n", "comp", *sig]
+    left = dealt.where("rest").select(*cols, F.lit(True).alias("a"), place("rows").alias("i"), F.explode(F.expr("sequence(0, panels - 1)")).alias("j"))
+    right = dealt.select(*cols, F.lit(False).alias("a"), F.explode(F.expr("sequence(0, rows - 1)")).alias("i"), place("panels").alias("j"))
+    sets = _sets(docs, classes, live.select("node").distinct(), width)
+    both = left.union(right).join(sets, "node")
+
+    def run(t: pa.Table) -> pa.Table:
+        on = t.column("a").to_numpy()
+        node, n, comp = (t.column(c).to_numpy() for c in ("node", "n", "comp"))
+        packed = np.stack([t.column(c).to_numpy() for c in sig], 1).view(np.uint64)
+        sets = t.column("shingles").combine_chunks()
+        ends = sets.offsets.to_numpy()
+        flat = sets.flatten().to_numpy()
+        ends = ends - ends[0]
+        panel = np.flatnonzero(~on)
+        u, v = [], []
+        for k in np.flatnonzero(on):
+            x = packed[panel] ^ packed[k]
+            x = (x | x >> np.uint64(1)) & np.uint64(_LANES)
+            near = np.bitwise_count(x).sum(1) <= limit
+            near &= (comp[panel] != comp[k]) & (100 * np.minimum(n[panel], n[k]) >= percent * np.maximum(n[panel], n[k]))
+            own = flat[ends[k] : ends[k + 1]]
+            for p in panel[near]:
+                other = flat[ends[p] : ends[p + 1]]
+                at = np.minimum(np.searchsorted(own, other), len(own) - 1)
+                shared = int((own[at] == other).sum())
+                if 100 * shared >= percent * (len(own) + len(other) - shared):
+                    u.append(min(node[k], node[p]))
+                    v.append(max(node[k], node[p]))
+        return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return both.groupBy("bucket", "i", "j").applyInArrow(run, "u long, v long").distinct()
+
+
 def _confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """pairs (u, v) with linked: whether their full sets reach the threshold. One document stands for a class."""
     nodes = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    chosen = nodes.join(classes.select("node", "doc_id", "row"), "node")
-    texts = docs.withColumn("row", F.xxhash64("text")).join(chosen, ["doc_id", "row"]).dropDuplicates(["node"])
-    sets = C.materialize(_shingle_sets(texts, width), "lz4")
+    sets = _sets(docs, classes, nodes, width)
     joined = pairs.join(sets.withColumnsRenamed({"node": "u", "shingles": "x"}), "u").join(sets.withColumnsRenamed({"node": "v", "shingles": "y"}), "v")
     both = F.size(F.array_intersect("x", "y"))
     return joined.select("u", "v", both.alias("i"), (F.size("x") + F.size("y") - both).alias("o")).select("u", "v", (F.col("i") * 100 >= F.col("o") * percent).alias("linked"))
