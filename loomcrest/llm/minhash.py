@@ -271,3 +271,13 @@ def _confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int,
 
 def op7_minhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=2)
+
+
+def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
+    """docs without the documents that are not the least of their group.
+
+    An id goes only if all of its rows do, so rows of a repeated id stay or go together, and a group keeps one id.
+    """
+    name = C.fresh(docs, "_gone")
+    gone = near_duplicates(docs, text, doc_id, **how).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select(F.col("doc_id").alias(name))
+    return docs.join(gone, F.col(f"`{doc_id}`") == F.col(name), "left_anti")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, lm_score, minhash, mixing, quality_rules, secrets, suffix_dedup, toxicity
+from . import chat_format, decontaminate, lm_score, minhash, mixing, quality_rules, secrets, suffix_dedup, token_output, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_quality_rules": quality_rules.op2_quality_rules,
+        "op3_token_output": token_output.op3_token_output,
         "op4_mixing": mixing.op4_mixing,
         "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
         "op6_chat_format": chat_format.op6_chat_format,
