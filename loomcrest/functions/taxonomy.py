@@ -94,6 +94,11 @@ def lookup(table: dict, key: Column, default: Column | None = None) -> Column:
     return F.coalesce(F.try_element_at(m, key), default if default is not None else F.lit(None))
 
 
+def let(c: Column, f) -> Column:
+    """f(c) with c evaluated once a row, however often f uses it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def key(c: Column) -> Column:
     """Lower case, blanks for '_' and '-', single blanks."""
     return F.trim(F.regexp_replace(F.translate(F.lower(c), "_-", "  "), r"\s+", " "))
@@ -111,7 +116,10 @@ def as_swc(c: Column) -> Column:
 
 def swc_of(c: Column) -> Column:
     """Identifiers of one phrase: itself, else its exact entry, else every rule that holds."""
-    k, own = key(c), as_swc(c)
+    return let(key(c), lambda k: _swc_of(k, as_swc(c)))
+
+
+def _swc_of(k: Column, own: Column) -> Column:
     exact = lookup({p: swc_name(n) for n, ps in SWC_EXACT.items() for p in ps}, k)
     any_of = lambda alternatives: reduce(lambda a, b: a | b, (reduce(lambda a, b: a & b, (F.contains(k, F.lit(w)) for w in ws)) for ws in alternatives))
     rules = F.array_compact(F.array(*(F.when(any_of(alternatives), swc_name(n)) for n, alternatives in SWC_CONTAINS.items())))
@@ -127,12 +135,15 @@ def swc_ids(types: Column, exclude: list[str] | None = None) -> Column:
 
 def buckets(types: Column, ids: Column | None = None, keep_original: bool = True) -> Column:
     """The buckets, in their order; where none holds, the types themselves (or OTHER)."""
-    ids = swc_ids(types) if ids is None else ids
+    return let(swc_ids(types) if ids is None else ids, lambda x: _buckets(types, x, keep_original))
+
+
+def _buckets(types: Column, ids: Column, keep_original: bool) -> Column:
     spaced = F.transform(types, lambda t: F.translate(F.lower(t), "_-", "  "))
     access = F.exists(spaced, lambda t: reduce(lambda a, b: a | b, (F.contains(t, F.lit(p)) for p in ACCESS_PHRASES)))
     hit = {b: F.arrays_overlap(ids, F.array(*(F.lit(swc_name(n)) for n in ns))) if ns else access for b, ns in BUCKETS.items()}
     found = F.array_compact(F.array(*(F.when(h, b) for b, h in hit.items())))
-    return F.when(F.size(found) > 0, found).otherwise(types if keep_original else F.array(F.lit("OTHER")))
+    return let(found, lambda x: F.when(F.size(x) > 0, x).otherwise(types if keep_original else F.array(F.lit("OTHER"))))
 
 
 def primary_bucket(found: Column, sizes: dict[str, int] | None = None) -> Column:

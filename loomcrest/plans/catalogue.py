@@ -97,7 +97,7 @@ def hybrid_merge_fusion(spark, d):
 
 
 @query(f"""with {_OVERLAP}, r as (select *, row_number() over (partition by query_id order by round(score, 6) desc, doc_id) rank from s), t as (select r.*, lang from r join documents using (doc_id) where rank <= 10),
-f as (select *, max((lang = 'de')::int) over (partition by query_id) some from t) select query_id, doc_id, lang from f where lang = 'de' or some = 0""")
+f as (select *, max((lang = 'de')::int) over (partition by query_id) any_hit from t) select query_id, doc_id, lang from f where lang = 'de' or any_hit = 0""")
 def type_filtered_topk(spark, d):
     docs = table(spark, d, "documents")
     hits = retrieve.token_overlap(_bench(spark, d), docs).withColumn("score", F.round("score", 6))
@@ -388,3 +388,33 @@ def edit_sim(spark, d):
 @query()
 def text_sim(spark, d):
     return _turn_pairs(spark, d).select("conv_id", "turn", F.round(similarity.text_similarity(F.col("a"), F.col("b")), 6).alias("text_sim"))
+
+
+@query("select time_bucket(interval 1 hour, ts)::timestamp window_start, event_type, count(*) n, round(sum(value), 4) total from events group by 1, 2")
+def windowed_counts(spark, d):
+    from ..streaming import events
+
+    return events.windowed_counts(table(spark, d, "events")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("select page_id, len(regexp_extract_all(html, '<p>')) n_paragraphs, len(regexp_extract_all(html, 'href=\"[^\"]*\"')) n_links, contains(html, '<table')::int has_table from pages")
+def page_flags(spark, d):
+    n = lambda p: F.regexp_count("html", F.lit(p)).cast("long")
+    return table(spark, d, "pages").select("page_id", n("<p>").alias("n_paragraphs"), n('href="[^"]*"').alias("n_links"), F.contains("html", F.lit("<table")).cast("int").alias("has_table"))
+
+
+@query("select doc_id, md5(string_split(text, chr(10))[1]) first_line, length(text) - length(replace(text, chr(10), '')) + 1 n_lines from documents")
+def line_positions(spark, d):
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", F.md5(text.line_slice(t, F.lit(1), F.lit(1))).alias("first_line"), text.line_of(t, F.length(t)).cast("long").alias("n_lines"))
+
+
+@query("select event_type, bucket, count(*) n from (select event_type, unnest(case event_type when 'click' then ['ARITHMETIC', 'TIMESTAMP_DEPENDENCE'] when 'view' then ['REENTRANCY'] when 'error' then ['UNCHECKED_CALL', 'DOS'] when 'purchase' then ['ACCESS_CONTROL'] else ['foo'] end) bucket from events) group by 1, 2")
+def bucket_mapping(spark, d):
+    phrase = taxonomy.lookup({"click": "Integer overflow in timestamp calc", "view": "reentrancy-eth", "error": "Unchecked DoS call", "purchase": "missing access control", "signup": "foo"}, F.col("event_type"))
+    return table(spark, d, "events").select("event_type", F.explode(taxonomy.buckets(F.array(phrase))).alias("bucket")).groupBy("event_type", "bucket").agg(F.count("*").alias("n"))
+
+
+@query("select conv_id, turn, md5(case when contains(text, '```') then text else '```text' || chr(10) || regexp_replace(text, '^\\s+|\\s+$', '', 'g') || chr(10) || '```' end) h from conversations where role = 'assistant'")
+def wrap_fence(spark, d):
+    return table(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.md5(text.wrap_fence(F.col("text"), "text")).alias("h"))
