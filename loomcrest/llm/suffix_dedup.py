@@ -28,7 +28,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -183,8 +182,10 @@ def _compare(table: pa.Table, hot: int) -> pa.Table:
     return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _BACK_ARROW.types, strict=True)], schema=_BACK_ARROW) if rows else _BACK_ARROW.empty_table()
 
 
-_CUT = "key long, chunk long, fp long, ch long, times int, at int, data binary"
-_CUT_ARROW = pa.schema([("key", pa.int64()), ("chunk", pa.int64()), ("fp", pa.int64()), ("ch", pa.int64()), ("times", pa.int32()), ("at", pa.int32()), ("data", pa.binary())])
+#: Contexts for one shard from one chunk, packed: a row has several, their bytes one after another.
+_CUT = "part int, chunk long, keys binary, fps binary, chs binary, times binary, ats binary, sizes binary, data binary"
+_CUT_ARROW = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), *((c, pa.binary()) for c in ("keys", "fps", "chs", "times", "ats", "sizes", "data"))])
+_PACK_BYTES = 1 << 20
 
 
 def _find(f: np.ndarray, c: np.ndarray, fps: np.ndarray, chs: np.ndarray) -> np.ndarray:
@@ -200,7 +201,7 @@ def _find(f: np.ndarray, c: np.ndarray, fps: np.ndarray, chs: np.ndarray) -> np.
     return np.where((fps[place] == f) & (chs[place] == c), place, -1)
 
 
-def _fetch(docs: pa.Table, asked: pa.Table, length: int) -> pa.Table:
+def _fetch(docs: pa.Table, asked: pa.Table, length: int, parts: int) -> pa.Table:
     """The bytes of the contexts asked for; hot ones in single windows."""
     if not docs.num_rows or not asked.num_rows:
         return _CUT_ARROW.empty_table()
@@ -212,17 +213,37 @@ def _fetch(docs: pa.Table, asked: pa.Table, length: int) -> pa.Table:
     got = np.flatnonzero(place >= 0)
     got = got[np.unique(place[got], return_index=True)[1]]  # one occurrence is enough
     chunk = docs.column("chunk")[0].as_py()
-    key_of, rows = fp.view(np.int64), []
+    by: dict[int, list] = {}
+    out: list[tuple] = []
+
+    def put(key: int, common: tuple, at: int, data: bytes) -> None:
+        part = (key * 0x9E3779B97F4A7C15 >> 20) % parts
+        held = by.setdefault(part, [0])
+        held.append((key, *common, at, len(data), data))
+        held[0] += len(data)
+        if held[0] > _PACK_BYTES:
+            out.append(_packed(part, chunk, by.pop(part)[1:]))
+
+    keys, chs_of = fp.tolist(), ch.tolist()
     for k in got:
         data, p = texts[doc[k]][lo[k] : hi[k] + length], place[k]
-        common = (chunk, int(key_of[k]), int(ch.view(np.int64)[k]), int(times[p]))
+        common = (keys[k], chs_of[k], int(times[p]))
         if hot[p]:
             for w in range(hi[k] - lo[k] + 1):
                 window = data[w : w + length]
-                rows.append((int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True), *common, w, window))
+                put(int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little"), common, w, window)
         else:
-            rows.append((int(key_of[k]), *common, 0, data))
-    return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _CUT_ARROW.types, strict=True)], schema=_CUT_ARROW) if rows else _CUT_ARROW.empty_table()
+            put(keys[k], common, 0, data)
+    out += [_packed(part, chunk, held[1:]) for part, held in by.items()]
+    return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _CUT_ARROW.types, strict=True)], schema=_CUT_ARROW) if out else _CUT_ARROW.empty_table()
+
+
+_PACKED = (np.uint64, np.uint64, np.uint64, np.int32, np.int32, np.int32)
+
+
+def _packed(part: int, chunk: int, rows: list[tuple]) -> tuple:
+    cols = list(zip(*rows, strict=True))
+    return part, chunk, *(_u8(np.array(x, t)) for x, t in zip(cols, _PACKED, strict=False)), b"".join(cols[6])
 
 
 def repeated_windows(parts: list[bytes], times: np.ndarray, length: int) -> list[np.ndarray]:
@@ -245,29 +266,35 @@ def repeated_windows(parts: list[bytes], times: np.ndarray, length: int) -> list
 
 def _sort_shard(table: pa.Table, length: int) -> pa.Table:
     """A shard's contexts, some anchors at a time: which windows of single contexts are repeated. Rows of kind 0."""
-    table = table.sort_by("key")
-    key = table.column("key").to_numpy()
-    size = pc.binary_length(table.column("data")).to_numpy()
-    cuts = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
-    ends = np.append(0, np.cumsum(size))
+    names = ("keys", "fps", "chs", "times", "ats", "sizes")
+    cols = [[np.frombuffer(x, t) for x in table.column(c).to_pylist()] for c, t in zip(names, _PACKED, strict=True)]
+    if not cols[0]:
+        return _BACK_ARROW.empty_table()
+    chunk = np.repeat(table.column("chunk").to_numpy(), [len(x) for x in cols[0]])
+    key, fp, ch, times, at, size = (np.concatenate(x) for x in cols)
+    data = table.column("data").to_pylist()
+    row = np.repeat(np.arange(len(data)), [len(x) for x in cols[0]])
+    begin = np.concatenate([np.cumsum(x) - x for x in cols[5]])
+    order = np.argsort(key, kind="stable")
+    cuts = np.append(np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])), len(key))
+    ends = np.append(0, np.cumsum(size[order]))
     found: dict[int, list] = {}
     a = 0
     while a < len(cuts) - 1:
         b = a + 1
         while b < len(cuts) - 1 and ends[cuts[b + 1]] - ends[cuts[a]] <= SHARD_BYTES:
             b += 1
-        part = table.slice(cuts[a], cuts[b] - cuts[a])
+        pick = order[cuts[a] : cuts[b]]
         a = b
-        if part.num_rows < 2:
+        if len(pick) < 2:
             continue
-        times = part.column("times").to_numpy()
-        chunk, fp, ch, at = (part.column(c).to_numpy() for c in ("chunk", "fp", "ch", "at"))
-        for k, mask in enumerate(repeated_windows(part.column("data").to_pylist(), times, length)):
+        parts = [data[row[k]][begin[k] : begin[k] + size[k]] for k in pick]
+        for k, mask in zip(pick, repeated_windows(parts, times[pick], length), strict=True):
             if times[k] == 1 and mask.any():
                 edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))
                 for lo, hi in zip(edge[::2], edge[1::2] - 1, strict=True):
                     found.setdefault(int(chunk[k]), []).append((fp[k], ch[k], lo + at[k], hi + at[k]))
-    rows = [(0, c, *(_u8(np.array(x, t)) for x, t in zip(zip(*xs, strict=True), (np.int64, np.int64, np.int32, np.int32), strict=True))) for c, xs in found.items()]
+    rows = [(0, c, *(_u8(np.array(x, t)) for x, t in zip(zip(*xs, strict=True), (np.uint64, np.uint64, np.int32, np.int32), strict=True))) for c, xs in found.items()]
     return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _BACK_ARROW.types, strict=True)], schema=_BACK_ARROW) if rows else _BACK_ARROW.empty_table()
 
 
@@ -338,9 +365,8 @@ def repeated_bytes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     several = asked.agg(F.coalesce(F.sum(F.octet_length("fps")), F.lit(0))).first()[0] // 8
     shards_2 = max(1, several * 300 // SHARD_BYTES)
     grouped = rows.groupBy("chunk")
-    cut = grouped.cogroup(asked.groupBy("chunk")).applyInArrow(lambda d, a: _fetch(d, a, length), _CUT)
-    cut = cut.withColumn("part", F.expr(f"pmod(xxhash64(key), {shards_2})"))
-    partial = cut.groupBy("part").applyInArrow(lambda t: _sort_shard(t.drop_columns(["part"]), length), _BACK)
+    cut = grouped.cogroup(asked.groupBy("chunk")).applyInArrow(lambda d, a: _fetch(d, a, length, shards_2), _CUT)
+    partial = cut.groupBy("part").applyInArrow(lambda t: _sort_shard(t, length), _BACK)
     told = full.unionByName(partial)
     return rows.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(lambda d, t: _removed(d, t, length), _OUT)
 
