@@ -50,7 +50,7 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not base:
-        if not sc.master.startswith("local["):
+        if sc.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="loomcrest-")
         sc._conf.set("spark.checkpoint.dir", base)
@@ -61,6 +61,9 @@ def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """df written as Parquet to the shared folder and read back: lineage is cut, executors may be lost."""
     path = shared_dir(df.sparkSession)
     df.write.option("compression", codec).parquet(path)
+    sc = df.sparkSession.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(folder)  # with the application
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
