@@ -135,3 +135,52 @@ def _functions(text: pd.Series) -> pd.Series:
 def functions(text: Column) -> Column:
     """array<struct<name, start, end, code>> of all functions."""
     return _functions(text)
+
+
+GATE_WORDS = ("call", "delegatecall", "transfer", "send", "require", "tx.origin", "block.timestamp", "selfdestruct")
+
+
+def gate_features(code: Column, scale: int = 6000) -> Column:
+    """Ten numbers: the scaled length, a flag a word, a constant."""
+    flags_ = [F.contains(code, F.lit(w)).cast("double") for w in GATE_WORDS]
+    return F.array(F.least(F.lit(1.0), F.length(code) / scale), *flags_, F.lit(1.0))
+
+
+def code_slice(state: Column, structs: Column, modifiers: Column, callees: Column, target: Column) -> Column:
+    """State variables, structs, modifiers and callees (arrays of code) before the target, a line each; empty ones left out."""
+    empty = F.array().cast("array<string>")
+    parts = F.flatten(F.array(*(F.coalesce(c, empty) for c in (state, structs, modifiers, callees)), F.array(target)))
+    return F.array_join(F.filter(parts, lambda x: F.coalesce(F.trim(x), F.lit("")) != ""), "\n")
+
+
+def simple_contract(body: Column, name: Column, version: Column) -> Column:
+    """The body in a contract of its own, indented by four blanks."""
+    lines = F.transform(F.split(body, "\n"), lambda x: F.when(F.trim(x) == "", x).otherwise(F.concat(F.lit("    "), x)))
+    return F.concat(F.lit("// SPDX-License-Identifier: MIT\npragma solidity ^"), version, F.lit(";\n\ncontract "), name, F.lit(" {\n"), F.array_join(lines, "\n"), F.lit("\n}"))
+
+
+def replace_function(source: str, name: str, fixed: str) -> str | None:
+    """source with the function's text replaced; None where it has no such function."""
+    old = block_of(source, name)
+    return source.replace(old, fixed, 1) if old else None
+
+
+def fit_header(original: str, body: str) -> str:
+    """A full function stays; a bare body gets the original's header."""
+    m = _HEAD.search(body)
+    if m:
+        return body[m.start() : function_end(body, m.start()) or len(body)]
+    head = original[: original.index("{")].rstrip() if "{" in original else original.rstrip()
+    inner = body.strip()
+    return f"{head} {inner}" if inner.startswith("{") else f"{head} {{\n{inner}\n}}"
+
+
+def closest_version(want: Column, have: Column) -> Column:
+    """Of an array of versions, the one nearest: 10000 a major step, 100 a minor one, 1 a patch; ties go to the lesser."""
+    w = version_key(want)
+
+    def distance(v):
+        k = version_key(v)
+        return F.struct((F.abs(k[0] - w[0]) * 10000 + F.abs(k[1] - w[1]) * 100 + F.abs(k[2] - w[2])).alias("d"), k.alias("k"), v.alias("v"))
+
+    return F.array_min(F.transform(have, distance))["v"]

@@ -167,3 +167,67 @@ def most_severe(findings: Column, rank_field: str = "severity") -> Column:
     """Of array<struct>, the first of highest rank."""
     ranked = F.transform(findings, lambda x, i: F.struct((-lookup(SEVERITY_RANK, x[rank_field], F.lit(2))).alias("r"), i.alias("i"), x.alias("x")))
     return F.array_min(ranked)["x"]
+
+
+# --- fixed values: canonical types, the first rule that holds decides -------------------------------------------------
+CANONICAL_EXACT = {
+    "REENTRANCY": ["reentrancy"],
+    "ACCESS_CONTROL": ["access control", "authorization", "auth"],
+    "ARITHMETIC": ["integer overflow/underflow", "integer overflow", "integer underflow", "overflow", "underflow", "arithmetic", "arithmetic error"],
+    "UNCHECKED_CALL": ["unchecked low level calls", "unchecked call", "unchecked return value"],
+    "BAD_RANDOMNESS": ["bad randomness", "predictable game outcome", "weak randomness"],
+    "FRONT_RUNNING": ["front running", "transaction ordering dependence", "tod"],
+    "DOS": ["denial of service", "dos"],
+    "TX_ORIGIN": ["tx.origin", "tx origin"],
+    "TIMESTAMP_DEPENDENCE": ["timestamp dependence", "block.timestamp dependence", "time manipulation", "miner manipulation"],
+    "DELEGATECALL": ["delegatecall"],
+    "UNINITIALIZED_STORAGE": ["uninitialized storage pointer", "uninitialized storage", "uninitialized state"],
+    "STORAGE_CORRUPTION": ["storage corruption"],
+}
+CANONICAL_CONTAINS = {
+    "REENTRANCY": [["reentr"]],
+    "ACCESS_CONTROL": [["access control"], ["authorization"], ["authentication"]],
+    "ARITHMETIC": [["overflow"], ["underflow"], ["precision"], ["division"], ["rounding"], ["truncation"], ["arithmetic"], ["math"], ["calculation"]],
+    "UNCHECKED_CALL": [["unchecked"], ["low level call"], ["external call"], ["call return"], ["send"], ["transfer"]],
+    "BAD_RANDOMNESS": [["random"], ["prng"], ["predictable"]],
+    "FRONT_RUNNING": [["front run"], ["transaction ordering"]],
+    "DOS": [["denial of service"], ["gas exhaustion"], ["gas grief"], ["gas consumption"], ["unbounded loop"], ["infinite loop"], ["gas limit"]],
+    "TX_ORIGIN": [["tx.origin"], ["tx origin"]],
+    "TIMESTAMP_DEPENDENCE": [["timestamp"], ["time manipulation"], ["miner manipulation"], ["block variable"]],
+    "DELEGATECALL": [["delegatecall"]],
+    "UNINITIALIZED_STORAGE": [["uninitialized", "storage"], ["uninitialized", "state"], ["uninitialized", "init"]],
+    "STORAGE_CORRUPTION": [["storage", "corruption"], ["storage", "collision"], ["storage", "overwrite"], ["storage", "out of bounds"]],
+}
+SEVERITY_ESTIMATE = {"reentrancy": 9, "access_control": 8, "delegatecall": 9, "arithmetic": 7, "unchecked_call": 6, "tx_origin": 7, "timestamp_dependence": 5, "uninitialized_storage": 8, "dos": 6, "front_running": 6}
+# ------------------------------------------------------------------------------------------------------------------
+
+
+def canonical_type(c: Column) -> Column:
+    """One of the canonical types: exact phrase, else the first rule that holds, else the phrase's own slug if it is one; null otherwise."""
+
+    def of(k: Column) -> Column:
+        exact = lookup({p: t for t, ps in CANONICAL_EXACT.items() for p in ps}, k)
+        slug = F.upper(F.regexp_replace(F.regexp_replace(k, r"[^a-z0-9]+", "_"), "^_+|_+$", ""))
+        rules = F.lit(None).cast("string")
+        for t, alternatives in reversed(CANONICAL_CONTAINS.items()):
+            holds = reduce(lambda a, b: a | b, (reduce(lambda a, b: a & b, (F.contains(k, F.lit(w)) for w in ws)) for ws in alternatives))
+            if t == "ACCESS_CONTROL":
+                holds = holds | F.startswith(k, F.lit("auth "))
+            rules = F.when(holds, t).otherwise(rules)
+        return F.coalesce(exact, rules, F.when(slug.isin(*CANONICAL_EXACT), slug))
+
+    return let(key(c), of)
+
+
+def canonical_types(types: Column) -> Column:
+    """Each canonical type once, in first-seen order."""
+    return F.array_distinct(F.array_compact(F.transform(types, canonical_type)))
+
+
+def severity_estimate(kind: Column) -> Column:
+    """Estimate of the first type that contains the kind or lies in it; 5 without one."""
+    k = F.lower(kind)
+    out = F.lit(5)
+    for name, value in reversed(SEVERITY_ESTIMATE.items()):
+        out = F.when(F.contains(k, F.lit(name)) | F.contains(F.lit(name), k), value).otherwise(out)
+    return out

@@ -93,3 +93,18 @@ def test_tool_report(spark):
 def test_vulnerability_info(spark):
     got = one(spark, "- Type: A; B/C\n- Severity: 7.5", text.vulnerability_info)
     assert (got.types, got.severity) == (["A", "B", "C"], 7.5)
+
+
+@pytest.mark.parametrize(("value", "want"), [("re-entrancy", None), ("Reentrancy attack", "REENTRANCY"), ("auth bypass", "ACCESS_CONTROL"), ("unsafe math", "ARITHMETIC"), ("external call to x", "UNCHECKED_CALL"), ("tx_origin", "TX_ORIGIN"), ("front-running", "FRONT_RUNNING"), ("nothing", None)])
+def test_canonical(spark, value, want):
+    assert one(spark, value, taxonomy.canonical_type) == want
+
+
+def test_code_building(spark):
+    assert source.fit_header("function f() public { a; }", "b;") == "function f() public {\nb;\n}"
+    assert source.fit_header("function f() { a; }", "text function f() { b; } more") == "function f() { b; }"
+    assert source.replace_function("x function f() { a; } y", "f", "F") == "x F y" and source.replace_function("x", "f", "F") is None
+    assert one(spark, "0.5.3", lambda v: source.closest_version(v, F.array(F.lit("0.4.26"), F.lit("0.5.7"), F.lit("0.6.0")))) == "0.5.7"
+    assert one(spark, "a;\n\nb;", lambda x: source.simple_contract(x, F.lit("C"), F.lit("0.5.0"))).endswith("contract C {\n    a;\n\n    b;\n}")
+    assert one(spark, "delegatecall", source.gate_features)[2] == 1.0 and len(one(spark, "", source.gate_features)) == 10
+    assert one(spark, "dos attack", taxonomy.severity_estimate) == 6 and one(spark, "zzz", taxonomy.severity_estimate) == 5
