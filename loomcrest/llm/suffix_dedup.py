@@ -35,8 +35,8 @@ from . import _common as C
 from .sais import common_prefixes, suffix_array
 
 LENGTH, GRAM = 200, 64
-CHUNK_BYTES, SLICE = 12 << 20, 1 << 19
-SHARD_BYTES = 2 << 20
+CHUNK_BYTES, SLICE = 8 << 20, 1 << 19
+SHARD_BYTES = 1 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
