@@ -6,8 +6,11 @@ Queries are a stated set; every source meets all documents through an equi-join
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +60,50 @@ def dense(queries: DataFrame, index: DataFrame, query: str = "query_id", doc: st
     return d.join(q, F.lit(True)).select("query_id", "doc_id", dot.alias("score"))
 
 
+def _packed(vectors: DataFrame, rows: int, names: tuple[str, str]) -> DataFrame:
+    """(id, vector) as blocks of so many rows: the ids in ascending order, and their vectors as doubles in one string of bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vs = [], []
+
+        def block() -> pa.RecordBatch:
+            order = np.argsort(ids, kind="stable")
+            data = np.array(vs, np.float64)[order].tobytes()
+            out = pa.RecordBatch.from_arrays([pa.array([[ids[k] for k in order]], pa.list_(pa.int64())), pa.array([data], pa.binary())], list(names))
+            ids.clear()
+            vs.clear()
+            return out
+
+        for b in batches:
+            for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids.append(i)
+                vs.append(v)
+                if len(ids) == rows:
+                    yield block()
+        if ids:
+            yield block()
+
+    return vectors.mapInArrow(run, f"{names[0]} array<long>, {names[1]} binary")
+
+
+def dense_blocks(queries: DataFrame, index: DataFrame, k: int, digits: int, query: str = "query_id", doc: str = "doc_id", vector: str = "embedding", block: int = 2048) -> DataFrame:
+    """Cosine of unit vectors, exact, rounded: all queries against all rows, a block of each at a time; the k best of every pair of blocks.
+
+    top_k of the result gives the k best of all. Ids are longs; rows without a vector are left out.
+    """
+    q, d = (_packed(x.select(F.col(i).cast("long"), F.col(vector)).dropna(), block, names) for x, i, names in ((queries, query, ("_q", "_qv")), (index, doc, ("_d", "_dv"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for ds, dv, qs, qv in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                score = np.round(np.frombuffer(qv).reshape(len(qs), -1) @ np.frombuffer(dv).reshape(len(ds), -1).T, digits)
+                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                cols = np.repeat(qs, best.shape[1]), np.array(ds)[best].ravel(), np.take_along_axis(score, best, 1).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "doc_id", "score"])
+
+    return d.crossJoin(q).mapInArrow(run, "query_id long, doc_id long, score double")
+
+
 def signature(text: Column) -> Column:
     """The parts that the signature patterns find, pattern after pattern."""
     return F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(g)) for p, g in SIGNATURE))
