@@ -118,7 +118,7 @@ def type_filtered_topk(spark, d):
 def mmr_rerank(spark, d):
     docs = table(spark, d, "documents")
     hits = retrieve.token_overlap(_bench(spark, d), docs).withColumn("score", F.round("score", 6))
-    top = retrieve.top_k(hits, "query_id", 15).join(docs.select("doc_id", F.left("text", F.lit(400)).alias("text")), "doc_id")
+    top = retrieve.top_k(hits, "query_id", 15).join(docs.select("doc_id", "text"), "doc_id")
     return retrieve.mmr(top.select("query_id", "doc_id", "score", "text", F.col("rank").alias("seq")), 3).select("query_id", "doc_id", "rank")
 
 

@@ -1,5 +1,9 @@
 """Whole jobs against brute force, on small tables."""
 
+import difflib
+import random
+import re
+
 import numpy as np
 from conftest import SF
 
@@ -23,3 +27,32 @@ def test_dense_blocks_do_not_matter(spark):
     top = lambda x: sorted((r.query_id, r.rank, r.doc_id, r.score) for r in retrieve.top_k(x, "query_id", 4).collect())
     plain = retrieve.dense(q.dropna(), v.dropna())
     assert top(retrieve.dense_blocks(q, v, 4, 5, block=7)) == top(retrieve.dense_blocks(q, v, 4, 5)) == top(plain) and len(top(plain)) == 200
+
+
+def brute_mmr(queries, docs, top, k, weight=0.7):
+    words = lambda t: set(re.findall(r"[a-z_]\w+|\d+|\S", t.lower()))
+    out = set()
+    for q, text in queries:
+        w = words(text)
+        hits = [(round(len(w & words(t)) / (len(w) ** 0.5 * len(words(t)) ** 0.5), 6), i, t) for i, t in docs if w & words(t)]
+        left = sorted(hits, key=lambda h: (-h[0], h[1]))[:top]
+        chosen = [left.pop(0)]
+        while left and len(chosen) < k:
+            gain = [weight * s - (1 - weight) * max(difflib.SequenceMatcher(None, t, c[2]).ratio() for c in chosen) for s, _, t in left]
+            chosen.append(left.pop(gain.index(max(gain))))
+        out |= {(q, i, n + 1) for n, (_, i, _) in enumerate(chosen)}
+    return out
+
+
+def test_mmr_compares_whole_texts(spark, tmp_path):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    head, tails = " ".join(["needle", *(word() for _ in range(70))]), [" ".join(word() for _ in range(n)) for n in (60, 60, 90)]
+    docs = [(i, f"{head} {tails[i % 3]} {' '.join(word() for _ in range(i % 5))}") for i in range(20)] + [(20, "needle"), (21, "nothing")]
+    queries = [(1, "needle"), (2, f"needle {tails[1][:200]}"), (3, head)]
+    assert all(len(t) > 400 for _, t in docs[:20])
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(queries, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {tuple(r) for r in catalogue.QUERIES["mmr_rerank"](spark, str(tmp_path)).collect()}
+    assert got == brute_mmr(queries, docs, 15, 3)
+    assert got != brute_mmr(queries, [(i, t[:400]) for i, t in docs], 15, 3)
