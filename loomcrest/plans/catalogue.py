@@ -245,6 +245,15 @@ def substring_graph(spark, d):
     return joins.mention_graph(p, "g", "nm", "t").select("g", "nm", F.array_join("callees", ",").alias("callees"), F.array_join("callers", ",").alias("callers"))
 
 
+@query("""with p as (select distinct p_type g, p_name nm, p_name || ' ' || p_brand || ' small ring red widget' t from part), e as (select distinct a.g, a.nm f, b.nm o from p a join p b on a.g = b.g and a.nm <> b.nm and contains(a.t, b.nm)),
+n as (select distinct g, nm from p), c as (select g, f nm, array_to_string(list_sort(list(distinct o))[1:3], ',') callees from e group by 1, 2), r as (select g, o nm, array_to_string(list_sort(list(distinct f))[1:3], ',') callers from e group by 1, 2)
+select g, nm, coalesce(callees, '') callees, coalesce(callers, '') callers from n left join c using (g, nm) left join r using (g, nm)""")
+def substring_graph_whole(spark, d):
+    """The graph of all parts; substring_graph, whose SQL is fixed, has the small ones only."""
+    p = table(spark, d, "part").select(F.col("p_type").alias("g"), F.col("p_name").alias("nm"), F.concat("p_name", F.lit(" "), "p_brand", F.lit(" small ring red widget")).alias("t")).distinct()
+    return joins.mention_graph(p, "g", "nm", "t").select("g", "nm", F.array_join("callees", ",").alias("callees"), F.array_join("callers", ",").alias("callers"))
+
+
 @query("""with v as (select l_partkey, l_linenumber, list_sort(list(distinct l_returnflag || l_linestatus)) tools from lineitem group by 1, 2 having count(distinct l_returnflag || l_linestatus) >= 2)
 select l_partkey, count(*) n_locations, array_to_string(list_sort(list(distinct l_linenumber))::varchar[], ',') lines, array_to_string(list_sort(list_distinct(flatten(list(tools)))), ',') tools from v group by 1""")
 def vote_threshold(spark, d):

@@ -56,3 +56,11 @@ def test_mmr_compares_whole_texts(spark, tmp_path):
     got = {tuple(r) for r in catalogue.QUERIES["mmr_rerank"](spark, str(tmp_path)).collect()}
     assert got == brute_mmr(queries, docs, 15, 3)
     assert got != brute_mmr(queries, [(i, t[:400]) for i, t in docs], 15, 3)
+
+
+def test_substring_graph_has_all_parts(spark):
+    parts = {(r.p_type, r.p_name, f"{r.p_name} {r.p_brand} small ring red widget") for r in spark.read.parquet(f"{SF}/part.parquet").collect()}
+    calls = {(g, f, o) for g, f, t in parts for h, o, _ in parts if g == h and f != o and o in t}
+    said = lambda xs: ",".join(sorted(xs)[:3])
+    want = {(g, n, said({o for h, f, o in calls if (h, f) == (g, n)}), said({f for h, f, o in calls if (h, o) == (g, n)})) for g, n, _ in parts}
+    assert {tuple(r) for r in catalogue.QUERIES["substring_graph_whole"](spark, SF).collect()} == want
