@@ -5,9 +5,11 @@ successive prefixes of a conversation and comparing consecutive outputs gives ea
 the turn's place give the text's span inside it; an output that does not begin with the one before it shows a
 template that rewrites history.
 
-Conversations stream through sorted partitions in segments of `segment` turns, each rendered behind the `context` last
-turns of the segment before it, so memory is bounded however long a conversation is; a rewrite is seen when it
-reaches no further back than that. Tokens and characters are counted in code points.
+Conversations stream through sorted partitions in segments of `segment` turns. While the turns so far have at most
+`history` code points (a turn counts 256 besides its own), each is rendered behind all turns before it. Beyond that a segment is rendered behind the `context`
+turns before it, and must come out as behind a longer history (the conversation's first turns and as many of the last as
+`history` holds); a template for which it does not is refused with an error, unless its rewrites are reported. So memory
+is bounded however long a conversation is. Tokens and characters are counted in code points.
 
 Defined results: null texts and roles are empty strings; turns of equal number go by role, then text; null turns
 first; rows of null conv_id form one conversation; repeated rows are turns of their own; an empty table gives no rows.
@@ -94,29 +96,46 @@ def locate(template: Callable[[list[Turn]], str], turns: list[Turn], context: in
     return done[base:], spans, rewrites
 
 
+#: What a turn counts towards `history` besides its code points.
+_TURN_COST = 256
+
+
+def _cost(turn: Turn) -> int:
+    return _TURN_COST + sum(map(len, turn))
+
+
 SEGMENT_SCHEMA = "conv_id long, segment long, formatted string, spans array<struct<role:string,start:int,end:int,text_start:int,text_end:int,loss:boolean>>, rewrites array<int>"
 
 
-def _segments(rows: Iterable[tuple], template, size: int, context: int, loss_roles: frozenset[str]) -> Iterator[tuple]:
+def _segments(rows: Iterable[tuple], template, size: int, context: int, loss_roles: frozenset[str], history: int) -> Iterator[tuple]:
     """rows: (conv_id, role, text), sorted. Yields rows of SEGMENT_SCHEMA."""
-    conv, number, kept, new = object(), 0, [], []
+    conv, number, past, new, held, whole = object(), 0, [], [], 0, True
 
     def flush() -> tuple:
+        kept = past if whole else past[-context:] if context else []
         out, spans, rewrites = locate(template, [*kept, *new], len(kept))
+        if not whole and not rewrites and template([*past, *new]) != template(past) + out:
+            raise ValueError(f"conversation {conv}, segment {number}: the template looks further back than {context} turns, and the conversation is longer than the history of {history}")
         return conv, number, out, [{"role": r, "start": a, "end": b, "text_start": c, "text_end": d, "loss": r in loss_roles} for (r, _), (a, b, c, d) in zip(new, spans, strict=True)], rewrites
 
     for cid, role, text in rows:
         if cid != conv or len(new) == size:
             if new:
                 yield flush()
-            number, kept = (number + 1, [*kept, *new][-context:] if context else []) if cid == conv else (0, [])
+            number, past = (number + 1, [*past, *new]) if cid == conv else (0, [])
+            if cid != conv:
+                held, whole = 0, True
             conv, new = cid, []
+            while held > history and len(past) > 2 * max(context, 1):  # the first turns stay, as a system turn may be there
+                held -= _cost(past.pop(max(context, 1)))
         new.append((role or "", text or ""))
+        held += _cost(new[-1])
+        whole = whole and held <= history
     if new:
         yield flush()
 
 
-def format_conversations(turns: DataFrame, template: Callable[[list[Turn]], str] = render, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", loss_roles: tuple[str, ...] = ("assistant",), segment: int = 16, context: int = 2) -> DataFrame:
+def format_conversations(turns: DataFrame, template: Callable[[list[Turn]], str] = render, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", loss_roles: tuple[str, ...] = ("assistant",), segment: int = 16, context: int = 2, history: int = 1 << 18) -> DataFrame:
     """Rows of SEGMENT_SCHEMA: the formatted text of each conversation, cut into segments, with the spans of turns and texts.
 
     Offsets count code points from the segment's begin; `loss` marks turns whose text is under the loss mask.
@@ -130,7 +149,7 @@ def format_conversations(turns: DataFrame, template: Callable[[list[Turn]], str]
         types = [pa.int64(), pa.int64(), pa.string(), pa.list_(span), pa.list_(pa.int32())]
         out: list[tuple] = []
         held = 0
-        for r in _segments(rows, template, segment, context, loss):
+        for r in _segments(rows, template, segment, context, loss, history):
             out.append(r)
             held += len(r[2])
             if held > 1 << 20:

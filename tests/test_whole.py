@@ -5,8 +5,10 @@ import random
 import re
 
 import numpy as np
+import pytest
 from conftest import SF
 
+from loomcrest.llm import chat_format
 from loomcrest.operators import retrieve
 from loomcrest.plans import catalogue
 
@@ -64,3 +66,37 @@ def test_substring_graph_has_all_parts(spark):
     said = lambda xs: ",".join(sorted(xs)[:3])
     want = {(g, n, said({o for h, f, o in calls if (h, f) == (g, n)}), said({f for h, f, o in calls if (h, o) == (g, n)})) for g, n, _ in parts}
     assert {tuple(r) for r in catalogue.QUERIES["substring_graph_whole"](spark, SF).collect()} == want
+
+
+# lambdas, as executors cannot import this file
+numbered = lambda turns: "".join(f"{k} {r}: {t}\n" for k, (r, t) in enumerate(turns))
+carried = lambda turns: "".join(f"({turns[0][1]}) {r}: {t}\n" for r, t in turns)
+
+
+def counted(turns):
+    """Rewrites its first line at the fortieth turn."""
+    return f"{len(turns) >= 40}\n" + "".join(f"{r}: {t}\n" for r, t in turns)
+
+
+@pytest.mark.parametrize("template", [numbered, carried, chat_format.render])
+def test_chat_renders_behind_the_whole_conversation(spark, template):
+    turns = [("system" if not i else "user", f"t{i}") for i in range(70)]
+    df = spark.createDataFrame([(1, i, *t) for i, t in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    got = sorted(chat_format.format_conversations(df, template).collect(), key=lambda r: r.segment)
+    assert "".join(r.formatted for r in got) == template(turns) and not any(r.rewrites for r in got)
+    assert [r.formatted[s["text_start"] : s["text_end"]].rstrip() for r in got for s in r.spans][1:] == [t for _, t in turns[1:]]
+
+
+def segments(turns, template, history):
+    return list(chat_format._segments([(1, *t) for t in turns], template, 16, 2, frozenset(), history))
+
+
+def test_chat_beyond_the_history():
+    turns = [("system" if not i else "user", f"t{i}") for i in range(200)]
+    for history in (0, 1000, 20_000, 1 << 18):
+        assert "".join(r[2] for r in segments(turns, chat_format.render, history)) == chat_format.render(turns)
+    for template in (numbered, carried):
+        for history in (0, 1000, 20_000):
+            with pytest.raises(ValueError, match="further back"):
+                segments(turns, template, history)
+    assert [(r[1], r[4]) for r in segments(turns, counted, 1 << 18) if r[4]] == [(2, [7])]
