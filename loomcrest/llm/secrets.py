@@ -11,9 +11,9 @@ assigned password, an account name, an endpoint) are of little meaning alone; an
 Base spans always stay, and count as parts: access as identifier, assign as secret; hex counts as neither, since long
 digit runs are often no credential. A weak candidate that overlaps a base span is dropped.
 
-Positions come from cutting the text at the matches and summing piece lengths in code points. The join is on (text,
-position bucket) against at most two rows a part and bucket (its first start and last end), so dense texts make no
-pairs. Texts are keyed by (id, hash), so equal rows share one analysis.
+Positions come from cutting the text at the matches and summing piece lengths in code points. Spans may be of any
+length and stand in every position bucket that they touch. The join is on (text, bucket) against at most one row a part
+and bucket (its first start and last end), so dense texts make no pairs. Texts are keyed by (id, hash), so equal rows share one analysis.
 
 Defined results: a null or empty text has no spans; repeated rows each get their row; null ids are kept.
 """
@@ -34,12 +34,10 @@ BASE = {
 #: kind -> (pattern, group to measure, least length, part)
 WEAK = {
     "key": (r"(?<![A-Za-z0-9/+=])(?=[A-Za-z0-9/+]{0,39}[a-z])(?=[A-Za-z0-9/+]{0,39}[A-Z])(?=[A-Za-z0-9/+]{0,39}[0-9])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+])", 0, 40, "secret"),
-    "phrase": (r"""(?<![A-Za-z])(?i:pwd|pass|passphrase|password|passwd|secret|token|api_?key)["']?\x20{0,4}[:=]\x20{0,4}["']?([^\s"',;]{6,64})""", 1, 6, "secret"),
-    "account": (r"""(?<![A-Za-z])(?i:user|username|login|account|client_id|access_key_id)["']?\x20{0,4}[:=]\x20{0,4}["']?([A-Za-z0-9_.@-]{2,64})""", 1, 2, "identifier"),
-    "endpoint": (r"(?<![A-Za-z0-9])(?:https?|ftp|ssh|postgres|postgresql|mysql|mongodb|redis|amqp|s3)://[^\s\"'<>]{3,256}", 0, 3, "endpoint"),
+    "phrase": (r"""(?<![A-Za-z])(?i:pwd|pass|passphrase|password|passwd|secret|token|api_?key)["']?\x20{0,4}[:=]\x20{0,4}["']?([^\s"',;]{6,}+)""", 1, 6, "secret"),
+    "account": (r"""(?<![A-Za-z])(?i:user|username|login|account|client_id|access_key_id)["']?\x20{0,4}[:=]\x20{0,4}["']?([A-Za-z0-9_.@-]{2,}+)""", 1, 2, "identifier"),
+    "endpoint": (r"(?<![A-Za-z0-9])(?:https?|ftp|ssh|postgres|postgresql|mysql|mongodb|redis|amqp|s3)://[^\s\"'<>]{3,}+", 0, 3, "endpoint"),
 }
-#: No weak candidate is longer (code points); spans of BASE may be of any length.
-WEAK_LONGEST = 300
 PART = {"assign": "secret", "access": "identifier", "hex": None} | {k: v[3] for k, v in WEAK.items()}
 ORDER = {k: i for i, k in enumerate([*BASE, *WEAK])}
 #: A text without any of these has no candidate; the engine's search for them is cheaper than the patterns.
@@ -69,17 +67,16 @@ def find_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", scop
     base = placed.where("base")
     part = F.create_map(*(F.lit(x) for k, p in PART.items() for x in (k, p or "")))[F.col("kind")]
     weak = placed.where("not base").withColumn("part", part)
-    back = -(-WEAK_LONGEST // scope)
-    # each base span stands in every bucket where a weak candidate that overlaps it may begin
-    covered = base.select("doc_id", "key", F.col("start").alias("s"), F.col("end").alias("e"), F.explode(F.expr(f"sequence(start div {scope} - {back}, end div {scope})")).alias("bucket"))
-    hit = weak.withColumn("bucket", F.expr(f"start div {scope}"))
-    on = [F.col("w.doc_id").eqNullSafe(F.col("o.doc_id")), F.col("w.key") == F.col("o.key"), F.col("w.bucket") == F.col("o.bucket")]
-    fresh = hit.alias("w").join(covered.alias("o"), [*on, F.expr("o.s < w.end and o.e > w.start")], "left_anti")
-    # parts stand in the buckets of their start and end; nearest to what lies after a bucket is its last end, to what lies before it its first start
-    parts = placed.withColumn("part", part).where("part <> ''").withColumn("bucket", F.explode(F.expr(f"array_distinct(array(start div {scope}, (end - 1) div {scope}))")))
-    sums = parts.groupBy("doc_id", "key", "bucket", "part").agg(F.min("start").alias("first"), F.max("end").alias("last"))
-    near = sums.withColumn("near", F.explode(F.sequence(F.lit(-1 - back), F.lit(1)))).select("doc_id", "key", (F.col("bucket") + F.col("near")).alias("bucket"), F.col("near"), F.col("part").alias("other"), "first", "last")
-    pairs = fresh.alias("w").join(near.alias("o"), [*on, F.expr(f"o.other <> w.part and case when o.near > 0 then w.start - o.last <= {scope} when o.near < 0 then o.first - w.end <= {scope} else true end")])
+    touched = lambda df: df.withColumn("bucket", F.explode(F.expr(f"sequence(start div {scope}, (end - 1) div {scope})")))
+    on = [F.col("w.doc_id").eqNullSafe(F.col("o.doc_id")), F.col("w.key") == F.col("o.key")]
+    near_by = [*on, F.col("w.bucket") == F.col("o.bucket")]
+    covered = touched(base).select("doc_id", "key", F.col("start").alias("s"), F.col("end").alias("e"), "bucket")
+    hit = touched(weak).alias("w").join(covered.alias("o"), [*near_by, F.expr("o.s < w.end and o.e > w.start")], "left_semi").select("doc_id", "key", "kind", "start").distinct()
+    fresh = weak.alias("w").join(hit.alias("o"), [*on, F.expr("o.kind = w.kind and o.start = w.start")], "left_anti")
+    # nearest to what lies after a bucket is its last end, to what lies before it its first start
+    sums = touched(placed.withColumn("part", part).where("part <> ''")).groupBy("doc_id", "key", "bucket", F.col("part").alias("other")).agg(F.min("start").alias("first"), F.max("end").alias("last"))
+    around = fresh.withColumn("bucket", F.explode(F.expr(f"sequence(start div {scope} - 1, (end - 1) div {scope} + 2)")))
+    pairs = around.alias("w").join(sums.alias("o"), [*near_by, F.expr(f"o.other <> w.part and case when o.bucket < w.start div {scope} then w.start - o.last <= {scope} when o.bucket > (w.end - 1) div {scope} then o.first - w.end <= {scope} else true end")])
     linked = pairs.groupBy("w.doc_id", "w.key", "w.kind", "w.part", "w.start", "w.end").agg(F.max((F.col("other") == "identifier").cast("int")).alias("i"), F.max((F.col("other") == "secret").cast("int")).alias("s"), F.max((F.col("other") == "endpoint").cast("int")).alias("e"))
     linked = linked.where("case part when 'secret' then i + e > 0 when 'identifier' then s > 0 else i + s = 2 end")
     return base.unionByName(linked.select("doc_id", "key", "kind", "start", "end", F.lit(False).alias("base")))
