@@ -75,7 +75,7 @@ def find_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", scop
     fresh = weak.alias("w").join(hit.alias("o"), [*on, F.expr("o.kind = w.kind and o.start = w.start")], "left_anti")
     # nearest to what lies after a bucket is its last end, to what lies before it its first start
     sums = touched(placed.withColumn("part", part).where("part <> ''")).groupBy("doc_id", "key", "bucket", F.col("part").alias("other")).agg(F.min("start").alias("first"), F.max("end").alias("last"))
-    around = fresh.withColumn("bucket", F.explode(F.expr(f"sequence(start div {scope} - 1, (end - 1) div {scope} + 2)")))
+    around = fresh.withColumn("bucket", F.explode(F.expr(f"sequence(start div {scope} - 2, (end - 1) div {scope} + 2)")))
     pairs = around.alias("w").join(sums.alias("o"), [*near_by, F.expr(f"o.other <> w.part and case when o.bucket < w.start div {scope} then w.start - o.last <= {scope} when o.bucket > (w.end - 1) div {scope} then o.first - w.end <= {scope} else true end")])
     linked = pairs.groupBy("w.doc_id", "w.key", "w.kind", "w.part", "w.start", "w.end").agg(F.max((F.col("other") == "identifier").cast("int")).alias("i"), F.max((F.col("other") == "secret").cast("int")).alias("s"), F.max((F.col("other") == "endpoint").cast("int")).alias("e"))
     linked = linked.where("case part when 'secret' then i + e > 0 when 'identifier' then s > 0 else i + s = 2 end")

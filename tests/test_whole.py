@@ -133,3 +133,9 @@ def test_secrets_of_any_length(spark):
     got = found_secrets(spark, texts)
     assert got == [brute_secrets(t) for t in texts]
     assert got[0] == {(0, 10, "account"), (11, len(texts[0]), "phrase")} and (0, 18 + len(long(2000)), "endpoint") in got[2]
+
+
+def test_secrets_at_the_scope_s_end(spark):
+    texts = [" " * k + "pwd=hunter2" + " " * gap + "user=al" for gap in (199, 200, 201) for k in range(180, 200)]
+    texts += [" " * k + "user=al" + " " * gap + "pwd=hunter2" for gap in (199, 200, 201) for k in range(180, 200)]
+    assert found_secrets(spark, texts) == [brute_secrets(t) for t in texts]
