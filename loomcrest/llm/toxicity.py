@@ -7,7 +7,8 @@ beyond that: voters correlated within a class share one vote. A linear classifie
 posterior labels. Only mining sees the labels, and only those of training folds.
 
 The fit uses at most `max_labelled` labelled rows, those of least hash (the documented bound); word counts of the
-sample are summed in Spark, and the driver gets `max_words` words and one small row a sampled document. Scoring is one
+sample are summed in Spark, and the driver gets every word and stem of enough support and precision and one small row a
+sampled document: a matrix of a byte for each of both, and of a double for each pair of voters. Scoring is one
 pass over all texts without a shuffle.
 
 Defined results: null and empty texts fire no voter and get the score of none; repeated rows score alike; without
@@ -81,6 +82,11 @@ class Voters:
         return sorted(out) + [len(self.lexicon) + i for i, f in enumerate(fired) if f]
 
 
+def _blocks(x: np.ndarray, rows: int = 1024) -> Iterator[tuple[slice, np.ndarray]]:
+    for k in range(0, len(x), rows):
+        yield slice(k, k + rows), x[k : k + rows].astype(float)
+
+
 def label_model(votes: np.ndarray, prior: float, rounds: int = 50, correlated: float = 0.4) -> tuple[np.ndarray, np.ndarray]:
     """EM for P(voter fires | class) on a rows x voters 0/1 matrix; returns the posterior of class 1 and each voter's weight.
 
@@ -91,16 +97,20 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 50, correlated: f
     post = np.where(share >= 2, 0.95, np.where(share == 1, 0.3, 0.02))
     weight = np.ones(m)
     for k in range(rounds):
-        on = np.stack([((1 - post) @ votes + 0.1) / ((1 - post).sum() + 1), (post @ votes + 0.1) / (post.sum() + 1)])
+        fired = sum((np.stack([1 - post[s], post[s]]) @ v for s, v in _blocks(votes)), np.zeros((2, m)))
+        on = (fired + 0.1) / np.array([[(1 - post).sum() + 1], [post.sum() + 1]])
         if k in (5, 20):  # residual correlations under the present classes
-            rest = votes - ((1 - post)[:, None] * on[0] + post[:, None] * on[1])
-            scale = np.sqrt((rest**2).mean(0)) + 1e-9
-            corr = (rest.T @ rest) / n / scale[:, None] / scale
+            both = np.zeros((m, m))
+            for s, v in _blocks(votes):
+                v -= (1 - post[s])[:, None] * on[0] + post[s][:, None] * on[1]
+                both += v.T @ v
+            scale = np.sqrt(np.diag(both) / n) + 1e-9
+            corr = both / n / scale[:, None] / scale
             weight = 1 / np.maximum(1, (corr > correlated).sum(0))
         odds = weight * (np.log(on[1]) - np.log(on[0]))
         odds = np.maximum(odds, 0)  # voters vote for toxic or abstain
         none = np.log((1 - on[1]) / (1 - on[0]))  # what abstaining says, jointly bounded
-        logit = np.log(prior / (1 - prior)) + votes @ odds + np.maximum(((1 - votes) @ (weight * none)), -4)
+        logit = np.concatenate([np.log(prior / (1 - prior)) + v @ odds + np.maximum((1 - v) @ (weight * none), -4) for _, v in _blocks(votes)])
         new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         if np.abs(new - post).max() < 1e-6:
             post = new
@@ -111,14 +121,17 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 50, correlated: f
 
 def fit_linear(x: np.ndarray, y: np.ndarray, l2: float = 0.3, rounds: int = 30) -> np.ndarray:
     """Logistic regression on soft labels by Newton steps; the last weight is the intercept, free of the penalty."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], l2)
+    m = x.shape[1] + 1
+    w = np.zeros(m)
+    penalty = np.full(m, l2)
     penalty[-1] = 1e-6
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + penalty * w
-        h = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + np.diag(penalty)
+        g, h = penalty * w, np.diag(penalty)
+        for s, v in _blocks(x):
+            v = np.hstack([v, np.ones((len(v), 1))])
+            p = 1 / (1 + np.exp(-np.clip(v @ w, -30, 30)))
+            g += v.T @ (p - y[s])
+            h += (v * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ v
         step = np.linalg.solve(h, g)
         w -= step
         if np.abs(step).max() < 1e-6:
@@ -135,7 +148,7 @@ class Model:
         return np.array([1 / (1 + np.exp(-min(30, max(-30, self.weights[-1] + self.weights[self.voters.votes(t)].sum())))) for t in texts], float)
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", max_labelled: int = 20_000, max_words: int = 400, least_support: int = 4, stem_support: int = 3, least_precision: float = 0.9) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", max_labelled: int = 20_000, least_support: int = 4, stem_support: int = 3, least_precision: float = 0.9) -> Model:
     few = labels.select(F.col(doc_id).alias("i"), F.col(label).cast("int").alias("y")).where(F.col("i").isNotNull() & F.col("y").isNotNull() & (C.fold_of("i", FOLDS) != HELD_OUT))
     few = few.orderBy(F.xxhash64("i"), "i", "y").limit(max_labelled).groupBy("i").agg(F.max("y").alias("y"))
     sample = C.materialize(docs.select(F.col(doc_id).alias("i"), F.col(text).alias("text")).join(F.broadcast(few), "i"))
@@ -155,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
                 yield pa.RecordBatch.from_arrays([pa.array(list(by), pa.binary()), pa.array(clean, pa.int64()), pa.array(toxic, pa.int64())], ["w", "clean", "toxic"])
 
     table = sample.select("y", "text").mapInArrow(counts, "w binary, clean long, toxic long").groupBy("w").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    lexicon = table.where(f"toxic >= if(w >= binary('=') and w < binary('>'), {least_support}, {stem_support}) and toxic >= {least_precision} * (toxic + clean)").orderBy(F.desc("toxic"), "w").limit(max_words).collect()
+    lexicon = table.where(f"toxic >= if(w >= binary('=') and w < binary('>'), {least_support}, {stem_support}) and toxic >= {least_precision} * (toxic + clean)").orderBy(F.desc("toxic"), "w").collect()
     voters = Voters({bytes(r.w): k for k, r in enumerate(lexicon)})
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([voters.votes(t) for t in C.bytes_column(piece, "text")], pa.list_(pa.int32()))], ["i", "v"])
 
     rows = sample.select("i", "text").mapInArrow(votes, "i long, v array<int>").toPandas().sort_values("i", kind="stable")
-    x = np.zeros((len(rows), voters.size))
+    x = np.zeros((len(rows), voters.size), np.uint8)
     for k, v in enumerate(rows.v):
         x[k, v] = 1
     post, _ = label_model(x, n[True] / (n[True] + n[False]))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from conftest import SF
 
-from loomcrest.llm import chat_format, secrets
+from loomcrest.llm import chat_format, secrets, toxicity
 from loomcrest.operators import retrieve
 from loomcrest.plans import catalogue
 
@@ -139,3 +139,12 @@ def test_secrets_at_the_scope_s_end(spark):
     texts = [" " * k + "pwd=hunter2" + " " * gap + "user=al" for gap in (199, 200, 201) for k in range(180, 200)]
     texts += [" " * k + "user=al" + " " * gap + "pwd=hunter2" for gap in (199, 200, 201) for k in range(180, 200)]
     assert found_secrets(spark, texts) == [brute_secrets(t) for t in texts]
+
+
+def test_toxicity_keeps_every_word(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefghijklmnopqrst", k=9)) for _ in range(150)]
+    docs = [(i, " ".join(words[(i // 2 + 7 * k) % 150] for k in range(12)) if i % 2 else "a fine day ever") for i in range(600)]
+    model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id long, toxic int"))
+    assert {b"=" + w.encode() for w in words} <= set(model.voters.lexicon)
+    assert min(model.scores([w.encode() for w in words])) > model.scores([b"a fine day"])[0]
