@@ -135,3 +135,51 @@ def by_chunk(batches: Iterable[pa.RecordBatch], most_bytes: int) -> Iterator[tup
             held += len(t or b"")
     if ids:
         yield chunk, ids, texts
+
+
+def pack_texts(ids: list, texts: list[bytes | None]) -> bytes:
+    """Ids (long or null) and texts (bytes or null) of some rows in one compressed string of bytes."""
+    import zstandard
+
+    head = np.array([[len(ids), 0, 0], *([i or 0, i is None, -1 if t is None else len(t)] for i, t in zip(ids, texts, strict=True))], np.int64)
+    return zstandard.compress(head.tobytes() + b"".join(t for t in texts if t), 3)
+
+
+def unpack_texts(data: bytes) -> tuple[list, list[bytes | None]]:
+    import zstandard
+
+    data = zstandard.decompress(data)
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    head = np.frombuffer(data, np.int64, 3 * n, 24).reshape(n, 3)
+    ends = 24 * (n + 1) + np.cumsum(np.maximum(head[:, 2], 0))
+    texts = [None if k < 0 else data[e - k : e] for k, e in zip(head[:, 2].tolist(), ends.tolist(), strict=True)]
+    return [None if null else i for i, null, _ in head.tolist()], texts
+
+
+def pieces(docs: DataFrame, doc_id: str, text: str, piece_bytes: int) -> DataFrame:
+    """All rows of docs as (piece, data): up to piece_bytes of text (or one text) in a row, packed, written to the shared folder.
+
+    So several passes see the same pieces whatever becomes of executors, and texts travel compressed.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number, ids, texts, held = TaskContext.get().partitionId() << 32, [], [], 0
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([pack_texts(ids, texts)], pa.binary())], ["piece", "data"])
+
+        for part in slices(batches, "text", 1 << 20):
+            for i, t in zip(part.column(0).to_pylist(), bytes_column(part, "text"), strict=True):
+                if ids and held + len(t or b"") > piece_bytes:
+                    yield row()
+                    number, ids, texts, held = number + 1, [], [], 0
+                ids.append(i)
+                texts.append(t)
+                held += len(t or b"") + 24
+        if ids:
+            yield row()
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return materialize(rows.mapInArrow(run, "piece long, data binary"), "none")
