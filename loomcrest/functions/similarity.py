@@ -9,7 +9,7 @@ from collections import Counter
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StringType
 
 from .text import strip_comments
 
@@ -96,9 +96,31 @@ def unified_diff(a: str, b: str) -> str:
     return "\n".join(difflib.unified_diff((a or "").splitlines(), (b or "").splitlines(), lineterm=""))
 
 
-def cost(compiled: Column, issues: Column, too_similar: Column, penalty: float = 1.0) -> Column:
-    """5 where it does not compile, else the issues; plus a penalty for too similar candidates."""
-    return F.when(~compiled, 5.0).otherwise(issues.cast("double")) + F.when(too_similar, penalty).otherwise(0.0)
+@F.pandas_udf(StringType())
+def _diff(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([unified_diff(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
+
+
+def diff(a: Column, b: Column) -> Column:
+    """unified_diff as a Column."""
+    return _diff(a, b)
+
+
+def cost(compiled: Column, issues: Column, too_similar: Column, penalty: float = 1.0, passed: Column | None = None) -> Column:
+    """5 where it does not compile, the issues (at least 1) where a tool fails, else 0; plus a penalty for too similar candidates. Without `passed` a tool fails where there are issues."""
+    fails = issues > 0 if passed is None else ~passed
+    return F.when(~compiled, 5.0).when(fails, F.greatest(F.lit(1), issues).cast("double")).otherwise(0.0) + F.when(too_similar, penalty).otherwise(0.0)
+
+
+def reward(compiled: Column, passed: Column, cosine: Column, char_ratio: Column, divergence: Column, weights: tuple[float, ...] = (0.8, 0.3, 0.2), full: float = 1.0, partial: float = 0.1, beta: float = 0.02) -> Column:
+    """weights: of compiling, of the functions' closeness, of their difference in characters; `full` where the tools pass as well, `partial` where it only compiles; less beta times the divergence a token."""
+    w_stmt, w_embed, w_edit = weights
+    verified = F.when(compiled & passed, full).when(compiled, partial).otherwise(0.0)
+    return w_stmt * compiled.cast("double") + w_embed * cosine - w_edit * (1 - char_ratio) + verified - beta * divergence
+
+
+def success(compiled: Column, passed: Column) -> Column:
+    return (compiled & passed).cast("int")
 
 
 def correct(compiles: Column, clean: Column, original_similarity: Column, most_similar: float, change: Column, most_change: float) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 VERSION = r"(\d+)\.(\d+)(?:\.(\d+))?"
-FEATURES = [(r"\bemit\b", "0.4.21"), (r"\b(?:pure|view)\b", "0.4.16"), (r"\bconstructor\b", "0.4.22"), (r'\brevert\(\s*"', "0.4.22")]
+# --- fixed values: what a syntax needs, the floor and the default of versions -------------------------------------------
+FEATURES = [(r"(?U)\bemit\s+\w+\s*\(", "0.4.21"), (r"(?U)\b(pure|view)\b", "0.4.16"), (r"(?U)\bconstructor\s*\(", "0.4.22"), (r"(?U)\brevert\s*\([\"']", "0.4.22")]
 OLDEST, DEFAULT_VERSION = "0.4.11", "0.4.25"
+# ------------------------------------------------------------------------------------------------------------------
 _SPAN = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("code", T.StringType())]))
 
 
@@ -21,64 +24,88 @@ def version_key(v: Column) -> Column:
 
 
 def pragma_version(text: Column) -> Column:
-    """^, >= or exact version of the pragma, in that order; a default without one."""
-    tried = [F.regexp_extract(text, rf"pragma\s+solidity\s*{p}\s*(\d+\.\d+\.\d+)", 1) for p in (r"\^", ">=", "")]
+    """The three-part version behind '^' or nothing, else behind '>' or '>='; a default without one."""
+    tried = [F.regexp_extract(text, rf"pragma\s+solidity\s+{p}([0-9]+\.[0-9]+\.[0-9]+)", 1) for p in (r"\^?", ">=?")]
     return F.coalesce(*(F.nullif(t, F.lit("")) for t in tried), F.lit(DEFAULT_VERSION))
 
 
 def pragma_full(text: Column) -> Column:
-    """The first acceptable version of the first pragma: '>' adds a patch, a missing patch is 0; null without one."""
-    spec = F.trim(F.get(F.split(F.regexp_extract(text, r"pragma\s+solidity\s+([^;]+);", 1), r"\|\|"), F.lit(0)))
-    part = lambda i: F.nullif(F.regexp_extract(spec, VERSION, i), F.lit(""))
-    patch = F.coalesce(part(3).cast("int"), F.lit(0)) + F.when(spec.rlike(r"^>\s*\d"), 1).otherwise(0)
-    return F.when(part(1).isNotNull(), F.concat_ws(".", part(1), part(2), patch.cast("string")))
+    """A version that the first pragma accepts: its first one, or with '>=' the one behind that, or with '>' alone a patch more; a missing patch is 0; null without one."""
+    spec = F.regexp_extract(text, r"pragma\s+solidity\s+([^;]+);", 1)
+    has = lambda mark: F.contains(spec, F.lit(mark))
+
+    def version(mark: str, more: int = 0) -> Column:
+        part = lambda i: F.nullif(F.regexp_extract(spec, rf"{mark}{VERSION}", i), F.lit(""))
+        patch = F.coalesce(part(3).cast("int"), F.lit(0)) + more
+        return F.when(part(1).isNotNull(), F.concat_ws(".", part(1), part(2), patch.cast("string")))
+
+    plain = version("")
+    return F.when(has("^") | has("~"), plain).when(has(">="), F.coalesce(version(r">=\s*"), plain)).when(has(">"), F.coalesce(version(r">\s*", 1), plain)).otherwise(plain)
 
 
 def minimum_version(text: Column) -> Column:
-    """The least version whose features the text uses, and no less than its pragma."""
+    """The least version whose features the text uses."""
     needs = [F.when(text.rlike(p), F.lit(v)).otherwise(F.lit(OLDEST)) for p, v in FEATURES]
-    keyed = [F.struct(version_key(c).alias("k"), c.alias("v")) for c in [*needs, F.coalesce(pragma_full(text), F.lit(OLDEST))]]
-    return F.greatest(*keyed)["v"]
+    return F.greatest(*(F.struct(version_key(c).alias("k"), c.alias("v")) for c in needs))["v"]
 
 
-def visibility(header: Column) -> Column:
-    out = F.lit("public")
-    for w in ("internal", "private", "external"):
-        out = F.when(header.rlike(rf"\b{w}\b"), w).otherwise(out)
+def recommended_version(text: Column) -> Column:
+    """The greater of the pragma's version (the floor without one) and the features'."""
+    both = (F.coalesce(pragma_full(text), F.lit(OLDEST)), minimum_version(text))
+    return F.greatest(*(F.struct(version_key(c).alias("k"), c.alias("v")) for c in both))["v"]
+
+
+def _first_word(text: Column, words: tuple[str, ...], default: str) -> Column:
+    """The first of words that stands in the text."""
+    out = F.lit(default)
+    for w in reversed(words):
+        out = F.when(text.rlike(rf"(?U)\b{w}\b"), w).otherwise(out)
     return out
 
 
+def visibility(header: Column) -> Column:
+    return _first_word(header, ("private", "internal", "external"), "public")
+
+
 def mutability(header: Column) -> Column:
-    out = F.lit("nonpayable")
-    for w in ("payable", "view", "pure"):
-        out = F.when(header.rlike(rf"\b{w}\b"), w).otherwise(out)
-    return out
+    return _first_word(header, ("payable", "pure", "view"), "nonpayable")
 
 
 def flags(text: Column) -> Column:
-    """Counts and flags that regular expressions can give."""
-    n = lambda p: F.regexp_count(text, F.lit(p))
+    """Flags and a count that regular expressions can give."""
     has = lambda w: F.contains(text, F.lit(w))
-    return F.struct(
-        *(x.alias(a) for a, x in {
-            "has_loops": text.rlike(r"\b(for|while)\s*\("), "n_ifs": n(r"\bif\s*\("), "n_blocks": n(r"\{"), "has_external_calls": text.rlike(r"\.(call|delegatecall|send|transfer)\b"),
-            "n_assignments": n(r"[^=!<>]=[^=]"), "n_requires": n(r"\brequire\s*\("), "uses_tx_origin": has("tx.origin"), "uses_delegatecall": has("delegatecall"), "uses_transfer": has(".transfer("),
-            "uses_send": has(".send("), "is_payable": text.rlike(r"\bpayable\b"), "is_view": text.rlike(r"\bview\b"), "is_pure": text.rlike(r"\bpure\b"),
-        }.items())
-    )
+    tests = {
+        "has_loops": text.rlike(r"(?U)\b(for|while)\s*\("),
+        "has_if_statements": text.rlike(r"(?U)\bif\s*\("),
+        "complexity": F.regexp_count(text, F.lit(r"\{")),
+        "has_external_calls": text.rlike(r"\.(call|delegatecall|staticcall)\("),
+        "has_state_changes": text.rlike(r"(?U)[a-zA-Z_]\w*\s*="),
+        "has_require": has("require("),
+        "uses_tx_origin": has("tx.origin"),
+        "uses_delegatecall": has("delegatecall"),
+        "uses_transfer": has(".transfer("),
+        "uses_send": has(".send("),
+        "is_payable": has("payable"),
+        "is_view": has("view"),
+        "is_pure": has("pure"),
+    }
+    return F.struct(*(x.alias(a) for a, x in tests.items()))
 
 
 def location(text: Column) -> Column:
+    """'Line a', 'Lines a-b' of the first place named, or 'Function body'."""
     m = r"\.sol[:#](\d+)(?:-(\d+))?"
     a, b = (F.nullif(F.regexp_extract(text, m, i), F.lit("")) for i in (1, 2))
-    return F.when(b.isNotNull(), F.concat(F.lit("Lines "), a, F.lit("-"), b)).when(a.isNotNull(), F.concat(F.lit("Line "), a)).otherwise("Function body")
+    line = F.concat(F.lit("Line "), a)
+    return F.when(b.isNotNull() & (a != b), F.concat(F.lit("Lines "), a, F.lit("-"), b)).when(a.isNotNull(), line).otherwise("Function body")
 
 
 def snippet(code: Column, first_line: Column, marked: Column, around: int = 1) -> Column:
-    """The marked lines and their neighbours, numbered."""
+    """The lines from the first marked one to the last, with neighbours at both ends, numbered; marks outside the code don't count, and without any the text is empty."""
     lines = F.transform(F.split(code, "\n"), lambda x, i: F.struct((first_line + i).alias("n"), x.alias("s")))
-    near = F.filter(lines, lambda x: F.exists(marked, lambda m: F.abs(m - x["n"]) <= around))
-    return F.array_join(F.transform(near, lambda x: F.concat(F.lit("// Line "), x["n"].cast("string"), F.when(F.array_contains(marked, x["n"]), " (VULNERABLE)").otherwise(""), F.lit(": "), x["s"])), "\n")
+    inside = F.filter(marked, lambda m: m.between(first_line, first_line + F.size(F.split(code, "\n")) - 1))
+    near = F.filter(lines, lambda x: x["n"].between(F.array_min(inside) - around, F.array_max(inside) + around))
+    return F.array_join(F.transform(near, lambda x: F.concat(F.lit("// Line "), x["n"].cast("string"), F.when(F.array_contains(inside, x["n"]), " (VULNERABLE)").otherwise(""), F.lit(": "), x["s"])), "\n")
 
 
 _LEX = re.compile(r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|//[^\n]*|/\*.*?\*/|[{};]', re.S)
@@ -127,6 +154,23 @@ def block_of(text: str, name: str, naive: bool = False) -> str | None:
     return text[m.start() : end] if end else None
 
 
+_HEADER = re.compile(r"function\s+(\w+)\s*\([^)]*\)[^{]*\{")
+
+
+def naive_functions(text: str) -> list[dict]:
+    """Every header with its text up to the brace that closes it, braces counted wherever they stand."""
+    out = []
+    for m in _HEADER.finditer(text or ""):
+        at = m.start()
+        out.append({"name": m[1], "header": m[0], "start": at, "code": text[at : naive_end(text, at) or at]})
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("header", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("code", T.StringType())])))
+def _naive(text: pd.Series) -> pd.Series:
+    return pd.Series([naive_functions(t) for t in text])
+
+
 @F.pandas_udf(_SPAN)
 def _functions(text: pd.Series) -> pd.Series:
     return pd.Series([[dict(zip(("name", "start", "end", "code"), s, strict=True)) for s in spans(t)] for t in text])
@@ -137,13 +181,26 @@ def functions(text: Column) -> Column:
     return _functions(text)
 
 
-GATE_WORDS = ("call", "delegatecall", "transfer", "send", "require", "tx.origin", "block.timestamp", "selfdestruct")
+# --- fixed values: the words of a gate feature, any of which sets it, in the vector's order ---------------------------------
+GATE_WORDS = [
+    ["delegatecall", ".call", "call.value"],
+    ["tx.origin"],
+    [".transfer(", ".send("],
+    ["require("],
+    ["reentr"],
+    ["overflow", "underflow"],
+    ["onlyowner", "access control"],
+    ["random", "blockhash", "block.timestamp"],
+]
+# ------------------------------------------------------------------------------------------------------------------
 
 
-def gate_features(code: Column, scale: int = 6000) -> Column:
-    """Ten numbers: the scaled length, a flag a word, a constant."""
-    flags_ = [F.contains(code, F.lit(w)).cast("double") for w in GATE_WORDS]
-    return F.array(F.least(F.lit(1.0), F.length(code) / scale), *flags_, F.lit(1.0))
+def gate_features(prompt: Column, scale: int = 6000) -> Column:
+    """Ten numbers: the scaled length, a flag a group of words (in lower case), a constant."""
+    text = F.coalesce(prompt, F.lit(""))
+    low = F.lower(text)
+    found = [reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in words)).cast("double") for words in GATE_WORDS]
+    return F.array(F.least(F.lit(1.0), F.length(text) / scale), *found, F.lit(1.0))
 
 
 def code_slice(state: Column, structs: Column, modifiers: Column, callees: Column, target: Column) -> Column:
@@ -153,6 +210,18 @@ def code_slice(state: Column, structs: Column, modifiers: Column, callees: Colum
     return F.array_join(F.filter(parts, lambda x: F.coalesce(F.trim(x), F.lit("")) != ""), "\n")
 
 
+def commented_slice(contract: Column, name: Column, state: Column, structs: Column, modifiers: Column, callees: Column, target: Column, comments: bool = True) -> Column:
+    """code_slice with a blank line behind each kind of part and, with comments, a heading before it; modifiers that are bare names become comments."""
+    empty = F.array().cast("array<string>")
+    kinds = [("State Variables", state), ("Structures", structs), ("Modifiers", F.transform(modifiers, modifier_code)), ("Helper Functions (Callees)", callees)]
+    heading = lambda t: F.array(F.lit(f"// --- {t} ---")) if comments else empty
+    parts = [F.array(F.concat(F.lit("// Context: Contract "), contract, F.lit(", Function "), name), F.lit(""))] if comments else []
+    for title, codes in kinds:
+        some = F.filter(F.coalesce(codes, empty), lambda x: F.coalesce(x, F.lit("")) != "")
+        parts.append(F.when(F.coalesce(F.size(codes), F.lit(0)) > 0, F.concat(heading(title), some, F.array(F.lit("")))).otherwise(empty))
+    return F.array_join(F.concat(*parts, heading("Target Function"), F.when(F.coalesce(target, F.lit("")) != "", F.array(target)).otherwise(empty)), "\n")
+
+
 def simple_contract(body: Column, name: Column, version: Column) -> Column:
     """The body in a contract of its own, indented by four blanks."""
     lines = F.transform(F.split(body, "\n"), lambda x: F.when(F.trim(x) == "", x).otherwise(F.concat(F.lit("    "), x)))
@@ -176,11 +245,120 @@ def fit_header(original: str, body: str) -> str:
 
 
 def closest_version(want: Column, have: Column) -> Column:
-    """Of an array of versions, the one nearest: 10000 a major step, 100 a minor one, 1 a patch; ties go to the lesser."""
+    """Of an array of versions the one to use: the wanted one, else the first of the same major and minor number, else the
+    nearest (10000 a major step, 100 a minor one, 1 a patch; the first of equals) not below the floor, else the floor. A
+    wanted version below the floor gives the floor."""
     w = version_key(want)
+    floor = F.array(*(F.lit(int(x)) for x in OLDEST.split(".")))
+    listed = F.transform(have, lambda v, i: F.struct(F.regexp_replace(v, "^v+", "").alias("v"), i.alias("i")))
+    keyed = F.transform(listed, lambda x: F.struct(x["v"].alias("v"), x["i"].alias("i"), version_key(x["v"]).alias("k")))
+    same = F.transform(F.filter(keyed, lambda x: (F.get(x["k"], F.lit(0)) == w[0]) & (F.get(x["k"], F.lit(1)) == w[1])), lambda x: x["v"])
+    far = F.transform(F.filter(keyed, lambda x: (F.size(x["k"]) >= 3) & (x["k"] >= floor)), lambda x: F.struct((F.abs(x["k"][0] - w[0]) * 10000 + F.abs(x["k"][1] - w[1]) * 100 + F.abs(x["k"][2] - w[2])).alias("d"), x["i"].alias("i"), x["v"].alias("v")))
+    return F.when(w < floor, OLDEST).when(F.array_contains(same, want), want).when(F.size(same) > 0, F.get(same, F.lit(0))).otherwise(F.coalesce(F.array_min(far)["v"], F.lit(OLDEST)))
+
+
+def headers(text: Column) -> Column:
+    """array<struct<name, header, visibility, mutability, start, code>> of every function with a body; braces count wherever they stand, unbalanced ones give the empty text."""
+    return F.transform(_naive(text), lambda f: F.struct(f["name"].alias("name"), f["header"].alias("header"), visibility(f["header"]).alias("visibility"), mutability(f["header"]).alias("mutability"), f["start"].alias("start"), f["code"].alias("code")))
+
+
+_ONE_LEVEL = r"(?sU)function\s+(\w+)\s*\([^)]*\)\s*(public|private|internal|external)?\s*(view|pure|payable)?\s*(returns\s*\([^)]*\))?\s*\{([^}]*(?:\{[^}]*\}[^}]*)*)\}"
+
+
+def functions_by_pattern(text: Column) -> Column:
+    """array<struct<name, visibility, mutability, code>> of functions whose header is plain and whose body nests one level; of overloads the last, in the first one's place."""
+    got = [F.regexp_extract_all(text, F.lit(_ONE_LEVEL), F.lit(i)) for i in (1, 2, 3, 0)]
+    rows = F.transform(F.arrays_zip(*(g.alias(n) for g, n in zip(got, ("name", "visibility", "mutability", "code"), strict=True))), lambda x: F.struct(x["name"].alias("name"), F.coalesce(F.nullif(x["visibility"], F.lit("")), F.lit("public")).alias("visibility"), F.coalesce(F.nullif(x["mutability"], F.lit("")), F.lit("nonpayable")).alias("mutability"), x["code"].alias("code")))
+    names = F.array_distinct(F.transform(rows, lambda x: x["name"]))
+    return F.transform(names, lambda n: F.element_at(F.filter(rows, lambda x: x["name"] == n), -1))
+
+
+def contract_context(text: Column) -> Column:
+    """struct<contract_name, inheritance, state_variables array<struct<name, type>>, modifiers> by patterns alone."""
+    name = F.regexp_extract(text, r"(?U)contract\s+(\w+)", 1)
+    bases = F.regexp_extract(text, r"(?U)contract\s+\w+\s+is\s+([^{]+)", 1)
+    kinds, names = (F.regexp_extract_all(text, F.lit(r"(?U)(uint|address|bool|string|mapping)\s+(\w+)\s*;"), F.lit(i)) for i in (1, 2))
+    none = F.array().cast("array<string>")
+    return F.struct(
+        F.when(name == "", "Unknown").otherwise(name).alias("contract_name"),
+        F.when(bases == "", none).otherwise(F.transform(F.split(bases, ","), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))).alias("inheritance"),
+        F.zip_with(names, kinds, lambda n, k: F.struct(n.alias("name"), k.alias("type"))).alias("state_variables"),
+        F.regexp_extract_all(text, F.lit(r"(?U)modifier\s+(\w+)"), F.lit(1)).alias("modifiers"),
+    )
+
+
+def call_graph(found: Column, most: int = 3) -> Column:
+    """Of array<struct<name, code, ..>> the same with callees and callers: other functions whose name stands in the code, the first `most` in order."""
+    says = lambda a, b: (a["name"] != b["name"]) & F.contains(a["code"], b["name"])
+    names = lambda xs: F.slice(F.transform(xs, lambda x: x["name"]), 1, most)
+    return F.transform(found, lambda f: f.withField("callees", names(F.filter(found, lambda o: says(f, o)))).withField("callers", names(F.filter(found, lambda o: says(o, f)))))
+
+
+def function_contexts(df, text: str, file: str):
+    """A row a function of every source: file, contract_context, name, visibility, mutability, code, features, callees, callers."""
+    rows = df.select(F.col(file).alias("file"), contract_context(F.col(text)).alias("contract_context"), F.explode(call_graph(functions_by_pattern(F.col(text)))).alias("f"))
+    return rows.select("file", "contract_context", "f.*", flags(F.col("f.code")).alias("features"))
+
+
+def kept_function(name: Column) -> Column:
+    """Names that the analyzer made up go."""
+    return ~F.startswith(name, F.lit("slitherConstructor"))
+
+
+def modifier_code(code: Column) -> Column:
+    """A modifier that is a bare name, as a comment; anything else as it is."""
+    bare = F.regexp_extract(code, r"^\s*([A-Za-z_][A-Za-z0-9_]*)\s*$", 1)
+    return F.when(bare != "", F.concat(F.lit("// modifier: "), bare)).otherwise(code)
+
+
+def rebuild_contract(source: str | None, first: int | None, last: int | None, old: str | None, fixed: str) -> str | None:
+    """source with a function replaced: by its lines first..last (1-based), else by its exact text, else by its lines without
+    regard to blanks at their ends; None where none of them holds."""
+    if source is None:
+        return None
+    lines = source.splitlines(keepends=True)
+    whole_line = fixed if fixed.endswith("\n") else fixed + "\n"
+    put = lambda a, b: "".join([*lines[:a], whole_line, *lines[b:]])
+    if first is not None and last is not None and 0 < first < last <= len(lines):
+        return put(first - 1, last)
+    if old and old in source:
+        return source.replace(old, fixed, 1)
+    wanted = [x.strip() for x in (old or "").splitlines() if x.strip()]
+    seen = [(i, x.strip()) for i, x in enumerate(lines) if x.strip()]
+    for k, (i, x) in enumerate(seen if wanted else []):
+        run = seen[k : k + len(wanted)]
+        if x == wanted[0] and len(run) == len(wanted) and all(w in y for w, (_, y) in zip(wanted, run, strict=True)):
+            return put(i, run[-1][0] + 1)
+    return None
+
+
+@F.pandas_udf(T.StringType())
+def _rebuilt(source: pd.Series, first: pd.Series, last: pd.Series, old: pd.Series, fixed: pd.Series) -> pd.Series:
+    number = lambda x: None if pd.isna(x) else int(x)
+    text = lambda x: x if isinstance(x, str) else None
+    return pd.Series([rebuild_contract(text(s), number(a), number(b), text(o), text(f) or "") for s, a, b, o, f in zip(source, first, last, old, fixed, strict=True)], dtype=object)
+
+
+def rebuilt(source: Column, first: Column, last: Column, old: Column, fixed: Column, name: Column, version: Column) -> Column:
+    """The whole contract with its function replaced; where that fails, a simple contract around the fix."""
+    return F.coalesce(_rebuilt(source, first, last, old, fixed), simple_contract(fixed, name, version))
+
+
+@F.pandas_udf(T.StringType())
+def _replaced(source: pd.Series, name: pd.Series, fixed: pd.Series) -> pd.Series:
+    return pd.Series([replace_function(s or "", n or "", f or "") for s, n, f in zip(source, name, fixed, strict=True)], dtype=object)
+
+
+def with_function(source: Column, name: Column, fixed: Column) -> Column:
+    """replace_function as a Column."""
+    return _replaced(source, name, fixed)
+
+
+@F.pandas_udf(T.StringType())
+def _fitted(original: pd.Series, body: pd.Series) -> pd.Series:
+    return pd.Series([fit_header(o or "", b or "") for o, b in zip(original, body, strict=True)], dtype=object)
 
-    def distance(v):
-        k = version_key(v)
-        return F.struct((F.abs(k[0] - w[0]) * 10000 + F.abs(k[1] - w[1]) * 100 + F.abs(k[2] - w[2])).alias("d"), k.alias("k"), v.alias("v"))
 
-    return F.array_min(F.transform(have, distance))["v"]
+def with_header(original: Column, body: Column) -> Column:
+    """fit_header as a Column."""
+    return _fitted(original, body)

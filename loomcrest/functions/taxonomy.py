@@ -64,7 +64,7 @@ BUCKETS = {
     "STORAGE": [109, 124],
 }
 ACCESS_PHRASES = ["access control", "authorization", "authentication", "privilege", "onlyowner", "missing access control"]
-SEVERITY = {"high": 9.0, "medium": 6.0, "low": 3.0, "informational": 1.0, "optimization": 1.0}
+SEVERITY = {"High": 9.0, "Medium": 6.0, "Low": 3.0, "Informational": 1.0, "Optimization": 1.0}
 SEVERITY_ADJUSTMENT = {"reentrancy": 1, "delegatecall": 1, "access_control": 1, "arithmetic": 0, "unchecked_call": 0, "gas_optimization": -2, "code_quality": -2}
 SEVERITY_RANK = {"High": 4, "Medium": 3, "Low": 2, "Informational": 1, "Optimization": 0}
 INJECTED = {
@@ -154,13 +154,18 @@ def primary_bucket(found: Column, sizes: dict[str, int] | None = None) -> Column
     return F.coalesce(F.array_min(ranked)["bucket"], F.lit("OTHER"))
 
 
+def _by_kind(table: dict[str, object], kind: Column, default) -> Column:
+    """The value of the first key that the kind contains or that contains the kind; blanks and '-' count as '_'."""
+    k = F.translate(F.lower(kind), " -", "__")
+    out = F.lit(default) if not isinstance(default, Column) else default
+    for name, value in reversed(table.items()):
+        out = F.when(F.contains(k, F.lit(name)) | F.contains(F.lit(name), k), value).otherwise(out)
+    return out
+
+
 def severity_score(word: Column, kind: Column) -> Column:
-    """Score of the severity word, adjusted by the first type that contains the kind or lies in it; 0 to 10."""
-    k = F.lower(kind)
-    adjust = F.lit(0)
-    for name, by in reversed(SEVERITY_ADJUSTMENT.items()):
-        adjust = F.when(F.contains(k, F.lit(name)) | F.contains(F.lit(name), k), by).otherwise(adjust)
-    return F.greatest(F.lit(0.0), F.least(F.lit(10.0), lookup(SEVERITY, F.lower(word), F.lit(5.0)) + adjust))
+    """Score of the severity word (as it is written), adjusted by kind; 0 to 10."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(10.0), lookup(SEVERITY, word, F.lit(5.0)) + _by_kind(SEVERITY_ADJUSTMENT, kind, 0)))
 
 
 def most_severe(findings: Column, rank_field: str = "severity") -> Column:
@@ -226,8 +231,95 @@ def canonical_types(types: Column) -> Column:
 
 def severity_estimate(kind: Column) -> Column:
     """Estimate of the first type that contains the kind or lies in it; 5 without one."""
-    k = F.lower(kind)
-    out = F.lit(5)
-    for name, value in reversed(SEVERITY_ESTIMATE.items()):
-        out = F.when(F.contains(k, F.lit(name)) | F.contains(F.lit(name), k), value).otherwise(out)
-    return out
+    return _by_kind(SEVERITY_ESTIMATE, kind, 5)
+
+
+# --- fixed values: a sentence a type, the severity of injected and of found weaknesses ---------------------------------------
+REASONS = {
+    "reentrancy": "The function performs external calls before updating state variables, which may allow reentrancy attacks.",
+    "access_control": "The function lacks proper access control checks, allowing unauthorized users to execute sensitive operations.",
+    "arithmetic": "The function contains arithmetic operations that may overflow or underflow.",
+    "unchecked_call": "The function makes external calls without checking the return value.",
+    "delegatecall": "The function uses delegatecall which may lead to unintended code execution.",
+    "tx_origin": "The function uses tx.origin for authorization, which is vulnerable to phishing attacks.",
+    "timestamp_dependence": "The function relies on block.timestamp which can be manipulated by miners.",
+    "uninitialized_storage": "The function uses uninitialized storage variables.",
+}
+#: weakness number -> its title
+SWC_TITLES = {
+    101: "Integer Overflow and Underflow",
+    104: "Unchecked Call Return Value",
+    106: "Unprotected SELFDESTRUCT Instruction",
+    107: "Reentrancy",
+    109: "Uninitialized Storage Pointer",
+    110: "Assert Violation",
+    111: "Use of Deprecated Solidity Functions",
+    112: "Delegatecall to Untrusted Callee",
+    113: "DoS with Failed Call",
+    114: "Transaction Order Dependence",
+    115: "Authorization through tx.origin",
+    116: "Block values as a proxy for time",
+    117: "Signature Malleability",
+    120: "Weak Sources of Randomness from Chain Attributes",
+    121: "Missing Protection against Signature Replay Attacks",
+    122: "Lack of Proper Signature Verification",
+    124: "Write to Arbitrary Storage Location",
+    126: "Insufficient Gas Griefing",
+    128: "DoS With Block Gas Limit",
+    132: "Unexpected Ether Balance",
+    133: "Hash Collisions With Multiple Variable Length Arguments",
+}
+#: weakness number -> alternatives of the looser rules, each a list of substrings that must all occur ("=tod": the whole phrase)
+SWC_LOOSE = {
+    101: [["overflow"], ["underflow"], ["arithmetic"]],
+    104: [["unchecked", "call"], ["unchecked", "return"]],
+    106: [["selfdestruct"], ["contract destruction"]],
+    107: [["reentr"]],
+    109: [["uninitialized storage"], ["storage pointer misuse"]],
+    110: [["assert"]],
+    111: [["deprecated"], ["throw"]],
+    112: [["delegatecall"]],
+    113: [["dos"], ["denial of service"], ["failed send"], ["failed call"]],
+    114: [["front run"], ["transaction ordering"], ["=tod"]],
+    115: [["tx origin"], ["tx.origin"]],
+    116: [["timestamp"], ["time manipulation"], ["miner manipulation"], ["block variable"]],
+    117: [["signature malleability"]],
+    120: [["random"], ["prng"], ["predictable"]],
+    121: [["replay attack"], ["signature replay"]],
+    122: [["signature verification"]],
+    124: [["arbitrary storage write"], ["write to arbitrary storage"], ["arbitrary write"], ["storage corruption"], ["storage collision"], ["out of bounds write"], ["state variable overwrite"], ["state variable corruption"]],
+    126: [["gas grief"]],
+    128: [["block gas"], ["gas limit"], ["gas exhaustion"], ["unbounded loop"], ["infinite loop"]],
+    132: [["forced ether reception"], ["unexpected ether"]],
+    133: [["hash collision"]],
+}
+# ------------------------------------------------------------------------------------------------------------------
+
+
+def reason(kind: Column) -> Column:
+    """The sentence of the first type that contains the kind or lies in it, else one with the kind's own name."""
+    return _by_kind(REASONS, kind, F.concat(F.lit("The function contains a "), kind, F.lit(" vulnerability.")))
+
+
+def swc_loose(c: Column) -> Column:
+    """Sorted identifiers of every looser rule that holds for a phrase."""
+    test = lambda k, w: k == w[1:] if w[0] == "=" else F.contains(k, F.lit(w))
+    holds = lambda k, alternatives: reduce(lambda a, b: a | b, (reduce(lambda a, b: a & b, (test(k, w) for w in ws)) for ws in alternatives))
+    return let(key(c), lambda k: F.array_compact(F.array(*(F.when(holds(k, alternatives), swc_name(n)) for n, alternatives in SWC_LOOSE.items()))))
+
+
+def swc_title(c: Column) -> Column:
+    return lookup({swc_name(n): t for n, t in SWC_TITLES.items()}, c)
+
+
+def type_list(types: Column, details: Column, single: Column) -> Column:
+    """The sorted different types of a label: its list, else its details' (array<struct<type>>), else its one type."""
+    empty = F.array().cast("array<string>")
+    named = F.transform(details, lambda d: d["type"])
+    found = F.when(F.coalesce(F.size(types), F.lit(0)) > 0, types).when(F.coalesce(F.size(details), F.lit(0)) > 0, named).when(F.coalesce(single, F.lit("")) != "", F.array(single)).otherwise(empty)
+    return F.array_sort(F.array_distinct(F.filter(found, lambda t: F.coalesce(t, F.lit("")) != "")))
+
+
+def injected_type(c: Column) -> Column:
+    """The standard name of an injected bug's folder; 'other' without one."""
+    return lookup(INJECTED, c, F.lit("other"))

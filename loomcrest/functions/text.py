@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 TOKEN = r"(?U)[A-Za-z_]\w+|\d+|[^\s]"
 TYPE_LINE = r"(?mi)^\s*-\s*Type:\s*(.+?)\s*$"
 FENCE = r"(?s)```[A-Za-z0-9_+-]*[ \t]*\r?\n(.*?)```"
+#: where str.splitlines() of Python ends a line
+LINE_END = "\\r\\n|[\\n\\r\\x0B\\f\\x1C-\\x1E\\x85\\u2028\\u2029]"
 
 
 def strip(c: Column) -> Column:
@@ -46,7 +48,13 @@ def clean_text(c: Column, width: int = 4, most: int = 2, heading: str | None = N
 
 def strip_comments(c: Column) -> Column:
     """Block comments, then line comments; not aware of string literals."""
-    return F.regexp_replace(F.regexp_replace(c, r"(?s)/\*.*?\*/", ""), r"(?m)//.*?$", "")
+    return F.regexp_replace(F.regexp_replace(c, r"(?s)/\*.*?\*/", ""), r"(?dm)//.*?$", "")
+
+
+def strip_marked_comments(c: Column, marks: tuple[str, ...]) -> Column:
+    """Line comments that hold one of the marks (in any case), and with them lines that nothing else stands on."""
+    some = "|".join(rf"\Q{m}\E" for m in marks)
+    return F.regexp_replace(F.regexp_replace(c, rf"(?dmi)^[ \t]*//[^\n]*(?:{some})[^\n]*(?:\n|\z)", ""), rf"(?dmi)[ \t]*//[^\n]*(?:{some})[^\n]*$", "")
 
 
 def strip_markup_comments(c: Column) -> Column:
@@ -54,7 +62,12 @@ def strip_markup_comments(c: Column) -> Column:
 
 
 def compact_code(c: Column) -> Column:
-    return strip(F.regexp_replace(strip_comments(unwrap_fence(c)), r"\n\s*\n+", "\n"))
+    """Without fence lines, comments and blanks at line ends; blank lines in a row become one."""
+    lines = lambda x: F.split(x, LINE_END)
+    bare = F.array_join(F.filter(lines(strip(c)), lambda x: ~F.startswith(strip(x), F.lit("```"))), "\n")
+    code = strip_comments(F.when(F.contains(c, F.lit("```")), strip(bare)).otherwise(strip(c)))
+    ended = F.array_join(F.transform(lines(code), lambda x: F.regexp_replace(x, r"\s+$", "")), "\n")
+    return strip(collapse_blank_lines(ended))
 
 
 def wrap_fence(c: Column, language: str = "") -> Column:
@@ -119,7 +132,60 @@ def truncate_lines(c: Column, most: int, marker: str = "\n...") -> Column:
 
 
 def vulnerability_info(c: Column) -> Column:
-    """struct<types array<string>, severity double> from '- Type:' and '- Severity:' lines; the last severity holds."""
-    types = F.flatten(F.transform(F.regexp_extract_all(c, F.lit(r"(?mi)^\s*-?\s*(?:Vulnerability )?Types?:\s*(.+?)\s*$"), F.lit(1)), lambda x: list_of(x, r",;/|")))
-    severity = F.try_element_at(F.regexp_extract_all(c, F.lit(r"(?mi)^\s*-?\s*Severity(?: Score)?:\s*([0-9]+(?:\.[0-9]+)?)"), F.lit(1)), F.lit(-1))
-    return F.struct(F.when(F.size(types) > 0, types).otherwise(F.array(F.lit("Unknown"))).alias("types"), severity.cast("double").alias("severity"))
+    """struct<types array<string>, severity double>. A line names types as '- Type: ..' and behind 'vulnerability type(s):' anywhere,
+    split at , ; / and |; the last number behind 'severity:' holds; ['Unknown'] and null without any."""
+    named = lambda x, p: list_of(F.regexp_extract(x, p, 1), ",;/|")
+    lines = F.split(c, LINE_END)
+    types = F.flatten(F.transform(lines, lambda x: F.concat(named(x, r"(?i)^\s*-\s*type\s*:\s*(.+)$"), named(x, r"(?i)vulnerability\s*types?\s*:\s*(.+)$"))))
+    said = F.filter(F.transform(lines, lambda x: F.regexp_extract(x, r"(?i)severity\s*:\s*([0-9]+(?:\.[0-9]+)?)", 1)), lambda x: x != "")
+    return F.struct(F.when(F.size(types) > 0, types).otherwise(F.array(F.lit("Unknown"))).alias("types"), F.try_element_at(said, F.lit(-1)).cast("double").alias("severity"))
+
+
+def function_of_prompt(c: Column) -> Column:
+    """The name behind '**Function:**'; null without one."""
+    return F.nullif(F.regexp_extract(c, r"\*\*Function:\*\*\s*([A-Za-z_][A-Za-z0-9_]*)", 1), F.lit(""))
+
+
+#: what may follow a prompt's code, the first in this order that occurs
+PROMPT_TAILS = ("\nPlease provide", "\nOutput ONLY", "\nPlease output", "\nOutput only")
+
+
+def split_prompt(c: Column) -> Column:
+    """struct<before, code, after>: a prompt up to 'Source Code:', its code, and the request behind; code is null without the mark."""
+    s = normalize_newlines(c)
+    head = F.regexp_extract(s, r"(?s)^(.*?\*\*Source Code:\*\*)", 1)
+    plain = F.regexp_extract(s, r"(?s)^(.*?Source Code:(?:\*\*)?)", 1)
+    before = F.when(head != "", head).otherwise(plain)
+    rest = F.substr(s, F.length(before) + 1)
+    at = [F.instr(rest, m) for m in PROMPT_TAILS]
+    cut = F.coalesce(*(F.nullif(x, F.lit(0)) for x in at))
+    code = F.when(cut.isNull(), rest).otherwise(F.left(rest, cut - 1))
+    found = before != ""
+    return F.struct(
+        F.when(found, before).otherwise(s).alias("before"),
+        F.when(found, F.regexp_replace(code, r"^\n+", "")).alias("code"),
+        F.when(found & cut.isNotNull(), F.substr(rest, cut)).otherwise("").alias("after"),
+    )
+
+
+def shrunk_prompt(c: Column, size: Column, most: int, block_of) -> Column:
+    """struct<input, status>: a prompt of over `most` tokens with its named function alone as code.
+
+    block_of(code, name) gives the function's text, or null. status: short, no_function, no_code, no_match or changed.
+    """
+    name, parts = function_of_prompt(c), split_prompt(c)
+    block = block_of(parts["code"], name)
+    status = F.when(size <= most, "short").when(name.isNull(), "no_function").when(parts["code"].isNull(), "no_code").when(block.isNull(), "no_match").otherwise("changed")
+    new = F.concat(F.regexp_replace(parts["before"], r"\s+$", ""), F.lit("\n"), strip(block), F.lit("\n"), F.regexp_replace(parts["after"], r"^\n+", ""))
+    return F.struct(F.when(status == "changed", new).otherwise(c).alias("input"), status.alias("status"))
+
+
+def case_distinct(xs: Column) -> Column:
+    """The first of values that are equal but for case, in order."""
+    return F.aggregate(xs, F.array().cast("array<string>"), lambda out, x: F.when(F.exists(out, lambda y: F.lower(y) == F.lower(x)), out).otherwise(F.concat(out, F.array(x))))
+
+
+def option_list(value: str | None) -> list[str] | None:
+    """A comma-separated option; 'none' and blanks are None."""
+    parts = [x.strip() for x in (value or "").split(",") if x.strip()]
+    return None if not parts or [x.lower() for x in parts] == ["none"] else parts

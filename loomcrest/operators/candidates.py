@@ -28,7 +28,7 @@ def to_fix(df: DataFrame, done: DataFrame | None, key: str = "id", audit: str =
         df = df.where(F.coalesce(F.get_json_object(a, "$.severity").try_cast("double"), F.lit(0.0)) >= least_severity)
     if types:
         have = F.transform(F.from_json(F.get_json_object(a, "$.vulnerability_types"), "array<string>"), normal_type)
-        df = df.where(F.arrays_overlap(have, F.array(*(normal_type(F.lit(t)) for t in types))))
+        df = df.where(F.arrays_overlap(have, F.array(*(F.lit(t) for t in resolve_types(types)))))
     if done is not None:
         df = skip_done(df, done, key)
     return df.limit(limit) if limit else df
@@ -73,9 +73,10 @@ def function_id(sample: Column) -> Column:
 
 
 def route(audit: Column, label: Column, fallback: Column) -> Column:
-    """no_annotation, safe or processed; a row without an audit may use the annotation made of its label."""
-    none = audit.isNull() & fallback.isNull()
-    return F.when(none, "no_annotation").when(F.coalesce(label, F.lit("vulnerable")) == "safe", "safe").otherwise("processed")
+    """no_annotation, safe (anything but the label vulnerable) or processed; a row without an audit may use the annotation made of its label, which is vulnerable."""
+    none = audit.isNull() | F.coalesce(F.trim(audit).isin("", "null", "{}"), F.lit(False))
+    said = F.when(none, "vulnerable").otherwise(label)
+    return F.when(none & fallback.isNull(), "no_annotation").when(said.eqNullSafe(F.lit("vulnerable")), "processed").otherwise("safe")
 
 
 def solved(df: DataFrame, which: str = "all", correct: str = "correct_generated") -> DataFrame:

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 
 def call(df: DataFrame, text: str, provider: Callable[[str], dict], schema: str, on_error: str = "open", parallel: int | None = None) -> DataFrame:
-    """df with the provider's columns. on_error 'open' passes a failed call, 'closed' fails it (column `passed`), with `error`."""
+    """df with the provider's columns; a null text is the empty one. on_error 'open' passes a failed call, 'closed' fails it (column `passed`), with `error`."""
     key = F.sha1(F.coalesce(F.col(text), F.lit("")))
-    todo = df.select(key.alias("_k"), F.col(text).alias("_t")).dropDuplicates(["_k"])
+    todo = df.select(key.alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_t")).dropDuplicates(["_k"])
     if parallel:
         todo = todo.repartition(parallel, "_k")
     names = [c.strip().split()[0] for c in schema.split(",")]

@@ -7,33 +7,18 @@ lineitem for functions with fixes, events for findings and run logs.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity, taxonomy, text
 from ..operators import audit, curate, joins, logs, retrieve, store
 from ..session import table
+from .registry import ORACLES, QUERIES, query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 _STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 _TOKENS = r"list_transform(regexp_extract_all({0}, '[A-Za-z_][\p{{L}}\p{{N}}\p{{M}}\p{{Pc}}]+|\p{{Nd}}+|[^\s]'), lambda x: lower(x))"
 
 
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its SQL."""
-
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return put
-
-
 def _bench(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
@@ -62,18 +47,9 @@ def bm25_topk(spark, d):
     return retrieve.top_k(hits, "query_id", 5).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query("""with s as (select q.vec_id query_id, e.vec_id doc_id, round(list_dot_product(e.embedding::double[], q.embedding::double[]), 5) score from embeddings e join embeddings q on q.vec_id < 10),
-r as (select *, row_number() over (partition by query_id order by score desc, doc_id) rank from s) select query_id, doc_id, score, rank from r where rank <= 5""")
-def dense_topk(spark, d):
-    v = table(spark, d, "embeddings")
-    hits = retrieve.dense(v.where("vec_id < 10"), v, "vec_id", "vec_id").withColumn("score", F.round("score", 5))
-    return retrieve.top_k(hits, "query_id", 5).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
-
-
 @query("""with s as (select q.vec_id query_id, e.vec_id doc_id, round(list_dot_product(e.embedding::double[], q.embedding::double[]), 5) score from embeddings e join embeddings q on q.vec_id % 20 = 0),
 r as (select *, row_number() over (partition by query_id order by score desc, doc_id) rank from s) select query_id, doc_id, score, rank from r where rank <= 5""")
-def dense_topk_twentieth(spark, d):
-    """Every row whose id is divisible by 20 is searched for; dense_topk, whose SQL is fixed, has the first ten only."""
+def dense_topk(spark, d):
     v = table(spark, d, "embeddings")
     hits = retrieve.dense_blocks(v.where("vec_id % 20 = 0"), v, 5, 5, "vec_id", "vec_id")
     return retrieve.top_k(hits, "query_id", 5).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
@@ -237,19 +213,10 @@ def interval_overlap(spark, d):
     return joins.overlap_join(a, b, "k", ("s1", "e1"), ("s2", "e2")).select("k", "a_id", "b_id", "clip_start", "clip_end")
 
 
-@query("""with p as (select distinct p_type g, p_name nm, p_name || ' ' || p_brand || ' small ring red widget' t from part where p_size <= 10), e as (select distinct a.g, a.nm f, b.nm o from p a join p b on a.g = b.g and a.nm <> b.nm and contains(a.t, b.nm)),
-n as (select distinct g, nm from p), c as (select g, f nm, array_to_string(list_sort(list(distinct o))[1:3], ',') callees from e group by 1, 2), r as (select g, o nm, array_to_string(list_sort(list(distinct f))[1:3], ',') callers from e group by 1, 2)
-select g, nm, coalesce(callees, '') callees, coalesce(callers, '') callers from n left join c using (g, nm) left join r using (g, nm)""")
-def substring_graph(spark, d):
-    p = table(spark, d, "part").where("p_size <= 10").select(F.col("p_type").alias("g"), F.col("p_name").alias("nm"), F.concat("p_name", F.lit(" "), "p_brand", F.lit(" small ring red widget")).alias("t")).distinct()
-    return joins.mention_graph(p, "g", "nm", "t").select("g", "nm", F.array_join("callees", ",").alias("callees"), F.array_join("callers", ",").alias("callers"))
-
-
 @query("""with p as (select distinct p_type g, p_name nm, p_name || ' ' || p_brand || ' small ring red widget' t from part), e as (select distinct a.g, a.nm f, b.nm o from p a join p b on a.g = b.g and a.nm <> b.nm and contains(a.t, b.nm)),
 n as (select distinct g, nm from p), c as (select g, f nm, array_to_string(list_sort(list(distinct o))[1:3], ',') callees from e group by 1, 2), r as (select g, o nm, array_to_string(list_sort(list(distinct f))[1:3], ',') callers from e group by 1, 2)
 select g, nm, coalesce(callees, '') callees, coalesce(callers, '') callers from n left join c using (g, nm) left join r using (g, nm)""")
-def substring_graph_whole(spark, d):
-    """The graph of all parts; substring_graph, whose SQL is fixed, has the small ones only."""
+def substring_graph(spark, d):
     p = table(spark, d, "part").select(F.col("p_type").alias("g"), F.col("p_name").alias("nm"), F.concat("p_name", F.lit(" "), "p_brand", F.lit(" small ring red widget")).alias("t")).distinct()
     return joins.mention_graph(p, "g", "nm", "t").select("g", "nm", F.array_join("callees", ",").alias("callees"), F.array_join("callers", ",").alias("callers"))
 
@@ -436,3 +403,8 @@ def bucket_mapping(spark, d):
 @query("select conv_id, turn, md5(case when contains(text, '```') then text else '```text' || chr(10) || regexp_replace(text, '^\\s+|\\s+$', '', 'g') || chr(10) || '```' end) h from conversations where role = 'assistant'")
 def wrap_fence(spark, d):
     return table(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.md5(text.wrap_fence(F.col("text"), "text")).alias("h"))
+
+
+from . import label_queries, report_queries, selection_queries, source_queries, text_queries  # noqa: E402  they register their queries
+
+__all__ = ["ORACLES", "QUERIES", "label_queries", "report_queries", "selection_queries", "source_queries", "text_queries"]
