@@ -9,13 +9,14 @@ assigned password, an account name, an endpoint) are of little meaning alone; an
   endpoint       needs both an identifier and a secret part in its scope
 
 Base spans always stay, and count as parts: access as identifier, assign as secret; hex counts as neither, since long
-digit runs are often no credential. A weak candidate that overlaps a base span is dropped.
+digit runs are often no credential. A weak candidate that overlaps a base span is dropped, and is no part for others.
 
 Positions come from cutting the text at the matches and summing piece lengths in code points. Spans may be of any
 length and stand in every position bucket that they touch. The join is on (text, bucket) against at most one row a part
 and bucket (its first start and last end), so dense texts make no pairs. Texts are keyed by (id, hash), so equal rows share one analysis.
 
-Defined results: a null or empty text has no spans; repeated rows each get their row; null ids are kept.
+Defined results: a null or empty text has no spans; very long texts are scanned whole; repeated rows each get their row;
+null ids are kept, and ids of any type; other columns are not looked at, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -74,7 +75,8 @@ def find_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", scop
     hit = touched(weak).alias("w").join(covered.alias("o"), [*near_by, F.expr("o.s < w.end and o.e > w.start")], "left_semi").select("doc_id", "key", "kind", "start").distinct()
     fresh = weak.alias("w").join(hit.alias("o"), [*on, F.expr("o.kind = w.kind and o.start = w.start")], "left_anti")
     # nearest to what lies after a bucket is its last end, to what lies before it its first start
-    sums = touched(placed.withColumn("part", part).where("part <> ''")).groupBy("doc_id", "key", "bucket", F.col("part").alias("other")).agg(F.min("start").alias("first"), F.max("end").alias("last"))
+    parts = base.withColumn("part", part).where("part <> ''").unionByName(fresh.select(*base.columns, "part"))  # what a base span covers is no part
+    sums = touched(parts).groupBy("doc_id", "key", "bucket", F.col("part").alias("other")).agg(F.min("start").alias("first"), F.max("end").alias("last"))
     around = fresh.withColumn("bucket", F.explode(F.expr(f"sequence(start div {scope} - 2, (end - 1) div {scope} + 2)")))
     pairs = around.alias("w").join(sums.alias("o"), [*near_by, F.expr(f"o.other <> w.part and case when o.bucket < w.start div {scope} then w.start - o.last <= {scope} when o.bucket > (w.end - 1) div {scope} then o.first - w.end <= {scope} else true end")])
     linked = pairs.groupBy("w.doc_id", "w.key", "w.kind", "w.part", "w.start", "w.end").agg(F.max((F.col("other") == "identifier").cast("int")).alias("i"), F.max((F.col("other") == "secret").cast("int")).alias("s"), F.max((F.col("other") == "endpoint").cast("int")).alias("e"))
@@ -93,7 +95,7 @@ def op10_secrets(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = scan(docs).withColumnsRenamed({"doc_id": "i", "key": "k"})
     out = docs.select("doc_id", F.xxhash64("text").alias("key"))
-    out = out.join(found, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left")
+    out = out.join(found.hint("merge"), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left")
     spans = F.coalesce("spans", F.expr("cast(array() as array<struct<start:bigint,rank:int,kind:string,end:bigint,base:boolean>>)"))
     said = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     count = lambda k: F.size(F.filter(spans, lambda x: x["kind"] == k)).cast("long")
