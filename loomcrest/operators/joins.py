@@ -16,10 +16,15 @@ def range_join(points: DataFrame, ranges: DataFrame, key: str, at: str, start: s
     return p.join(r, [key, "_b"]).where(inside).drop("_b")
 
 
-def overlap_join(a: DataFrame, b: DataFrame, key: str, a_range: tuple[str, str], b_range: tuple[str, str]) -> DataFrame:
-    """Pairs of overlapping ranges of one key, with clip_start and clip_end."""
+def overlap_join(a: DataFrame, b: DataFrame, key: str, a_range: tuple[str, str], b_range: tuple[str, str], width: int = 0) -> DataFrame:
+    """Pairs of overlapping ranges of one key, with clip_start and clip_end. width > 0: both are dealt into buckets of that width, and a pair is made in the bucket where its overlap begins."""
     (s1, e1), (s2, e2) = a_range, b_range
-    return a.join(b, key).where(f"{s1} <= {e2} and {s2} <= {e1}").withColumn("clip_start", F.greatest(s1, s2)).withColumn("clip_end", F.least(e1, e2))
+    clip = lambda df: df.withColumn("clip_start", F.greatest(s1, s2)).withColumn("clip_end", F.least(e1, e2))
+    overlap = f"{s1} <= {e2} and {s2} <= {e1}"
+    if not width:
+        return clip(a.join(b, key).where(overlap))
+    dealt = lambda df, s, e: df.withColumn("_b", F.explode(F.expr(f"sequence(floor({s} / {width}), floor({e} / {width}))")))
+    return clip(dealt(a, s1, e1).join(dealt(b, s2, e2), [key, "_b"]).where(overlap)).where(f"_b = floor(clip_start / {width})").drop("_b")
 
 
 def skip_done(candidates: DataFrame, done: DataFrame, on: str) -> DataFrame:
@@ -45,3 +50,62 @@ def mention_graph(df: DataFrame, group: str, name: str, text: str, most: int = 3
 def vote_threshold(findings: DataFrame, keys: list[str], tool: str, least) -> DataFrame:
     """Locations that enough different tools report, with their sorted tools."""
     return findings.groupBy(*keys).agg(F.array_sort(F.collect_set(tool)).alias("tools")).where(F.size("tools") >= least)
+
+
+def annotated_functions(functions: DataFrame, notes: DataFrame, key: str = "path") -> DataFrame:
+    """functions (path, name, start, end) with `vulnerabilities`, array<struct<category, lines>>, and `is_vulnerable`.
+
+    notes (path, category, lines): a note stands at a function if some of its lines lie in it, with those lines alone.
+    Functions without a note keep an empty list.
+    """
+    ids = [key, "name", "start", "end"]
+    lines = F.filter("lines", lambda x: x.between(F.col("start"), F.col("end")))
+    hit = functions.select(*ids).distinct().join(notes, key).select(*ids, F.struct("category", lines.alias("lines")).alias("v")).where(F.size("v.lines") > 0)
+    by = hit.groupBy(*ids).agg(F.array_sort(F.collect_list("v")).alias("vulnerabilities"))
+    empty = F.array().cast("array<struct<category:string,lines:array<int>>>")
+    out = functions.join(by, ids, "left").withColumn("vulnerabilities", F.coalesce("vulnerabilities", empty))
+    return out.withColumn("is_vulnerable", F.size("vulnerabilities") > 0)
+
+
+def usable_fixes(fixes: DataFrame, ids: list | None = None, least_quality: float = 0, limit: int | None = None) -> DataFrame:
+    """Fixes that compile and pass the analyzer, of the wanted functions and of enough quality. The limit comes last."""
+    out = fixes.where("compiles and slither_passed")
+    if ids is not None:
+        out = out.where(F.col("function_id").isin(ids))
+    if least_quality > 0:
+        out = out.where(F.col("fix_quality_score") >= least_quality)
+    return out.limit(limit) if limit else out
+
+
+def training_pairs(fixes: DataFrame, functions: DataFrame, least_quality: float = 0) -> DataFrame:
+    """usable_fixes with their functions' name, code and audit (prefix f_); `code` is the fix's original code, or the function's where that is null or empty."""
+    f = functions.select(*(F.col(c).alias(f"f_{c}") for c in functions.columns))
+    out = usable_fixes(fixes, None, least_quality).join(f, F.col("function_id") == F.col("f_id"))
+    return out.withColumn("code", F.coalesce(F.nullif("original_code", F.lit("")), F.col("f_function_code")))
+
+
+def supported(samples: DataFrame, reports: DataFrame, group: str = "contract", function: str = "function") -> DataFrame:
+    """samples with `supported`: whether the group's report (reports: group, names) lists 'group::function'."""
+    named = F.concat(F.col(group), F.lit("::"), F.col(function))
+    return samples.join(reports.select(group, "names"), group, "left").withColumn("supported", F.coalesce(F.array_contains("names", named), F.lit(False))).drop("names")
+
+
+def analyzer_call_graph(functions: DataFrame, calls: DataFrame, callers: int = 3, callees: int = 10) -> DataFrame:
+    """functions (contract, name, signature, code) with the first `callers` that call them inside their contract and the first `callees` that they call, with code.
+
+    calls (contract, caller, callee_contract, callee, seq) is the analyzer's table; a function's calls of itself and
+    repeated ones count once at most. A callee without code gets a stub.
+    """
+    own = calls.where(~((F.col("caller") == F.col("callee")) & (F.col("contract") == F.col("callee_contract"))))
+    once = own.groupBy("contract", "caller", "callee_contract", "callee").agg(F.min("seq").alias("seq"))
+    code = functions.select(F.col("contract").alias("callee_contract"), F.col("name").alias("callee"), F.col("code").alias("callee_code")).dropDuplicates(["callee_contract", "callee"])
+    stub = F.concat(F.lit("function "), F.col("callee"), F.lit("(...) { ... }"))
+    known = once.join(code, ["callee_contract", "callee"], "left")
+    called = F.struct("seq", F.col("callee").alias("name"), F.col("callee_contract").alias("contract"), F.coalesce(F.nullif("callee_code", F.lit("")), stub).alias("code"))
+    first = lambda c, n, fields: F.transform(F.slice(F.array_sort(F.collect_list(c)), 1, n), lambda x: F.struct(*(x[k].alias(k) for k in fields)))
+    down = known.groupBy("contract", F.col("caller").alias("name")).agg(first(called, callees, ["name", "contract", "code"]).alias("called_functions"))
+    signature = functions.select("contract", F.col("name").alias("caller"), F.col("signature").alias("caller_signature")).dropDuplicates(["contract", "caller"])
+    inner = once.where("contract = callee_contract").join(signature, ["contract", "caller"], "left")
+    calling = F.struct("seq", F.col("caller").alias("name"), F.coalesce("caller_signature", "caller").alias("signature"))
+    up = inner.groupBy("contract", F.col("callee").alias("name")).agg(first(calling, callers, ["name", "signature"]).alias("caller_functions"))
+    return functions.join(down, ["contract", "name"], "left").join(up, ["contract", "name"], "left")

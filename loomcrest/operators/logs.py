@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def mean_std(df: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
@@ -30,15 +34,25 @@ def multiplier(df: DataFrame, cost: str, by: list[str], order: list[str], start:
 
 
 def ema(df: DataFrame, value: str, by: str, order: str, keep: float = 0.9, start: float = 0.0) -> DataFrame:
-    """(by, order, baseline): b <- keep * b + (1 - keep) * value in order, one series an entity."""
-    xs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
-    zero = F.struct(F.lit(start).alias("b"), F.array().cast("array<struct<o:bigint,b:double>>").alias("out"))
-
-    def step(a, x):
-        b = keep * a["b"] + (1 - keep) * x["v"]
-        return F.struct(b.alias("b"), F.concat(a["out"], F.array(F.struct(x["o"].cast("long").alias("o"), b.alias("b")))).alias("out"))
-
-    return df.groupBy(by).agg(F.aggregate(xs, zero, step).alias("s")).select(by, F.explode("s.out").alias("x")).select(by, F.col("x.o").alias(order), F.col("x.b").alias("baseline"))
+    """(by, order, baseline): b <- keep * b + (1 - keep) * value in order, one series an entity; a null value makes the rest of its series null.
+
+    A recurrence of products is no window function; series stream through sorted partitions in bounded memory.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entity, b = object(), start
+        for batch in batches:
+            out = []
+            for e, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if e != entity:
+                    entity, b = e, start
+                b = None if b is None or x is None else keep * b + (1 - keep) * x
+                out.append(b)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], [by, order, "baseline"])
+
+    rows = df.select(by, order, F.col(value).cast("double").alias("_v")).repartition(by).sortWithinPartitions(by, order)
+    schema = T.StructType([rows.schema[by], rows.schema[order], T.StructField("baseline", T.DoubleType())])
+    return rows.mapInArrow(run, schema)
 
 
 def length_summary(df: DataFrame, n: str) -> DataFrame:

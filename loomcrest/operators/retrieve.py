@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 
-#: (pattern, group) of a structural signature, in order
+# --- fixed values: (pattern, group) of a structural signature, in order; weights of the sources
 SIGNATURE = [(r"function\s+\w+", 0), (r"modifier\s+\w+", 0), (r"(if|else|for|while|require)\s*\(", 1), (r"\.(call|delegatecall|transfer|send)\s*[({]", 1), (r"emit\s+\w+", 0)]
 WEIGHTS = {"token": 0.35, "bm25": 0.35, "dense": 0.2, "struct": 0.1}
+# ------------------------------------------------------------------------------------------------------------------
 
 
 def top_k(scored: DataFrame, by: str, k: int, score: str = "score", tie: str = "doc_id") -> DataFrame:
@@ -26,30 +27,56 @@ def top_k(scored: DataFrame, by: str, k: int, score: str = "score", tie: str = "
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+#: Queries, and distinct tokens of all of them, that are sent to every task at once.
+QUERY_ROWS, QUERY_TOKENS = 10_000, 1_000_000
+
+
+def _token_keys(text: Column) -> Column:
+    """64-bit hashes of the distinct tokens."""
+    return F.array_distinct(F.transform(tokens(text), lambda t: F.xxhash64(t)))
+
+
 def token_overlap(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """(query_id, doc_id, score): shared distinct tokens over the root of both sizes; pairs with none are absent.
 
-    Both inputs are (id, text). Only tokens of queries are exploded from documents: a semi-join on the vocabulary.
+    Both inputs are (id, text). Tokens are compared by 64-bit hashes. A stated set of queries (up to QUERY_ROWS and
+    QUERY_TOKENS, which is counted) goes to every document, without a shuffle; a larger one meets them by token.
     """
-    q = queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("t")).select("query_id", F.size("t").alias("nq"), F.explode("t").alias("token"))
-    d = docs.select("doc_id", F.array_distinct(tokens(F.col("text"))).alias("t")).select("doc_id", F.size("t").alias("nd"), F.explode("t").alias("token"))
+    q = queries.select("query_id", _token_keys(F.col("text")).alias("qt")).where(F.size("qt") > 0)
+    d = docs.select("doc_id", _token_keys(F.col("text")).alias("dt"))
+    rows, total = q.agg(F.count("*"), F.coalesce(F.sum(F.size("qt")), F.lit(0))).first()
+    score = lambda n, nq, nd: (n / (F.sqrt(nq) * F.sqrt(nd))).alias("score")
+    if rows <= QUERY_ROWS and total <= QUERY_TOKENS:
+        known = q.agg(F.array_distinct(F.flatten(F.collect_list("qt"))).alias("known"))
+        seen = d.crossJoin(F.broadcast(known)).select("doc_id", F.size("dt").alias("nd"), F.array_intersect("dt", "known").alias("dt"))
+        n = F.size(F.array_intersect("dt", "qt"))
+        hits = seen.where(F.size("dt") > 0).crossJoin(F.broadcast(q)).select("query_id", "doc_id", n.alias("n"), F.size("qt").alias("nq"), "nd").where("n > 0")
+        return hits.select("query_id", "doc_id", score(F.col("n"), F.col("nq"), F.col("nd")))
+    q = q.select("query_id", F.size("qt").alias("nq"), F.explode("qt").alias("token"))
+    d = d.select("doc_id", F.size("dt").alias("nd"), F.explode("dt").alias("token"))
     hits = d.join(q, "token").groupBy("query_id", "doc_id").agg(F.count("*").alias("n"), F.first("nq").alias("nq"), F.first("nd").alias("nd"))
-    return hits.select("query_id", "doc_id", (F.col("n") / (F.sqrt("nq") * F.sqrt("nd"))).alias("score"))
+    return hits.select("query_id", "doc_id", score(F.col("n"), F.col("nq"), F.col("nd")))
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
-    """(query_id, doc_id, score > 0): Okapi; negative idf becomes epsilon times the mean idf; repeated query tokens count again."""
-    d = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("token"))
-    tf = d.groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
-    length = docs.select("doc_id", F.size(tokens(F.col("text"))).alias("dl"))
-    stats = length.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    idf = tf.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats)).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    """(query_id, doc_id, score > 0): Okapi; negative idf becomes epsilon times the mean idf; repeated query tokens count again.
+
+    One pass counts documents by token and the length of all; a second one has the tokens of queries only, each with its
+    document's length.
+    """
+    d = docs.select("doc_id", tokens(F.col("text")).alias("t")).select("doc_id", "t", F.size("t").alias("dl"))
+    # a null token stands for the document itself
+    each = d.select("dl", F.explode(F.concat(F.array_distinct("t"), F.array(F.lit(None).cast("string")))).alias("token"))
+    df = each.groupBy("token").agg(F.count("*").alias("df"), F.sum(F.when(F.col("token").isNull(), F.col("dl"))).alias("words"))
+    stats = F.broadcast(df.where("token is null").select(F.col("df").alias("n"), (F.col("words") / F.col("df")).alias("avgdl")))
+    idf = df.where("token is not null").crossJoin(stats).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = idf.agg(F.avg("idf").alias("mean_idf"))
-    idf = idf.crossJoin(F.broadcast(mean)).select("token", F.when(F.col("idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"), "avgdl")
     q = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qf"))
+    own = idf.join(q.select("token").distinct(), "token", "left_semi").crossJoin(F.broadcast(mean))
+    own = own.select("token", F.when(F.col("idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"), "avgdl")
+    tf = d.select("doc_id", "dl", F.explode("t").alias("token")).join(q.select("token").distinct(), "token", "left_semi").groupBy("doc_id", "dl", "token").agg(F.count("*").alias("tf"))
     part = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    hits = tf.join(q.join(idf, "token"), "token").join(length, "doc_id")
-    return hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score")).where("score > 0")
+    return tf.join(q.join(own, "token"), "token").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score")).where("score > 0")
 
 
 def dense(queries: DataFrame, index: DataFrame, query: str = "query_id", doc: str = "doc_id", vector: str = "embedding") -> DataFrame:
@@ -118,6 +145,19 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(n, F.size(F.array_union(a, b))), F.lit(0.0))
 
 
+def jaccard_search(queries: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """(query_id, doc_id, score >= least) of (id, items): Jaccard similarity of sets of items, of rows that share one.
+
+    Equal sets meet once: rows are grouped by their set first, so a hot item costs pairs of different sets only.
+    """
+    key = lambda df, i: df.select(F.col(i), F.array_sort(F.array_distinct("items")).alias("s")).where(F.size("s") > 0).withColumn("k", F.xxhash64("s"))
+    q, d = key(queries, "query_id"), key(docs, "doc_id")
+    sets = lambda x, n: x.groupBy("k").agg(F.first("s").alias("s")).select(F.col("k").alias(n), F.size("s").alias(f"n_{n}"), F.explode("s").alias("x"))
+    both = sets(q, "a").join(sets(d, "b"), "x").groupBy("a", "b").agg(F.count("*").alias("c"), F.first("n_a").alias("na"), F.first("n_b").alias("nb"))
+    near = both.withColumn("score", F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).where(F.col("score") >= least).select("a", "b", "score")
+    return q.select("query_id", F.col("k").alias("a")).join(near, "a").join(d.select("doc_id", F.col("k").alias("b")), "b").select("query_id", "doc_id", "score")
+
+
 def merge_sources(hits: DataFrame) -> DataFrame:
     """hits (query_id, doc_key, source, source_rank, score, seq): a key keeps its last source's score, and its first place."""
     return hits.groupBy("query_id", "doc_key").agg(F.max_by("score", "source_rank").alias("score"), F.max_by("source", "source_rank").alias("source"), F.min("seq").alias("seq"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.taxonomy import swc_ids
 from .joins import keep_last
 
 
@@ -26,6 +27,11 @@ def append_versions(existing: DataFrame, new: DataFrame, key: str, version: str,
     return new.join(top, key, "left").withColumn(version, F.coalesce("_top", F.lit(0)) + n).drop("_top")
 
 
+def append_fixes(existing: DataFrame, new: DataFrame, seq: str, key: str = "function_id", types: str = "vulnerabilities_fixed") -> DataFrame:
+    """append_versions of fixes, with the identifiers that their types map to."""
+    return append_versions(existing, new, key, "fix_version", seq).withColumn("swc_ids", swc_ids(F.coalesce(F.col(types), F.array().cast("array<string>"))))
+
+
 def add_columns(df: DataFrame, **kinds: str) -> DataFrame:
     """Adds what is missing, as nulls."""
     return df.withColumns({c: F.lit(None).cast(k) for c, k in kinds.items() if c not in df.columns})

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import similarity, taxonomy, text
+from ..functions import prompts, similarity, taxonomy, text
 from ..operators import audit, curate, joins, logs, retrieve, store
 from ..session import table
 from .registry import ORACLES, QUERIES, query
@@ -62,11 +62,9 @@ _SIGN = "list_concat(regexp_extract_all(html, '<(nav|article|script|table)\\b',
 select a.page_id, b.page_id other_id, round(count(*) / (any_value(a.n) + any_value(b.n) - count(*))::double, 6) score from e a join e b on a.x = b.x and a.page_id % 20 = 0 and a.page_id <> b.page_id group by 1, 2 having score >= 0.5""")
 def jaccard_structural(spark, d):
     sign = F.array_distinct(F.concat(F.regexp_extract_all("html", F.lit(r"<(nav|article|script|table)\b"), F.lit(1)), F.regexp_extract_all("html", F.lit('href="(/[a-z]{1,3})"'), F.lit(1))))
-    e = table(spark, d, "pages").select("page_id", sign.alias("t")).select("page_id", F.size("t").alias("n"), F.explode("t").alias("x"))
-    q = e.where("page_id % 20 = 0")
-    both = q.alias("a").join(e.alias("b"), "x").where("a.page_id <> b.page_id").groupBy("a.page_id", F.col("b.page_id").alias("other_id"))
-    out = both.agg(F.count("*").alias("c"), F.first("a.n").alias("na"), F.first("b.n").alias("nb"))
-    return out.select("page_id", "other_id", F.round(F.col("c") / (F.col("na") + F.col("nb") - F.col("c")), 6).alias("score")).where("score >= 0.5")
+    x = table(spark, d, "pages").select("page_id", sign.alias("items"))
+    hits = retrieve.jaccard_search(x.where("page_id % 20 = 0").withColumnRenamed("page_id", "query_id"), x.withColumnRenamed("page_id", "doc_id"), 0.4999995)
+    return hits.where("query_id <> doc_id").select(F.col("query_id").alias("page_id"), F.col("doc_id").alias("other_id"), F.round("score", 6).alias("score")).where("score >= 0.5")
 
 
 @query("""with h as (select user_id query_id, event_type source, case event_type when 'view' then 0 when 'click' then 1 when 'purchase' then 2 else 3 end source_rank, cast(floor(value) as bigint) % 7 doc_key, value score, event_id seq from events),
@@ -98,12 +96,14 @@ def mmr_rerank(spark, d):
     return retrieve.mmr(top.select("query_id", "doc_id", "score", "text", F.col("rank").alias("seq")), 3).select("query_id", "doc_id", "rank")
 
 
-@query()
+@query(f"""with recursive {_OVERLAP}, t as (select *, row_number() over (partition by query_id order by round(score, 6) desc, doc_id) n from s), c as (select t.query_id, t.doc_id, n, case when length(text) = 0 then 0 else greatest(1, length(text) // 4) end k from t join documents using (doc_id) where n <= 8),
+p(query_id, n, items, cost) as (select query_id, 0, []::bigint[], 6::bigint from c group by 1 union all select c.query_id, c.n::int, case when p.cost + k <= 600 then list_append(items, doc_id) else items end, case when p.cost + k <= 600 then p.cost + k else p.cost end from p join c on c.query_id = p.query_id and c.n = p.n + 1)
+select query_id, array_to_string(arg_max(items, n), ',') items, arg_max(cost, n) as cost from p group by 1""")
 def demo_packing(spark, d):
     docs = table(spark, d, "documents")
     hits = retrieve.token_overlap(_bench(spark, d), docs).withColumn("score", F.round("score", 6))
     top = retrieve.top_k(hits, "query_id", 8).join(docs.select("doc_id", text.token_estimate(F.col("text")).alias("cost")), "doc_id")
-    return retrieve.pack(top, "cost", 600, 6)
+    return retrieve.pack(top, "cost", 600, 6).withColumn("items", F.array_join(F.col("items").cast("array<string>"), ","))
 
 
 @query(f"""with k as (select d.*, l.toxic, md5({_STRIP.format("text")}) k, (case when source = 'src0' then 1000 else 0 end + case when toxic = 1 then 110 else 0 end + case when quality = 0 then 55 else 0 end) p from documents d left join labels l using (doc_id)),
@@ -165,9 +165,8 @@ def strip_comments(spark, d):
 
 @query("select conv_id, count(*) n_turns, md5(string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' order by turn)) h from conversations group by 1")
 def chat_render(spark, d):
-    line = F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("\n"))
-    turns = F.array_sort(F.collect_list(F.struct("turn", line.alias("line"))))
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_turns"), turns.alias("t")).select("conv_id", "n_turns", F.md5(F.array_join("t.line", "")).alias("h"))
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_turns"), turns.alias("t")).select("conv_id", "n_turns", F.md5(prompts.chat(F.col("t"))).alias("h"))
 
 
 @query("""with x as (select l_orderkey, l_partkey, l_linenumber, o_orderpriority, l_returnflag, l_quantity, row_number() over (partition by l_orderkey order by l_quantity desc, l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_shipdate) rn from lineitem join orders on l_orderkey = o_orderkey where l_returnflag <> 'R')
@@ -210,7 +209,7 @@ def interval_overlap(spark, d):
     x = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("id"), F.unix_date(F.to_date("o_orderdate")).cast("long").alias("s"), "o_orderstatus").withColumn("e", F.col("s") + 30)
     a = x.where("o_orderstatus = 'F'").select("k", F.col("id").alias("a_id"), F.col("s").alias("s1"), F.col("e").alias("e1"))
     b = x.where("o_orderstatus = 'O'").select("k", F.col("id").alias("b_id"), F.col("s").alias("s2"), F.col("e").alias("e2"))
-    return joins.overlap_join(a, b, "k", ("s1", "e1"), ("s2", "e2")).select("k", "a_id", "b_id", "clip_start", "clip_end")
+    return joins.overlap_join(a, b, "k", ("s1", "e1"), ("s2", "e2"), width=60).select("k", "a_id", "b_id", "clip_start", "clip_end")
 
 
 @query("""with p as (select distinct p_type g, p_name nm, p_name || ' ' || p_brand || ' small ring red widget' t from part), e as (select distinct a.g, a.nm f, b.nm o from p a join p b on a.g = b.g and a.nm <> b.nm and contains(a.t, b.nm)),

@@ -146,3 +146,57 @@ def used_events(spark, d):
     events = F.array(*(F.struct(F.lit(n).alias("name")) for n in ("E1", "E2", "E3")))
     t = F.expr("case event_id % 4 when 0 then 'emit E1; x' when 1 then 'E2(1); emit E3' when 2 then 'E1 E2' else 'emit E12(' end")
     return table(spark, d, "events").select("event_id", F.array_join(F.transform(candidates.used_events(events, t), lambda e: e["name"]), ",").alias("used"))
+
+
+_NOTES = "select 'p' || user_id % 40 path, event_type category, [event_id % 200, event_id % 200 + 30, event_id % 77] lines from events where event_type in ('error', 'purchase')"
+
+
+@query(f"""with n as ({_NOTES}), f as (select p_partkey, 'p' || p_partkey % 40 path, p_size * 4 s, p_size * 4 + 9 e from part),
+h as (select p_partkey, category, list_filter(lines, lambda x: x between s and e) l from f join n using (path)), k as (select p_partkey, count(*) n, sum(len(l))::bigint marked, min(category) first_category from h where len(l) > 0 group by 1)
+select p_partkey, coalesce(n, 0) n, coalesce(marked, 0) marked, first_category from f left join k using (p_partkey)""")
+def annotated_functions(spark, d):
+    from ..operators.joins import annotated_functions as annotate
+
+    e = table(spark, d, "events").where(F.col("event_type").isin("error", "purchase"))
+    line = F.col("event_id") % 200
+    notes = e.select(F.concat(F.lit("p"), (F.col("user_id") % 40).cast("string")).alias("path"), F.col("event_type").alias("category"), F.array(line, line + 30, F.col("event_id") % 77).cast("array<int>").alias("lines"))
+    functions = table(spark, d, "part").select("p_partkey", F.concat(F.lit("p"), (F.col("p_partkey") % 40).cast("string")).alias("path"), F.col("p_partkey").cast("string").alias("name"), (F.col("p_size") * 4).alias("start"), (F.col("p_size") * 4 + 9).alias("end"))
+    v = F.col("vulnerabilities")
+    marked = F.aggregate(F.transform(v, lambda x: F.size(x["lines"]).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    return annotate(functions, notes).select("p_partkey", F.size(v).cast("long").alias("n"), marked.alias("marked"), F.array_min(F.transform(v, lambda x: x["category"])).alias("first_category"))
+
+
+@query("""with f as (select l_orderkey fid, l_partkey, l_linenumber, case when l_partkey % 3 = 0 then '' when l_partkey % 3 = 1 then null else 'fixed' end oc, l_quantity from lineitem where l_linestatus = 'F' and l_returnflag = 'A' and l_quantity >= 25)
+select fid, l_partkey, l_linenumber, l_quantity, coalesce(nullif(oc, ''), o_orderpriority) code, o_orderstatus f_status from f join orders on fid = o_orderkey""")
+def training_pairs(spark, d):
+    from ..operators.joins import training_pairs as pairs
+
+    k = F.col("l_partkey") % 3
+    fixes = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("function_id"), "l_partkey", "l_linenumber", (F.col("l_linestatus") == "F").alias("compiles"), (F.col("l_returnflag") == "A").alias("slither_passed"), F.col("l_quantity").alias("fix_quality_score"), F.when(k == 0, "").when(k == 2, "fixed").alias("original_code"))
+    functions = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("function_code"), F.col("o_orderstatus").alias("status"))
+    return pairs(fixes, functions, 25).select(F.col("function_id").alias("fid"), "l_partkey", "l_linenumber", F.col("fix_quality_score").alias("l_quantity"), "code", "f_status")
+
+
+@query("""with r as (select p_brand g, list(distinct p_brand || '::' || p_name) filter (where p_size % 2 = 0) n from part group by 1) select p_partkey, coalesce(list_contains(n, p_brand || '::' || p_name), false) supported from part left join r on g = p_brand""")
+def supported_samples(spark, d):
+    from ..operators.joins import supported
+
+    p = table(spark, d, "part")
+    even = F.when(F.col("p_size") % 2 == 0, F.concat("p_brand", F.lit("::"), "p_name"))
+    reports = p.groupBy(F.col("p_brand").alias("contract")).agg(F.collect_set(even).alias("names"))
+    return supported(p.select("p_partkey", F.col("p_brand").alias("contract"), F.col("p_name").alias("function")), reports).select("p_partkey", "supported")
+
+
+@query("""with c as (select 'C' || user_id % 9 con, 'f' || user_id % 6 caller, 'C' || event_id % 9 ccon, 'f' || event_id % 8 callee, event_id seq from events), o as (select con, caller, ccon, callee, min(seq) seq from c where not (con = ccon and caller = callee) group by 1, 2, 3, 4),
+f as (select distinct 'C' || a con, 'f' || b nm from (select unnest(range(0, 9)) a), (select unnest(range(0, 6)) b)),
+dn as (select con, caller nm, list(ccon || '.' || callee || case when callee in ('f6', 'f7') then ' stub' else ' code' end order by seq)[1:10] l from o group by 1, 2), up as (select con, callee nm, list(caller || '()' order by seq)[1:3] l from o where con = ccon group by 1, 2)
+select con contract, nm as name, array_to_string(dn.l, ',') callees, coalesce(array_to_string(up.l, ','), '') callers from f left join dn using (con, nm) left join up using (con, nm)""")
+def call_graphs(spark, d):
+    from ..operators.joins import analyzer_call_graph
+
+    named = lambda c, n, p: F.concat(F.lit(p), (F.col(c) % n).cast("string"))
+    calls = table(spark, d, "events").select(named("user_id", 9, "C").alias("contract"), named("user_id", 6, "f").alias("caller"), named("event_id", 9, "C").alias("callee_contract"), named("event_id", 8, "f").alias("callee"), F.col("event_id").alias("seq"))
+    functions = spark.range(54).select(named("id", 9, "C").alias("contract"), F.concat(F.lit("f"), F.floor(F.col("id") / 9).cast("string")).alias("name")).withColumns({"signature": F.concat("name", F.lit("()")), "code": F.lit("code")})
+    x = analyzer_call_graph(functions, calls)
+    said = F.transform("called_functions", lambda c: F.concat(c["contract"], F.lit("."), c["name"], F.when(c["code"] == "code", " code").when(c["code"] == F.concat(F.lit("function "), c["name"], F.lit("(...) { ... }")), " stub").otherwise(" other")))
+    return x.select("contract", "name", F.array_join(said, ",").alias("callees"), F.coalesce(F.array_join(F.transform("caller_functions", lambda c: c["signature"]), ","), F.lit("")).alias("callers"))

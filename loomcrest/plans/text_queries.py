@@ -156,3 +156,42 @@ def written_splits(spark, d):
     sinks.write_csv(spark.read.json(f"{base}/splits"), f"{base}/csv", ["split"])
     sinks.append_log(spark.read.option("header", True).csv(f"{base}/csv"), f"{base}/log")
     return spark.read.json(f"{base}/log").groupBy("split", "lang").agg(F.count("*").alias("n"))
+
+
+@query("""with x as (select p_partkey k, p_brand b, p_size, case when p_partkey % 3 = 0 then ['REENTRANCY'] when p_partkey % 3 = 1 then ['ARITHMETIC', 'TIMESTAMP_DEPENDENCE'] else [p_brand] end ts, case when p_partkey % 4 = 0 then null else p_size % 3 end s from part),
+y as (select *, array_to_string(ts, ', ') t, case when s is null then '' else chr(10) || '- Severity: ' || s end sev from x)
+select k, '### Vulnerability Info' || chr(10) || '- Type: ' || t || sev || chr(10) || chr(10) || '### Source Code' || chr(10) || 'code' short, md5('The following Solidity function has been identified with security vulnerabilities: ' || chr(10) || chr(10) || '**Function:** f' || k || chr(10) || chr(10) || '**Vulnerability Info:**' || chr(10) || '- Type: ' || t || sev || chr(10) || chr(10) || '**Source Code:**' || chr(10) || 'code' || 'Please provide the complete fixed version of this code that addresses the identified vulnerabilities. ' || chr(10) || 'Output ONLY the corrected Solidity function code in a code block not the entire contract.') h,
+'fix_' || k id, case when k % 5 = 0 then '### Analysis' || chr(10) || 'why' else '' end || chr(10) || chr(10) || '### Fixed Code' || chr(10) || 'x' output, 'user: a' || chr(10) || chr(10) || 'assistant: ' || k plain from y""")
+def repair_prompts(spark, d):
+    from ..functions import prompts as P
+
+    k = F.col("p_partkey")
+    own = F.when(k % 3 == 1, F.array(F.lit("foo")))  # its identifiers decide
+    audit = F.when(k % 3 == 0, F.array(F.lit("reentrancy"))).otherwise(F.array(F.col("p_brand")))
+    ids = F.when(k % 3 == 1, F.array(F.lit("SWC-101"), F.lit("SWC-116")))
+    x = table(spark, d, "part").select(k.alias("k"), F.concat(F.lit("f"), k.cast("string")).alias("f"), P.export_types(own, audit, ids).alias("t"), F.when(k % 4 != 0, F.col("p_size") % 3).alias("s"))
+    code = F.lit("code")
+    made = P.triple(F.col("k"), F.lit("do"), F.lit("in"), F.lit("x"), F.when(F.col("k") % 5 == 0, "why"))
+    talk = F.array(*(F.struct(F.lit(r).alias("role"), t.alias("text")) for r, t in (("user", F.lit("a")), ("assistant", F.col("k").cast("string")))))
+    return x.select("k", P.repair_input(F.col("t"), F.col("s"), code).alias("short"), F.md5(P.repair_prompt(F.col("f"), F.col("t"), F.col("s"), code)).alias("h"), made["id"].alias("id"), made["output"].alias("output"), P.chat(talk, plain=True).alias("plain"))
+
+
+@query("""with x as (select p_partkey, case p_partkey % 3 when 0 then 'success' when 1 then 'failed_compile' else 'failed_tool' end status, 'F_' || lower(replace(replace(p_type, ' ', '_'), '-', '_')) nm, p_size from part), n as (select *, row_number() over (partition by nm order by p_partkey) - 1 r from x where status <> 'success'), t as (select nm, count(*) rows_ from n group by 1)
+select status, case when r = 0 then nm else nm || '_' || r end record, p_partkey, p_size as num_functions, '# ' || rows_ page, status mapped, '{"fix":{}}' as value from n join t using (nm)""")
+def written_records(spark, d):
+    base = shared_folder(spark)
+    status = F.element_at(F.array(*map(F.lit, ("success", "failed_compile", "failed_tool"))), (F.col("p_partkey") % 3 + 1).cast("int"))
+    x = table(spark, d, "part").select("p_partkey", status.alias("status"), F.concat(F.lit("F_"), F.regexp_replace(F.lower("p_type"), r"[-\s]", "_")).alias("nm"), "p_size")
+    failed = x.where("status <> 'success'")
+    sinks.write_records(x.withColumn("record", F.when(F.col("status") != "success", F.col("nm"))), f"{base}/records", "status", "failed", slim=["p_partkey", "record"])
+    got = spark.read.json(f"{base}/records").withColumnRenamed("record", "nm").withColumn("record", sinks.numbered(F.col("nm"), F.col("p_partkey")))
+    sinks.write_contracts(x.select("p_partkey", F.array_repeat(F.lit("f"), F.col("p_size")).alias("functions")), f"{base}/contracts")
+    sizes = spark.read.json(f"{base}/contracts").select("p_partkey", "num_functions")
+    pages = failed.groupBy(F.col("nm").alias("name")).agg(F.concat(F.lit("# "), F.count("*").cast("string")).alias("page"))
+    sinks.write_pages(pages, f"{base}/pages")
+    pages = spark.read.text(f"{base}/pages").select(F.col("name").alias("nm"), F.col("value").alias("page"))
+    sinks.write_sidecar(failed, f"{base}/sidecar", "p_partkey", "nm", F.col("status"))
+    side = spark.read.json(f"{base}/sidecar").select(F.col("id").alias("p_partkey"), "mapped")
+    sinks.rewrite_tree(spark, _written(spark, spark.sql("""select '{"fix":{"a":null}}' v"""), "tree"), f"{base}/bare", "part-*")
+    bare = spark.read.json(f"{base}/bare").select(F.trim("value").alias("value"))
+    return got.join(sizes, "p_partkey").join(pages, "nm").join(side, "p_partkey").crossJoin(F.broadcast(bare)).select("status", "record", "p_partkey", "num_functions", "page", "mapped", "value")

@@ -25,6 +25,32 @@ def labelled_files(spark: SparkSession, path: str, pattern: str = "*.sol", skip:
     return df.where(~F.startswith("label", F.lit(".")) & ~F.col("label").isin(*skip))
 
 
+def require(spark: SparkSession, *paths: str) -> None:
+    """Raises unless every path (or pattern) exists."""
+    sc = spark.sparkContext
+    for p in paths:
+        path = sc._jvm.org.apache.hadoop.fs.Path(p)
+        if not path.getFileSystem(sc._jsc.hadoopConfiguration()).globStatus(path):
+            raise FileNotFoundError(p)
+
+
+def corpus_files(spark: SparkSession, sources: str, ranges: str, found: str, pattern: str = "*_ext.sol", limit: int | None = None) -> DataFrame:
+    """source_files of a corpus whose range and finding files exist; with a limit the first by path."""
+    require(spark, sources, ranges, found)
+    df = source_files(spark, sources, pattern)
+    return df.orderBy("path").limit(limit) if limit else df
+
+
+def annotated_files(files: DataFrame, notes: DataFrame) -> DataFrame:
+    """files with `vulnerabilities` (array<struct<category, lines>>) of the notes whose relative path theirs ends in; an empty list without any."""
+    by = notes.groupBy(F.col("path").alias("_rel")).agg(F.array_sort(F.collect_list(F.struct("category", "lines"))).alias("vulnerabilities"))
+    tail = lambda n: F.array_join(F.slice(F.split("path", "/"), -n, n), "/")
+    empty = F.array().cast("array<struct<category:string,lines:array<int>>>")
+    # dataset/<label>/<file>, or without the folder
+    tried = files.join(by, F.col("_rel").isin(tail(3), tail(2)), "left")
+    return tried.withColumn("vulnerabilities", F.coalesce("vulnerabilities", empty)).drop("_rel")
+
+
 def annotations(spark: SparkSession, path: str) -> DataFrame:
     """(path, category, lines) of a JSON list of files with vulnerabilities; separators become '/'."""
     df = spark.read.schema("path string, vulnerabilities array<struct<category:string,lines:array<int>>>").option("multiLine", True).json(path)
@@ -80,9 +106,15 @@ def voted_functions(ranges: DataFrame, found: DataFrame) -> DataFrame:
     return both.groupBy("file", "signature", "category").agg(F.array_sort(F.collect_set("line")).alias("lines"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("tools")))).alias("tools"))
 
 
-def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
-    """JSON lines; malformed ones drop out, or fail the read."""
-    return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
+def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = False, limit: int | None = None) -> DataFrame:
+    """JSON lines; malformed ones drop out, or fail the read. With a limit the first of them."""
+    df = spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
+    return df.limit(limit) if limit else df
+
+
+def raw_scan(df: DataFrame, dataset: str | None = None, limit: int = 50) -> DataFrame:
+    """Rows for an audit that will show `limit` of them: of one data set, fifty times as many, 2000 at least."""
+    return (df.where(F.col("dataset_name") == dataset) if dataset else df).limit(max(50 * limit, 2000))
 
 
 def json_lines_counted(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -118,3 +150,12 @@ def union_sources(sources: dict[str, tuple[str, DataFrame]]) -> DataFrame:
         df = df.withColumns({"dataset_name": F.lit(name), "dataset_type": F.lit(kind)})
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out
+
+
+def normalize_config(config: dict) -> dict:
+    """A configuration with a list `datasets`, made of the older keys where it is absent; the input stays as it is."""
+    if "datasets" in config:
+        return config
+    kinds = [("wild", True), ("curated", False)]
+    made = [{"name": f"smartbugs_{k}", "path": config[f"smartbugs_{k}_dir"], "type": k, "sample_limit": config.get(f"{k}_sample_limit"), "quality_filter": q} for k, q in kinds if f"smartbugs_{k}_dir" in config]
+    return config | {"datasets": made}

@@ -179,3 +179,71 @@ def test_evaluation(spark):
     order = spark.createDataFrame([(1, [], 9), (2, ["f"], 1), (3, ["f"], 5)], "id int, flags array<string>, n int")
     assert [r.id for r in evaluate.review_order(order, "flags", "n").collect()] == [3, 2, 1]
     assert text.option_list(" a, ,b") == ["a", "b"] and text.option_list("None") is None and text.option_list(None) is None
+
+
+def test_sources(spark, tmp_path):
+    from loomcrest.sources import readers, sinks
+
+    folder = tmp_path / "c" / "dataset"
+    for label, name in (("reentrancy", "a"), ("dos", "b"), ("scripts", "x"), (".git", "y")):
+        (folder / label).mkdir(parents=True)
+        (folder / label / f"{name}.sol").write_text(f"contract {name} {{}}")
+    notes = spark.createDataFrame([("dataset/reentrancy/a.sol", "reentrancy", [5, 50])], "path string, category string, lines array<int>")
+    got = readers.annotated_files(readers.labelled_files(spark, str(tmp_path / "c")), notes).collect()
+    assert sorted((r.label, r.name, [(v.category, v.lines) for v in r.vulnerabilities]) for r in got) == [("dos", "b.sol", []), ("reentrancy", "a.sol", [("reentrancy", [5, 50])])]
+    with pytest.raises(FileNotFoundError):
+        readers.require(spark, str(tmp_path / "none"))
+    (tmp_path / "r.txt").write_text("")
+    names = [r.name for r in readers.corpus_files(spark, str(folder / "dos"), str(tmp_path / "r.txt"), str(tmp_path / "r.txt"), "*.sol", limit=1).collect()]
+    assert names == ["b.sol"]
+    assert readers.normalize_config({"smartbugs_wild_dir": "w", "wild_sample_limit": 3, "k": 1}) == {"smartbugs_wild_dir": "w", "wild_sample_limit": 3, "k": 1, "datasets": [{"name": "smartbugs_wild", "path": "w", "type": "wild", "sample_limit": 3, "quality_filter": True}]}
+    assert readers.normalize_config({"datasets": []}) == {"datasets": []}
+    docs = spark.createDataFrame([("function f() { if (x) y.call(); }", 1), (None, 2)], "code string, id int").withColumn("dataset_name", F.lit("d"))
+    sinks.write_index(docs, str(tmp_path / "index"))
+    assert {r.id: (r.signature and r.signature[:2]) for r in sinks.read_index(spark, str(tmp_path / "index")).collect()} == {1: ["function f", "if"], 2: None}
+    assert readers.raw_scan(docs, "d").count() == 2 and readers.raw_scan(docs, "e").count() == 0
+    (tmp_path / "l.jsonl").write_text('{"id":"1"}\n{"id":"2"}\n')
+    assert readers.json_lines(spark, str(tmp_path / "l.jsonl"), "id string", limit=1).count() == 1
+
+
+def test_joins_of_ranges(spark):
+    from loomcrest.operators import joins, store
+
+    a = spark.createDataFrame([("k", i * 7, i * 7 + 20) for i in range(30)], "k string, s1 int, e1 int")
+    b = spark.createDataFrame([("k", i * 11, i * 11 + 3 * i) for i in range(30)], "k string, s2 int, e2 int")
+    plain = sorted(map(tuple, joins.overlap_join(a, b, "k", ("s1", "e1"), ("s2", "e2")).collect()))
+    assert plain == sorted(map(tuple, joins.overlap_join(a, b, "k", ("s1", "e1"), ("s2", "e2"), width=10).collect())) and len(plain) > 50
+    has = spark.createDataFrame([(7, 1)], "function_id int, fix_version int")
+    new = spark.createDataFrame([(7, 1, ["reentrancy", "dos"]), (8, 2, None)], "function_id int, seq int, vulnerabilities_fixed array<string>")
+    assert sorted((r.function_id, r.fix_version, r.swc_ids) for r in store.append_fixes(has, new, "seq").collect()) == [(7, 2, ["SWC-107", "SWC-113"]), (8, 1, [])]
+    fixes = spark.createDataFrame([(i, i > 1, i > 2, float(i)) for i in range(6)], "function_id int, compiles boolean, slither_passed boolean, fix_quality_score double")
+    assert sorted(r.function_id for r in joins.usable_fixes(fixes, [3, 4, 1], 4).collect()) == [4] and joins.usable_fixes(fixes, limit=2).count() == 2
+
+
+def test_overlap_by_token_and_by_block(spark, monkeypatch):
+    from loomcrest.operators import retrieve
+
+    q = spark.createDataFrame([(1, "a b c d"), (2, ""), (3, "z . z")], "query_id int, text string")
+    d = spark.createDataFrame([(1, "A b x"), (2, "z"), (3, ""), (4, None)], "doc_id int, text string")
+    rows = lambda: sorted((r.query_id, r.doc_id, round(r.score, 6)) for r in retrieve.token_overlap(q, d).collect())
+    block = rows()
+    monkeypatch.setattr(retrieve, "QUERY_ROWS", 0)
+    assert block == rows() == [(1, 1, 0.57735), (3, 2, 0.707107)]
+    items = spark.createDataFrame([(i, ["a", "b", str(i % 3)]) for i in range(9)], "doc_id int, items array<string>")
+    got = retrieve.jaccard_search(items.withColumnRenamed("doc_id", "query_id"), items, 0.5)
+    assert got.count() == 81 and got.where("score = 1").count() == 27
+
+
+def test_stream(spark, tmp_path):
+    """The windowed counts as a stream: late rows behind the watermark drop out."""
+    from loomcrest.streaming import events
+
+    schema = "ts timestamp, event_type string, value double"
+    for k, rows in enumerate(([("2024-01-01 00:01:00", "a"), ("2024-01-01 00:09:00", "a")], [("2024-01-01 05:00:00", "b")], [("2024-01-01 00:02:00", "a"), ("2024-01-01 09:00:00", "c")])):
+        spark.createDataFrame(rows, "t string, event_type string").select(F.col("t").cast("timestamp").alias("ts"), "event_type", F.lit(1.5).alias("value")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / str(k)))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    out = events.windowed_counts(stream)
+    q = out.writeStream.format("memory").queryName("late_counts").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    got = spark.table("late_counts").collect()
+    assert [(r.event_type, r.n, r.total) for r in sorted(got, key=lambda r: r.window_start)] == [("a", 2, 3.0), ("b", 1, 1.5)]
