@@ -64,7 +64,17 @@ def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     sc = df.sparkSession.sparkContext
     folder = sc._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(folder)  # with the application
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes what materialize() wrote for df; nothing may read it any more."""
+    if path := getattr(df, "_written", None):
+        sc = df.sparkSession.sparkContext
+        folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def fold_of(doc_id: str, n: int):
@@ -101,42 +111,6 @@ def splitmix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def chunked(docs: DataFrame, doc_id: str, text: str, chunk_bytes: int) -> tuple[DataFrame, int]:
-    """(chunk, doc_id, text) of every row, and about how many chunks there are.
-
-    A chunk is a run of neighbouring rows of an input file, of chunk_bytes of text on average; the number depends on
-    nothing but the files, so separate passes see the same chunks. docs that come from no files are written first.
-    """
-    want = [F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")]
-    try:
-        placed = docs.select(*want, "_metadata.file_path", "_metadata.row_index")
-        placed.schema  # noqa: B018  resolves the names
-    except Exception as e:
-        if "_metadata" not in str(e):
-            raise
-        placed = materialize(docs.select(*want)).select("doc_id", "text", "_metadata.file_path", "_metadata.row_index")
-    n, size = placed.agg(F.count("*"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8)).first()
-    per = max(1, int(chunk_bytes * (n or 1) / max(size or 1, 1)))
-    rows = placed.select(F.xxhash64("file_path", F.expr(f"row_index div {per}")).alias("chunk"), "doc_id", "text")
-    return rows, max(1, -(-(size or 1) // chunk_bytes))
-
-
-def by_chunk(batches: Iterable[pa.RecordBatch], most_bytes: int) -> Iterator[tuple[int, list, list[bytes | None]]]:
-    """(chunk, ids, texts) from rows of (chunk, doc_id, text) in file order; one chunk may come in several pieces."""
-    chunk, ids, texts, held = None, [], [], 0
-    for piece in slices(batches, "text", 1 << 20):
-        for c, i, t in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), bytes_column(piece, "text"), strict=True):
-            if ids and (c != chunk or held > most_bytes):
-                yield chunk, ids, texts
-                ids, texts, held = [], [], 0
-            chunk = c
-            ids.append(i)
-            texts.append(t)
-            held += len(t or b"")
-    if ids:
-        yield chunk, ids, texts
-
-
 def pack_texts(ids: list, texts: list[bytes | None]) -> bytes:
     """Ids (long or null) and texts (bytes or null) of some rows in one compressed string of bytes."""
     import zstandard

@@ -1,8 +1,9 @@
 """Suffix arrays by induced sorting, and permuted longest common prefixes, on arrays.
 
 The induction scans buckets in order, as the algorithm does, but takes a whole run of buckets at once as long as none of
-its suffixes induces into the run itself; a bucket that feeds itself (runs of one symbol) is taken in rounds. Each
-suffix is moved once a pass, so the work stays linear.
+its suffixes induces into the run itself; a bucket that feeds itself (runs of one symbol) is taken in rounds. Where buckets
+are small (names of substrings, in the recursion), runs would be short, and suffixes are taken one by one. Each suffix is
+moved once a pass, so the work stays linear.
 """
 
 from __future__ import annotations
@@ -27,13 +28,23 @@ def _types(s: np.ndarray) -> np.ndarray:
 
 def _place(sa: np.ndarray, pointer: np.ndarray, suffixes: np.ndarray, symbols: np.ndarray, forward: bool) -> None:
     """Puts suffixes, in order, at their buckets' pointers, which move on."""
-    order = np.argsort(symbols, kind="stable")
+    n = len(symbols)
+    if n == 1:
+        sa[pointer[symbols[0]]] = suffixes[0]
+        pointer[symbols[0]] += 1 if forward else -1
+        return
+    order = symbols.argsort(kind="stable")
     sym = symbols[order]
-    first = np.flatnonzero(np.concatenate(([True], sym[1:] != sym[:-1])))
-    counts = np.diff(np.append(first, len(sym)))
-    rank = np.arange(len(sym)) - np.repeat(first, counts)
-    at = pointer[sym] + rank if forward else pointer[sym] - rank
-    sa[at] = suffixes[order]
+    new = np.empty(n, bool)
+    new[0] = True
+    np.not_equal(sym[1:], sym[:-1], out=new[1:])
+    first = new.nonzero()[0]
+    counts = np.empty_like(first)
+    np.subtract(first[1:], first[:-1], out=counts[:-1])
+    counts[-1] = n - first[-1]
+    rank = np.arange(n) - first.repeat(counts)
+    at = pointer[sym]
+    sa[at + rank if forward else at - rank] = suffixes[order]
     pointer[sym[first]] += counts if forward else -counts
 
 
@@ -88,18 +99,52 @@ def _induce(s: np.ndarray, is_s: np.ndarray, sa: np.ndarray, starts: np.ndarray,
         width = min(buckets, width * 2)
 
 
+#: Buckets of fewer suffixes than so many, on average, are scanned one suffix at a time.
+_SMALL_BUCKET = 8
+
+
+def _induce_singly(s: list[int], is_s: list[bool], sa: list[int], pointer: list[int], forward: bool) -> None:
+    """As _induce, on lists: the scan itself sees what it has put in."""
+    if forward:
+        for j in sa:
+            if j > 0 and not is_s[j - 1]:
+                c = s[j - 1]
+                at = pointer[c]
+                sa[at] = j - 1
+                pointer[c] = at + 1
+        return
+    for i in range(len(sa) - 1, -1, -1):
+        j = sa[i]
+        if j > 0 and is_s[j - 1]:
+            c = s[j - 1]
+            at = pointer[c]
+            sa[at] = j - 1
+            pointer[c] = at - 1
+
+
 def _sorted_by_induction(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The suffix array induced from LMS suffixes given in order within their buckets (ascending)."""
-    sa = np.full(len(s), -1, np.int64)
+    sa = np.full(len(s), -1, np.int32 if len(s) < 1 << 31 else np.int64)
     pointer = ends - 1
     _place(sa, pointer, lms[::-1], s[lms[::-1]], forward=False)
-    _induce(s, is_s, sa, starts, ends, forward=True)
+    singly = len(starts) * _SMALL_BUCKET > len(s)
+    if singly:
+        lists, held = (s.tolist(), is_s.tolist()), sa.tolist()
+        _induce_singly(*lists, held, starts.tolist(), True)
+        sa = np.array(held, sa.dtype)
+    else:
+        _induce(s, is_s, sa, starts, ends, forward=True)
     # the S part is induced anew from the L part
     keep = sa >= 0
     keep[keep] = ~is_s[sa[keep]]
     keep[0] = True  # the sentinel
     sa[~keep] = -1
-    _induce(s, is_s, sa, starts, ends, forward=False)
+    if singly:
+        held = sa.tolist()
+        _induce_singly(*lists, held, (ends - 1).tolist(), False)
+        sa = np.array(held, sa.dtype)
+    else:
+        _induce(s, is_s, sa, starts, ends, forward=False)
     sa[0] = len(s) - 1
     return sa
 
@@ -115,6 +160,8 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
         counts = counts[counts > 0]
     if len(counts) == n:
         return np.argsort(s)
+    if len(counts) <= 1 << 16:
+        s = s.astype(np.uint16)  # which the stable sort takes by digits
     ends = np.cumsum(counts)
     starts = ends - counts
     is_s = _types(s)

@@ -5,19 +5,22 @@ a string are first brought together, then sorted, shard by shard:
 
 1. Every window of `length` bytes has an anchor, its least hashed gram (the leftmost of equals). Equal windows have
    equal anchors at equal offsets. Neighbouring windows of one anchor form a context, of 268 bytes on average.
-2. Each chunk of documents sends its distinct (anchor, context) hashes to shards by anchor. An anchor seen once ends
-   there; a context seen twice is repeated throughout; the rest (contexts of one anchor that differ somewhere) are
-   fetched as bytes, one row for each different context.
+2. Each piece of the corpus sends its distinct (anchor, context) hashes to shards by anchor. An anchor seen once ends
+   there; the bytes of each different context of the others are fetched once, with the number of its places (1, or 2
+   for more). Neighbouring contexts whose anchors have no other context travel as one string, as only they themselves
+   can be their equals.
 3. A shard's contexts are sorted as suffixes by induced sorting; permuted common prefixes of `length` or more join equal
-   windows, and contexts learn which of their windows are repeated.
-4. Each chunk marks the bytes of its repeated windows.
+   windows, and contexts learn which of their windows are repeated. Nothing is removed but by this.
+4. What was learnt goes to every piece that holds the context, which marks the bytes of its repeated windows.
 
 An anchor with more than `hot` different contexts (a passage that very many documents share, at its edges) has them cut
 into single windows, spread by their content: no group is ever larger than its distinct strings make it, and nothing is
 dropped. Contexts are compared by two 64-bit hashes, windows inside a shard by their bytes.
 
-Defined results: a null text is empty; documents shorter than `length` lose nothing; overlaps within a document count;
-repeated rows and repeated ids are documents of their own; strings never cross documents.
+Defined results: a null text is empty; documents shorter than `length` lose nothing; a very long text is a piece of its
+own and must fit in a task; overlaps within a document count; repeated rows and repeated ids are documents of their own;
+strings never cross documents; ids are read as long; other columns are not looked at, whatever their names; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ from .sais import common_prefixes, suffix_array
 LENGTH, GRAM = 200, 64
 CHUNK_BYTES, SLICE = 8 << 20, 1 << 19
 SHARD_BYTES = 1 << 20
+#: Shards of anchors: so many a core, and more only where one would stand for more packed text than so many bytes.
+SHARDS_A_CORE, ANCHOR_SHARD_BYTES = 4, 32 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -133,23 +138,38 @@ def _distinct(fp: np.ndarray, ch: np.ndarray, times: np.ndarray | None = None) -
     return f[starts], c[starts], n
 
 
+def _shard_of(fp: np.ndarray, shards: int) -> np.ndarray:
+    """Anchors are least hashes, so small numbers: they are hashed once more to be spread."""
+    return (C.splitmix(fp) % np.uint64(shards)).astype(np.uint16 if shards <= 1 << 16 else np.int64)
+
+
 def _u8(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
 
-_SENT = "shard int, chunk long, fps binary, chs binary, times binary"
-#: kind 0: contexts that are repeated throughout (lo -1), or whose windows lo..hi are; kind 1: contexts to fetch, `los` is 1 where hot, `his` their number (2: two or more)
-_BACK = "kind int, chunk long, fps binary, chs binary, los binary, his binary"
-_BACK_ARROW = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), *((c, pa.binary()) for c in ("fps", "chs", "los", "his"))])
+_SENT = "shard int, piece long, fps binary, chs binary, times binary"
+#: kind 0: windows los..his of contexts are repeated; kind 1: contexts to fetch, `los` is 1 where hot, 2 where an anchor's only one, `his` their number (2: two or more); kind 2: contexts of several places, and who holds them
+_BACK = "kind int, shard int, piece long, fps binary, chs binary, los binary, his binary"
+_BACK_ARROW = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("piece", pa.int64()), *((c, pa.binary()) for c in ("fps", "chs", "los", "his"))])
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else schema.empty_table()
+
+
+def _column(table: pa.Table, name: str, kind: type) -> np.ndarray:
+    """The packed arrays of all rows in a row."""
+    parts = [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
 def _compare(table: pa.Table, hot: int) -> pa.Table:
-    """A shard of anchors: what is repeated throughout, by chunk, and what has to be fetched from where."""
-    chunks = table.column("chunk").to_numpy()
+    """A shard of anchors: which contexts have to be fetched from where, and who holds those of several places."""
+    shard, holders = table.column("shard")[0].as_py(), table.column("piece").to_numpy()
     cols = [[np.frombuffer(x, t) for x in table.column(c).to_pylist()] for c, t in (("fps", np.uint64), ("chs", np.uint64), ("times", np.uint8))]
     sizes = [len(x) for x in cols[0]]
     fp, ch, times = (np.concatenate(x) for x in cols)
-    origin = np.repeat(np.arange(len(chunks)), sizes)
+    origin = np.repeat(np.arange(len(holders)), sizes)
     if not len(fp):
         return _BACK_ARROW.empty_table()
     order = np.lexsort((origin, ch, fp))
@@ -169,22 +189,21 @@ def _compare(table: pa.Table, hot: int) -> pa.Table:
         by = np.argsort(at, kind="stable")
         cuts = np.flatnonzero(np.diff(at[by])) + 1
         for part in np.split(by, cuts) if len(by) else []:
-            k = pick[part]
-            rows.append((kind, int(chunks[at[part[0]]]), _u8(f[k]), _u8(c[k]), _u8(los[part].astype(np.int32)), _u8(his[part].astype(np.int32))))
+            k, told = pick[part], (part if len(los) else part[:0])
+            rows.append((kind, shard, int(holders[at[part[0]]]), _u8(f[k]), _u8(c[k]), _u8(los[told].astype(np.int32)), _u8(his[told].astype(np.int32))))
 
-    full = np.flatnonzero(total[group] > 1)
-    send(0, full, o[full], np.full(len(full), -1), np.zeros(len(full)))
-    # a context of two or more is fetched only as something to compare with
+    several = np.flatnonzero(total[group] > 1)
+    send(2, several, o[several], np.zeros(0), np.zeros(0))
     single_in = np.maximum.reduceat((total == 1).astype(np.int64), np.flatnonzero(new_f))[np.cumsum(new_f) - 1]
-    ask = (kinds > 1) & (single_in > 0)
+    ask = (total > 1) | (kinds > 1) & (single_in > 0)
     pick = starts[ask]
-    send(1, pick, o[pick], (kinds > hot)[ask].astype(np.int64), np.minimum(total[ask], 2))
-    return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _BACK_ARROW.types, strict=True)], schema=_BACK_ARROW) if rows else _BACK_ARROW.empty_table()
+    send(1, pick, o[pick], np.where(kinds[ask] > hot, 1, np.where(kinds[ask] == 1, 2, 0)), np.minimum(total[ask], 2))
+    return _table(rows, _BACK_ARROW)
 
 
-#: Contexts for one shard from one chunk, packed: a row has several, their bytes one after another.
-_CUT = "part int, chunk long, keys binary, fps binary, chs binary, times binary, ats binary, sizes binary, data binary"
-_CUT_ARROW = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), *((c, pa.binary()) for c in ("keys", "fps", "chs", "times", "ats", "sizes", "data"))])
+#: Contexts for one shard from one piece, packed: a row has several, their bytes one after another.
+_CUT = "part int, piece long, keys binary, fps binary, chs binary, times binary, ats binary, sizes binary, data binary"
+_CUT_ARROW = pa.schema([("part", pa.int32()), ("piece", pa.int64()), *((c, pa.binary()) for c in ("keys", "fps", "chs", "times", "ats", "sizes", "data"))])
 _PACK_BYTES = 1 << 20
 
 
@@ -202,52 +221,72 @@ def _find(f: np.ndarray, c: np.ndarray, fps: np.ndarray, chs: np.ndarray) -> np.
 
 
 def _fetch(docs: pa.Table, asked: pa.Table, length: int, parts: int) -> pa.Table:
-    """The bytes of the contexts asked for; hot ones in single windows."""
+    """The bytes of the contexts asked for; hot ones in single windows.
+
+    A row has its string's bytes, and `at`, what is to be added to its windows. Further contexts of a joined string follow
+    as rows without bytes, whose `at` is their place in it.
+    """
     if not docs.num_rows or not asked.num_rows:
         return _CUT_ARROW.empty_table()
-    texts = C.bytes_column(docs, "text")
-    fps, chs = (np.concatenate([np.frombuffer(x, np.uint64) for x in asked.column(n).to_pylist()]) for n in ("fps", "chs"))
-    hot, times = (np.concatenate([np.frombuffer(x, np.int32) for x in asked.column(n).to_pylist()]) for n in ("los", "his"))
+    texts = C.unpack_texts(docs.column("data")[0].as_py())[1]
+    fps, chs = (_column(asked, n, np.uint64) for n in ("fps", "chs"))
+    how, times = (_column(asked, n, np.int32) for n in ("los", "his"))
     doc, lo, hi, fp, ch = contexts(texts, length)
     place = _find(fp, ch, fps, chs)
     got = np.flatnonzero(place >= 0)
-    got = got[np.unique(place[got], return_index=True)[1]]  # one occurrence is enough
-    chunk = docs.column("chunk")[0].as_py()
+    got = np.sort(got[np.unique(place[got], return_index=True)[1]])  # one occurrence is enough
+    piece = docs.column("piece")[0].as_py()
     by: dict[int, list] = {}
     out: list[tuple] = []
 
-    def put(key: int, common: tuple, at: int, data: bytes) -> None:
+    def put(key: int, rows: list[tuple], data: bytes) -> None:
         part = (key * 0x9E3779B97F4A7C15 >> 20) % parts
         held = by.setdefault(part, [0])
-        held.append((key, *common, at, len(data), data))
+        held += [(key, *r, len(data) if not j else 0, data if not j else b"") for j, r in enumerate(rows)]
         held[0] += len(data)
         if held[0] > _PACK_BYTES:
-            out.append(_packed(part, chunk, by.pop(part)[1:]))
+            out.append(_packed(part, piece, by.pop(part)[1:]))
 
+    alone = how[place[got]] == 2
+    joins = np.zeros(len(got), bool)  # to the one before
+    joins[1:] = alone[1:] & alone[:-1] & (got[1:] == got[:-1] + 1) & (doc[got[1:]] == doc[got[:-1]]) & (lo[got[1:]] == hi[got[:-1]] + 1)
     keys, chs_of = fp.tolist(), ch.tolist()
-    for k in got:
-        data, p = texts[doc[k]][lo[k] : hi[k] + length], place[k]
-        common = (keys[k], chs_of[k], int(times[p]))
-        if hot[p]:
+    i = 0
+    while i < len(got):
+        k, j = got[i], i + 1
+        while j < len(got) and joins[j] and hi[got[j]] - lo[k] < _JOINED_BYTES:
+            j += 1
+        run = got[i:j]
+        data = texts[doc[k]][lo[k] : hi[run[-1]] + length]
+        row = lambda k, at: (keys[k], chs_of[k], int(times[place[k]]), int(at))
+        if how[place[k]] == 1:
             for w in range(hi[k] - lo[k] + 1):
                 window = data[w : w + length]
-                put(int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little"), common, w, window)
+                put(int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little"), [row(k, w)], window)
         else:
-            put(keys[k], common, 0, data)
-    out += [_packed(part, chunk, held[1:]) for part, held in by.items()]
-    return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _CUT_ARROW.types, strict=True)], schema=_CUT_ARROW) if out else _CUT_ARROW.empty_table()
+            put(keys[k], [row(x, lo[x] - lo[k]) for x in run], data)
+        i = j
+    out += [_packed(part, piece, held[1:]) for part, held in by.items()]
+    return _table(out, _CUT_ARROW)
 
 
+_JOINED_BYTES = 1 << 16
 _PACKED = (np.uint64, np.uint64, np.uint64, np.int32, np.int32, np.int32)
 
 
-def _packed(part: int, chunk: int, rows: list[tuple]) -> tuple:
+def _packed(part: int, piece: int, rows: list[tuple]) -> tuple:
     cols = list(zip(*rows, strict=True))
-    return part, chunk, *(_u8(np.array(x, t)) for x, t in zip(cols, _PACKED, strict=False)), b"".join(cols[6])
+    return part, piece, *(_u8(np.array(x, t)) for x, t in zip(cols, _PACKED, strict=False)), b"".join(cols[6])
 
 
 def repeated_windows(parts: list[bytes], times: np.ndarray, length: int) -> list[np.ndarray]:
     """For each part (valid UTF-8 bytes or a cut of them) a mask of its windows whose string occurs twice or more, a part counting `times`."""
+    hit, begin = _hits(parts, times, length)
+    return [hit[b : b + max(0, len(p) + 1 - length)] for b, p in zip(begin, parts, strict=True)]
+
+
+def _hits(parts: list[bytes], times: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The masks of repeated_windows in a row, a part with a byte behind it, and where each part begins."""
     data = np.frombuffer(b"\xff".join(parts) + b"\xff", np.uint8)
     symbols = np.concatenate((data.astype(np.int64) + 1, [0]))
     sa = suffix_array(symbols)[1:]
@@ -261,16 +300,18 @@ def repeated_windows(parts: list[bytes], times: np.ndarray, length: int) -> list
     total = np.bincount(group, times[owner[order]])
     hit = np.zeros(len(data), bool)
     hit[order] = total[group] > 1
-    return [hit[b : b + max(0, s - length)] for b, s in zip(begin, sizes, strict=True)]
+    return hit, begin
 
 
-def _sort_shard(table: pa.Table, length: int) -> pa.Table:
-    """A shard's contexts, some anchors at a time: which windows of single contexts are repeated. Rows of kind 0."""
+def _sort_shard(table: pa.Table, length: int, shards: int) -> pa.Table:
+    """A shard's contexts, some anchors at a time: which windows are repeated. Rows of kind 0, for a piece where the context has one place, else for its shard of anchors."""
     names = ("keys", "fps", "chs", "times", "ats", "sizes")
     cols = [[np.frombuffer(x, t) for x in table.column(c).to_pylist()] for c, t in zip(names, _PACKED, strict=True)]
     if not cols[0]:
         return _BACK_ARROW.empty_table()
-    chunk = np.repeat(table.column("chunk").to_numpy(), [len(x) for x in cols[0]])
+    fp_all = np.concatenate(cols[1])
+    piece = np.repeat(table.column("piece").to_numpy(), [len(x) for x in cols[0]])
+    shard = _shard_of(fp_all, shards)
     key, fp, ch, times, at, size = (np.concatenate(x) for x in cols)
     data = table.column("data").to_pylist()
     row = np.repeat(np.arange(len(data)), [len(x) for x in cols[0]])
@@ -278,24 +319,65 @@ def _sort_shard(table: pa.Table, length: int) -> pa.Table:
     order = np.argsort(key, kind="stable")
     cuts = np.append(np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])), len(key))
     ends = np.append(0, np.cumsum(size[order]))
-    found: dict[int, list] = {}
+    found: list[tuple] = []
     a = 0
     while a < len(cuts) - 1:
         b = a + 1
-        while b < len(cuts) - 1 and ends[cuts[b + 1]] - ends[cuts[a]] <= SHARD_BYTES:
+        while b < len(cuts) - 1 and ends[cuts[b + 1]] - ends[cuts[a]] <= 2 * SHARD_BYTES:
             b += 1
         pick = order[cuts[a] : cuts[b]]
         a = b
-        if len(pick) < 2:
+        if len(pick) == 1 and times[pick[0]] == 1:
             continue
-        parts = [data[row[k]][begin[k] : begin[k] + size[k]] for k in pick]
-        for k, mask in zip(pick, repeated_windows(parts, times[pick], length), strict=True):
-            if times[k] == 1 and mask.any():
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))
-                for lo, hi in zip(edge[::2], edge[1::2] - 1, strict=True):
-                    found.setdefault(int(chunk[k]), []).append((fp[k], ch[k], lo + at[k], hi + at[k]))
-    rows = [(0, c, *(_u8(np.array(x, t)) for x, t in zip(zip(*xs, strict=True), (np.uint64, np.uint64, np.int32, np.int32), strict=True))) for c, xs in found.items()]
-    return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _BACK_ARROW.types, strict=True)], schema=_BACK_ARROW) if rows else _BACK_ARROW.empty_table()
+        head = size[pick] > 0
+        of = np.cumsum(head) - 1  # the string of each context
+        hit, start = _hits([data[row[k]][begin[k] : begin[k] + size[k]] for k in pick[head]], times[pick[head]], length)
+        # where each context's windows begin; a joined string's mask is dealt to its contexts
+        first = start[of] + np.where(head, 0, at[pick])
+        new = hit.copy()
+        new[1:] &= ~hit[:-1]
+        new[first] = hit[first]
+        lo = np.flatnonzero(new)
+        over = np.append(lo[1:], len(hit))  # a run ends before the next one, or with the mask
+        gaps = np.flatnonzero(~hit)
+        hi = np.minimum(over, gaps[np.searchsorted(gaps, lo)]) - 1
+        own = np.searchsorted(first, lo, "right") - 1
+        add = np.where(head, at[pick], 0)[own] - first[own]
+        k = pick[own]
+        found.append((k, lo + add, hi + add))
+    if not found:
+        return _BACK_ARROW.empty_table()
+    k, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
+    rows = []
+    for several in (False, True):
+        mine = np.flatnonzero((times[k] > 1) == several)
+        to = (shard if several else piece)[k[mine]]
+        by = np.argsort(to, kind="stable")
+        for part in np.split(mine[by], np.flatnonzero(np.diff(to[by])) + 1) if len(mine) else []:
+            where = (int(shard[k[part[0]]]), None) if several else (None, int(piece[k[part[0]]]))
+            rows.append((0, *where, _u8(fp[k[part]]), _u8(ch[k[part]]), _u8(lo[part].astype(np.int32)), _u8(hi[part].astype(np.int32))))
+    return _table(rows, _BACK_ARROW)
+
+
+def _tell(held: pa.Table, found: pa.Table) -> pa.Table:
+    """What was found about a shard's contexts of several places, for each piece that holds them. Rows of kind 0."""
+    if not held.num_rows or not found.num_rows:
+        return _BACK_ARROW.empty_table()
+    f, c, lo, hi = (_column(found, n, t) for n, t in (("fps", np.uint64), ("chs", np.uint64), ("los", np.int32), ("his", np.int32)))
+    order = np.lexsort((lo, c, f))
+    f, c, lo, hi = f[order], c[order], lo[order], hi[order]
+    first = np.ones(len(f), bool)
+    first[1:] = (f[1:] != f[:-1]) | (c[1:] != c[:-1])
+    at = np.flatnonzero(first)
+    count = np.diff(np.append(at, len(f)))
+    rows = []
+    for piece, fps, chs in zip(*(held.column(n).to_pylist() for n in ("piece", "fps", "chs")), strict=True):
+        place = _find(np.frombuffer(fps, np.uint64), np.frombuffer(chs, np.uint64), f[at], c[at])
+        place = place[place >= 0]
+        k = np.repeat(at[place] - np.cumsum(count[place]) + count[place], count[place]) + np.arange(int(count[place].sum()))
+        if len(k):
+            rows.append((0, None, piece, _u8(f[k]), _u8(c[k]), _u8(lo[k]), _u8(hi[k])))
+    return _table(rows, _BACK_ARROW)
 
 
 _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>"
@@ -305,11 +387,11 @@ _OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_rem
 def _removed(docs: pa.Table, told: pa.Table, length: int) -> pa.Table:
     if not docs.num_rows:
         return _OUT_ARROW.empty_table()
-    texts = C.bytes_column(docs, "text")
+    ids, texts = C.unpack_texts(docs.column("data")[0].as_py())
     starts: list[list] = [[] for _ in texts]
     if told.num_rows:
-        fps, chs = (np.concatenate([np.frombuffer(x, np.uint64) for x in told.column(n).to_pylist()]) for n in ("fps", "chs"))
-        los, his = (np.concatenate([np.frombuffer(x, np.int32) for x in told.column(n).to_pylist()]) for n in ("los", "his"))
+        fps, chs = (_column(told, n, np.uint64) for n in ("fps", "chs"))
+        los, his = (_column(told, n, np.int32) for n in ("los", "his"))
         # equal (fp, ch) with several spans lie together
         order = np.lexsort((los, chs, fps))
         fps, chs, los, his = fps[order], chs[order], los[order], his[order]
@@ -321,12 +403,9 @@ def _removed(docs: pa.Table, told: pa.Table, length: int) -> pa.Table:
         place = _find(fp, ch, fps[at], chs[at])
         for k in np.flatnonzero(place >= 0):
             j = at[place[k]]
-            if los[j] < 0:
-                starts[doc[k]].append((lo[k], hi[k]))
-            else:
-                starts[doc[k]] += [(lo[k] + los[x], lo[k] + his[x]) for x in range(j, j + count[place[k]])]
+            starts[doc[k]] += [(lo[k] + los[x], lo[k] + his[x]) for x in range(j, j + count[place[k]])]
     out = []
-    for i, t, xs in zip(docs.column("doc_id").to_pylist(), texts, starts, strict=True):
+    for i, t, xs in zip(ids, texts, starts, strict=True):
         t = t or b""
         spans: list[int] = []
         for a, b in sorted(xs):
@@ -340,35 +419,39 @@ def _removed(docs: pa.Table, told: pa.Table, length: int) -> pa.Table:
             at = b
         kept.update(t[at:])
         out.append((i, len(t), sum(spans[1::2]) - sum(spans[::2]), len(spans) // 2, kept.hexdigest(), spans))
-    return pa.table([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), _OUT_ARROW, strict=True)], schema=_OUT_ARROW)
+    return _table(out, _OUT_ARROW)
 
 
-def repeated_bytes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, hot: int = 512, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def repeated_bytes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, hot: int = 4096, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (flat: start, end of every removed run, in bytes)."""
     if length <= GRAM:
         raise ValueError(f"length must be over {GRAM}")
-    rows, chunks = C.chunked(docs, doc_id, text, chunk_bytes)
-    shards = 1 << max(3, int(chunks - 1).bit_length())
-    shift = np.uint64(64 - shards.bit_length() + 1)
+    rows = C.pieces(docs, doc_id, text, chunk_bytes)
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    shards = 1 << (max(SHARDS_A_CORE * cores, -(-size // ANCHOR_SHARD_BYTES)) - 1).bit_length()
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, _, texts in C.by_chunk(batches, 3 * chunk_bytes):
-            fp, ch, n = _distinct(*contexts(texts, length)[3:])
-            at = np.searchsorted((fp >> shift).astype(np.int64), np.arange(shards + 1))
-            n = np.minimum(n, 2).astype(np.uint8)
-            cut = [(s, chunk, _u8(fp[a:b]), _u8(ch[a:b]), _u8(n[a:b])) for s, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
-            if cut:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*cut, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["shard", "chunk", "fps", "chs", "times"])
+        for batch in batches:
+            for piece, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                fp, ch, n = _distinct(*contexts(C.unpack_texts(data.as_py())[1], length)[3:])
+                to = _shard_of(fp, shards)
+                order = np.argsort(to, kind="stable")
+                at = np.searchsorted(to[order], np.arange(shards + 1))
+                fp, ch, n = fp[order], ch[order], np.minimum(n, 2).astype(np.uint8)[order]
+                cut = [(s, piece, _u8(fp[a:b]), _u8(ch[a:b]), _u8(n[a:b])) for s, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
+                if cut:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*cut, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["shard", "piece", "fps", "chs", "times"])
 
     back = C.materialize(rows.mapInArrow(send, _SENT).groupBy("shard").applyInArrow(lambda t: _compare(t, hot), _BACK))
-    asked, full = back.where("kind = 1"), back.where("kind = 0")
+    asked, held = back.where("kind = 1"), back.where("kind = 2")
     several = asked.agg(F.coalesce(F.sum(F.octet_length("fps")), F.lit(0))).first()[0] // 8
-    shards_2 = max(1, several * 300 // SHARD_BYTES)
-    grouped = rows.groupBy("chunk")
-    cut = grouped.cogroup(asked.groupBy("chunk")).applyInArrow(lambda d, a: _fetch(d, a, length, shards_2), _CUT)
-    partial = cut.groupBy("part").applyInArrow(lambda t: _sort_shard(t, length), _BACK)
-    told = full.unionByName(partial)
-    return rows.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(lambda d, t: _removed(d, t, length), _OUT)
+    shards_2 = max(1, several * 180 // SHARD_BYTES)  # what a context has on average, most being joined
+    cut = rows.groupBy("piece").cogroup(asked.groupBy("piece")).applyInArrow(lambda d, a: _fetch(d, a, length, shards_2), _CUT)
+    found = C.materialize(cut.groupBy("part").applyInArrow(lambda t: _sort_shard(t, length, shards), _BACK))
+    shared = held.groupBy("shard").cogroup(found.where("shard is not null").groupBy("shard")).applyInArrow(_tell, _BACK)
+    told = found.where("piece is not null").unionByName(shared)
+    return rows.groupBy("piece").cogroup(told.groupBy("piece")).applyInArrow(lambda d, t: _removed(d, t, length), _OUT)
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
