@@ -12,7 +12,9 @@ turns before it, and must come out as behind a longer history (the conversation'
 is bounded however long a conversation is. Tokens and characters are counted in code points.
 
 Defined results: null texts and roles are empty strings; turns of equal number go by role, then text; null turns
-first; rows of null conv_id form one conversation; repeated rows are turns of their own; an empty table gives no rows.
+first; rows of null conv_id form one conversation, which is one task's stream as any other is; repeated rows are turns
+of their own; a very long text is one turn and must fit in a task; conversation ids are read as long; other columns are
+not looked at, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

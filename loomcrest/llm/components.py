@@ -1,8 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
 Both stars need only each node's least neighbour (an aggregate with map-side combine) and a join back, so no
-neighbourhood is ever gathered. Each round is written to the shared folder. Rounds grow with the logarithm of the
-longest path.
+neighbourhood is ever gathered. Each round is written to the shared folder, and the one before it is deleted. Rounds grow
+with the logarithm of the longest path.
 """
 
 from __future__ import annotations
@@ -15,17 +15,19 @@ from . import _common as C
 ROWS_A_FILE = 1_000_000
 
 
-def _settled(df: DataFrame) -> tuple[DataFrame, int, tuple]:
-    """df written and read back; its rows; a checksum. Few rows go into few files."""
+def _settled(df: DataFrame, before: DataFrame | None = None) -> tuple[DataFrame, DataFrame, int, tuple]:
+    """df written and read back, in few parts where it is small; as it was written; its rows; a checksum. `before` is deleted."""
     df = C.materialize(df)
+    if before is not None:
+        C.forget(before)
     n, check = df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return df.coalesce(max(1, n // ROWS_A_FILE)) if n < 50 * ROWS_A_FILE else df, n, (n, check)
+    return df.coalesce(max(1, n // ROWS_A_FILE)) if n < 50 * ROWS_A_FILE else df, df, n, (n, check)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges (u, v): the least node that it reaches. Loops and repeats are allowed; null ends are dropped."""
     e = edges.select("u", "v").where("u is not null and v is not null and u <> v")
-    e, n, last = _settled(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e, written, n, last = _settled(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     for _ in range(max_rounds):
         if not n:
             break
@@ -37,7 +39,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         down = large.where("u > v")
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        e, n, now = _settled(small.where("u > v").distinct())
+        e, written, n, now = _settled(small.where("u > v").distinct(), written)
         if now == last:
             break
         last = now

@@ -10,7 +10,12 @@ broadcast), and every block meets all rows. Documents stream through; nothing is
 
 Defined results: null, empty or blank texts match nothing; an item of fewer words than `seed` is its own seed; an
 item without words, or null, is ignored; repeated rows and repeated items each give their own matches; letters A-Z
-are lower-cased.
+are lower-cased. A very long text is read whole, in one task; a document's id may be of any type, an item's is read as
+long; extra columns pass through decontaminated() whatever their names, contaminated() does not look at them; an empty
+table of either kind gives no matches.
+
+Items travel to the executors in broadcasts of at most `block_words` words (or one item); each is a pass over the texts,
+and its candidates are bounded from above before they are tiled: tiles lie within the windows that share a seed.
 """
 
 from __future__ import annotations
@@ -154,6 +159,9 @@ class Items:
         for (row, k), hits in candidates.items():
             pattern = self.words[k]
             width = min(self.seed, len(pattern))
+            need = coverage_percent * len(pattern)
+            if 100 * len(hits) * width < need:  # tiles lie within the hits' windows
+                continue
             # words in no shared window can't be in a tile; runs of the others stay apart
             text: list[int] = []
             end = -1
@@ -162,9 +170,11 @@ class Items:
                     text.append(-1)
                 text += ids[max(a, end) : a + width].tolist()
                 end = max(end, a + width)
+            if 100 * len(text) < need:
+                continue
             tiles = tile(pattern, text, width)
             covered = sum(n for _, _, n in tiles)
-            if covered * 100 >= coverage_percent * len(pattern):
+            if covered * 100 >= need:
                 yield row, self.ids[k], len(tiles), covered, len(pattern), max(n for _, _, n in tiles)
 
 

@@ -7,16 +7,18 @@
    threshold, and is confirmed on the full sets. This is done `star_rounds` times, the next time with pivots among what
    the first left outside the bucket's main component.
 4. What is still outside its bucket's main component is compared with the whole bucket, block by block (`_BLOCK` by
-   `_PANEL` classes a task): bit counts first, then full sets, and only confirmed links leave the task. Pairs inside one
+   `_PANEL` classes a task, and `_SHINGLES` shingles of either): bit counts first, then full sets, and only confirmed links leave the task. Pairs inside one
    component can't change the result and are skipped. So the links found connect exactly what all of the bucket's
    links connect.
 
-A pair at the threshold 0.8 misses all 32 bands of 4 minima with probability 5e-8. Sets and classes are compared by
-64-bit hashes of shingles.
+A pair at the threshold 0.8 misses all 32 bands of 4 minima with probability 5e-8, and the estimate of 5 standard errors
+drops it with one of 3e-7; rows=1 with slack=inf leaves only the bands' 128 single minima (1e-89). Sets and classes are
+compared by 64-bit hashes of shingles.
 
 Defined results: a document without words (null, empty, blank) has an empty set and links with nothing; one of fewer
 words than a shingle has the whole sequence as its one shingle; repeated ids are rows of their own, each in its text's
-class; a row of null id links with nothing and is kept, its component null.
+class; a row of null id links with nothing and is kept, its component null; ids are read as long; other columns are not
+looked at, whatever their names; a very long text is signed whole, and its set must fit in a task; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -147,7 +149,7 @@ def mismatch_limit(threshold: float, perms: int, bits: int, slack: float) -> int
     P(lanes match) = J + (1 - J) / 2^bits, the second term being chance collisions.
     """
     p = threshold + (1 - threshold) / 2**bits
-    return int(np.ceil(perms * (1 - p) + slack * np.sqrt(perms * p * (1 - p))))
+    return perms if slack == np.inf else int(np.ceil(perms * (1 - p) + slack * np.sqrt(perms * p * (1 - p))))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, threshold_percent: int = 80, perms: int = 128, rows: int = 4, bits: int = 2, slack: float = 5.0, star_rounds: int = 2, pivots: int = 3) -> DataFrame:
@@ -217,14 +219,16 @@ def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, width: int) ->
     return C.materialize(_shingle_sets(texts, width), "lz4")
 
 
-_BLOCK, _PANEL = 256, 4096
+#: Classes of a block and of a panel, and shingles of either; whichever is reached first.
+_BLOCK, _PANEL, _SHINGLES = 256, 4096, 1 << 21
 
 
 def _blocks(docs: DataFrame, classes: DataFrame, live: DataFrame, sig: list[str], width: int, percent: int, limit: int) -> DataFrame:
     """(u, v): confirmed links between classes outside a bucket's main component and all classes of the bucket."""
     live = live.withColumn("rest", F.col("comp") != F.col("main"))
-    sizes = live.groupBy("bucket").agg(F.sum(F.col("rest").cast("int")).alias("r"), F.count("*").alias("m"))
-    dealt = live.join(sizes.select("bucket", F.expr(f"int(ceil(r / {_BLOCK}))").alias("rows"), F.expr(f"int(ceil(m / {_PANEL}))").alias("panels")), "bucket")
+    sizes = live.groupBy("bucket").agg(F.sum(F.col("rest").cast("int")).alias("r"), F.count("*").alias("m"), F.sum(F.when(F.col("rest"), F.col("n")).otherwise(0)).alias("rn"), F.sum("n").alias("mn"))
+    parts = lambda rows, most, shingles, name: F.expr(f"int(greatest(ceil({rows} / {most}), ceil({shingles} / {_SHINGLES})))").alias(name)
+    dealt = live.join(sizes.select("bucket", parts("r", _BLOCK, "rn", "rows"), parts("m", _PANEL, "mn", "panels")), "bucket")
     place = lambda n: F.expr(f"pmod(xxhash64(node, {n}), {n})").cast("int")
     cols = ["bucket", "node", "n", "comp", *sig]
     left = dealt.where("rest").select(*cols, F.lit(True).alias("a"), place("rows").alias("i"), F.explode(F.expr("sequence(0, panels - 1)")).alias("j"))

@@ -9,7 +9,8 @@ buckets of documents), so no source is ever sorted in one task. Only one row per
 (`max_sources` is checked).
 
 Defined results: a null or blank text has size 0 and is never taken; a null source is a source of its own, sorted
-last; repeated rows lie beside each other in the stream and count separately; an empty table gives no rows.
+last; repeated rows lie beside each other in the stream and count separately; a very long text is cut into blocks like
+any other; ids of any type and extra columns pass through, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -5,8 +5,9 @@ the labelled sample by information gain and pruned on the rest; the ordered list
 expression. Only the driver-side fit looks at labels, on at most `max_labelled` rows (those of least hash).
 
 Defined results: a null or empty text has no words, fails the base rule and is not kept; rows with null ids or
-repeated ids are judged each by its own text; without labels the list is empty and only the base rule rejects.
-Extra columns pass through, whatever their names.
+repeated ids are judged each by its own text; without labels the list is empty and only the base rule rejects; a very
+long text is counted whole, in one task; ids of any type and extra columns pass through, whatever their names; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -161,7 +162,7 @@ def _grow(x: dict, bad: np.ndarray, grid: dict, most: int) -> list[tuple[str, st
 def learn(x: dict[str, np.ndarray], good: np.ndarray, max_rules: int = 12, max_tests: int = 3, min_cover: int = 5, min_precision: float = 0.9, cuts: int = 64) -> list[Rule]:
     """An ordered list of rejecting rules by sequential covering; empty without both classes.
 
-    A rule stays only if, pruned, it covers min_cover bad rows and is right on min_precision of what it covers in the
+    The list has max_rules rules of max_tests tests at most: that is its size, not a bound on what it reads. A rule stays only if, pruned, it covers min_cover bad rows and is right on min_precision of what it covers in the
     pruning third (when that covers anything) and in the whole sample.
     """
     bad = ~good.astype(bool)
@@ -197,12 +198,12 @@ def learn(x: dict[str, np.ndarray], good: np.ndarray, max_rules: int = 12, max_t
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", max_labelled: int = 20_000) -> list[Rule]:
-    """Learns from at most max_labelled labelled rows, those of least hash of their id (the documented bound)."""
+    """Learns from at most max_labelled labelled ids, those of least hash (the documented bound); of an id's rows that with the least counts."""
     few = labels.select(F.col(doc_id).alias("i"), F.col(label).cast("int").alias("y")).where("i is not null and y is not null").orderBy(F.xxhash64("i"), "i", "y").limit(max_labelled)
     few = few.groupBy("i").agg(F.min("y").alias("y"))
     some = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("text")).join(F.broadcast(few), "i")
     stats, name = with_stats(some)
-    rows = stats.select(F.xxhash64("i").alias("h"), "i", "y", f"{name}.*").toPandas()
+    rows = stats.groupBy("i").agg(F.first("y").alias("y"), F.min(name).alias(name)).select(F.xxhash64("i").alias("h"), "i", "y", f"{name}.*").toPandas()
     rows = rows[rows.n_words >= MIN_WORDS].sort_values(["h", "i", *COUNTS], kind="stable")
     if not len(rows):
         return []

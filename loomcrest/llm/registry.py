@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, lm_score, minhash, mixing, quality_rules, secrets, suffix_dedup, token_output, toxicity
+from . import chat_format, decontaminate, lm_score, minhash, mixing, oracles, quality_rules, secrets, suffix_dedup, token_output, toxicity
 
 
 def queries() -> dict:
@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_suffix_dedup": oracles.SUFFIX_DEDUP, "op6_chat_format": oracles.CHAT_FORMAT, "op7_minhash": oracles.MINHASH}

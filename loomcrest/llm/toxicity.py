@@ -12,7 +12,9 @@ sampled document: a matrix of a byte for each of both, and of a double for each
 pass over all texts without a shuffle.
 
 Defined results: null and empty texts fire no voter and get the score of none; repeated rows score alike; without
-labels of both classes every score is the share of toxic labels (0 without any).
+labels of both classes every score is the share of toxic labels (0 without any). Ids are read as long; an id's rows count
+once in the fit; a very long text is scored whole, in one task; other columns are not looked at, whatever their names; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -151,7 +153,9 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", max_labelled: int = 20_000, least_support: int = 4, stem_support: int = 3, least_precision: float = 0.9) -> Model:
     few = labels.select(F.col(doc_id).alias("i"), F.col(label).cast("int").alias("y")).where(F.col("i").isNotNull() & F.col("y").isNotNull() & (C.fold_of("i", FOLDS) != HELD_OUT))
     few = few.orderBy(F.xxhash64("i"), "i", "y").limit(max_labelled).groupBy("i").agg(F.max("y").alias("y"))
-    sample = C.materialize(docs.select(F.col(doc_id).alias("i"), F.col(text).alias("text")).join(F.broadcast(few), "i"))
+    some = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("text")).join(F.broadcast(few), "i")
+    one = some.groupBy("i").agg(F.first("y").alias("y"), F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))  # of an id's rows that of least hash
+    sample = C.materialize(one.select("i", "t.text", "y"))
     n = sample.groupBy("y").count().collect()
     n = {r.y > 0: r["count"] for r in n}
     if len(n) < 2:
