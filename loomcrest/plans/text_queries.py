@@ -177,7 +177,7 @@ def repair_prompts(spark, d):
 
 
 @query("""with x as (select p_partkey, case p_partkey % 3 when 0 then 'success' when 1 then 'failed_compile' else 'failed_tool' end status, 'F_' || lower(replace(replace(p_type, ' ', '_'), '-', '_')) nm, p_size from part), n as (select *, row_number() over (partition by nm order by p_partkey) - 1 r from x where status <> 'success'), t as (select nm, count(*) rows_ from n group by 1)
-select status, case when r = 0 then nm else nm || '_' || r end record, p_partkey, p_size as num_functions, '# ' || rows_ page, status mapped, '{"fix":{}}' as value from n join t using (nm)""")
+select status, case when r = 0 then nm else nm || '_' || r end record, p_partkey, p_size::bigint as num_functions, '# ' || rows_ page, status mapped, '{"fix":{}}' as value from n join t using (nm)""")
 def written_records(spark, d):
     base = shared_folder(spark)
     status = F.element_at(F.array(*map(F.lit, ("success", "failed_compile", "failed_tool"))), (F.col("p_partkey") % 3 + 1).cast("int"))

@@ -239,11 +239,11 @@ def test_stream(spark, tmp_path):
     from loomcrest.streaming import events
 
     schema = "ts timestamp, event_type string, value double"
-    for k, rows in enumerate(([("2024-01-01 00:01:00", "a"), ("2024-01-01 00:09:00", "a")], [("2024-01-01 05:00:00", "b")], [("2024-01-01 00:02:00", "a"), ("2024-01-01 09:00:00", "c")])):
+    for k, rows in enumerate(([("2024-01-01 00:01:00", "a"), ("2024-01-01 00:09:00", "a")], [("2024-01-01 05:00:00", "b")], [("2024-01-01 05:10:00", "b")], [("2024-01-01 00:02:00", "a"), ("2024-01-01 09:00:00", "c")])):
         spark.createDataFrame(rows, "t string, event_type string").select(F.col("t").cast("timestamp").alias("ts"), "event_type", F.lit(1.5).alias("value")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / str(k)))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
     out = events.windowed_counts(stream)
     q = out.writeStream.format("memory").queryName("late_counts").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     assert q.awaitTermination(120)
     got = spark.table("late_counts").collect()
-    assert [(r.event_type, r.n, r.total) for r in sorted(got, key=lambda r: r.window_start)] == [("a", 2, 3.0), ("b", 1, 1.5)]
+    assert [(r.event_type, r.n, r.total) for r in sorted(got, key=lambda r: r.window_start)] == [("a", 2, 3.0), ("b", 2, 3.0)]
