@@ -11,8 +11,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import tokens
 
@@ -27,8 +30,9 @@ def top_k(scored: DataFrame, by: str, k: int, score: str = "score", tie: str = "
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-#: Queries, and distinct tokens of all of them, that are sent to every task at once.
+#: Queries, and distinct tokens of all of them, that are sent to every task at once; queries of a block, documents of a step.
 QUERY_ROWS, QUERY_TOKENS = 10_000, 1_000_000
+_QUERY_BLOCK, _DOC_STEP = 256, 1024
 
 
 def _token_keys(text: Column) -> Column:
@@ -36,26 +40,64 @@ def _token_keys(text: Column) -> Column:
     return F.array_distinct(F.transform(tokens(text), lambda t: F.xxhash64(t)))
 
 
+class _QueryBlock:
+    """Some queries' tokens: the sorted different ones, and which query has which."""
+
+    def __init__(self, first: int, lists: list[list[int]]):
+        flat = np.array([t for x in lists for t in x], np.int64)
+        self.first, self.sizes = first, np.array([len(x) for x in lists])
+        self.known, self.token = np.unique(flat, return_inverse=True)
+        self.query = np.repeat(np.arange(len(lists)), self.sizes)
+
+    def shared(self, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """(documents, queries): how many tokens they share; a document's tokens are flat up to its end."""
+        has = np.zeros((len(self.known) + 1, len(self.sizes)), np.uint16)
+        has[self.token, self.query] = 1
+        at = np.minimum(np.searchsorted(self.known, flat), len(self.known) - 1)
+        found = self.known[at] == flat
+        upto = np.concatenate(([0], np.cumsum(found)))[np.concatenate(([0], ends))]
+        rows = np.append(at[found], len(self.known))  # a last one for documents at the end that have none
+        out = np.add.reduceat(has[rows], upto[:-1], axis=0, dtype=np.int32)
+        out[upto[1:] == upto[:-1]] = 0
+        return out
+
+
 def token_overlap(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """(query_id, doc_id, score): shared distinct tokens over the root of both sizes; pairs with none are absent.
 
     Both inputs are (id, text). Tokens are compared by 64-bit hashes. A stated set of queries (up to QUERY_ROWS and
-    QUERY_TOKENS, which is counted) goes to every document, without a shuffle; a larger one meets them by token.
+    QUERY_TOKENS, which is counted) goes to every task, and counts are sums of a block's rows, without a shuffle; a larger
+    one meets the documents by token.
     """
     q = queries.select("query_id", _token_keys(F.col("text")).alias("qt")).where(F.size("qt") > 0)
     d = docs.select("doc_id", _token_keys(F.col("text")).alias("dt"))
-    rows, total = q.agg(F.count("*"), F.coalesce(F.sum(F.size("qt")), F.lit(0))).first()
     score = lambda n, nq, nd: (n / (F.sqrt(nq) * F.sqrt(nd))).alias("score")
-    if rows <= QUERY_ROWS and total <= QUERY_TOKENS:
-        known = q.agg(F.array_distinct(F.flatten(F.collect_list("qt"))).alias("known"))
-        seen = d.crossJoin(F.broadcast(known)).select("doc_id", F.size("dt").alias("nd"), F.array_intersect("dt", "known").alias("dt"))
-        n = F.size(F.array_intersect("dt", "qt"))
-        hits = seen.where(F.size("dt") > 0).crossJoin(F.broadcast(q)).select("query_id", "doc_id", n.alias("n"), F.size("qt").alias("nq"), "nd").where("n > 0")
+    rows, total = q.agg(F.count("*"), F.coalesce(F.sum(F.size("qt")), F.lit(0))).first()
+    if rows > QUERY_ROWS or total > QUERY_TOKENS:
+        q = q.select("query_id", F.size("qt").alias("nq"), F.explode("qt").alias("token"))
+        d = d.select("doc_id", F.size("dt").alias("nd"), F.explode("dt").alias("token"))
+        hits = d.join(q, "token").groupBy("query_id", "doc_id").agg(F.count("*").alias("n"), F.first("nq").alias("nq"), F.first("nd").alias("nd"))
         return hits.select("query_id", "doc_id", score(F.col("n"), F.col("nq"), F.col("nd")))
-    q = q.select("query_id", F.size("qt").alias("nq"), F.explode("qt").alias("token"))
-    d = d.select("doc_id", F.size("dt").alias("nd"), F.explode("dt").alias("token"))
-    hits = d.join(q, "token").groupBy("query_id", "doc_id").agg(F.count("*").alias("n"), F.first("nq").alias("nq"), F.first("nd").alias("nd"))
-    return hits.select("query_id", "doc_id", score(F.col("n"), F.col("nq"), F.col("nd")))
+    few = q.collect()
+    blocks = [_QueryBlock(k, [r.qt for r in few[k : k + _QUERY_BLOCK]]) for k in range(0, rows, _QUERY_BLOCK)]
+    ids = pa.array([r.query_id for r in few], to_arrow_type(q.schema["query_id"].dataType))
+    sent = docs.sparkSession.sparkContext.broadcast((ids, blocks))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, blocks = sent.value
+        for whole in batches:
+            for k in range(0, whole.num_rows, _DOC_STEP):
+                batch = whole.slice(k, _DOC_STEP)
+                lists = batch.column(1)
+                flat = lists.flatten().to_numpy(zero_copy_only=False)
+                nd = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                for block in blocks:
+                    n = block.shared(flat, np.cumsum(nd))
+                    doc, query = n.nonzero()
+                    scores = n[doc, query] / (np.sqrt(block.sizes[query]) * np.sqrt(nd[doc]))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(query + block.first)), batch.column(0).take(pa.array(doc)), pa.array(scores)], ["query_id", "doc_id", "score"])
+
+    return d.mapInArrow(run, T.StructType([q.schema["query_id"], d.schema["doc_id"], T.StructField("score", T.DoubleType())]))
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
