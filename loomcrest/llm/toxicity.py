@@ -153,7 +153,7 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", max_labelled: int = 20_000, least_support: int = 4, stem_support: int = 3, least_precision: float = 0.9) -> Model:
     few = labels.select(F.col(doc_id).alias("i"), F.col(label).cast("int").alias("y")).where(F.col("i").isNotNull() & F.col("y").isNotNull() & (C.fold_of("i", FOLDS) != HELD_OUT))
     few = few.orderBy(F.xxhash64("i"), "i", "y").limit(max_labelled).groupBy("i").agg(F.max("y").alias("y"))
-    some = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("text")).join(F.broadcast(few), "i")
+    some = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("text")).join(F.broadcast(few), "i").repartition(4 * docs.sparkSession.sparkContext.defaultParallelism, "i")
     one = some.groupBy("i").agg(F.first("y").alias("y"), F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))  # of an id's rows that of least hash
     sample = C.materialize(one.select("i", "t.text", "y"))
     n = sample.groupBy("y").count().collect()
