@@ -103,23 +103,28 @@ def _induce(s: np.ndarray, is_s: np.ndarray, sa: np.ndarray, starts: np.ndarray,
 _SMALL_BUCKET = 8
 
 
-def _induce_singly(s: list[int], is_s: list[bool], sa: list[int], pointer: list[int], forward: bool) -> None:
+def _induce_singly(s: np.ndarray, is_s: np.ndarray, sa: np.ndarray, pointer: np.ndarray, forward: bool) -> np.ndarray:
     """As _induce, on lists: the scan itself sees what it has put in."""
+    before = np.full(len(s) + 1, -1, np.int64)  # of each suffix, the symbol before it where that one is of the type; last what -1 reads
+    wanted = ~is_s if forward else is_s
+    before[1:-1][wanted[:-1]] = s[:-1][wanted[:-1]]
+    before, held, pointer = before.tolist(), sa.tolist(), pointer.tolist()
     if forward:
-        for j in sa:
-            if j > 0 and not is_s[j - 1]:
-                c = s[j - 1]
+        for j in held:
+            c = before[j]
+            if c >= 0:
                 at = pointer[c]
-                sa[at] = j - 1
                 pointer[c] = at + 1
-        return
-    for i in range(len(sa) - 1, -1, -1):
-        j = sa[i]
-        if j > 0 and is_s[j - 1]:
-            c = s[j - 1]
-            at = pointer[c]
-            sa[at] = j - 1
-            pointer[c] = at - 1
+                held[at] = j - 1
+    else:
+        for i in range(len(held) - 1, -1, -1):
+            j = held[i]
+            c = before[j]
+            if c >= 0:
+                at = pointer[c]
+                pointer[c] = at - 1
+                held[at] = j - 1
+    return np.array(held, sa.dtype)
 
 
 def _sorted_by_induction(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -129,9 +134,7 @@ def _sorted_by_induction(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray, start
     _place(sa, pointer, lms[::-1], s[lms[::-1]], forward=False)
     singly = len(starts) * _SMALL_BUCKET > len(s)
     if singly:
-        lists, held = (s.tolist(), is_s.tolist()), sa.tolist()
-        _induce_singly(*lists, held, starts.tolist(), True)
-        sa = np.array(held, sa.dtype)
+        sa = _induce_singly(s, is_s, sa, starts, True)
     else:
         _induce(s, is_s, sa, starts, ends, forward=True)
     # the S part is induced anew from the L part
@@ -140,9 +143,7 @@ def _sorted_by_induction(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray, start
     keep[0] = True  # the sentinel
     sa[~keep] = -1
     if singly:
-        held = sa.tolist()
-        _induce_singly(*lists, held, (ends - 1).tolist(), False)
-        sa = np.array(held, sa.dtype)
+        sa = _induce_singly(s, is_s, sa, ends - 1, False)
     else:
         _induce(s, is_s, sa, starts, ends, forward=False)
     sa[0] = len(s) - 1

@@ -40,6 +40,8 @@ from .sais import common_prefixes, suffix_array
 LENGTH, GRAM = 200, 64
 CHUNK_BYTES, SLICE = 8 << 20, 1 << 19
 SHARD_BYTES = 1 << 20
+#: Bytes that are sorted at once, in a processor's own cache (or one anchor's contexts).
+SORT_BYTES = 1 << 18
 #: Shards of anchors: so many a core, and more only where one would stand for more packed text than so many bytes.
 SHARDS_A_CORE, ANCHOR_SHARD_BYTES = 4, 32 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -323,7 +325,7 @@ def _sort_shard(table: pa.Table, length: int, shards: int) -> pa.Table:
     a = 0
     while a < len(cuts) - 1:
         b = a + 1
-        while b < len(cuts) - 1 and ends[cuts[b + 1]] - ends[cuts[a]] <= 2 * SHARD_BYTES:
+        while b < len(cuts) - 1 and ends[cuts[b + 1]] - ends[cuts[a]] <= SORT_BYTES:
             b += 1
         pick = order[cuts[a] : cuts[b]]
         a = b
@@ -374,7 +376,7 @@ def _tell(held: pa.Table, found: pa.Table) -> pa.Table:
     for piece, fps, chs in zip(*(held.column(n).to_pylist() for n in ("piece", "fps", "chs")), strict=True):
         place = _find(np.frombuffer(fps, np.uint64), np.frombuffer(chs, np.uint64), f[at], c[at])
         place = place[place >= 0]
-        k = np.repeat(at[place] - np.cumsum(count[place]) + count[place], count[place]) + np.arange(int(count[place].sum()))
+        k = _ranges(at[place], count[place])
         if len(k):
             rows.append((0, None, piece, _u8(f[k]), _u8(c[k]), _u8(lo[k]), _u8(hi[k])))
     return _table(rows, _BACK_ARROW)
@@ -384,41 +386,60 @@ _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 str
 _OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.int64()))])
 
 
+def _runs(texts: list[bytes | None], told: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The maximal removed runs of a piece's texts: document, begin, end, in order."""
+    none = np.zeros(0, np.int64)
+    if not told.num_rows:
+        return none, none, none
+    fps, chs = (_column(told, n, np.uint64) for n in ("fps", "chs"))
+    los, his = (_column(told, n, np.int32) for n in ("los", "his"))
+    # equal (fp, ch) with several spans lie together
+    order = np.lexsort((los, chs, fps))
+    fps, chs, los, his = fps[order], chs[order], los[order], his[order]
+    new = np.ones(len(fps), bool)
+    new[1:] = (fps[1:] != fps[:-1]) | (chs[1:] != chs[:-1])
+    at = np.flatnonzero(new)
+    count = np.diff(np.append(at, len(fps)))
+    doc, lo, _, fp, ch = contexts(texts, length)
+    place = _find(fp, ch, fps[at], chs[at])
+    k = np.flatnonzero(place >= 0)
+    n = count[place[k]]
+    which = np.repeat(k, n)
+    span = _ranges(at[place[k]], n)
+    d, a, b = doc[which], lo[which] + los[span], lo[which] + his[span] + length
+    order = np.lexsort((a, d))
+    d, a, b = d[order], a[order], b[order]
+    if not len(d):
+        return none, none, none
+    # ends rise with begins, as all windows are of one length
+    new = np.ones(len(d), bool)
+    new[1:] = (d[1:] != d[:-1]) | (a[1:] > b[:-1])
+    first = np.flatnonzero(new)
+    return d[first], a[first], np.maximum.reduceat(b, first)
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, .. (sizes[0] of them), starts[1], .."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
 def _removed(docs: pa.Table, told: pa.Table, length: int) -> pa.Table:
     if not docs.num_rows:
         return _OUT_ARROW.empty_table()
     ids, texts = C.unpack_texts(docs.column("data")[0].as_py())
-    starts: list[list] = [[] for _ in texts]
-    if told.num_rows:
-        fps, chs = (_column(told, n, np.uint64) for n in ("fps", "chs"))
-        los, his = (_column(told, n, np.int32) for n in ("los", "his"))
-        # equal (fp, ch) with several spans lie together
-        order = np.lexsort((los, chs, fps))
-        fps, chs, los, his = fps[order], chs[order], los[order], his[order]
-        first = np.ones(len(fps), bool)
-        first[1:] = (fps[1:] != fps[:-1]) | (chs[1:] != chs[:-1])
-        at = np.flatnonzero(first)
-        count = np.diff(np.append(at, len(fps)))
-        doc, lo, hi, fp, ch = contexts(texts, length)
-        place = _find(fp, ch, fps[at], chs[at])
-        for k in np.flatnonzero(place >= 0):
-            j = at[place[k]]
-            starts[doc[k]] += [(lo[k] + los[x], lo[k] + his[x]) for x in range(j, j + count[place[k]])]
+    of, begin, end = _runs(texts, told, length)
+    first = np.searchsorted(of, np.arange(len(texts) + 1))
     out = []
-    for i, t, xs in zip(ids, texts, starts, strict=True):
+    for d, (i, t) in enumerate(zip(ids, texts, strict=True)):
         t = t or b""
-        spans: list[int] = []
-        for a, b in sorted(xs):
-            if spans and a <= spans[-1]:
-                spans[-1] = max(spans[-1], int(b) + length)
-            else:
-                spans += [int(a), int(b) + length]
+        a, b = begin[first[d] : first[d + 1]].tolist(), end[first[d] : first[d + 1]].tolist()
         kept, at = hashlib.sha256(), 0
-        for a, b in zip(spans[::2], spans[1::2], strict=True):
-            kept.update(t[at:a])
-            at = b
+        for x, y in zip(a, b, strict=True):
+            kept.update(t[at:x])
+            at = y
         kept.update(t[at:])
-        out.append((i, len(t), sum(spans[1::2]) - sum(spans[::2]), len(spans) // 2, kept.hexdigest(), spans))
+        out.append((i, len(t), sum(b) - sum(a), len(a), kept.hexdigest(), [x for ab in zip(a, b, strict=True) for x in ab]))
     return _table(out, _OUT_ARROW)
 
 
