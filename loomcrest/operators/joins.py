@@ -52,16 +52,19 @@ def vote_threshold(findings: DataFrame, keys: list[str], tool: str, least) -> Da
     return findings.groupBy(*keys).agg(F.array_sort(F.collect_set(tool)).alias("tools")).where(F.size("tools") >= least)
 
 
-def annotated_functions(functions: DataFrame, notes: DataFrame, key: str = "path") -> DataFrame:
+def annotated_functions(functions: DataFrame, notes: DataFrame, key: str = "path", width: int = 64) -> DataFrame:
     """functions (path, name, start, end) with `vulnerabilities`, array<struct<category, lines>>, and `is_vulnerable`.
 
     notes (path, category, lines): a note stands at a function if some of its lines lie in it, with those lines alone.
-    Functions without a note keep an empty list.
+    Functions without a note keep an empty list. Lines meet functions in buckets of `width` lines.
     """
     ids = [key, "name", "start", "end"]
-    lines = F.filter("lines", lambda x: x.between(F.col("start"), F.col("end")))
-    hit = functions.select(*ids).distinct().join(notes, key).select(*ids, F.struct("category", lines.alias("lines")).alias("v")).where(F.size("v.lines") > 0)
-    by = hit.groupBy(*ids).agg(F.array_sort(F.collect_list("v")).alias("vulnerabilities"))
+    same = notes.groupBy(key, "category", "lines").agg(F.count("*").alias("_n"))  # equal notes are kept as many
+    points = same.withColumn("_line", F.explode(F.array_distinct("lines")))
+    hit = range_join(points, functions.select(*ids).distinct(), key, "_line", "start", "end", width).select(*ids, "category", "lines", "_n").distinct()
+    inside = F.filter("lines", lambda x: x.between(F.col("start"), F.col("end")))
+    notes_of = F.array_repeat(F.struct("category", inside.alias("lines")), F.col("_n").cast("int"))
+    by = hit.groupBy(*ids).agg(F.array_sort(F.flatten(F.collect_list(notes_of))).alias("vulnerabilities"))
     empty = F.array().cast("array<struct<category:string,lines:array<int>>>")
     out = functions.join(by, ids, "left").withColumn("vulnerabilities", F.coalesce("vulnerabilities", empty))
     return out.withColumn("is_vulnerable", F.size("vulnerabilities") > 0)
