@@ -1,4 +1,4 @@
-"""SQL that gives the rows of those queries that SQL can express whole: repeated bytes, formatted chats, near-duplicate groups."""
+"""SQL that gives the rows of those queries that SQL can express whole: repeated bytes, formatted chats, near-duplicate groups, dominance counts."""
 
 from __future__ import annotations
 
@@ -29,3 +29,13 @@ u as (select a, b from l union all select b, a from l),
 r(node, seen) as (select rep, rep from k union select r.node, u.b from r join u on r.seen = u.a),
 c as (select node, min(seen) component from r group by node)
 select doc_id, len(s.ss)::bigint n_shingles, coalesce(component, doc_id) component_id, doc_id = coalesce(component, doc_id) kept from s left join k on list_sort(s.ss) = k.ss left join c on node = rep"""
+
+#: CRC-32 by a table of 256 entries that the query makes; cells on a dense grid of slots and levels.
+DOMINANCE = """with t as (select list(c order by i) t from (select i, list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) c from range(256) r(i))),
+s as (select sale_id, floor(epoch(sold_at) / 86400)::bigint slot, floor(floor(100 * total + 0.5) / 1000)::bigint level,
+1 + xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(sale_id::varchar, ''), lambda x: ascii(x)::bigint)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) % 3 w from sales, t),
+c as (select slot, level, count(*) n, sum(w) w from s where slot is not null and level is not null group by 1, 2),
+g as (select a.slot, b.level, coalesce(n, 0) n, coalesce(w, 0) w from (select distinct slot from c) a cross join (select distinct level from c) b left join c on c.slot = a.slot and c.level = b.level),
+e as (select slot, level, sum(n) over p n, sum(w) over p w from g window p as (partition by level order by slot rows between unbounded preceding and 1 preceding)),
+v as (select slot, level, sum(n) over p n, sum(w) over p w from e window p as (partition by slot order by level desc rows between unbounded preceding and 1 preceding))
+select sale_id, s.slot, s.level, case when v.slot is not null then coalesce(n, 0)::bigint end n_sales, case when v.slot is not null then coalesce(v.w, 0)::bigint end n_rows from s left join v on s.slot = v.slot and s.level = v.level"""
