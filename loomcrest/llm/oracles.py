@@ -1,4 +1,4 @@
-"""SQL that gives the rows of those queries that SQL can express whole: repeated bytes, formatted chats, near-duplicate groups, dominance counts."""
+"""SQL that gives the rows of those queries that SQL can express whole: repeated bytes, formatted chats, near-duplicate groups, clusters, dominance counts."""
 
 from __future__ import annotations
 
@@ -39,3 +39,21 @@ g as (select a.slot, b.level, coalesce(n, 0) n, coalesce(w, 0) w from (select di
 e as (select slot, level, sum(n) over p n, sum(w) over p w from g window p as (partition by level order by slot rows between unbounded preceding and 1 preceding)),
 v as (select slot, level, sum(n) over p n, sum(w) over p w from e window p as (partition by slot order by level desc rows between unbounded preceding and 1 preceding))
 select sale_id, s.slot, s.level, case when v.slot is not null then coalesce(n, 0)::bigint end n_sales, case when v.slot is not null then coalesce(v.w, 0)::bigint end n_rows from s left join v on s.slot = v.slot and s.level = v.level"""
+
+
+def _clusters(k: int, rounds: int, dims: int) -> str:
+    """Rounds of Lloyd as so many common table expressions; components are long, distances exact."""
+    near = "list_sum(list_transform(list_zip(e.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint"
+    parts = [
+        f"e as materialized (select row_number() over () r, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) v from embeddings where len(embedding) = {dims} and len(list_filter(embedding, lambda x: isfinite(x))) = {dims})",
+        f"c0 as materialized (select row_number() over (order by sha256('2:' || vec_id)) - 1 c, v from e order by sha256('2:' || vec_id) limit {k})",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"a{i} as materialized (select r, any_value(e.vec_id) vec_id, any_value(e.v) v, arg_min(c.c, ({near}, c.c)) c, min({near}) d from e cross join c{i} c group by r)")
+        if i < rounds:
+            means = f"select c, list(m order by j) v from (select c, j, floor(sum(v[j])::double / count(*))::bigint m from a{i} cross join (select unnest(range(1, {dims + 1})) j) group by c, j) group by c"
+            parts.append(f"c{i + 1} as materialized (select c.c, coalesce(m.v, c.v) v from c{i} c left join ({means}) m using (c))")
+    return f"with {', '.join(parts)} select vec_id, c::int cluster, d distance, (sum(d) over (partition by c))::bigint cluster_inertia, (sum(d) over ())::bigint inertia, sha256(array_to_string(c{rounds}.v, ',')) centroid_sha256 from a{rounds} join c{rounds} using (c)"
+
+
+CLUSTERS = _clusters(40, 5, 64)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, dominance, lm_score, minhash, mixing, oracles, quality_rules, secrets, suffix_dedup, token_output, toxicity
+from . import chat_format, decontaminate, dominance, dual_tree, lm_score, minhash, mixing, oracles, quality_rules, secrets, suffix_dedup, token_output, toxicity
 
 
 def queries() -> dict:
@@ -17,9 +17,10 @@ def queries() -> dict:
         "op8_lm_score": lm_score.op8_lm_score,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_secrets": secrets.op10_secrets,
+        "op11_clusters": dual_tree.op11_clusters,
         "op13_dominance": dominance.op13_dominance,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_suffix_dedup": oracles.SUFFIX_DEDUP, "op6_chat_format": oracles.CHAT_FORMAT, "op7_minhash": oracles.MINHASH, "op13_dominance": oracles.DOMINANCE}
+    return {"op5_suffix_dedup": oracles.SUFFIX_DEDUP, "op6_chat_format": oracles.CHAT_FORMAT, "op7_minhash": oracles.MINHASH, "op11_clusters": oracles.CLUSTERS, "op13_dominance": oracles.DOMINANCE}
