@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, dominance, dual_tree, lm_score, minhash, mixing, oracles, quality_rules, secrets, suffix_dedup, token_output, toxicity
+from . import chat_format, decontaminate, dominance, dual_tree, gam, lm_score, minhash, mixing, oracles, quality_rules, secrets, suffix_dedup, token_output, toxicity
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_secrets": secrets.op10_secrets,
         "op11_clusters": dual_tree.op11_clusters,
+        "op12_quality": gam.op12_quality,
         "op13_dominance": dominance.op13_dominance,
     }
 
