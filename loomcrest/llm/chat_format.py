@@ -3,12 +3,13 @@
 A template is a function from a list of (role, text) turns to a string; nothing else is known of it. Rendering the
 successive prefixes of a conversation and comparing consecutive outputs gives each turn's span; two probe texts in
 the turn's place give the text's span inside it; an output that does not begin with the one before it shows a
-template that rewrites history.
+template that rewrites history: spans then move to where the new output has their turns, and segments are cut from the
+last output of all, so that joined they are the template's output for the whole conversation.
 
 Conversations stream through sorted partitions in segments of `segment` turns. While the turns so far have at most
 `history` code points (a turn counts 256 besides its own), each is rendered behind all turns before it. Beyond that a segment is rendered behind the `context`
 turns before it, and must come out as behind a longer history (the conversation's first turns and as many of the last as
-`history` holds); a template for which it does not is refused with an error, unless its rewrites are reported. So memory
+`history` holds); a template for which it does not, or one that rewrites history, is refused with an error there. So memory
 is bounded however long a conversation is. Tokens and characters are counted in code points.
 
 Defined results: null texts and roles are empty strings; turns of equal number go by role, then text; null turns
@@ -75,27 +76,81 @@ def common_prefix(a: str, b: str) -> int:
     return low
 
 
+def _probe(template: Callable[[list[Turn]], str], turns: list[Turn], k: int, now: str) -> tuple[int, int]:
+    """Where turn k's text stands in now = template(turns): what two probe texts in its place leave alike, before and behind."""
+    probes = [template([*turns[:k], (turns[k][0], p), *turns[k + 1 :]]) for p in ("ax", "by")]
+    head = common_prefix(*probes)
+    tail = common_prefix(*(p[::-1] for p in probes))
+    end = max(len(now) - tail, head)
+    return min(head, end), end
+
+
 def locate(template: Callable[[list[Turn]], str], turns: list[Turn], context: int = 0) -> tuple[str, list[tuple[int, int, int, int]], list[int]]:
     """Renders the prefixes of turns; the first `context` turns are history already formatted.
 
     Returns the output behind that history, (start, end, text_start, text_end) of every new turn in it, and the
-    numbers of new turns at which earlier output changed. From such a turn on spans are those of the last output.
+    numbers of new turns at which earlier output changed. With a history, nothing is said about spans behind such a turn;
+    without one, spans are those of the last output.
+    """
+    grown = _Grown(template, turns[:context])
+    base = len(grown.done)
+    for turn in turns[context:]:
+        grown.add(*turn)
+    return grown.done[base:], [tuple(x - base for x in s) for s in grown.spans], grown.rewrites
+
+
+class _Grown:
+    """A conversation's output so far and the spans of its turns in it, kept right when the template rewrites history.
+
+    A turn's span reaches from the end of the one before it, so spans have no gaps. After a rewrite each earlier turn is
+    looked for from the end of the new output on, as it was; one that is not there as it was is probed in the new output.
     """
-    done = template(turns[:context]) if context else ""
-    base, spans, rewrites = len(done), [], []
-    for k in range(context, len(turns)):
-        now = template(turns[: k + 1])
-        if not now.startswith(done):
-            rewrites.append(k - context)
-        start = common_prefix(done, now)
-        role = turns[k][0]
-        probes = [template([*turns[:k], (role, p)]) for p in ("ax", "by")]
-        head = common_prefix(*probes)
-        tail = common_prefix(*(p[::-1] for p in probes))
-        text_end = max(len(now) - tail, head)
-        spans.append((start - base, len(now) - base, min(head, text_end) - base, text_end - base))
-        done = now
-    return done[base:], spans, rewrites
+
+    def __init__(self, template: Callable[[list[Turn]], str], known: list[Turn] = ()):
+        self.template, self.turns, self.known = template, list(known), len(known)
+        self.done = template(self.turns) if known else ""
+        self.spans: list[tuple[int, int, int, int]] = []
+        self.rewrites: list[int] = []
+
+    def add(self, role: str, text: str) -> None:
+        self.turns.append((role, text))
+        last = len(self.turns) - 1
+        now = self.template(self.turns)
+        text_start, text_end = _probe(self.template, self.turns, last, now)
+        if now.startswith(self.done):
+            start = len(self.done)
+        else:
+            self.rewrites.append(last - self.known)
+            start = min(common_prefix(self.done, now), text_start) if self.known else self._moved(now, text_start)
+        self.spans.append((start, len(now), max(text_start, start), max(text_end, start)))
+        self.done = now
+
+    def _moved(self, now: str, limit: int) -> int:
+        """Finds the earlier turns' spans in a rewritten output whose last text begins at limit; returns where the last turn begins."""
+        old, new, found = self.spans, [], None
+        for k in range(len(old) - 1, -1, -1):
+            a, b, c, d = old[k]
+            body = self.done[a:b]
+            at = now.rfind(body, 0, limit)
+            if at >= 0 and (found is None or at + len(body) == limit):
+                found = at + len(body) if found is None else found
+                new.append((at, at + len(body), at + c - a, at + d - a))
+            else:
+                c2, d2 = _probe(self.template, self.turns, k, now)
+                tail = 0 if found is None else limit - d2
+                d2 = min(d2, limit)
+                new.append((0, min(d2 + max(tail, 0), limit) if found is not None else min(d2 + b - d, limit), min(c2, d2), d2))
+                found = new[-1][1] if found is None else found
+                at = min(c2, d2) - (c - a)
+            limit = max(at, 0)
+        new.reverse()
+        end = 0
+        for k, (_, b, c, d) in enumerate(new):
+            b = max(b, end)
+            new[k] = (end, b, min(max(c, end), b), min(max(d, end), b))
+            end = b
+        self.spans = new
+        return end if new else 0
 
 
 #: What a turn counts towards `history` besides its code points.
@@ -111,30 +166,60 @@ SEGMENT_SCHEMA = "conv_id long, segment long, formatted string, spans array<stru
 
 def _segments(rows: Iterable[tuple], template, size: int, context: int, loss_roles: frozenset[str], history: int) -> Iterator[tuple]:
     """rows: (conv_id, role, text), sorted. Yields rows of SEGMENT_SCHEMA."""
-    conv, number, past, new, held, whole = object(), 0, [], [], 0, True
+    conv, number, past, new, held, grown = object(), 0, [], [], 0, None
+
+    def row(number: int, turns: list[Turn], out: str, spans: list, rewrites: list[int]) -> tuple:
+        base = spans[0][0]
+        return conv, number, out, [{"role": r, "start": a - base, "end": b - base, "text_start": c - base, "text_end": d - base, "loss": r in loss_roles} for (r, _), (a, b, c, d) in zip(turns, spans, strict=True)], rewrites
+
+    def settled() -> Iterator[tuple]:
+        """The segments of what was rendered behind the whole conversation."""
+        for k in range(0, len(grown.turns), size):
+            spans = grown.spans[k : k + size]
+            yield row(k // size, grown.turns[k : k + size], grown.done[spans[0][0] : spans[-1][1]], spans, [r - k for r in grown.rewrites if k <= r < k + size])
 
-    def flush() -> tuple:
-        kept = past if whole else past[-context:] if context else []
+    def beyond() -> tuple:
+        """A segment behind a part of the conversation."""
+        kept = past[-context:] if context else []
         out, spans, rewrites = locate(template, [*kept, *new], len(kept))
-        if not whole and not rewrites and template([*past, *new]) != template(past) + out:
+        if rewrites:
+            raise ValueError(f"conversation {conv}, turn {number * size + rewrites[0]}: the template rewrites history, and the conversation is longer than the history of {history}")
+        if template([*past, *new]) != template(past) + out:
             raise ValueError(f"conversation {conv}, segment {number}: the template looks further back than {context} turns, and the conversation is longer than the history of {history}")
-        return conv, number, out, [{"role": r, "start": a, "end": b, "text_start": c, "text_end": d, "loss": r in loss_roles} for (r, _), (a, b, c, d) in zip(new, spans, strict=True)], rewrites
+        return row(number, new, out, spans, rewrites)
+
+    def flush() -> Iterator[tuple]:
+        nonlocal grown
+        if held <= history and grown is not None:
+            for turn in new:
+                grown.add(*turn)
+            return
+        if grown is not None:
+            if grown.rewrites:
+                raise ValueError(f"conversation {conv}, turn {grown.rewrites[0]}: the template rewrites history, and the conversation is longer than the history of {history}")
+            yield from settled()
+            grown = None
+        yield beyond()
 
     for cid, role, text in rows:
         if cid != conv or len(new) == size:
             if new:
-                yield flush()
-            number, past = (number + 1, [*past, *new]) if cid == conv else (0, [])
+                yield from flush()
             if cid != conv:
-                held, whole = 0, True
+                if grown is not None:
+                    yield from settled()
+                number, past, held, grown = 0, [], 0, _Grown(template)
+            else:
+                number, past = number + 1, [*past, *new]
             conv, new = cid, []
             while held > history and len(past) > 2 * max(context, 1):  # the first turns stay, as a system turn may be there
                 held -= _cost(past.pop(max(context, 1)))
         new.append((role or "", text or ""))
         held += _cost(new[-1])
-        whole = whole and held <= history
     if new:
-        yield flush()
+        yield from flush()
+        if grown is not None:
+            yield from settled()
 
 
 def format_conversations(turns: DataFrame, template: Callable[[list[Turn]], str] = render, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", loss_roles: tuple[str, ...] = ("assistant",), segment: int = 16, context: int = 2, history: int = 1 << 18) -> DataFrame:

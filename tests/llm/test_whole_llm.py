@@ -86,3 +86,45 @@ def test_toxicity_keeps_every_word(spark):
     model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id long, toxic int"))
     assert {b"=" + w.encode() for w in words} <= set(model.voters.lexicon)
     assert min(model.scores([w.encode() for w in words])) > model.scores([b"a fine day"])[0]
+
+
+headed = lambda turns: f"{len(turns)} turns, {sum(len(t) for _, t in turns)} long\n" + "".join(f"{r}: {t}\n" for r, t in turns)
+prompted = lambda turns: "".join(f"<{r}>{t}</{r}>\n" for r, t in turns) + "<assistant>"
+starred = lambda turns: "".join(f"{'*' * (i + 7 < len(turns))}{r}: {t}\n" for i, (r, t) in enumerate(turns))
+recent = lambda turns: f"[{max(0, len(turns) - 20)} left out]\n" * (len(turns) > 20) + "".join(f"{r}: {t}\n" for r, t in turns[-20:])
+
+
+@pytest.mark.parametrize("n", [1, 16, 40, 41, 60])
+@pytest.mark.parametrize("template", [counted, headed, prompted, starred, recent])
+def test_rewritten_history_comes_out_as_the_template_has_it(template, n):
+    turns = [("system" if not i else "user", f"t{i} {'ab' * (i % 5)}") for i in range(n)]
+    got = segments(turns, template, 1 << 18)
+    assert "".join(r[2] for r in got) == template(turns) and [r[1] for r in got] == list(range(-(-n // 16)))
+    spans = [(r[2], s) for r in got for s in r[3]]
+    assert len(spans) == n
+    for out in got:
+        assert [s["start"] for s in out[3][1:]] == [s["end"] for s in out[3][:-1]] and out[3][0]["start"] == 0 and out[3][-1]["end"] == len(out[2])
+    for k, (out, s) in enumerate(spans):
+        if template is not recent or k >= n - 20:
+            assert out[s["text_start"] : s["text_end"]] == turns[k][1]
+        assert s["start"] <= s["text_start"] <= s["text_end"] <= s["end"]
+
+
+def test_rewritten_history_of_many_conversations(spark):
+    rows = [(c, i, "user", f"t{i}") for c, n in ((1, 60), (2, 3), (3, 41)) for i in range(n)]
+    got = chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), counted_here()).collect()
+    for c, n in ((1, 60), (2, 3), (3, 41)):
+        own = sorted((r for r in got if r.conv_id == c), key=lambda r: r.segment)
+        assert "".join(r.formatted for r in own) == counted([("user", f"t{i}") for i in range(n)])
+        assert [r.formatted[s.text_start : s.text_end] for r in own for s in r.spans] == [f"t{i}" for i in range(n)]
+        assert [(r.segment, r.rewrites) for r in own if r.rewrites] == ([(2, [7])] if n >= 40 else [])
+
+
+def counted_here():
+    return lambda turns: f"{len(turns) >= 40}\n" + "".join(f"{r}: {t}\n" for r, t in turns)
+
+
+def test_rewrites_beyond_the_history_are_refused():
+    turns = [("user", f"t{i}") for i in range(60)]
+    with pytest.raises(ValueError, match="turn 39: the template rewrites history"):
+        segments(turns, counted, 60 * 256)
