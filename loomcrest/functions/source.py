@@ -6,10 +6,12 @@ import re
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .taxonomy import let
+
 VERSION = r"(\d+)\.(\d+)(?:\.(\d+))?"
 # --- fixed values: what a syntax needs, the floor and the default of versions -------------------------------------------
 FEATURES = [(r"(?U)\bemit\s+\w+\s*\(", "0.4.21"), (r"(?U)\b(pure|view)\b", "0.4.16"), (r"(?U)\bconstructor\s*\(", "0.4.22"), (r"(?U)\brevert\s*\([\"']", "0.4.22")]
@@ -102,10 +104,17 @@ def location(text: Column) -> Column:
 
 def snippet(code: Column, first_line: Column, marked: Column, around: int = 1) -> Column:
     """The lines from the first marked one to the last, with neighbours at both ends, numbered; marks outside the code don't count, and without any the text is empty."""
-    lines = F.transform(F.split(code, "\n"), lambda x, i: F.struct((first_line + i).alias("n"), x.alias("s")))
-    inside = F.filter(marked, lambda m: m.between(first_line, first_line + F.size(F.split(code, "\n")) - 1))
-    near = F.filter(lines, lambda x: x["n"].between(F.array_min(inside) - around, F.array_max(inside) + around))
-    return F.array_join(F.transform(near, lambda x: F.concat(F.lit("// Line "), x["n"].cast("string"), F.when(F.array_contains(inside, x["n"]), " (VULNERABLE)").otherwise(""), F.lit(": "), x["s"])), "\n")
+    def between(x: Column) -> Column:
+        inside = F.filter(x["marked"], lambda m: m.between(first_line, first_line + F.size(x["lines"]) - 1))
+        return let(F.struct(x["lines"].alias("lines"), inside.alias("inside"), F.array_min(inside).alias("low"), F.array_max(inside).alias("high")), numbered)
+
+    def numbered(x: Column) -> Column:
+        start = F.greatest(F.lit(1), x["low"] - around - first_line + 1)
+        near = F.slice(x["lines"], start, F.greatest(F.lit(0), x["high"] + around - first_line + 1 - start + 1))
+        line = lambda s, i: F.concat(F.lit("// Line "), (first_line + start - 1 + i).cast("string"), F.when(F.array_contains(x["inside"], first_line + start - 1 + i), " (VULNERABLE)").otherwise(""), F.lit(": "), s)
+        return F.when(F.size(x["inside"]) > 0, F.array_join(F.transform(near, line), "\n")).otherwise(F.when(code.isNotNull(), ""))
+
+    return let(F.struct(F.split(code, "\n").alias("lines"), marked.alias("marked")), between)
 
 
 _LEX = re.compile(r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|//[^\n]*|/\*.*?\*/|[{};]', re.S)
@@ -269,8 +278,9 @@ def functions_by_pattern(text: Column) -> Column:
     """array<struct<name, visibility, mutability, code>> of functions whose header is plain and whose body nests one level; of overloads the last, in the first one's place."""
     got = [F.regexp_extract_all(text, F.lit(_ONE_LEVEL), F.lit(i)) for i in (1, 2, 3, 0)]
     rows = F.transform(F.arrays_zip(*(g.alias(n) for g, n in zip(got, ("name", "visibility", "mutability", "code"), strict=True))), lambda x: F.struct(x["name"].alias("name"), F.coalesce(F.nullif(x["visibility"], F.lit("")), F.lit("public")).alias("visibility"), F.coalesce(F.nullif(x["mutability"], F.lit("")), F.lit("nonpayable")).alias("mutability"), x["code"].alias("code")))
-    names = F.array_distinct(F.transform(rows, lambda x: x["name"]))
-    return F.transform(names, lambda n: F.element_at(F.filter(rows, lambda x: x["name"] == n), -1))
+    all_names = lambda found: F.transform(found, lambda x: x["name"])
+    last = lambda x: F.transform(F.array_distinct(x["names"]), lambda n: F.element_at(x["found"], F.size(x["names"]) + 1 - F.array_position(x["back"], n).cast("int")))
+    return let(rows, lambda found: let(F.struct(found.alias("found"), all_names(found).alias("names"), F.reverse(all_names(found)).alias("back")), last))
 
 
 def contract_context(text: Column) -> Column:
@@ -287,17 +297,32 @@ def contract_context(text: Column) -> Column:
     )
 
 
-def call_graph(found: Column, most: int = 3) -> Column:
-    """Of array<struct<name, code, ..>> the same with callees and callers: other functions whose name stands in the code, the first `most` in order."""
-    says = lambda a, b: (a["name"] != b["name"]) & F.contains(a["code"], b["name"])
-    names = lambda xs: F.slice(F.transform(xs, lambda x: x["name"]), 1, most)
-    return F.transform(found, lambda f: f.withField("callees", names(F.filter(found, lambda o: says(f, o)))).withField("callers", names(F.filter(found, lambda o: says(o, f)))))
+def mentions(code: Column, names: Column, lengths: Column) -> Column:
+    """The names (words of \\w alone) that stand in code, also inside longer words, in their order. A name lies inside one word, so code is read once: its different words give their parts of the lengths that names have, and both sets are intersected."""
+    words = F.array_distinct(F.regexp_extract_all(code, F.lit(r"(?U)\w+"), F.lit(0)))
+    starts = lambda w, n: F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, n))).otherwise(F.array().cast("array<string>"))
+    return F.array_intersect(names, F.flatten(F.transform(words, lambda w: F.flatten(F.transform(lengths, lambda n: starts(w, n))))))
+
+
+def call_graph(df, key: str, found: str, most: int = 3):
+    """df with a row `f` a function of the array<struct<name, code, ..>> `found` in place of it: the struct with callees and callers, other functions of the array whose name stands in the code, the first `most` in order. Names are told apart inside an array; key tells rows apart."""
+    names = lambda x: F.transform(x, lambda f: f["name"])
+    parts = F.struct(F.col(found).alias("found"), names(F.col(found)).alias("names"), F.array_distinct(F.transform(found, lambda f: F.length(f["name"]))).alias("lengths"))
+    said = let(parts, lambda x: F.transform(x["found"], lambda f: F.struct(f.alias("f"), F.array_remove(mentions(f["code"], x["names"], x["lengths"]), f["name"]).alias("said"))))
+    rows = df.select(*(c for c in df.columns if c != found), F.posexplode(said).alias("_at", "_x"))
+    first = Window.partitionBy(key, "_name").orderBy("_at")
+    edges = rows.select(key, "_at", F.col("_x.f.name").alias("_from"), F.explode("_x.said").alias("_name")).withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= most)
+    callers = edges.groupBy(key, "_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_from"))), lambda x: x["_from"]).alias("_callers"))
+    out = rows.withColumn("_name", F.col("_x.f.name")).join(callers, [key, "_name"], "left")
+    none = F.array().cast("array<string>")
+    f = F.col("_x.f").withField("callees", F.slice("_x.said", 1, most)).withField("callers", F.coalesce("_callers", none))
+    return out.select(*(c for c in df.columns if c != found), f.alias("f"))
 
 
 def function_contexts(df, text: str, file: str):
-    """A row a function of every source: file, contract_context, name, visibility, mutability, code, features, callees, callers."""
-    rows = df.select(F.col(file).alias("file"), contract_context(F.col(text)).alias("contract_context"), F.explode(call_graph(functions_by_pattern(F.col(text)))).alias("f"))
-    return rows.select("file", "contract_context", "f.*", flags(F.col("f.code")).alias("features"))
+    """A row a function of every source: file, contract_context, name, visibility, mutability, code, features, callees, callers. Files are told apart by their name."""
+    rows = df.select(F.col(file).alias("file"), contract_context(F.col(text)).alias("contract_context"), functions_by_pattern(F.col(text)).alias("_found"))
+    return call_graph(rows, "file", "_found").select("file", "contract_context", "f.*", flags(F.col("f.code")).alias("features"))
 
 
 def kept_function(name: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import taxonomy
 from .candidates import function_id, json_null
+from .quantiles import quantiles
 
 
 def eval_samples(samples: DataFrame, functions: DataFrame, own_prompt: bool = False, sample: str = "id", key: str = "id", audit: str = "llm_audit") -> DataFrame:
@@ -73,8 +74,10 @@ def result_types(prompt_types: Column, audit_types: Column) -> Column:
 def score_summary(df: DataFrame, score: str) -> DataFrame:
     """One row: count, mean, median, p10, p25, p75, p90 (linear between ranks), min, max; 0 where there is no score."""
     some = df.where(F.col(score).isNotNull())
-    parts = {"mean": F.avg(score), "median": F.percentile(score, F.lit(0.5))} | {f"p{p}": F.percentile(score, F.lit(p / 100)) for p in (10, 25, 75, 90)} | {"min": F.min(score), "max": F.max(score)}
-    return some.agg(F.count("*").cast("double").alias("count"), *(F.coalesce(c, F.lit(0.0)).alias(n) for n, c in parts.items()))
+    sums = some.agg(F.count("*").cast("double").alias("count"), F.avg(score).alias("mean"), F.min(score).alias("min"), F.max(score).alias("max"))
+    ranks = quantiles(some, [], score, {"median": 0.5} | {f"p{p}": p / 100 for p in (10, 25, 75, 90)})
+    both = sums.join(F.broadcast(ranks), F.lit(True), "left")  # a row each
+    return both.select(*(F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("count", "mean", "median", "p10", "p25", "p75", "p90", "min", "max")))
 
 
 def step_means(log: DataFrame, step: str = "step") -> DataFrame:

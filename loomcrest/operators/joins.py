@@ -5,26 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .intervals import interval_join
 
-def range_join(points: DataFrame, ranges: DataFrame, key: str, at: str, start: str, end: str, width: int = 0) -> DataFrame:
-    """Points inside ranges of the same key, ends included. width > 0: ranges are dealt into buckets of that width, for keys with very many ranges."""
-    inside = f"{at} between {start} and {end}"
-    if not width:
-        return points.join(ranges, key).where(inside)
-    p = points.withColumn("_b", F.expr(f"floor({at} / {width})"))
-    r = ranges.withColumn("_b", F.explode(F.expr(f"sequence(floor({start} / {width}), floor({end} / {width}))")))
-    return p.join(r, [key, "_b"]).where(inside).drop("_b")
 
+def range_join(points: DataFrame, ranges: DataFrame, key: str, at: str, start: str, end: str, width: int | None = None) -> DataFrame:
+    """Points inside ranges of the same key, ends included. width: of the smallest buckets; without it, from the data."""
+    p = points.withColumn("_at", F.col(at))
+    return interval_join(p, ranges, key, (at, "_at"), (start, end), width).drop("_at", "clip_start", "clip_end")
 
-def overlap_join(a: DataFrame, b: DataFrame, key: str, a_range: tuple[str, str], b_range: tuple[str, str], width: int = 0) -> DataFrame:
-    """Pairs of overlapping ranges of one key, with clip_start and clip_end. width > 0: both are dealt into buckets of that width, and a pair is made in the bucket where its overlap begins."""
-    (s1, e1), (s2, e2) = a_range, b_range
-    clip = lambda df: df.withColumn("clip_start", F.greatest(s1, s2)).withColumn("clip_end", F.least(e1, e2))
-    overlap = f"{s1} <= {e2} and {s2} <= {e1}"
-    if not width:
-        return clip(a.join(b, key).where(overlap))
-    dealt = lambda df, s, e: df.withColumn("_b", F.explode(F.expr(f"sequence(floor({s} / {width}), floor({e} / {width}))")))
-    return clip(dealt(a, s1, e1).join(dealt(b, s2, e2), [key, "_b"]).where(overlap)).where(f"_b = floor(clip_start / {width})").drop("_b")
+
+def overlap_join(a: DataFrame, b: DataFrame, key: str, a_range: tuple[str, str], b_range: tuple[str, str], width: int | None = None) -> DataFrame:
+    """Pairs of overlapping ranges of one key, with clip_start and clip_end. width: of the smallest buckets; without it, from the data."""
+    return interval_join(a, b, key, a_range, b_range, width)
 
 
 def skip_done(candidates: DataFrame, done: DataFrame, on: str) -> DataFrame:
@@ -36,27 +28,16 @@ def keep_last(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(row, F.col(seq)).alias("_r")).select("_r.*")
 
 
-def mention_graph(df: DataFrame, group: str, name: str, text: str, most: int = 3) -> DataFrame:
-    """Inside a group, who mentions whose name: group, name, callees, callers, each the first `most` by name."""
-    a = df.select(group, F.col(name).alias("_from"), F.col(text).alias("_text"))
-    b = df.select(group, F.col(name).alias("_to"))
-    e = a.join(b, group).where((F.col("_from") != F.col("_to")) & F.contains("_text", F.col("_to"))).select(group, "_from", "_to").distinct()
-    side = lambda x, y, out: e.groupBy(group, F.col(x).alias(name)).agg(F.slice(F.array_sort(F.collect_set(y)), 1, most).alias(out))
-    nodes = df.select(group, name).distinct()
-    empty = F.array().cast("array<string>")
-    return nodes.join(side("_from", "_to", "callees"), [group, name], "left").join(side("_to", "_from", "callers"), [group, name], "left").select(group, name, F.coalesce("callees", empty).alias("callees"), F.coalesce("callers", empty).alias("callers"))
-
-
 def vote_threshold(findings: DataFrame, keys: list[str], tool: str, least) -> DataFrame:
     """Locations that enough different tools report, with their sorted tools."""
     return findings.groupBy(*keys).agg(F.array_sort(F.collect_set(tool)).alias("tools")).where(F.size("tools") >= least)
 
 
-def annotated_functions(functions: DataFrame, notes: DataFrame, key: str = "path", width: int = 64) -> DataFrame:
+def annotated_functions(functions: DataFrame, notes: DataFrame, key: str = "path", width: int | None = None) -> DataFrame:
     """functions (path, name, start, end) with `vulnerabilities`, array<struct<category, lines>>, and `is_vulnerable`.
 
     notes (path, category, lines): a note stands at a function if some of its lines lie in it, with those lines alone.
-    Functions without a note keep an empty list. Lines meet functions in buckets of `width` lines.
+    Functions without a note keep an empty list. Lines meet functions in buckets of `width` lines, by default from the data.
     """
     ids = [key, "name", "start", "end"]
     same = notes.groupBy(key, "category", "lines").agg(F.count("*").alias("_n"))  # equal notes are kept as many

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .quantiles import quantiles
+
 
 def mean_std(df: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
     """Mean and sample deviation of each metric; a missing metric is 0, the deviation of one run 0."""
@@ -55,7 +57,17 @@ def ema(df: DataFrame, value: str, by: str, order: str, keep: float = 0.9, start
     return rows.mapInArrow(run, schema)
 
 
-def length_summary(df: DataFrame, n: str) -> DataFrame:
-    q = F.percentile(n, F.array(*map(F.lit, (0.5, 0.9, 0.95, 0.99)))).alias("q")
-    out = df.agg(F.count(n).alias("n"), F.min(n).alias("min"), F.avg(n).alias("mean"), F.max(n).alias("max"), q)
-    return out.select("n", "min", "mean", "max", *(F.coalesce(F.col("q")[i], F.lit(0.0)).alias(a) for i, a in enumerate(("p50", "p90", "p95", "p99"))))
+def length_summary(df: DataFrame, n: str, over: int | None = None, groups: list[str] | None = None) -> DataFrame:
+    """A row a group (one without groups): n, min, mean, max, p50, p90, p95, p99 of the lengths, and with `over` how many are longer (n_over) and how many are kept (n_saved). 0 quantiles where there is no length."""
+    groups = groups or []
+    many = [] if over is None else [F.count_if(F.col(n) > over).alias("n_over"), F.count_if(F.col(n) <= over).alias("n_saved")]
+    sums = df.groupBy(*groups).agg(F.count(n).alias("n"), F.min(n).alias("min"), F.avg(n).alias("mean"), F.max(n).alias("max"), *many)
+    names = ("p50", "p90", "p95", "p99")
+    ranks = quantiles(df, groups, n, {p: int(p[1:]) / 100 for p in names})
+    if groups:
+        ranks = ranks.withColumnsRenamed({g: f"_{g}" for g in groups})
+        same = [sums[g].eqNullSafe(F.col(f"_{g}")) for g in groups]
+        both = sums.join(ranks, same, "left")
+    else:
+        both = sums.join(F.broadcast(ranks), F.lit(True), "left")  # a row each
+    return both.select(*groups, "n", "min", "mean", "max", *(F.coalesce(F.col(p), F.lit(0.0)).alias(p) for p in names), *(["n_over", "n_saved"] if many else []))

@@ -30,9 +30,9 @@ def top_k(scored: DataFrame, by: str, k: int, score: str = "score", tie: str = "
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-#: Queries, and distinct tokens of all of them, that are sent to every task at once; queries of a block, documents of a step.
+#: Queries, and distinct tokens of all of them, that are sent to every task at once; queries of a block, tokens of a step's documents (or one document).
 QUERY_ROWS, QUERY_TOKENS = 10_000, 1_000_000
-_QUERY_BLOCK, _DOC_STEP = 256, 1024
+_QUERY_BLOCK, _STEP_TOKENS = 256, 1 << 16
 
 
 def _token_keys(text: Column) -> Column:
@@ -65,19 +65,29 @@ class _QueryBlock:
 def token_overlap(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """(query_id, doc_id, score): shared distinct tokens over the root of both sizes; pairs with none are absent.
 
-    Both inputs are (id, text). Tokens are compared by 64-bit hashes. A stated set of queries (up to QUERY_ROWS and
-    QUERY_TOKENS, which is counted) goes to every task, and counts are sums of a block's rows, without a shuffle; a larger
-    one meets the documents by token.
+    Both inputs are (id, text); every row of either side is a query or document of its own, also where ids or texts
+    repeat, and rows without tokens meet nothing. Tokens are compared by 64-bit hashes. A stated set of queries (up to
+    QUERY_ROWS and QUERY_TOKENS, which is counted) goes to every task, and counts are sums of a block's rows, without a
+    shuffle; a larger one meets the documents by token, equal rows collapsed to one with a count. Both give the same rows.
     """
     q = queries.select("query_id", _token_keys(F.col("text")).alias("qt")).where(F.size("qt") > 0)
-    d = docs.select("doc_id", _token_keys(F.col("text")).alias("dt"))
-    score = lambda n, nq, nd: (n / (F.sqrt(nq) * F.sqrt(nd))).alias("score")
     rows, total = q.agg(F.count("*"), F.coalesce(F.sum(F.size("qt")), F.lit(0))).first()
     if rows > QUERY_ROWS or total > QUERY_TOKENS:
-        q = q.select("query_id", F.size("qt").alias("nq"), F.explode("qt").alias("token"))
-        d = d.select("doc_id", F.size("dt").alias("nd"), F.explode("dt").alias("token"))
-        hits = d.join(q, "token").groupBy("query_id", "doc_id").agg(F.count("*").alias("n"), F.first("nq").alias("nq"), F.first("nd").alias("nd"))
-        return hits.select("query_id", "doc_id", score(F.col("n"), F.col("nq"), F.col("nd")))
+        return _overlap_by_token(q, docs)
+    return _overlap_in_blocks(q, rows, docs)
+
+
+def _overlap_by_token(q: DataFrame, docs: DataFrame) -> DataFrame:
+    d = docs.select("doc_id", _token_keys(F.col("text")).alias("dt")).where(F.size("dt") > 0)
+    sets = lambda x, i, t, n: x.select(i, F.array_sort(t).alias("s")).groupBy(i, "s").agg(F.count("*").alias(f"{n}_times")).select(i, F.xxhash64("s").alias(f"{n}_set"), f"{n}_times", F.size("s").alias(n), F.explode("s").alias("token"))
+    both = sets(d, "doc_id", "dt", "nd").join(sets(q, "query_id", "qt", "nq"), "token")
+    hits = both.groupBy("query_id", "nq_set", "doc_id", "nd_set").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("nq", "nd", "nq_times", "nd_times")))
+    each = hits.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("nq_times") * F.col("nd_times"))))
+    return each.select("query_id", "doc_id", (F.col("n") / (F.sqrt("nq") * F.sqrt("nd"))).alias("score"))
+
+
+def _overlap_in_blocks(q: DataFrame, rows: int, docs: DataFrame) -> DataFrame:
+    d = docs.select("doc_id", _token_keys(F.col("text")).alias("dt"))
     few = q.collect()
     blocks = [_QueryBlock(k, [r.qt for r in few[k : k + _QUERY_BLOCK]]) for k in range(0, rows, _QUERY_BLOCK)]
     ids = pa.array([r.query_id for r in few], to_arrow_type(q.schema["query_id"].dataType))
@@ -86,8 +96,11 @@ def token_overlap(queries: DataFrame, docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, blocks = sent.value
         for whole in batches:
-            for k in range(0, whole.num_rows, _DOC_STEP):
-                batch = whole.slice(k, _DOC_STEP)
+            upto = np.cumsum(pc.fill_null(pc.list_value_length(whole.column(1)), 0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < whole.num_rows:
+                to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + _STEP_TOKENS, "right")))
+                batch, at = whole.slice(at, to - at), to
                 lists = batch.column(1)
                 flat = lists.flatten().to_numpy(zero_copy_only=False)
                 nd = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
@@ -121,14 +134,6 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75,
     return tf.join(q.join(own, "token"), "token").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score")).where("score > 0")
 
 
-def dense(queries: DataFrame, index: DataFrame, query: str = "query_id", doc: str = "doc_id", vector: str = "embedding") -> DataFrame:
-    """Cosine of unit vectors, exact; queries must be few (they are broadcast only below `spark.sql.autoBroadcastJoinThreshold`)."""
-    q = queries.select(F.col(query).alias("query_id"), F.col(vector).alias("qv"))
-    d = index.select(F.col(doc).alias("doc_id"), F.col(vector).alias("dv"))
-    dot = F.aggregate(F.zip_with("qv", "dv", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    return d.join(q, F.lit(True)).select("query_id", "doc_id", dot.alias("score"))
-
-
 def _packed(vectors: DataFrame, rows: int, names: tuple[str, str]) -> DataFrame:
     """(id, vector) as blocks of so many rows: the ids in ascending order, and their vectors as doubles in one string of bytes."""
 

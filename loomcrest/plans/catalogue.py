@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import prompts, similarity, taxonomy, text
-from ..operators import audit, curate, joins, logs, retrieve, store
+from ..operators import audit, curate, joins, logs, mentions, retrieve, store
 from ..session import table
 from .registry import ORACLES, QUERIES, query
 
@@ -209,7 +209,7 @@ def interval_overlap(spark, d):
     x = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("id"), F.unix_date(F.to_date("o_orderdate")).cast("long").alias("s"), "o_orderstatus").withColumn("e", F.col("s") + 30)
     a = x.where("o_orderstatus = 'F'").select("k", F.col("id").alias("a_id"), F.col("s").alias("s1"), F.col("e").alias("e1"))
     b = x.where("o_orderstatus = 'O'").select("k", F.col("id").alias("b_id"), F.col("s").alias("s2"), F.col("e").alias("e2"))
-    return joins.overlap_join(a, b, "k", ("s1", "e1"), ("s2", "e2"), width=60).select("k", "a_id", "b_id", "clip_start", "clip_end")
+    return joins.overlap_join(a, b, "k", ("s1", "e1"), ("s2", "e2")).select("k", "a_id", "b_id", "clip_start", "clip_end")
 
 
 @query("""with p as (select distinct p_type g, p_name nm, p_name || ' ' || p_brand || ' small ring red widget' t from part), e as (select distinct a.g, a.nm f, b.nm o from p a join p b on a.g = b.g and a.nm <> b.nm and contains(a.t, b.nm)),
@@ -217,7 +217,7 @@ n as (select distinct g, nm from p), c as (select g, f nm, array_to_string(list_
 select g, nm, coalesce(callees, '') callees, coalesce(callers, '') callers from n left join c using (g, nm) left join r using (g, nm)""")
 def substring_graph(spark, d):
     p = table(spark, d, "part").select(F.col("p_type").alias("g"), F.col("p_name").alias("nm"), F.concat("p_name", F.lit(" "), "p_brand", F.lit(" small ring red widget")).alias("t")).distinct()
-    return joins.mention_graph(p, "g", "nm", "t").select("g", "nm", F.array_join("callees", ",").alias("callees"), F.array_join("callers", ",").alias("callers"))
+    return mentions.mention_graph(p, "g", "nm", "t").select("g", "nm", F.array_join("callees", ",").alias("callees"), F.array_join("callers", ",").alias("callers"))
 
 
 @query("""with v as (select l_partkey, l_linenumber, list_sort(list(distinct l_returnflag || l_linestatus)) tools from lineitem group by 1, 2 having count(distinct l_returnflag || l_linestatus) >= 2)
@@ -258,9 +258,8 @@ def severity_topk(spark, d):
 @query("""with x as (select lang, case when length(text) = 0 then 0 else greatest(1, length(text) // 4) end n from documents)
 select lang, count(*) n, min(n)::bigint lo, max(n)::bigint hi, round(avg(n), 6) mean, round(quantile_cont(n, 0.5), 6) p50, round(quantile_cont(n, 0.9), 6) p90, round(quantile_cont(n, 0.99), 6) p99 from x group by 1""")
 def length_percentiles(spark, d):
-    x = table(spark, d, "documents").select("lang", text.token_estimate(F.col("text")).alias("n"))
-    q = lambda p, a: F.round(F.percentile("n", F.lit(p)), 6).alias(a)
-    return x.groupBy("lang").agg(F.count("*").alias("n_"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.round(F.avg("n"), 6).alias("mean"), q(0.5, "p50"), q(0.9, "p90"), q(0.99, "p99")).withColumnRenamed("n_", "n")
+    x = logs.length_summary(table(spark, d, "documents").select("lang", text.token_estimate(F.col("text")).alias("n")), "n", groups=["lang"])
+    return x.select("lang", "n", F.col("min").alias("lo"), F.col("max").alias("hi"), *(F.round(c, 6).alias(c) for c in ("mean", "p50", "p90", "p99")))
 
 
 @query("""with x as (select l_orderkey k, count(*) n, count(*) filter (where l_returnflag = 'R') c from lineitem group by 1)

@@ -30,15 +30,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process; local-cluster is none."""
+    return spark.sparkContext.master.split("[")[0] == "local"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder's name below spark.checkpoint.dir, which driver and executors share; it goes with the application."""
+    """A new folder's name below spark.checkpoint.dir, which driver and executors share; it goes with the application. Only plain local mode may do without the setting."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not base:
-        if not sc.master.startswith("local"):
+        if not is_local(spark):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='loomcrest-')}"
+        sc._conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/loomcrest/{uuid.uuid4().hex}"
     folder = sc._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written as Parquet to the shared folder and read back: lineage is cut, executors may be lost."""
+    path = shared_folder(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

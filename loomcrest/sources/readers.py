@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import taxonomy
 from ..functions.text import strip
+from ..operators.joins import range_join
 
 
 def base_name(path: Column) -> Column:
@@ -98,7 +99,7 @@ def findings(spark: SparkSession, path: str, specs=taxonomy.VOTE_SPECS) -> DataF
 def voted_functions(ranges: DataFrame, found: DataFrame) -> DataFrame:
     """(file, signature, category, lines, tools): findings with enough votes inside functions; a file's last range of a signature holds."""
     votes = found.groupBy("file", "key", "category", "least", "kind", "location").agg(F.array_sort(F.collect_set("tool")).alias("tools")).where("size(tools) >= least")
-    by_line = votes.where("kind = 'line'").withColumn("line", F.col("location").cast("int")).join(ranges, "file").where("line between start and end")
+    by_line = range_join(votes.where("kind = 'line'").withColumn("line", F.col("location").cast("int")), ranges, "file", "line", "start", "end")
     last = ranges.groupBy("file", "signature").agg(F.max_by("start", F.struct("start", "end")).alias("line"))
     by_name = votes.where("kind = 'function'").withColumnRenamed("location", "signature").join(last, ["file", "signature"])
     cols = ["file", "signature", "category", "line", "tools"]
