@@ -9,8 +9,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .taxonomy import let
 from .text import strip
 
+# --- fixed values: patterns of JSON and code in an answer (possessive, as long texts overflow a matcher's stack) ---------
 _FENCED = r"(?s)```(?:json)?\s*(\{.*?\})\s*```"
 #: an object that nests one level, braces in strings not told apart
 _NESTED = r"(?s)\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\}"
@@ -19,6 +21,7 @@ _ITEMS = rf"\[(?:[^\[\]\"']++|{_DOUBLE}|{_SINGLE})*+\]"
 #: an object that nests one level, with strings and flat lists
 _STRICT = rf"(?s)\{{(?:[^{{}}\"\[\]]++|{_DOUBLE}|{_ITEMS}|\{{(?:[^{{}}\"\[\]]++|{_DOUBLE}|{_ITEMS})*+\}})*+\}}"
 _CODE = r"(?s)```(?:solidity)?\s*(.*?)\s*```"
+# ------------------------------------------------------------------------------------------------------------------
 
 
 def _some(c: Column) -> Column:
@@ -51,9 +54,11 @@ def _text(v: Column, name: str) -> Column:
 
 
 def _number(v: Column, name: str, default: float) -> tuple[Column, Column]:
-    """A field's number, the default where it is absent; and whether it is there but is no number."""
+    """A field's number, the default where it is absent; and whether it is there but is no number. True is 1, false 0."""
     field = F.try_variant_get(v, f"$.{name}", "variant")
-    value = F.try_variant_get(v, f"$.{name}", "string").try_cast("double")
+    said = F.try_variant_get(v, f"$.{name}", "string")
+    truth = F.when(F.schema_of_variant(field) == "BOOLEAN", F.when(said == "true", 1.0).otherwise(0.0))
+    value = F.coalesce(truth, said.try_cast("double"))
     return F.when(field.isNull(), F.lit(default)).otherwise(value), field.isNotNull() & value.isNull()
 
 
@@ -63,6 +68,43 @@ def _true(v: Column, name: str) -> Column:
     return F.when(field.isNull(), True).otherwise(~F.coalesce(F.to_json(field), F.lit("null")).isin("false", "0", "0.0", '""', "null", "[]", "{}"))
 
 
+def _types(v: Column) -> Column:
+    """The named types; a lone text is a list of itself, anything else none."""
+    field = F.try_variant_get(v, "$.vulnerability_types", "variant")
+    lone = F.when(F.schema_of_variant(field) == "STRING", F.array(F.try_variant_get(v, "$.vulnerability_types", "string")))
+    return F.coalesce(lone, F.try_variant_get(v, "$.vulnerability_types", "array<string>"), F.array().cast("array<string>"))
+
+
+def _object(v: Column, whole: Column, *bad: Column) -> Column:
+    ok = F.startswith(F.schema_of_variant(v), F.lit("OBJECT"))
+    for b in bad:
+        ok = ok & ~b
+    return F.when(ok, whole)
+
+
+def vulnerable_annotation(response: Column) -> Column:
+    """struct of an annotation asked for a function known to be vulnerable: label, analysis, reasoning, vulnerability_types, severity (5 where it is absent), confidence, suggested_fix (for other readers). Null where there is no JSON object, or a number is none."""
+
+    def whole(v: Column) -> Column:
+        severity, bad = _number(v, "severity", 5.0)
+        confidence, worse = _number(v, "confidence", 0.5)
+        made = F.struct(F.lit("vulnerable").alias("label"), _text(v, "analysis").alias("analysis"), _text(v, "reasoning").alias("reasoning"), _types(v).alias("vulnerability_types"), severity.alias("severity"), confidence.alias("confidence"), _text(v, "suggested_fix_for_others").alias("suggested_fix"))
+        return _object(v, made, bad, worse)
+
+    return let(F.try_parse_json(json_of_annotation(response)), whole)
+
+
+def safe_annotation(response: Column) -> Column:
+    """struct of an annotation asked for a function known to be safe: label, analysis, reasoning (why it is safe), no types, severity 0, confidence, best_practices. Null where there is no JSON object, or the confidence is no number."""
+
+    def whole(v: Column) -> Column:
+        confidence, bad = _number(v, "confidence", 0.5)
+        made = F.struct(F.lit("safe").alias("label"), _text(v, "analysis").alias("analysis"), _text(v, "safety_reasoning").alias("reasoning"), F.array().cast("array<string>").alias("vulnerability_types"), F.lit(0.0).alias("severity"), confidence.alias("confidence"), _text(v, "best_practices").alias("best_practices"))
+        return _object(v, made, bad)
+
+    return let(F.try_parse_json(json_of_annotation(response)), whole)
+
+
 def annotation(response: Column, tool_flag: Column) -> Column:
     """struct of an annotation: label, analysis, reasoning, vulnerability_types, severity, confidence, suggested_fix, agreement,
     critique, disagreement (struct<tool, model, critique>, null where both agree or the tool said nothing).
@@ -79,7 +121,7 @@ def annotation(response: Column, tool_flag: Column) -> Column:
         label.alias("label"),
         _text(v, "analysis").alias("analysis"),
         _text(v, "reasoning").alias("reasoning"),
-        F.coalesce(F.try_variant_get(v, "$.vulnerability_types", "array<string>"), F.array().cast("array<string>")).alias("vulnerability_types"),
+        _types(v).alias("vulnerability_types"),
         severity.alias("severity"),
         confidence.alias("confidence"),
         _text(v, "suggested_fix").alias("suggested_fix"),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .taxonomy import let
+from .text import strip
 
 VERSION = r"(\d+)\.(\d+)(?:\.(\d+))?"
 # --- fixed values: what a syntax needs, the floor and the default of versions -------------------------------------------
@@ -325,9 +326,34 @@ def function_contexts(df, text: str, file: str):
     return call_graph(rows, "file", "_found").select("file", "contract_context", "f.*", flags(F.col("f.code")).alias("features"))
 
 
-def kept_function(name: Column) -> Column:
-    """Names that the analyzer made up go."""
-    return ~F.startswith(name, F.lit("slitherConstructor"))
+def kept_function(name: Column, special: Column | None = None) -> Column:
+    """Names that the analyzer made up go; so do constructors and fallbacks where `special` marks them."""
+    kept = ~F.startswith(name, F.lit("slitherConstructor"))
+    return kept if special is None else kept & ~F.coalesce(special, F.lit(False))
+
+
+# --- fixed values: what a line of code begins with, is typed by, or ends in ------------------------------------------------
+_BEGINS = ("//", "/*", "*", "require", "if", "for", "while", "return", "emit", "assert", "revert", "{", "}", "_")
+_TYPED = r"(?U)^(uint|int|bool|address|bytes|string|mapping)\b"
+_ENDS = ("{", "}", ";", ")")
+# ------------------------------------------------------------------------------------------------------------------
+
+
+def _code_like(line: Column) -> Column:
+    begins, ends = (reduce(lambda a, b: a | b, (f(line, F.lit(x)) for x in xs)) for f, xs in ((F.startswith, _BEGINS), (F.endswith, _ENDS)))
+    return (line != "") & (begins | ends | line.rlike(_TYPED) | F.contains(line, F.lit("=")))
+
+
+def bare_body(answer: Column) -> Column:
+    """The code of an answer: the first fence's content if there is one, without fence lines and without leading lines that are no code."""
+    fence = r"(?s)```(?:[a-zA-Z0-9_-]+)?\s*(.*?)\s*```"
+    inner = F.when(F.regexp_like(answer, F.lit(fence)), strip(F.regexp_extract(answer, fence, 1))).otherwise(strip(F.coalesce(answer, F.lit(""))))
+
+    def from_code(lines: Column) -> Column:
+        first = F.array_position(F.transform(lines, lambda x: _code_like(strip(x))), True)
+        return strip(F.when(first > 0, F.array_join(F.slice(lines, first, F.size(lines)), "\n")).otherwise(""))
+
+    return let(F.filter(F.split(inner, "\n"), lambda x: ~F.startswith(strip(x), F.lit("```"))), from_code)
 
 
 def modifier_code(code: Column) -> Column:
@@ -385,5 +411,5 @@ def _fitted(original: pd.Series, body: pd.Series) -> pd.Series:
 
 
 def with_header(original: Column, body: Column) -> Column:
-    """fit_header as a Column."""
-    return _fitted(original, body)
+    """fit_header of an answer's bare_body."""
+    return _fitted(original, bare_body(body))

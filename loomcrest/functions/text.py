@@ -46,6 +46,19 @@ def clean_text(c: Column, width: int = 4, most: int = 2, heading: str | None = N
     return drop_heading(c, heading) if heading else c
 
 
+def shorten(c: Column, most: int, marker: str = "...") -> Column:
+    """The text if it has at most so many characters, else its first ones and the marker."""
+    return F.when(F.length(c) > most, F.concat(F.left(c, F.lit(most)), F.lit(marker))).otherwise(c)
+
+
+def error_summary(c: Column, most: int, prefix: str = "") -> Column:
+    """The first lines of an error's text without its prefix, and how many there are if not all are shown."""
+    bare = strip(F.when(F.startswith(c, F.lit(prefix)), F.substr(c, F.lit(len(prefix) + 1))).otherwise(c) if prefix else c)
+    lines = F.split(bare, "\n")
+    some = F.concat(F.array_join(F.slice(lines, 1, most), "\n"), F.lit(f"\n... (showing first {most} lines of "), F.size(lines).cast("string"), F.lit(" total)"))
+    return F.when(F.coalesce(c, F.lit("")) == "", "No error details available").when(F.size(lines) > most, some).otherwise(bare)
+
+
 def strip_comments(c: Column) -> Column:
     """Block comments, then line comments; not aware of string literals."""
     return F.regexp_replace(F.regexp_replace(c, r"(?s)/\*.*?\*/", ""), r"(?dm)//.*?$", "")

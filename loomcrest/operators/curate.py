@@ -84,6 +84,14 @@ def split(df: DataFrame, id_: str, ratios: dict[str, float], by: list[str] | Non
     return ranked.withColumn(name, out.otherwise(last) if out is not None else F.lit(last)).drop("_rn", "_n")
 
 
+def era_split(wild: DataFrame, curated: DataFrame, id_: str, version: str, most_modern: int = 500, seed: int = 42) -> DataFrame:
+    """(id, split, era): wild rows of the early and late eras train, those of the transition validate; all curated rows and `most_modern` wild modern ones (in md5 order) test. Wild rows of no known era stay out."""
+    w = wild.select(id_, era(F.col(version)).alias("era"))
+    modern = _rank(w.where("era = 'modern'"), [], seed, id_).where(F.col("_rn") <= most_modern).select(id_, F.lit("test").alias("split"), "era")
+    older = w.where("era in ('early', 'late', 'transition')").select(id_, F.when(F.col("era") == "transition", "val").otherwise("train").alias("split"), "era")
+    return older.unionByName(modern).unionByName(curated.select(id_, F.lit("test").alias("split"), era(F.col(version)).alias("era")))
+
+
 def era(version: Column) -> Column:
     """Version era; versions without three parts are unknown."""
     part = F.split(version, r"\.")

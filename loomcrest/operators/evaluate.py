@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import taxonomy
+from ..functions import similarity, taxonomy
 from .candidates import function_id, json_null
 from .quantiles import quantiles
 
@@ -132,3 +132,99 @@ def sweep_grid(spark, axes: dict[str, list]) -> DataFrame:
 
     rows = [(i, *values) for i, values in enumerate(product(*axes.values()))]
     return spark.createDataFrame(rows, ["run", *axes])
+
+
+def baseline_rows(samples: DataFrame, sample: str = "sample_id", code: str = "code") -> DataFrame:
+    """evaluation_rows of the original code as the only candidate (compiles, passed, other_passed: null passes, ir_sim, ir_change): what tools say of it without any repair. Null or blank code was not verified."""
+    verified = F.trim(F.coalesce(F.col(code), F.lit(""))) != ""
+    yes = lambda c, default: F.coalesce(F.when(verified, F.col(c)), F.lit(default))
+    ok = yes("compiles", False) & yes("passed", False) & yes("other_passed", True)
+    number = lambda c: F.coalesce(F.when(verified, F.col(c)).cast("double"), F.lit(0.0))
+    one = lambda c: F.when(ok, F.array(c)).otherwise(F.array().cast("array<double>"))
+    return samples.select(
+        sample,
+        F.lit(1).alias("total_generated"),
+        ok.cast("int").alias("correct_generated"),
+        F.when(ok, F.col(code)).alias("best_candidate_code"),
+        F.when(ok, F.array(code)).otherwise(F.array().cast("array<string>")).alias("passed_candidate_codes"),
+        number("ir_sim").alias("best_candidate_ir_sim"),
+        number("ir_change").alias("best_candidate_ir_change_rate"),
+        one(number("ir_sim")).alias("passed_candidate_ir_sims"),
+        F.when(ok, 1.0).alias("best_candidate_orig_sim"),
+        one(F.lit(1.0)).alias("passed_candidate_orig_sims"),
+    )
+
+
+def _short(x: Column) -> Column:
+    """A number as short as it goes: 1 for 1.0, with six digits at most."""
+    digits = F.call_function("format_number", x, F.lit("0.######"))
+    return F.coalesce(digits, F.lit("none"))
+
+
+def config_key(c: Column) -> Column:
+    """What a run's repeats share: model, samples, temperature, top_p and retrieval mode of a struct with these fields."""
+    mode = F.lower(F.trim(F.coalesce(F.nullif(c["rag_mode"], F.lit("")), F.lit("off"))))
+    return F.concat(F.lit("model="), F.coalesce(c["model"], F.lit("")), F.lit("|n="), F.coalesce(c["n_samples"], F.lit(0)).cast("string"), F.lit("|temp="), _short(F.coalesce(c["temperature"], F.lit(0.0))), F.lit("|top_p="), _short(c["top_p"]), F.lit("|rag="), mode)
+
+
+def run_name(c: Column, stamp: Column) -> Column:
+    """A file name for a run of a configuration (config_key's fields and seed)."""
+    mode = F.coalesce(F.nullif(c["rag_mode"], F.lit("")), F.lit("off"))
+    return F.concat(F.lit("eval_"), c["model"], F.lit("_n"), c["n_samples"].cast("string"), F.lit("_t"), _short(c["temperature"]), F.lit("_p"), _short(c["top_p"]), F.lit("_rag"), mode, F.lit("_seed"), c["seed"].cast("string"), F.lit("_"), stamp)
+
+
+#: The best score over a sample's passed candidates, averaged over samples: metrics that older files lack.
+HIGHEST = {"highest_bleu": similarity.bleu_score, "highest_edit_sim": similarity.edit_similarity}
+
+
+def run_records(files: DataFrame) -> DataFrame:
+    """(path, modified, config, metrics map<string,double>) of evaluation files (path, modified, meta, metrics, details: variants).
+
+    Files whose meta or metrics are no objects, or whose numbers are none, drop out; metrics of HIGHEST that are missing are computed from the
+    details: 0 where no sample has a reference and a passed candidate. Details that are no objects, and texts that are
+    none, are passed over.
+    """
+    kind = lambda v, k: F.coalesce(F.startswith(F.schema_of_variant(v), F.lit(k)), F.lit(False))
+    good = files.where(kind(F.col("meta"), "OBJECT") & kind(F.col("metrics"), "OBJECT"))
+    get = lambda n, t: F.try_variant_get("meta", f"$.{n}", t)
+    number = lambda n, t: F.coalesce(get(n, "string").try_cast(t), F.when(get(n, "variant").isNull(), F.lit(0).cast(t)))
+    p = F.lower(F.trim(get("top_p", "string")))
+    config = F.struct(F.coalesce(get("model", "string"), F.lit("")).alias("model"), number("n_samples", "int").alias("n_samples"), number("temperature", "double").alias("temperature"), F.when(~p.isin("none", "null", ""), p.try_cast("double")).alias("top_p"), number("seed", "long").alias("seed"), F.coalesce(F.nullif(get("rag_mode", "string"), F.lit("")), F.lit("off")).alias("rag_mode"), get("jsonl_path", "string").alias("jsonl_path"), get("limit", "string").try_cast("int").alias("limit"))
+    metrics = F.transform_values(F.try_variant_get("metrics", "$", "map<string,variant>"), lambda _, v: F.try_variant_get(v, "$", "double"))
+    rows = good.select("path", "modified", config.alias("config"), metrics.alias("metrics"), "details").where("config.n_samples is not null and config.temperature is not null and config.seed is not null")
+    words = lambda v, n: F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{n}", "variant")) == "STRING", F.try_variant_get(v, f"$.{n}", "string"))
+    d = rows.select("path", F.posexplode(F.try_variant_get("details", "$", "array<variant>")).alias("at", "d")).where(kind(F.col("d"), "OBJECT"))
+    d = d.select("path", "at", words(F.col("d"), "reference_code").alias("ref"), F.explode(F.try_variant_get("d", "$.passed_candidate_codes", "array<variant>")).alias("c"))
+    d = d.withColumn("c", F.when(F.schema_of_variant("c") == "STRING", F.try_variant_get("c", "$", "string"))).where("ref <> '' and c <> ''")
+    best = d.groupBy("path", "at").agg(*(F.max(f(F.col("ref"), F.col("c"))).alias(n) for n, f in HIGHEST.items()))
+    mean = best.groupBy("path").agg(*(F.avg(n).alias(n) for n in HIGHEST))
+    made = F.create_map(*(x for n in HIGHEST for x in (F.lit(n), F.coalesce(n, F.lit(0.0)))))
+    missing = F.map_filter(made, lambda k, _: ~F.map_contains_key("metrics", k))
+    return rows.drop("details").join(mean, "path", "left").select("path", "modified", "config", F.map_concat("metrics", missing).alias("metrics"))
+
+
+def last_runs(records: DataFrame) -> DataFrame:
+    """Of several files of one configuration the one written last; of equal times that of the greatest path."""
+    row = F.struct(*(F.col(c) for c in records.columns))
+    return records.groupBy(F.to_json("config").alias("_c")).agg(F.max_by(row, F.struct("modified", "path")).alias("_r")).select("_r.*")
+
+
+def sweep_summary(records: DataFrame) -> DataFrame:
+    """(config_key, num_runs, metric, mean, std): each metric that any run has, over the runs of a configuration; a run without it counts 0, the deviation of one run is 0."""
+    runs = records.select(config_key(F.col("config")).alias("config_key"), "metrics")
+    names = runs.select(F.explode(F.map_keys("metrics")).alias("metric")).distinct()
+    size = runs.groupBy("config_key").agg(F.count("*").alias("num_runs"))
+    there = runs.select("config_key", F.explode("metrics").alias("metric", "v")).withColumn("v", F.coalesce("v", F.lit(0.0)))
+    sums = there.groupBy("config_key", "metric").agg(F.count("*").alias("n"), F.avg("v").alias("m"), F.coalesce(F.var_pop("v"), F.lit(0.0)).alias("s"))
+    every = size.join(names, F.lit(True)).join(sums, ["config_key", "metric"], "left")  # configurations x names of metrics
+    n, k, m = F.col("num_runs"), F.coalesce("n", F.lit(0)), F.coalesce("m", F.lit(0.0))
+    mean = k * m / n
+    squares = k * (F.coalesce("s", F.lit(0.0)) + (m - mean) * (m - mean)) + (n - k) * mean * mean
+    return every.select("config_key", "num_runs", "metric", mean.alias("mean"), F.when(n > 1, F.sqrt(squares / (n - 1))).otherwise(0.0).alias("std"))
+
+
+def metric_columns(names: list[str], preferred: list[str], buckets: list[str], by_bucket: list[str]) -> list[str]:
+    """Columns of a sweep's table: the preferred metrics, then those of each bucket, then the others by name, each as mean and deviation."""
+    first = [*preferred, *(f"{m}_{b}" for b in buckets for m in by_bucket)]
+    order = [m for m in dict.fromkeys(first) if m in names] + sorted(set(names) - set(first))
+    return ["config_key", "num_runs", *(f"{m}_{x}" for m in order for x in ("mean", "std"))]

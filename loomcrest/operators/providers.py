@@ -11,6 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.taxonomy import let
+from ..functions.text import strip, truncate_lines
+
 
 def call(df: DataFrame, text: str, provider: Callable[[str], dict], schema: str, on_error: str = "open", parallel: int | None = None) -> DataFrame:
     """df with the provider's columns; a null text is the empty one. on_error 'open' passes a failed call, 'closed' fails it (column `passed`), with `error`."""
@@ -43,6 +46,20 @@ def tool_issues(report: Column, severities: list[str], most: int = 50) -> Column
     return F.transform(F.slice(F.coalesce(found, F.array().cast("array<struct<title:string,`swc-id`:string,severity:string,description:string,locations:array<struct<lineno:int>>>>")), 1, most), full)
 
 
+def tool_text_issues(text: Column, most: int = 50, lines: int = 12, chars: int = 1200) -> Column:
+    """struct<passed, issues> of a tool's plain text, where it gave no JSON: lines that name an issue or a class, else the text's beginning; nothing said, or none found, passes."""
+
+    def read(t: Column) -> Column:
+        named = F.filter(F.transform(F.split(t, "\n"), strip), lambda x: F.contains(F.lower(x), F.lit("swc")) | F.contains(F.lower(x), F.lit("issue")))
+        whole = F.left(truncate_lines(t, lines), F.lit(chars))
+        clean = (t == "") | F.contains(F.lower(t), F.lit("no issues found"))
+        none = F.array().cast("array<string>")
+        found = F.when(clean, none).when(F.size(named) > 0, F.slice(named, 1, most)).otherwise(F.array(whole))
+        return F.struct(clean.alias("passed"), found.alias("issues"))
+
+    return let(strip(F.coalesce(text, F.lit(""))), read)
+
+
 def all_passed(tools: Column) -> Column:
     """Whether every tool in a map<name, struct<passed>> passed; a tool without a verdict passes."""
     return F.forall(F.map_values(tools), lambda t: F.coalesce(t["passed"], F.lit(True)))

@@ -85,3 +85,13 @@ def model_summary(calls: DataFrame) -> DataFrame:
         F.avg(F.col("consensus").cast("double")).alias("agreement"), F.avg("severity").alias("severity"), F.avg("confidence").alias("confidence"),
         F.count_if(F.col("label") == "vulnerable").alias("vulnerable"), F.count_if(F.col("label") == "safe").alias("safe"), F.sum("tokens").alias("tokens"),
     )
+
+
+def bucket_metrics(rows: DataFrame, bucket: str, names: list[str], ks: tuple[int, ...] = (1, 5, 10), total: str = "total_generated", correct: str = "correct_generated") -> DataFrame:
+    """A row a bucket of `names` (other or null buckets count as OTHER): n, solved_rate and mean pass@k; zeros where a bucket has no row."""
+    solved = F.coalesce(F.col(correct), F.lit(0)) > 0
+    at = F.when(F.col(bucket).isin(*names), F.col(bucket)).otherwise("OTHER")
+    by = rows.groupBy(at.alias("bucket")).agg(F.count("*").alias("n"), F.avg(solved.cast("double")).alias("solved_rate"), *(F.avg(pass_at_k(F.col(total), F.col(correct), k)).alias(f"pass_at_{k}") for k in ks))
+    every = rows.sparkSession.createDataFrame([(x,) for x in [*names, "OTHER"]], "bucket string")
+    rates = ["solved_rate", *(f"pass_at_{k}" for k in ks)]
+    return every.join(by, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in rates))

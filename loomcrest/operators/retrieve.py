@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.text import tokens
+from ..functions.responses import augmented_prompt
+from ..functions.text import compact_code, token_estimate, tokens
 
 # --- fixed values: (pattern, group) of a structural signature, in order; weights of the sources
 SIGNATURE = [(r"function\s+\w+", 0), (r"modifier\s+\w+", 0), (r"(if|else|for|while|require)\s*\(", 1), (r"\.(call|delegatecall|transfer|send)\s*[({]", 1), (r"emit\s+\w+", 0)]
@@ -254,5 +255,32 @@ def pack(ranked: DataFrame, cost: str, budget: int, base: int = 0, query: str =
     return ranked.groupBy(query).agg(F.aggregate(steps, start, put).alias("p")).select(query, F.col("p.items").alias("items"), F.col("p.used").alias("cost"))
 
 
-def render_demos(items: Column, most: int, most_chars: int) -> Column:
-    return F.array_join(F.transform(F.slice(items, 1, most), lambda x, i: F.concat(F.lit("<demo "), (i + 1).cast("string"), F.lit(">\n"), F.left(x, F.lit(most_chars)), F.lit("\n</demo>"))), "\n")
+def render_demo(kind: Column, code: Column, fixed: Column, most_chars: int = 800) -> Column:
+    """A demonstration: its type and both codes, each cut to so many characters."""
+    cut = lambda c: F.left(F.coalesce(c, F.lit("")), F.lit(most_chars))
+    named = F.coalesce(F.nullif(kind, F.lit("")), F.lit("Unknown"))
+    return F.concat(F.lit("<DEMO>\n### Vulnerable ("), named, F.lit("):\n```solidity\n"), cut(code), F.lit("\n```\n### Fixed:\n```solidity\n"), cut(fixed), F.lit("\n```\n</DEMO>"))
+
+
+def augment(prompts: DataFrame, hits: DataFrame, docs: DataFrame, k: int = 3, budget: int | None = None, base: int = 6) -> DataFrame:
+    """Prompts with the demonstrations that a search has found for them.
+
+    prompts (query_id, prompt, types, severity, code), hits (query_id, doc_id, rank), docs (doc_id, code, fixed_code, kind).
+    The first k hits of the prompt's first type are taken, or of any type where none has it; their codes are compacted,
+    those that go beyond `budget` tokens (counted from `base`, in order of rank) are left out, and the rest stand before the prompt.
+    Returns query_id, prompt, used, n_demos, demo_ids, type_filter, added_tokens. A prompt without hits stays as it is.
+    """
+    wanted = prompts.select("query_id", F.lower(F.trim(F.get("types", F.lit(0)))).alias("_want"))
+    own = hits.join(docs.select("doc_id", *(compact_code(F.col(c)).alias(c) for c in ("code", "fixed_code")), "kind"), "doc_id").join(wanted, "query_id")
+    ok = F.col("_want").isNull() | F.col("_want").isin("", "unknown") | (F.lower(F.trim("kind")) == F.col("_want"))
+    some = filter_or_all(own, F.coalesce(ok, F.lit(False)))
+    some = some.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("_n") <= k)
+    some = some.withColumn("_text", render_demo(F.col("kind"), F.col("code"), F.col("fixed_code"))).withColumn("_cost", token_estimate(F.col("_text")))
+    fit = pack(some, "_cost", budget if budget is not None else (1 << 31) - 1, base, order="_n")
+    shown = some.join(fit, "query_id").where(F.array_contains("items", F.col("doc_id")))
+    demos = shown.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("_n", "doc_id", "_text"))).alias("_d"), F.max("cost").alias("added_tokens"))  # k at most
+    both = prompts.join(demos, "query_id", "left")
+    text = augmented_prompt(F.transform("_d", lambda d: d["_text"]), F.col("types"), F.col("severity"), F.col("code"), F.col("prompt"))
+    none = F.array().cast(f"array<{docs.schema['doc_id'].dataType.simpleString()}>")
+    out = both.withColumn("_p", text)
+    return out.select("query_id", "_p.prompt", "_p.used", "_p.n_demos", F.coalesce(F.transform("_d", lambda d: d["doc_id"]), none).alias("demo_ids"), F.get("types", F.lit(0)).alias("type_filter"), F.coalesce("added_tokens", F.lit(0)).alias("added_tokens"))

@@ -403,6 +403,6 @@ def wrap_fence(spark, d):
     return table(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.md5(text.wrap_fence(F.col("text"), "text")).alias("h"))
 
 
-from . import index_queries, label_queries, report_queries, selection_queries, source_queries, text_queries  # noqa: E402  they register their queries
+from . import answer_queries, index_queries, label_queries, report_queries, selection_queries, source_queries, text_queries  # noqa: E402  they register their queries
 
-__all__ = ["ORACLES", "QUERIES", "index_queries", "label_queries", "report_queries", "selection_queries", "source_queries", "text_queries"]
+__all__ = ["ORACLES", "QUERIES", "answer_queries", "index_queries", "label_queries", "report_queries", "selection_queries", "source_queries", "text_queries"]

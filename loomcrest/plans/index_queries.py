@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import lsh, postings, vector_index
+from ..operators import lsh, postings, rounds, vector_index, versioned
 from ..session import shared_folder, table
 from . import registry
 from .registry import query
@@ -39,3 +39,33 @@ def postings_topk(spark, d):
         postings.append(docs.where(F.pmod("doc_id", F.lit(2)) == k), path, segment=f"s{k}")
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return postings.search(spark, path, q, 5).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(registry.ORACLES["upsert_merge"])
+def merged_store(spark, d):
+    """upsert_merge at rest: customers as the first batch, the changes as a second one that is replayed."""
+    c = table(spark, d, "customer")
+    old = c.select(F.col("c_custkey").alias("k"), F.col("c_name").alias("nm"), F.lit(0).alias("created"), F.lit(0).alias("seq"))
+    new = c.select((F.col("c_custkey") + 700).alias("k"), F.col("c_name").alias("nm"), F.lit(1).alias("created"), F.lit(0).alias("seq"))
+    new = new.union(c.where("c_custkey % 2 = 0").select(F.col("c_custkey") + 700, "c_mktsegment", F.lit(1), F.lit(1)))
+    store = versioned.Store.create(spark, shared_folder(spark), "k", old.drop("seq").schema, 16, ("created",))
+    for name, rows in (("first", old), ("second", new), ("second", new)):
+        store.upsert(rows, "seq", name)
+    return store.read()
+
+
+@query("""with x as (select doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) n from documents), a as (select doc_id, n, case when n % 5 = 4 then 99 else n % 5 + 1 end needs from x)
+select doc_id, case when needs <= 3 then 'ok ' || n || ' at ' || needs else 'no ' || n || ' at 3' end answer, needs <= 3 accepted, least(needs, 3)::int attempts, needs > 1 used_feedback from a""")
+def provider_rounds(spark, d):
+    """Each text is sent up to three times to a provider that accepts it at an attempt its words decide, and says so in its feedback."""
+
+    def provider(text, attempt, previous, feedback):
+        n = len(text.encode().split())
+        if (attempt > 1) != (feedback == f"attempt {attempt - 1} of {n}"):
+            raise ValueError("the feedback of the attempt before is not here")
+        ok = n % 5 < 4 and attempt > n % 5
+        return {"answer": f"{'ok' if ok else 'no'} {n} at {attempt}", "accepted": ok, "feedback": f"attempt {attempt} of {n}"}
+
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    out = rounds.run_rounds(docs, "text", provider, "answer string", shared_folder(spark))
+    return out.select("doc_id", "answer", "accepted", "attempts", "used_feedback")

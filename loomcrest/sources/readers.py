@@ -139,9 +139,9 @@ def taxonomy_types(c: Column) -> Column:
 
 
 def evaluation_files(spark: SparkSession, pattern: str) -> DataFrame:
-    """(path, meta, metrics, details) as variants, one row a file; summaries and invalid files drop out."""
-    df = spark.read.text(pattern, wholetext=True).select(F.input_file_name().alias("path"), F.try_parse_json("value").alias("v"))
-    return df.where("v is not null").where(~F.contains("path", F.lit("summary"))).select("path", *(F.try_variant_get("v", f"$.{c}", "variant").alias(c) for c in ("meta", "metrics", "details")))
+    """(path, modified, meta, metrics, details: variants), one row a file; summaries and invalid files drop out."""
+    df = spark.read.text(pattern, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), F.try_parse_json("value").alias("v"))
+    return df.where("v is not null").where(base_name(F.col("path")) != "summary.json").select("path", "modified", *(F.try_variant_get("v", f"$.{c}", "variant").alias(c) for c in ("meta", "metrics", "details")))
 
 
 def union_sources(sources: dict[str, tuple[str, DataFrame]]) -> DataFrame:
