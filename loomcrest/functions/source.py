@@ -413,3 +413,21 @@ def _fitted(original: pd.Series, body: pd.Series) -> pd.Series:
 def with_header(original: Column, body: Column) -> Column:
     """fit_header of an answer's bare_body."""
     return _fitted(original, bare_body(body))
+
+
+class FunctionBlocks:
+    """Table function (text) -> (place, name, start, end, code): every text from the word `function` to the brace that closes it, in order, overloads kept, equal ones once. Braces count wherever they stand; what has no body, or no end, gives no row."""
+
+    def eval(self, text: str):
+        seen = set()
+        for m in re.finditer(r"\bfunction\b(?:\s+(\w+))?", text or ""):
+            end = naive_end(text, m.start())
+            code = text[m.start() : end] if end else ""
+            if "{" in code and code not in seen:
+                seen.add(code)
+                yield len(seen), m[1] or "", m.start(), end, code
+
+
+def register(spark, name: str = "function_blocks") -> None:
+    """Makes FunctionBlocks a table function of the session, for lateral joins in SQL."""
+    spark.udtf.register(name, F.udtf(FunctionBlocks, returnType="place int, name string, start int, end int, code string"))

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import source
 from ..operators import lsh, postings, rounds, vector_index, versioned
 from ..session import shared_folder, table
+from ..streaming import recurrences
 from . import registry
 from .registry import query
+from .source_queries import _CODE, _ONE, _TWO
 
 _SETS = r"list_distinct(regexp_extract_all(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[A-Za-z0-9]+'))"
 
@@ -69,3 +72,32 @@ def provider_rounds(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     out = rounds.run_rounds(docs, "text", provider, "answer string", shared_folder(spark))
     return out.select("doc_id", "answer", "accepted", "attempts", "used_feedback")
+
+
+_DOUBLE = f"concat({_CODE}, ' function g', cast(p_partkey as string), '(int b) {{ }} ', {_TWO}, ' function open();')"
+
+
+@query(f"""with x as (select p_partkey, {_DOUBLE} c, unnest([{{'place': 1, 'name': 'f' || p_partkey, 'code': {_ONE}}}, {{'place': 2, 'name': 'g' || p_partkey, 'code': {_TWO}}}, {{'place': 3, 'name': 'g' || p_partkey, 'code': 'function g' || p_partkey || '(int b) {{ }}'}}]) f from part)
+select p_partkey, f.place, f.name, position(f.code in c) - 1 as start, md5(f.code) h from x""")
+def function_blocks(spark, d):
+    """Blocks of assembled sources by a table function in a lateral join; a repeated one counts once, an overload twice."""
+    source.register(spark)
+    table(spark, d, "part").select("p_partkey", F.expr(_DOUBLE).alias("c")).createOrReplaceTempView("loomcrest_sources")
+    return spark.sql("select p_partkey, b.place, b.name, cast(b.start as bigint) start, md5(b.code) h from loomcrest_sources, lateral function_blocks(c) b")
+
+
+@query(f"select event_id, lam, baseline, false too_late from ({registry.ORACLES['lagrange']}) join ({registry.ORACLES['ema_baseline']}) using (event_id)")
+def live_log(spark, d):
+    """Multiplier and baseline over a log that is read in three runs of one stream: the first half without some of its last rows, the rest with those, and rows that close every user."""
+    base = shared_folder(spark)
+    e = table(spark, d, "events").select("user_id", "event_id", F.least("value", F.lit(5.0)).alias("cost"), F.col("value").alias("reward"))
+    top = e.agg(F.max("event_id")).first()[0] or 0
+    half, late = top // 2, 500
+    missing = (F.col("event_id") > half - late) & (F.col("event_id") % 5 == 0)
+    close = e.select("user_id").distinct().select("user_id", F.lit(None).cast("long").alias("event_id"), F.lit(0.0).alias("cost"), F.lit(0.0).alias("reward"))
+    first = (F.col("event_id") <= half) & ~missing
+    for part in (e.where(first), e.where(~first), close):
+        part.write.mode("append").json(f"{base}/log")
+        recurrences.settled(spark, f"{base}/log", part.schema, lambda s: recurrences.recurrences(s, "user_id", "event_id", "cost", "reward", late), f"{base}/out", f"{base}/state")
+    out = spark.read.schema("at long, multiplier double, baseline double, too_late boolean").parquet(f"{base}/out")
+    return out.select(F.col("at").alias("event_id"), F.round("multiplier", 5).alias("lam"), F.round("baseline", 5).alias("baseline"), "too_late")

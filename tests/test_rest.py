@@ -74,7 +74,7 @@ TEXTS = [(1, "a"), (2, "bb"), (3, "ccc"), (4, "dddddd"), (5, "zz"), (6, "zzz"),
 
 
 def read_calls(path):
-    return [json.loads(x) for x in path.read_text().splitlines()]
+    return [json.loads(x) for x in path.read_text().splitlines()] if path.exists() else []  # a chunk may have no record
 
 
 def test_rounds(spark, tmp_path):
@@ -116,7 +116,7 @@ def test_rounds_go_on_after_a_kill(spark, tmp_path):
         before = len(read_calls(calls))
         assert rows(rounds.run_rounds(df, "t", flaky(str(calls)), "answer string", state, every=2)) == whole
         made = [tuple(c[:2]) for c in read_calls(calls)]
-        assert 0 < before < len(made) == len(set(made))  # nothing is called twice
+        assert (stop == 1 or before) and before < len(made) == len(set(made))  # nothing is called twice
 
 
 def test_rounds_of_nothing_and_without_feedback(spark, tmp_path):
