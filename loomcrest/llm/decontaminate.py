@@ -85,20 +85,23 @@ def _scan(pattern: list[int], text: list[int], marked_p: bytearray, marked_t: by
         table[h].append(p)
     if not table:
         return []
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    out: list[tuple[int, int, int]] = []
+    last, row = -2, {}  # only the row before is needed: what is left of a match, by its place in the pattern
     for t, h in _windows(text, marked_t, length):
+        before, row = row if last == t - 1 else {}, {}
+        last = t
         for p in table.get(h, ()):
-            before = best.get((p - 1, t - 1))
-            if before is not None and before[2] > length:  # inside a match that began to the left
-                best[(p, t)] = (p, t, before[2] - 1)
+            if before.get(p - 1, 0) > length:  # inside a match that began to the left
+                row[p] = before[p - 1] - 1
                 continue
             if pattern[p : p + length] != text[t : t + length]:
                 continue
             n = length
             while p + n < len(pattern) and t + n < len(text) and not marked_p[p + n] and not marked_t[t + n] and pattern[p + n] == text[t + n]:
                 n += 1
-            best[(p, t)] = (p, t, n)
-    return [m for (p, t), m in best.items() if (p - 1, t - 1) not in best]
+            row[p] = n
+            out.append((p, t, n))
+    return out
 
 
 class Items:
@@ -183,7 +186,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     fields = [rows.schema["doc_id"], T.StructField("item_id", T.LongType()), *(T.StructField(c, T.LongType()) for c in ("n_tiles", "covered_words", "item_words", "longest_tile"))]
     out = None
-    for block in _blocks(benchmark, item_id, item_text, seed, block_words):
+    for block, last in _blocks(benchmark, item_id, item_text, seed, block_words):
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             items = block.value
@@ -194,24 +197,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
                     yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(row, pa.int64())), *(pa.array(c, pa.int64()) for c in rest)], [f.name for f in fields])
 
         part = rows.mapInArrow(run, T.StructType(fields))
+        if not last:  # what stands in the shared folder no longer needs its items
+            part = C.materialize(part)
+            block.unpersist()
         out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], T.StructType(fields))
 
 
-def _blocks(benchmark: DataFrame, item_id: str, item_text: str, seed: int, block_words: int):
-    """Broadcasts of Items, each of at most block_words words (or one item), made as the rows stream to the driver."""
+def _blocks(benchmark: DataFrame, item_id: str, item_text: str, seed: int, block_words: int) -> Iterator[tuple]:
+    """Broadcasts of Items and whether each is the last, each of at most block_words words (or one item), made as the rows stream to the driver: with those that are not the last done with, two are live at most."""
     sc = benchmark.sparkSession.sparkContext
-    held, n = [], 0
+    held, n, ready = [], 0, None
     for r in benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("t is not null").toLocalIterator():
         text = r.t.encode("utf-8", "surrogatepass")
         size = len(text.split())
         if held and n + size > block_words:
-            yield sc.broadcast(Items(held, seed))
-            held, n = [], 0
+            if ready is not None:
+                yield ready, False
+            ready, held, n = sc.broadcast(Items(held, seed)), [], 0
         held.append((r.i, text))
         n += size
     if held:
-        yield sc.broadcast(Items(held, seed))
+        if ready is not None:
+            yield ready, False
+        yield sc.broadcast(Items(held, seed)), True
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", **how) -> DataFrame:
@@ -219,7 +228,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", **
     schema, place = docs.schema, docs.columns.index(text)
     seed, percent = how.pop("seed", 5), how.pop("coverage_percent", 80)
     names = docs.columns
-    for block in _blocks(benchmark, how.pop("item_id", "item_id"), how.pop("item_text", "text"), seed, how.pop("block_words", 1_000_000)):
+    for block, last in _blocks(benchmark, how.pop("item_id", "item_id"), how.pop("item_text", "text"), seed, how.pop("block_words", 1_000_000)):
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             items = block.value
@@ -232,6 +241,9 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", **
                     at += piece.num_rows
 
         docs = docs.mapInArrow(run, schema)
+        if not last:
+            docs = C.materialize(docs)
+            block.unpersist()
     return docs
 
 
