@@ -8,7 +8,7 @@ posterior labels. Only mining sees the labels, and only those of training folds.
 
 The fit uses at most `max_labelled` labelled rows, those of least hash (the documented bound); word counts of the
 sample are summed in Spark, and the driver gets every word and stem of enough support and precision and one small row a
-sampled document: a matrix of a byte for each of both, and of a double for each pair of voters. Scoring is one
+sampled document: the numbers of the voters that fire there. Nothing is held for each pair of voters. Scoring is one
 pass over all texts without a shuffle.
 
 Defined results: null and empty texts fire no voter and get the score of none; repeated rows score alike; without
@@ -84,57 +84,121 @@ class Voters:
         return sorted(out) + [len(self.lexicon) + i for i, f in enumerate(fired) if f]
 
 
-def _blocks(x: np.ndarray, rows: int = 1024) -> Iterator[tuple[slice, np.ndarray]]:
-    for k in range(0, len(x), rows):
-        yield slice(k, k + rows), x[k : k + rows].astype(float)
+@dataclass
+class Votes:
+    """Which voters fire for which row, as lists: voters `at`, row after row, each row's `size` of them."""
+
+    at: np.ndarray
+    size: np.ndarray
+    voters: int
+
+    @classmethod
+    def of(cls, lists: list, voters: int) -> Votes:
+        return cls(np.concatenate([np.asarray(v, np.int64) for v in lists] or [np.zeros(0, np.int64)]), np.array([len(v) for v in lists], np.int64), voters)
+
+    def __post_init__(self):
+        self.row = np.repeat(np.arange(len(self.size)), self.size)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        """A number a row: the sum of its voters' weights."""
+        return np.bincount(self.row, w[self.at], len(self.size))
 
+    def summed(self, by_row: np.ndarray) -> np.ndarray:
+        """A number a voter: the sum over the rows where it fires."""
+        return np.bincount(self.at, by_row[self.row], self.voters)
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = 50, correlated: float = 0.4) -> tuple[np.ndarray, np.ndarray]:
-    """EM for P(voter fires | class) on a rows x voters 0/1 matrix; returns the posterior of class 1 and each voter's weight.
+
+def correlated_with(votes: Votes, post: np.ndarray, on: np.ndarray, least: float) -> np.ndarray:
+    """For each voter how many voters, itself included, have a residual correlation above `least` with it under the present classes.
+
+    A voter's residual in a row is its vote less what the row's classes let expect, which has rank two: so a pair's sum of
+    products follows from how often both fire and from sums a voter. Pairs that never fire together have none above 0 and
+    are not looked at; one voter's pairs are held at a time.
+    """
+    n, m = len(votes.size), votes.voters
+    clean, toxic = votes.summed(1 - post), votes.summed(post)
+    s00, s01, s11 = float(((1 - post) ** 2).sum()), float((post * (1 - post)).sum()), float((post**2).sum())
+
+    def products(i: int, j: np.ndarray, both: np.ndarray) -> np.ndarray:
+        cross = on[0][j] * clean[i] + on[1][j] * toxic[i] + on[0][i] * clean[j] + on[1][i] * toxic[j]
+        return both - cross + on[0][i] * on[0][j] * s00 + (on[0][i] * on[1][j] + on[1][i] * on[0][j]) * s01 + on[1][i] * on[1][j] * s11
+
+    fires = np.bincount(votes.at, minlength=m)
+    own = np.array([products(i, np.array([i]), fires[i : i + 1])[0] for i in range(m)]) if m else np.zeros(0)
+    scale = np.sqrt(np.maximum(own, 0) / n) + 1e-9
+    first = np.concatenate(([0], np.cumsum(votes.size)))
+    order = np.argsort(votes.at, kind="stable")
+    rows_of, ends = votes.row[order], np.concatenate(([0], np.cumsum(fires)))
+    out = np.ones(m)
+    for i in range(m):
+        rows = rows_of[ends[i] : ends[i + 1]]
+        if not len(rows):
+            continue
+        sizes = votes.size[rows]
+        places = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(first[rows], sizes)
+        j, both = np.unique(votes.at[places], return_counts=True)
+        corr = products(i, j, both) / n / scale[i] / scale[j]
+        out[i] = max(1, int((corr > least).sum()))
+    return out
+
+
+def label_model(votes: Votes, prior: float, rounds: int = 50, correlated: float = 0.4) -> tuple[np.ndarray, np.ndarray]:
+    """EM for P(voter fires | class); returns the posterior of class 1 of each row and each voter's weight.
 
     A voter's weight is one over the number of voters that it is correlated with inside the classes, itself included.
     """
-    n, m = votes.shape
-    share = votes.sum(1)
-    post = np.where(share >= 2, 0.95, np.where(share == 1, 0.3, 0.02))
+    n, m = len(votes.size), votes.voters
+    post = np.where(votes.size >= 2, 0.95, np.where(votes.size == 1, 0.3, 0.02))
     weight = np.ones(m)
     for k in range(rounds):
-        fired = sum((np.stack([1 - post[s], post[s]]) @ v for s, v in _blocks(votes)), np.zeros((2, m)))
+        fired = np.stack([votes.summed(1 - post), votes.summed(post)])
         on = (fired + 0.1) / np.array([[(1 - post).sum() + 1], [post.sum() + 1]])
-        if k in (5, 20):  # residual correlations under the present classes
-            both = np.zeros((m, m))
-            for s, v in _blocks(votes):
-                v -= (1 - post[s])[:, None] * on[0] + post[s][:, None] * on[1]
-                both += v.T @ v
-            scale = np.sqrt(np.diag(both) / n) + 1e-9
-            corr = both / n / scale[:, None] / scale
-            weight = 1 / np.maximum(1, (corr > correlated).sum(0))
-        odds = weight * (np.log(on[1]) - np.log(on[0]))
-        odds = np.maximum(odds, 0)  # voters vote for toxic or abstain
-        none = np.log((1 - on[1]) / (1 - on[0]))  # what abstaining says, jointly bounded
-        logit = np.concatenate([np.log(prior / (1 - prior)) + v @ odds + np.maximum((1 - v) @ (weight * none), -4) for _, v in _blocks(votes)])
+        if k in (5, 20):
+            weight = 1 / correlated_with(votes, post, on, correlated)
+        odds = np.maximum(weight * (np.log(on[1]) - np.log(on[0])), 0)  # voters vote for toxic or abstain
+        none = weight * np.log((1 - on[1]) / (1 - on[0]))  # what abstaining says, jointly bounded
+        logit = np.log(prior / (1 - prior)) + votes.times(odds) + np.maximum(none.sum() - votes.times(none), -4)
         new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        if np.abs(new - post).max() < 1e-6:
+        if np.abs(new - post).max(initial=0) < 1e-6:
             post = new
             break
         post = new
     return post, weight
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, l2: float = 0.3, rounds: int = 30) -> np.ndarray:
-    """Logistic regression on soft labels by Newton steps; the last weight is the intercept, free of the penalty."""
-    m = x.shape[1] + 1
-    w = np.zeros(m)
-    penalty = np.full(m, l2)
-    penalty[-1] = 1e-6
+def _solved(product, right: np.ndarray, scale: np.ndarray, most: int = 1000) -> np.ndarray:
+    """x with product(x) = right, by conjugate gradients with a diagonal preconditioner."""
+    x = np.zeros_like(right)
+    r = right.copy()
+    z = r / scale
+    p, rz = z.copy(), float(r @ z)
+    for _ in range(most):
+        if np.abs(r).max(initial=0) < 1e-10:
+            break
+        q = product(p)
+        step = rz / float(p @ q)
+        x += step * p
+        r -= step * q
+        z = r / scale
+        rz, before = float(r @ z), rz
+        p = z + (rz / before) * p
+    return x
+
+
+def fit_linear(votes: Votes, y: np.ndarray, l2: float = 0.3, rounds: int = 30) -> np.ndarray:
+    """Logistic regression on soft labels by Newton steps, each solved without a matrix; the last weight is the intercept, free of the penalty."""
+    m = votes.voters
+    w, penalty = np.zeros(m + 1), np.append(np.full(m, l2), 1e-6)
     for _ in range(rounds):
-        g, h = penalty * w, np.diag(penalty)
-        for s, v in _blocks(x):
-            v = np.hstack([v, np.ones((len(v), 1))])
-            p = 1 / (1 + np.exp(-np.clip(v @ w, -30, 30)))
-            g += v.T @ (p - y[s])
-            h += (v * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ v
-        step = np.linalg.solve(h, g)
+        p = 1 / (1 + np.exp(-np.clip(votes.times(w[:-1]) + w[-1], -30, 30)))
+        h = np.maximum(p * (1 - p), 1e-6)
+        g = penalty * w + np.append(votes.summed(p - y), (p - y).sum())
+
+        def product(x: np.ndarray, h: np.ndarray = h) -> np.ndarray:
+            hx = h * (votes.times(x[:-1]) + x[-1])
+            return penalty * x + np.append(votes.summed(hx), hx.sum())
+
+        step = _solved(product, g, penalty + np.append(votes.summed(h), h.sum()))
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -180,9 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([voters.votes(t) for t in C.bytes_column(piece, "text")], pa.list_(pa.int32()))], ["i", "v"])
 
     rows = sample.select("i", "text").mapInArrow(votes, "i long, v array<int>").toPandas().sort_values("i", kind="stable")
-    x = np.zeros((len(rows), voters.size), np.uint8)
-    for k, v in enumerate(rows.v):
-        x[k, v] = 1
+    x = Votes.of(list(rows.v), voters.size)
     post, _ = label_model(x, n[True] / (n[True] + n[False]))
     return Model(voters, fit_linear(x, post))
 

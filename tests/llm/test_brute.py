@@ -228,3 +228,105 @@ def test_stage_rows(spark, hard):
     assert [r.start for r in index] == [sum(x.n_tokens for x in index[:k]) for k in range(len(index))]
     for name, f in p.STAGES:
         assert f(spark, hard.limit(0), SF).count() == 0, name
+
+
+def dense_label_model(x, prior, rounds=50, correlated=0.4):
+    """The model by its definition, on lists, with every pair of voters."""
+    from math import exp, log, sqrt
+
+    n, m = len(x), len(x[0])
+    post = [0.95 if sum(r) >= 2 else 0.3 if sum(r) == 1 else 0.02 for r in x]
+    weight = [1.0] * m
+    for k in range(rounds):
+        on = []
+        for c in (0, 1):
+            q = [p if c else 1 - p for p in post]
+            on.append([(sum(a * r[j] for a, r in zip(q, x, strict=True)) + 0.1) / (sum(q) + 1) for j in range(m)])
+        if k in (5, 20):
+            e = [[r[j] - (1 - p) * on[0][j] - p * on[1][j] for j in range(m)] for r, p in zip(x, post, strict=True)]
+            cov = [[sum(r[i] * r[j] for r in e) / n for j in range(m)] for i in range(m)]
+            sd = [sqrt(cov[j][j]) + 1e-9 for j in range(m)]
+            weight = [1 / max(1, sum(cov[i][j] / sd[i] / sd[j] > correlated for j in range(m))) for i in range(m)]
+        new = []
+        for r in x:
+            s = log(prior / (1 - prior)) + sum(v * max(0, w * (log(b) - log(a))) for v, w, a, b in zip(r, weight, *on, strict=True))
+            s += max(-4, sum((1 - v) * w * log((1 - b) / (1 - a)) for v, w, a, b in zip(r, weight, *on, strict=True)))
+            new.append(1 / (1 + exp(-max(-30, min(30, s)))))
+        gap = max(abs(a - b) for a, b in zip(new, post, strict=True))
+        post = new
+        if gap < 1e-6:
+            break
+    return post, weight
+
+
+def random_votes(seed, n=200, m=14):
+    import numpy as np
+
+    g = np.random.default_rng(seed)
+    y = g.random(n) < 0.3
+    x = (g.random((n, m)) < np.where(y[:, None], 0.35, 0.04)).astype(int)
+    x[:, 1] = x[:, 0]  # equal voters
+    x[:, 2] = x[:, 0] * (g.random(n) < 0.9)
+    x[:, 3] = 0  # one that never fires
+    return x, y
+
+
+def test_label_model_is_its_definition():
+    import numpy as np
+
+    from loomcrest.llm import toxicity
+
+    for seed in range(4):
+        x, _ = random_votes(seed)
+        post, weight = toxicity.label_model(toxicity.Votes.of([np.flatnonzero(r) for r in x], x.shape[1]), 0.3)
+        want, want_weight = dense_label_model(x.tolist(), 0.3)
+        assert np.allclose(post, want, atol=1e-6) and np.allclose(weight, want_weight) and weight[0] <= 0.5
+
+
+def test_linear_fit_is_the_minimum():
+    import numpy as np
+
+    from loomcrest.llm import toxicity
+
+    for seed in range(3):
+        x, y = random_votes(seed)
+        y = np.where(y, 0.9, 0.05)
+        w = toxicity.fit_linear(toxicity.Votes.of([np.flatnonzero(r) for r in x], x.shape[1]), y)
+        p = 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))
+        gradient = np.append(x.T @ (p - y) + 0.3 * w[:-1], (p - y).sum() + 1e-6 * w[-1])
+        assert np.abs(gradient).max() < 1e-4
+
+
+def test_many_voters_need_no_matrix():
+    import numpy as np
+
+    from loomcrest.llm import toxicity
+
+    g = np.random.default_rng(1)
+    votes = toxicity.Votes.of([g.integers(0, 60_000, 12) for _ in range(4000)], 60_000)  # a matrix of pairs had 29 GB
+    post, weight = toxicity.label_model(votes, 0.2, rounds=8)
+    assert len(weight) == 60_000 and len(toxicity.fit_linear(votes, post, rounds=2)) == 60_001
+
+
+def test_tiling_of_one_word_is_bounded():
+    import tracemalloc
+
+    from loomcrest.llm import decontaminate
+
+    tracemalloc.start()
+    tiles = decontaminate.tile([1] * 200, [1] * 4000, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(n for *_, n in tiles) == 200 and peak < 3_000_000
+
+
+def test_decontamination_in_many_blocks(spark):
+    from loomcrest.llm import decontaminate
+
+    item = lambda k: " ".join(f"w{k}x{i}" for i in range(12))
+    bench = spark.createDataFrame([(k, item(k)) for k in range(9)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"a b {item(k)} c") for k in range(9)] + [(50, "clean words only")], "doc_id long, text string")
+    for words in (12, 30, 1000):
+        got = sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench, block_words=words).collect())
+        assert got == [(k, k) for k in range(9)]
+        assert [r.doc_id for r in decontaminate.decontaminated(docs, bench, block_words=words).collect()] == [50]
