@@ -57,3 +57,16 @@ def _clusters(k: int, rounds: int, dims: int) -> str:
 
 
 CLUSTERS = _clusters(40, 5, 64)
+
+#: The contract's base columns of two operators whose own results have no SQL.
+BASE_QUALITY = r"""with d as (select row_number() over () r, doc_id, text t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws from documents),
+w as (select r, i, array_to_string(ws[i:i + 7], ' ') k from (select r, ws, unnest(range(1, greatest(len(ws) - 6, 1))) i from d)),
+c as (select distinct r, unnest(range(i, i + 8)) p from (select r, i, count(*) over (partition by r, k) n from w) where n > 1),
+n as (select r, count(*) n from c group by 1),
+l as (select r, string_split(t, chr(10)) ls from d where t is not null), u as (select r, unnest(ls) x from l), e as (select r, sum(n - 1) n from (select r, x, count(*) n from u where regexp_matches(x, '[^\x20\x09-\x0D]') group by 1, 2) group by 1)
+select doc_id, len(ws) n_words, length(array_to_string(ws, ''))::bigint word_chars, length(regexp_replace(array_to_string(ws, ''), '[^#*$%&|<>]', '', 'g'))::bigint n_symbols, coalesce(e.n, 0)::bigint n_dup_lines, coalesce(n.n, 0)::bigint n_repeat_words, len(ws) < 20 or 100 * coalesce(n.n, 0) > 30 * len(ws) base_failed from d left join n using (r) left join e using (r)"""
+
+_ANY = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in "(password|passwd|secret|token|api_?key)")
+BASE_SECRETS = rf"""with d as (select doc_id, coalesce(text, '') t from documents)
+select doc_id, len(list_filter(regexp_extract_all(t, '{_ANY}["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 12)) n_assign,
+len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 18)) n_access, len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 16)) n_hex from d"""
