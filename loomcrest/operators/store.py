@@ -35,8 +35,3 @@ def append_fixes(existing: DataFrame, new: DataFrame, seq: str, key: str = "func
 def add_columns(df: DataFrame, **kinds: str) -> DataFrame:
     """Adds what is missing, as nulls."""
     return df.withColumns({c: F.lit(None).cast(k) for c, k in kinds.items() if c not in df.columns})
-
-
-def backfill_status(types, stored, derived):
-    """What a backfill would do with a row: no types, unchanged, or an update."""
-    return F.when(F.size(F.coalesce(types, F.array())) == 0, "skipped_no_types").when(stored.eqNullSafe(derived), "skipped_unchanged").otherwise("updated")

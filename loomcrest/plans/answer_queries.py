@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import responses, source, text
+from ..functions import responses, sanitize, source, text
 from ..operators import curate, evaluate, providers, reports, retrieve
 from ..session import shared_folder, table
 from ..sources import readers
@@ -146,3 +146,15 @@ def paired_bugs(spark, d):
     read = readers.bug_logs(spark, f"{base}/logs", "*.txt").withColumn("name", F.col("start").cast("string"))
     sources = x.select(F.concat(F.lit("buggy_"), F.col("s_suppkey"), F.lit(".sol")).alias("name"), F.lit("text").alias("text"))
     return readers.paired_files(sources, read).select(F.col("name").cast("long").alias("k"), "start", "end")
+
+
+_NL = "chr(10)"
+_UNCLEAN = f"concat('pragma solidity ^0.5.0;', {_NL}, 'contract C', cast(p_partkey as string), ' {{{{', {_NL}, case p_partkey % 3 when 0 then '  MyToken tok;' when 1 then '  Owner public o;' else '  Thing t;' end, {_NL}, '  function f() {{{{ Deal memory d; d.z = 1; d.a = 2; ', case when p_partkey % 2 = 0 then 'tok.transfer(x, 1);' else '' end, ' }}}}', {_NL}, '}}}}')".replace("{{", "{").replace("}}", "}")
+_STUB = "'" + sanitize.TOKEN_STUB.replace("\n", "' || chr(10) || '") + "'"
+
+
+@query(f"""select p_partkey, 'pragma solidity ^0.5.0;' || {_NL} || case when p_partkey % 2 = 0 then {_NL} || {_STUB} else '' end || 'contract C' || p_partkey || ' {{' || {_NL} || '    struct Deal {{' || {_NL} || '    uint256 a;' || {_NL} || '    uint256 z;' || {_NL} || '    }}' || {_NL} || case p_partkey % 3 when 0 then 'IERC20 tok;' when 1 then 'address public o;' else '  Thing t;' end || {_NL}
+|| '  function f() {{ Deal memory d; d.z = 1; d.a = 2; ' || case when p_partkey % 2 = 0 then 'tok.transfer(x, 1);' else '' end || ' }}' || {_NL} || '}}' clean from part""")
+def sanitized_sources(spark, d):
+    """Assembled sources that call a token and have undeclared types."""
+    return table(spark, d, "part").select("p_partkey", sanitize.sanitize(F.expr(_UNCLEAN)).alias("clean"))

@@ -14,10 +14,11 @@ def base_name(path: Column) -> Column:
     return F.substring_index(F.regexp_replace(path, r"\\", "/"), "/", -1)
 
 
-def source_files(spark: SparkSession, path: str, pattern: str = "*.sol") -> DataFrame:
-    """(path, name, text): every file below path, whole."""
+def source_files(spark: SparkSession, path: str, pattern: str = "*.sol", sample: int | None = None, seed: int = 42) -> DataFrame:
+    """(path, name, text): every file below path, whole; or `sample` of them by hash."""
     df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True)
-    return df.select(F.input_file_name().alias("path"), F.col("value").alias("text")).withColumn("name", base_name(F.col("path")))
+    df = df.select(F.input_file_name().alias("path"), F.col("value").alias("text")).withColumn("name", base_name(F.col("path")))
+    return df if sample is None else df.orderBy(F.md5(F.concat(F.lit(str(seed)), "path"))).limit(sample)
 
 
 def labelled_files(spark: SparkSession, path: str, pattern: str = "*.sol", skip: tuple[str, ...] = ("dataset", "scripts", "tools")) -> DataFrame:
@@ -107,8 +108,21 @@ def voted_functions(ranges: DataFrame, found: DataFrame) -> DataFrame:
     return both.groupBy("file", "signature", "category").agg(F.array_sort(F.collect_set("line")).alias("lines"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("tools")))).alias("tools"))
 
 
+def malformed_lines(spark: SparkSession, path: str, schema: str, most: int = 5) -> list[tuple[str, int]]:
+    """(file, line number) of the first malformed JSON lines, at most so many. Blank lines are none."""
+    m = F.col("_metadata")
+    kind = f"{schema}, _corrupt_record string"
+    lines = spark.read.text(path).select("value", m["file_path"].alias("file"), m["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("n"))
+    bad = F.from_json("value", kind, {"columnNameOfCorruptRecord": "_corrupt_record"})["_corrupt_record"].isNotNull() & (strip(F.col("value")) != "")
+    found = lines.where(bad).orderBy("file", "block", "n").limit(most).collect()
+    before = lambda r: lines.where((F.col("file") == r.file) & ((F.col("block") < r.block) | ((F.col("block") == r.block) & (F.col("n") < r.n)))).count()
+    return [(r.file, before(r) + 1) for r in found]
+
+
 def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = False, limit: int | None = None) -> DataFrame:
-    """JSON lines; malformed ones drop out, or fail the read. With a limit the first of them."""
+    """JSON lines; malformed ones drop out, or fail the read with the file and the line of the first ones. With a limit the first of them."""
+    if strict and (bad := malformed_lines(spark, path, schema)):
+        raise ValueError("malformed JSON: " + ", ".join(f"{file}:{line}" for file, line in bad))
     df = spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
     return df.limit(limit) if limit else df
 
