@@ -217,6 +217,9 @@ def test_stage_rows(spark, hard):
     kept = stage["quality_rules"](spark, hard, SF)
     # fewer than 20 words go, and so do texts that repeat themselves
     assert kept.columns == hard.columns and texts(kept) == []
+    fine = spark.createDataFrame([(77, "The old mill by the river turned slowly all through the warm summer while children ran along its banks and laughed at every passing boat.")], "doc_id long, text string")
+    with_fine = hard.unionByName(fine, allowMissingColumns=True)
+    assert [i for i, _ in texts(stage["quality_rules"](spark, with_fine, SF))] == [77]
     near = stage["near_dedup"](spark, hard, SF)
     assert near.columns == hard.columns and texts(near) == texts(hard)  # an id's rows stay together; nothing else is alike
     clean = stage["decontamination"](spark, hard, SF)
@@ -330,3 +333,62 @@ def test_decontamination_in_many_blocks(spark):
         got = sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench, block_words=words).collect())
         assert got == [(k, k) for k in range(9)]
         assert [r.doc_id for r in decontaminate.decontaminated(docs, bench, block_words=words).collect()] == [50]
+
+
+def test_near_duplicates_exact_setting(spark):
+    """rows=1 and no slack: every pair of 0.8 or more is linked, whatever its signature."""
+    import random
+
+    from loomcrest.llm import minhash
+
+    g = random.Random(70)
+    docs = []
+    for k in range(40):
+        base = [f"w{g.randrange(4000)}" for _ in range(g.choice((6, 12, 30, 60)))]
+        docs.append(" ".join(base))
+        for _ in range(2):
+            docs.append(" ".join(w if g.random() < 0.96 else f"x{g.randrange(4000)}" for w in base))
+    rows = list(enumerate(docs))
+    sets = {i: frozenset(zip(t.split(), t.split()[1:], strict=False)) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    links = 0
+    for i in sets:
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+                links += 1
+    assert links > 15
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for how in ({"rows": 1, "slack": float("inf")}, {}):
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, width=2, **how).collect()}
+        assert got == {i: root(i) for i in sets}
+
+
+def test_planted_pairs_at_the_threshold(spark):
+    """Of near copies whose exact similarity is 0.8 or more, all are in one group (the driver's own copies include ones below)."""
+    from loomcrest.llm import minhash
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs.select("doc_id", "text"), width=5).collect()}
+
+    def shingles(t):
+        ws = (t or "").translate({c: c + 32 for c in range(65, 91)}).encode().split()
+        return frozenset(tuple(ws[i : i + 5]) for i in range(max(len(ws) - 4, bool(ws))))
+
+    by, pairs, caught = {}, set(), 0
+    sets = {i: shingles(t) for i, t in text.items()}
+    for i, s in sets.items():
+        for x in list(s)[:400]:
+            by.setdefault(x, []).append(i)
+    for ids in by.values():
+        pairs |= {(a, b) for a in ids[:60] for b in ids[:60] if a < b}
+    near = [(a, b) for a, b in pairs if sets[a] != sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    caught = sum(got[a] == got[b] for a, b in near)
+    assert near and caught == len(near)
