@@ -111,25 +111,28 @@ def annotation(response: Column, tool_flag: Column) -> Column:
 
     Null where there is no JSON object, or a number is none.
     """
-    v = F.try_parse_json(json_of_annotation(response))
-    severity, bad = _number(v, "severity", 0.0)
-    confidence, worse = _number(v, "confidence", 0.5)
-    label = F.when(_true(v, "is_safe"), "safe").otherwise("vulnerable")
-    critique = _text(v, "slither_critique")
-    tool = F.when(tool_flag, "vulnerable").otherwise("safe")
-    whole = F.struct(
-        label.alias("label"),
-        _text(v, "analysis").alias("analysis"),
-        _text(v, "reasoning").alias("reasoning"),
-        _types(v).alias("vulnerability_types"),
-        severity.alias("severity"),
-        confidence.alias("confidence"),
-        _text(v, "suggested_fix").alias("suggested_fix"),
-        _true(v, "agrees_with_slither").alias("agreement"),
-        critique.alias("critique"),
-        F.when(tool_flag.isNotNull() & (tool != label), F.struct(tool.alias("tool"), label.alias("model"), critique.alias("critique"))).alias("disagreement"),
-    )
-    return F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")) & ~bad & ~worse, whole)
+
+    def whole(v: Column) -> Column:
+        severity, bad = _number(v, "severity", 0.0)
+        confidence, worse = _number(v, "confidence", 0.5)
+        label = F.when(_true(v, "is_safe"), "safe").otherwise("vulnerable")
+        critique = _text(v, "slither_critique")
+        tool = F.when(tool_flag, "vulnerable").otherwise("safe")
+        made = F.struct(
+            label.alias("label"),
+            _text(v, "analysis").alias("analysis"),
+            _text(v, "reasoning").alias("reasoning"),
+            _types(v).alias("vulnerability_types"),
+            severity.alias("severity"),
+            confidence.alias("confidence"),
+            _text(v, "suggested_fix").alias("suggested_fix"),
+            _true(v, "agrees_with_slither").alias("agreement"),
+            critique.alias("critique"),
+            F.when(tool_flag.isNotNull() & (tool != label), F.struct(tool.alias("tool"), label.alias("model"), critique.alias("critique"))).alias("disagreement"),
+        )
+        return _object(v, made, bad, worse)
+
+    return let(F.try_parse_json(json_of_annotation(response)), whole)
 
 
 def fix(response: Column, retry: bool = False) -> Column:
@@ -137,19 +140,24 @@ def fix(response: Column, retry: bool = False) -> Column:
 
     An object with no code in it gives null, even where a fence stands beside it.
     """
-    fenced = _some(code_of(response))
     out = lambda code, analysis, how: F.struct(code.alias("code"), analysis.alias("analysis"), F.lit(how).alias("how"))
     nothing = F.lit("").cast("string")
     if retry:
-        return F.when(fenced.isNotNull(), out(fenced, nothing, "retry"))
-    j = json_of_fix(response)
-    v = F.try_parse_json(j)
-    code = _some(strip(F.regexp_replace(F.try_variant_get(v, "$.fixed_code", "string"), r"```(?:solidity)?", "")))
-    return (
-        F.when(j.isNull() & fenced.isNotNull(), out(fenced, nothing, "no_json"))
-        .when(j.isNotNull() & v.isNull() & fenced.isNotNull(), out(fenced, nothing, "bad_json"))
-        .when(v.isNotNull() & code.isNotNull(), out(code, _text(v, "fix_analysis"), "json"))
-    )
+        return let(_some(code_of(response)), lambda fenced: F.when(fenced.isNotNull(), out(fenced, nothing, "retry")))
+
+    def read(x: Column) -> Column:
+        code = _some(strip(F.regexp_replace(F.try_variant_get(F.try_parse_json(x["j"]), "$.fixed_code", "string"), r"```(?:solidity)?", "")))
+        return let(F.struct(x["fenced"].alias("fenced"), x["j"].alias("j"), F.try_parse_json(x["j"]).alias("v"), code.alias("code")), choose)
+
+    def choose(x: Column) -> Column:
+        fenced, j, v, code = (x[n] for n in ("fenced", "j", "v", "code"))
+        return (
+            F.when(j.isNull() & fenced.isNotNull(), out(fenced, nothing, "no_json"))
+            .when(j.isNotNull() & v.isNull() & fenced.isNotNull(), out(fenced, nothing, "bad_json"))
+            .when(v.isNotNull() & code.isNotNull(), out(code, _text(v, "fix_analysis"), "json"))
+        )
+
+    return let(F.struct(_some(code_of(response)).alias("fenced"), json_of_fix(response).alias("j")), read)
 
 
 def query_block(types: Column, severity: Column, code: Column) -> Column:

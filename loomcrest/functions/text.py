@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .taxonomy import let
+
 #: identifiers, numbers, or any single visible character
 TOKEN = r"(?U)[A-Za-z_]\w+|\d+|[^\s]"
 TYPE_LINE = r"(?mi)^\s*-\s*Type:\s*(.+?)\s*$"
@@ -165,20 +167,30 @@ PROMPT_TAILS = ("\nPlease provide", "\nOutput ONLY", "\nPlease output", "\nOutpu
 
 def split_prompt(c: Column) -> Column:
     """struct<before, code, after>: a prompt up to 'Source Code:', its code, and the request behind; code is null without the mark."""
-    s = normalize_newlines(c)
-    head = F.regexp_extract(s, r"(?s)^(.*?\*\*Source Code:\*\*)", 1)
-    plain = F.regexp_extract(s, r"(?s)^(.*?Source Code:(?:\*\*)?)", 1)
-    before = F.when(head != "", head).otherwise(plain)
-    rest = F.substr(s, F.length(before) + 1)
-    at = [F.instr(rest, m) for m in PROMPT_TAILS]
-    cut = F.coalesce(*(F.nullif(x, F.lit(0)) for x in at))
-    code = F.when(cut.isNull(), rest).otherwise(F.left(rest, cut - 1))
-    found = before != ""
-    return F.struct(
-        F.when(found, before).otherwise(s).alias("before"),
-        F.when(found, F.regexp_replace(code, r"^\n+", "")).alias("code"),
-        F.when(found & cut.isNotNull(), F.substr(rest, cut)).otherwise("").alias("after"),
-    )
+
+    def begun(s: Column) -> Column:
+        head = F.nullif(F.regexp_extract(s, r"(?s)^(.*?\*\*Source Code:\*\*)", 1), F.lit(""))
+        before = F.coalesce(head, F.regexp_extract(s, r"(?s)^(.*?Source Code:(?:\*\*)?)", 1))
+        return let(F.struct(s.alias("s"), before.alias("before")), behind)
+
+    def behind(x: Column) -> Column:
+        rest = F.substr(x["s"], F.length(x["before"]) + 1)
+        return let(F.struct(x["s"].alias("s"), x["before"].alias("before"), rest.alias("rest")), ended)
+
+    def ended(x: Column) -> Column:
+        cut = F.coalesce(*(F.nullif(F.instr(x["rest"], m), F.lit(0)) for m in PROMPT_TAILS))
+        return let(F.struct(*(x[n].alias(n) for n in ("s", "before", "rest")), cut.alias("cut")), parts)
+
+    def parts(x: Column) -> Column:
+        found, cut, rest = x["before"] != "", x["cut"], x["rest"]
+        code = F.when(cut.isNull(), rest).otherwise(F.left(rest, cut - 1))
+        return F.struct(
+            F.when(found, x["before"]).otherwise(x["s"]).alias("before"),
+            F.when(found, F.regexp_replace(code, r"^\n+", "")).alias("code"),
+            F.when(found & cut.isNotNull(), F.substr(rest, cut)).otherwise("").alias("after"),
+        )
+
+    return let(normalize_newlines(c), begun)
 
 
 def shrunk_prompt(c: Column, size: Column, most: int, block_of) -> Column:
