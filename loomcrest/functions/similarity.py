@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import math
 from collections import Counter
 
@@ -11,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
+from .matching import changes, ratio
 from .text import strip_comments
 
 
@@ -41,7 +41,7 @@ def bleu(reference: list[str], candidate: list[str], epsilon: float = 0.1) -> fl
 
 
 def edit_ratio(a: list[str], b: list[str]) -> float:
-    return difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0.0
+    return ratio(a, b) if a and b else 0.0
 
 
 def visible(text: str) -> str:
@@ -51,7 +51,7 @@ def visible(text: str) -> str:
 
 def text_ratio(a: str, b: str) -> float:
     a, b = visible(a), visible(b)
-    return 1.0 if not a and not b else difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0.0
+    return 1.0 if not a and not b else ratio(a, b) if a and b else 0.0
 
 
 @F.pandas_udf(DoubleType())
@@ -71,7 +71,7 @@ def _text(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @F.pandas_udf(DoubleType())
 def _ops(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([difflib.SequenceMatcher(None, list(x), list(y)).ratio() if x is not None and y is not None and len(x) and len(y) else None for x, y in zip(a, b, strict=True)], dtype="Float64").astype(float)
+    return pd.Series([ratio(list(x), list(y)) if x is not None and y is not None and len(x) and len(y) else None for x, y in zip(a, b, strict=True)], dtype="Float64").astype(float)
 
 
 def bleu_score(reference: Column, candidate: Column) -> Column:
@@ -93,7 +93,8 @@ def operation_similarity(a: Column, b: Column) -> Column:
 
 
 def unified_diff(a: str, b: str) -> str:
-    return "\n".join(difflib.unified_diff((a or "").splitlines(), (b or "").splitlines(), lineterm=""))
+    """What changes from a to b, as hunks of lines; the empty text for equal ones."""
+    return "\n".join(changes((a or "").splitlines(), (b or "").splitlines()))
 
 
 @F.pandas_udf(StringType())

@@ -174,6 +174,11 @@ def most_severe(findings: Column, rank_field: str = "severity") -> Column:
     return F.array_min(ranked)["x"]
 
 
+def most_severe_row(row: Column, severity: Column, order: Column) -> Column:
+    """An aggregate: of a group's rows the first, by order, of highest rank."""
+    return F.min_by(row, F.struct((-lookup(SEVERITY_RANK, severity, F.lit(2))).alias("r"), order.alias("o")))
+
+
 # --- fixed values: canonical types, the first rule that holds decides -------------------------------------------------
 CANONICAL_EXACT = {
     "REENTRANCY": ["reentrancy"],

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import interval_join
@@ -86,10 +86,13 @@ def analyzer_call_graph(functions: DataFrame, calls: DataFrame, callers: int = 3
     stub = F.concat(F.lit("function "), F.col("callee"), F.lit("(...) { ... }"))
     known = once.join(code, ["callee_contract", "callee"], "left")
     called = F.struct("seq", F.col("callee").alias("name"), F.col("callee_contract").alias("contract"), F.coalesce(F.nullif("callee_code", F.lit("")), stub).alias("code"))
-    first = lambda c, n, fields: F.transform(F.slice(F.array_sort(F.collect_list(c)), 1, n), lambda x: F.struct(*(x[k].alias(k) for k in fields)))
-    down = known.groupBy("contract", F.col("caller").alias("name")).agg(first(called, callees, ["name", "contract", "code"]).alias("called_functions"))
+    listed = lambda c, fields: F.transform(F.array_sort(F.collect_list(c)), lambda x: F.struct(*(x[k].alias(k) for k in fields)))
+    few = lambda df, by, order, n: df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= n)  # noqa: E731  before anything is gathered
+    known = few(known, ["contract", "caller"], ["seq", "callee", "callee_contract"], callees)
+    down = known.groupBy("contract", F.col("caller").alias("name")).agg(listed(called, ["name", "contract", "code"]).alias("called_functions"))
     signature = functions.select("contract", F.col("name").alias("caller"), F.col("signature").alias("caller_signature")).dropDuplicates(["contract", "caller"])
     inner = once.where("contract = callee_contract").join(signature, ["contract", "caller"], "left")
     calling = F.struct("seq", F.col("caller").alias("name"), F.coalesce("caller_signature", "caller").alias("signature"))
-    up = inner.groupBy("contract", F.col("callee").alias("name")).agg(first(calling, callers, ["name", "signature"]).alias("caller_functions"))
+    inner = few(inner, ["contract", "callee"], ["seq", "caller"], callers)
+    up = inner.groupBy("contract", F.col("callee").alias("name")).agg(listed(calling, ["name", "signature"]).alias("caller_functions"))
     return functions.join(down, ["contract", "name"], "left").join(up, ["contract", "name"], "left")

@@ -5,7 +5,6 @@ Queries are a stated set; every source meets all documents through an equi-join
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..functions.matching import ratio
 from ..functions.responses import augmented_prompt
 from ..functions.text import compact_code, token_estimate, tokens
 
@@ -237,7 +237,7 @@ def mmr(ranked: DataFrame, k: int, weight: float = 0.7, query: str = "query_id",
         close = {i: 0.0 for i in left}
         while len(chosen) < k and left:
             for i in left:
-                close[i] = max(close[i], difflib.SequenceMatcher(None, p[text][i] or "", p[text][chosen[-1]] or "").ratio())
+                close[i] = max(close[i], ratio(p[text][i] or "", p[text][chosen[-1]] or ""))
             best = max(left, key=lambda i: (weight * p[score][i] - (1 - weight) * close[i], -i))
             chosen.append(best)
             left.remove(best)

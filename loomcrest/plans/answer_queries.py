@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import responses, sanitize, source, text
-from ..operators import curate, evaluate, providers, reports, retrieve
+from ..operators import contexts, curate, evaluate, providers, reports, retrieve
 from ..session import shared_folder, table
 from ..sources import readers
 from .catalogue import _OVERLAP
@@ -158,3 +158,32 @@ _STUB = "'" + sanitize.TOKEN_STUB.replace("\n", "' || chr(10) || '") + "'"
 def sanitized_sources(spark, d):
     """Assembled sources that call a token and have undeclared types."""
     return table(spark, d, "part").select("p_partkey", sanitize.sanitize(F.expr(_UNCLEAN)).alias("clean"))
+
+
+@query("""with p as (select p_partkey k, p_partkey // 8 c, p_partkey % 8 f, p_size s, case p_partkey % 3 when 0 then 'function f() { emit E0(); for (i) { require(x); } }' when 1 then 'function f() { y.E1(2); }' else null end code from part where p_partkey % 8 < 6)
+select a.k, a.code is not null coded, case when a.code like '%emit E0%' or b.code like '%emit E0%' then case when a.code like '%E1(%' or b.code like '%E1(%' then 'E0,E1' else 'E0' end when a.code like '%E1(%' or b.code like '%E1(%' then 'E1' else '' end events, case when b.k is not null then 'f' || b.f else '' end callees, (select count(*) from p u where u.c = a.c and u.f = a.f - 1) callers,
+(select count(*) from p v where v.c = a.c) variables, (select arg_min(case when s % 2 = 0 then 'uint public v' || f || ';' else 'own v' || f end, f) from p v where v.c = a.c) "first", (select count(*) from p v where v.c = a.c) n_functions, a.code like '%for (%' has_loops, a.s % 4 complexity, a.s % 4 > 1 has_ifs, a.s % 5 = 0 vulnerable, case when a.s % 7 = 0 then a.s else 1 end start_line, case when a.s % 7 = 0 then case when a.s % 14 = 0 then 'DoS' else '' end end label
+from p a left join p b on b.c = a.c and b.f = a.f + 1 where a.f > 0""")
+def analyzed_functions(spark, d):
+    """Functions of an analyzer's tables, six a contract and the first a constructor, each calling the next."""
+    p = table(spark, d, "part").where("p_partkey % 8 < 6")
+    f = F.col("p_partkey") % 8
+    name = F.concat(F.lit("f"), f.cast("string"))
+    code = F.expr("case p_partkey % 3 when 0 then 'function f() { emit E0(); for (i) { require(x); } }' when 1 then 'function f() { y.E1(2); }' end")
+    base = p.select("p_partkey", F.expr("cast(p_partkey div 8 as string)").alias("contract"), f.cast("int").alias("seq"), name.alias("name"), "p_size", code.alias("code"))
+    functions = base.withColumns({"signature": F.lit("f()"), "visibility": F.lit("public"), "mutability": F.lit("view"), "special": F.col("seq") == 0, "nodes": (F.col("p_size") % 4).cast("int"), "external_calls": F.lit(0), "written": F.lit(1), "read": F.lit(0)})
+    calls = base.select("contract", F.col("name").alias("caller"), F.col("contract").alias("callee_contract"), F.concat(F.lit("f"), (F.col("seq") + 1).cast("string")).alias("callee"), "seq").where("seq < 5")
+    calls = calls.join(base.select(F.col("contract").alias("callee_contract"), F.col("name").alias("callee")), ["callee_contract", "callee"], "left_semi")
+    variables = base.select("contract", "seq", F.concat(F.lit("v"), F.col("seq").cast("string")).alias("name"), F.lit("uint").alias("type"), F.lit("public").alias("visibility"), F.when(F.col("p_size") % 2 == 1, F.concat(F.lit("own v"), F.col("seq").cast("string"))).alias("code"))
+    contracts = base.select("contract").distinct().withColumn("bases", F.array(F.lit("A")))
+    events = contracts.select("contract", F.explode(F.array(F.lit(0), F.lit(1))).alias("seq")).select("contract", "seq", F.concat(F.lit("E"), F.col("seq").cast("string")).alias("name"), F.lit(None).cast("string").alias("code"))
+    x = contexts.contract_contexts(contracts, variables, functions, events=events)
+    findings = base.where("p_size % 5 = 0").select("contract", "name", F.lit("dos").alias("type"), F.lit("High").alias("severity"))
+    truth = base.where("p_size % 7 = 0").select("contract", "seq", "name", F.col("p_size").cast("int").alias("start"), F.col("p_size").cast("int").alias("end"), (F.col("p_size") % 14 == 0).alias("vulnerable"), F.array(F.lit("DoS")).alias("categories"))
+    out = contexts.function_records(functions, calls, x, findings, truth)
+    c = F.col("contract_context")
+    names = lambda a: F.coalesce(F.array_join(F.transform(a, lambda e: e["name"]), ","), F.lit(""))
+    return out.select(
+        (F.col("contract").cast("long") * 8 + F.substr("name", F.lit(2)).cast("long")).alias("k"), (F.col("code") != F.concat(F.lit("function "), F.col("name"), F.lit("() {}"))).alias("coded"), names(c["events"]).alias("events"), names("called_functions").alias("callees"), F.coalesce(F.size("caller_functions"), F.lit(0)).cast("long").alias("callers"),
+        F.size(c["state_variables"]).cast("long").alias("variables"), c["state_variables"][0]["code"].alias("first"), c["num_functions"].cast("long").alias("n_functions"), F.when(F.col("code").contains("y.E1") | F.col("code").contains("emit"), F.col("ast_features.has_loops")).alias("has_loops"), F.col("ast_features.complexity").cast("long").alias("complexity"), F.col("ast_features.has_if_statements").alias("has_ifs"), F.col("slither_result.is_vulnerable").alias("vulnerable"), F.col("start_line").cast("long").alias("start_line"), F.array_join("label.vulnerability_types", ",").alias("label"),
+    )

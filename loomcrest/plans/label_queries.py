@@ -105,7 +105,7 @@ def severity_scores(spark, d):
 @query("""with x as (select user_id, event_id, case event_type when 'error' then 'High' when 'purchase' then 'Medium' when 'click' then 'Low' when 'view' then 'Informational' else 'Other' end severity, case event_type when 'error' then 4 when 'purchase' then 3 when 'click' then 2 when 'view' then 1 else 2 end r from events), y as (select *, row_number() over (partition by user_id order by r desc, event_id) n from x) select user_id, event_id, severity from y where n = 1""")
 def most_severe(spark, d):
     x = table(spark, d, "events").select("user_id", "event_id", F.expr(_IMPACT).alias("severity"))
-    top = x.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "severity"))).alias("f")).select("user_id", taxonomy.most_severe(F.col("f")).alias("m"))
+    top = x.groupBy("user_id").agg(taxonomy.most_severe_row(F.struct("event_id", "severity"), F.col("severity"), F.col("event_id")).alias("m"))
     return top.select("user_id", "m.event_id", "m.severity")
 
 

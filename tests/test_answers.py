@@ -143,3 +143,30 @@ def test_recurrences_over_restarts(spark, tmp_path):
     done = feed([(k, None, 0.0, 0.0) for k in range(3)] + [(0, 0, 9.0, 9.0)])
     assert done.pop((0, 0)) in (one[0, 0], (None, None, True))
     assert {k: (v[0], v[1]) for k, v in done.items()} == {k: v for k, v in want.items() if k != (0, 0)}
+
+
+def test_records_of_an_analyzer(spark):
+    from loomcrest.operators import contexts
+
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    fs = "contract string, seq int, name string, signature string, code string, visibility string, mutability string, special boolean, nodes int, external_calls int, written int, read int"
+    functions = df([("A", 0, "A", None, "x", "public", None, True, 1, 0, 0, 0), ("A", 1, "f", "f(int)", "while (1) { emit E; }", "external", "payable", False, 3, 1, 0, 2), ("A", 2, "g", None, None, None, None, None, None, None, None, None), ("A", 3, "slitherConstructorVariables", None, "", None, None, False, 1, 0, 0, 0), ("B", 0, "h", "h()", "require(tx.origin); delegatecall", None, "pure", False, 1, 0, 1, 0)], fs)
+    calls = df([("A", "g", "A", "f", 0), ("A", "f", "A", "f", 1)], "contract string, caller string, callee_contract string, callee string, seq int")
+    variables = df([("A", 2, "b", "int", "public", "int b;"), ("A", 1, "a", "uint", "private", None)], "contract string, seq int, name string, type string, visibility string, code string")
+    events = df([("A", 0, "E", None), ("A", 1, "Other", "event Other();")], "contract string, seq int, name string, code string")
+    c = contexts.contract_contexts(df([("A", ["Base"]), ("B", None)], "contract string, bases array<string>"), variables, functions, events=events)
+    got = {r.contract: r.contract_context for r in c.collect()}
+    assert [v.code for v in got["A"].state_variables] == ["uint private a;", "int b;"] and [e.code for e in got["A"].events] == ["event E(...);", "event Other();"] and got["A"].num_functions == 4
+    assert (got["B"].inheritance, got["B"].state_variables, got["B"].modifiers, got["B"].num_functions) == ([], [], [], 1)
+    found = df([("A", "f", "dos", "High"), ("A", "f", "dos", "Low"), ("A", "f", "abc", "Low")], "contract string, name string, type string, severity string")
+    truth = df([("A", 1, "f", 9, 12, False, ["late"]), ("A", 0, "f", 3, 5, True, ["dos"]), ("B", 0, "h", 1, 2, None, None)], "contract string, seq int, name string, start int, end int, vulnerable boolean, categories array<string>")
+    r = {x.name: x for x in contexts.function_records(functions, calls, c, found, truth).collect()}
+    assert sorted(r) == ["f", "g", "h"]
+    f, g, h = r["f"], r["g"], r["h"]
+    assert (f.start_line, f.end_line, f.label.vulnerability_types, f.slither_result.vulnerability_types, f.slither_result.vulnerability_count) == (3, 5, ["dos"], ["abc", "dos"], 2)
+    assert [x.name for x in f.caller_functions] == ["g"] and f.called_functions is None and [x.name for x in g.called_functions] == ["f"]
+    assert [e.name for e in f.contract_context.events] == ["E"] and [e.name for e in g.contract_context.events] == ["E"]  # by what it calls
+    a = f.ast_features
+    assert (a.has_loops, a.has_if_statements, a.complexity, a.has_external_calls, a.has_state_changes, a.reads_state_vars, a.is_payable, a.visibility) == (True, True, 3, True, False, True, True, "external")
+    assert (g.code, g.signature, g.start_line, g.label, g.ast_features.complexity, g.ast_features.visibility, g.slither_result.is_vulnerable) == ("function g() {}", "g", 1, None, 0, "unknown", False)
+    assert (h.ast_features.has_require, h.ast_features.uses_tx_origin, h.ast_features.uses_delegatecall, h.ast_features.is_pure, h.label.is_vulnerable, h.label.vulnerability_types) == (True, True, True, True, False, [])
