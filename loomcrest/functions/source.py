@@ -415,6 +415,24 @@ def with_header(original: Column, body: Column) -> Column:
     return _fitted(original, bare_body(body))
 
 
+def block_in(text: str | None, name: str | None) -> str:
+    """The function of a name in an answer or source, from where `function name` first stands to the brace that closes it, braces counted anywhere; the empty text without one."""
+    at = (text or "").find(f"function {name}") if name else -1
+    begin = text.find("{", at) if at >= 0 else -1
+    end = naive_end(text, begin) if begin >= 0 else None
+    return text[at:end].strip() if end else ""
+
+
+@F.pandas_udf(T.StringType())
+def _block_in(text: pd.Series, name: pd.Series) -> pd.Series:
+    return pd.Series([block_in(t if isinstance(t, str) else None, n if isinstance(n, str) else None) for t, n in zip(text, name, strict=True)], dtype=object)
+
+
+def function_in(text: Column, name: Column) -> Column:
+    """block_in as a Column; null without a block."""
+    return F.nullif(_block_in(text, name), F.lit(""))
+
+
 class FunctionBlocks:
     """Table function (text) -> (place, name, start, end, code): every text from the word `function` to the brace that closes it, in order, overloads kept, equal ones once. Braces count wherever they stand; what has no body, or no end, gives no row."""
 

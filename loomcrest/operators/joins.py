@@ -61,6 +61,18 @@ def usable_fixes(fixes: DataFrame, ids: list | None = None, least_quality: float
     return out.limit(limit) if limit else out
 
 
+def fix_pairs(functions: DataFrame, fixes: DataFrame, only_successful: bool = True, datasets: list[str] | None = None) -> DataFrame:
+    """Functions with their fixes, sixteen columns of both: with only_successful those that compile and pass the first tool, with datasets those of these data sets."""
+    f = functions.select(F.col("id").alias("function_id"), "sample_id", "dataset_name", "dataset_type", "contract_name", "function_name")
+    x = fixes.select(F.col("id").alias("fix_id"), "function_id", F.col("original_code").alias("vulnerable_code"), "fixed_code", "fix_analysis", F.col("vulnerabilities_fixed").alias("vulnerability_types"), F.col("original_severity").alias("severity"), "compiles", "slither_passed", "fix_version", "model_name")
+    if only_successful:
+        x = x.where("compiles and slither_passed")
+    if datasets:
+        f = f.where(F.col("dataset_name").isin(datasets))
+    cols = ["fix_id", *f.columns, *(c for c in x.columns if c not in ("fix_id", "function_id"))]
+    return f.join(x, "function_id").select(*cols)
+
+
 def training_pairs(fixes: DataFrame, functions: DataFrame, least_quality: float = 0) -> DataFrame:
     """usable_fixes with their functions' name, code and audit (prefix f_); `code` is the fix's original code, or the function's where that is null or empty."""
     f = functions.select(*(F.col(c).alias(f"f_{c}") for c in functions.columns))

@@ -63,3 +63,36 @@ def tool_text_issues(text: Column, most: int = 50, lines: int = 12, chars: int =
 def all_passed(tools: Column) -> Column:
     """Whether every tool in a map<name, struct<passed>> passed; a tool without a verdict passes."""
     return F.forall(F.map_values(tools), lambda t: F.coalesce(t["passed"], F.lit(True)))
+
+
+#: Errors of a tool that say nothing of the code: it ran out of time, was not there, or failed by itself.
+UNCERTAIN = ("timeout", "not_found", "tool_error", "rc=")
+
+
+def verification(compiled: Column, first: Column, second: Column, uncertain_passes: bool = True, labels: tuple[str, str, str] = ("does not compile: ", "first tool: ", "second tool: "), shown: int = 10) -> Column:
+    """struct<compiles, first_passed, second_passed, remaining_issues, error, acceptable> of a repair.
+
+    compiled struct<passed, error>, first struct<passed, issues>, second struct<passed, issues, error>; a null tool was not
+    asked, and passes. What does not compile is shown to no tool: the first counts as failed, the second as passed. A second tool whose error is
+    UNCERTAIN passes, if uncertain_passes. The error is that of the last check that found one.
+    """
+    builds = F.coalesce(compiled["passed"], F.lit(False))
+    none = F.array().cast("array<string>")
+    first_passed = builds & F.coalesce(first["passed"], F.lit(True))
+    said = F.lower(F.coalesce(second["error"], F.lit("")))
+    unsure = F.exists(F.array(*map(F.lit, UNCERTAIN)), lambda w: F.contains(said, w)) if uncertain_passes else F.lit(False)
+    second_failed = builds & ~F.coalesce(second["passed"], F.lit(True))
+    second_passed = ~second_failed | unsure
+    issues = F.when(builds, F.coalesce(first["issues"], none)).otherwise(none)
+    error = (
+        F.when(~builds, F.concat(F.lit(labels[0]), F.coalesce(compiled["error"], F.lit(""))))
+        .when(second_failed, F.concat(F.lit(labels[2]), F.array_join(F.slice(F.coalesce(second["issues"], none), 1, shown), "; ")))
+        .when(~first_passed, F.concat(F.lit(labels[1]), F.array_join(issues, ", ")))
+    )
+    return F.struct(builds.alias("compiles"), first_passed.alias("first_passed"), second_passed.alias("second_passed"), issues.alias("remaining_issues"), error.alias("error"), (builds & first_passed & second_passed).alias("acceptable"))
+
+
+def rolled_up(tools: Column) -> Column:
+    """struct<tools_passed, remaining array<struct<tool, issues>>> of a map<name, struct<passed, issues>>: the tools that failed, in the map's order; one without a verdict passes."""
+    failed = F.filter(F.map_entries(tools), lambda e: ~F.coalesce(e["value"]["passed"], F.lit(True)))
+    return F.struct((F.size(failed) == 0).alias("tools_passed"), F.transform(failed, lambda e: F.struct(e["key"].alias("tool"), F.coalesce(e["value"]["issues"], F.array().cast("array<string>")).alias("issues"))).alias("remaining"))

@@ -95,3 +95,23 @@ def bucket_metrics(rows: DataFrame, bucket: str, names: list[str], ks: tuple[int
     every = rows.sparkSession.createDataFrame([(x,) for x in [*names, "OTHER"]], "bucket string")
     rates = ["solved_rate", *(f"pass_at_{k}" for k in ks)]
     return every.join(by, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in rates))
+
+
+def store_statistics(functions: DataFrame, fixes: DataFrame, by: str = "dataset_name") -> DataFrame:
+    """A row a data set, and one of null for all: functions, vulnerable, their share, fixes, those that compile, that pass the first tool and that do both, and the share of these; shares of nothing are 0."""
+    count = lambda c, n: F.count_if(c).alias(n)
+    f = functions.rollup(by).agg(F.count("*").alias("functions"), count(F.coalesce("is_vulnerable", F.lit(False)), "vulnerable"), F.grouping(by).alias("_all"))
+    own = fixes.join(functions.select(F.col("id").alias("function_id"), by), "function_id")
+    built, passed = (F.coalesce(c, F.lit(False)) for c in ("compiles", "slither_passed"))
+    x = own.rollup(by).agg(F.count("*").alias("fixes"), count(built, "compiling"), count(passed, "passing"), count(built & passed, "successful"), F.grouping(by).alias("_all"))
+    f, x = f.alias("f"), x.alias("x")
+    both = f.join(x, F.col(f"f.{by}").eqNullSafe(F.col(f"x.{by}")) & (F.col("f._all") == F.col("x._all")), "left")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    share = lambda a, b, name: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0)).alias(name)
+    return both.select(F.col(f"f.{by}").alias(by), (F.col("f._all") == 1).alias("is_total"), "functions", "vulnerable", share("vulnerable", "functions", "vulnerable_rate"), *(n(c) for c in ("fixes", "compiling", "passing", "successful")), share("successful", "fixes", "success_rate"))
+
+
+def bucket_sizes(rows: DataFrame, buckets: str, other: str = "OTHER") -> DataFrame:
+    """(bucket, n): rows that hold each bucket of an array column, each once; rows without any count as `other`."""
+    one = F.when(F.coalesce(F.size(buckets), F.lit(0)) > 0, F.array_distinct(buckets)).otherwise(F.array(F.lit(other)))
+    return rows.select(F.explode(one).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))

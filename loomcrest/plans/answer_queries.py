@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import responses, sanitize, source, text
-from ..operators import contexts, curate, evaluate, providers, reports, retrieve
+from ..operators import contexts, curate, evaluate, joins, providers, reports, retrieve
 from ..session import shared_folder, table
 from ..sources import readers
 from .catalogue import _OVERLAP
@@ -187,3 +187,50 @@ def analyzed_functions(spark, d):
         (F.col("contract").cast("long") * 8 + F.substr("name", F.lit(2)).cast("long")).alias("k"), (F.col("code") != F.concat(F.lit("function "), F.col("name"), F.lit("() {}"))).alias("coded"), names(c["events"]).alias("events"), names("called_functions").alias("callees"), F.coalesce(F.size("caller_functions"), F.lit(0)).cast("long").alias("callers"),
         F.size(c["state_variables"]).cast("long").alias("variables"), c["state_variables"][0]["code"].alias("first"), c["num_functions"].cast("long").alias("n_functions"), F.when(F.col("code").contains("y.E1") | F.col("code").contains("emit"), F.col("ast_features.has_loops")).alias("has_loops"), F.col("ast_features.complexity").cast("long").alias("complexity"), F.col("ast_features.has_if_statements").alias("has_ifs"), F.col("slither_result.is_vulnerable").alias("vulnerable"), F.col("start_line").cast("long").alias("start_line"), F.array_join("label.vulnerability_types", ",").alias("label"),
     )
+
+
+@query("""with x as (select event_id i, event_id % 4 <> 0 c, event_id % 3 <> 0 a, case event_id % 5 when 0 then false when 1 then null else true end b, event_id % 7 = 0 late from events)
+select i, c compiles, c and a first_passed, not (c and not coalesce(b, true)) or late second_passed, c and a and (coalesce(b, true) or late) acceptable, case when not c then 'does not compile: e' || i when not coalesce(b, true) then 'second tool: p; q' when not a then 'first tool: x' || i end error, case when a and coalesce(b, true) then '' when a then 'two' when coalesce(b, true) then 'one' else 'one,two' end failed from x""")
+def verified_repairs(spark, d):
+    i = F.col("event_id")
+    strings = lambda *v: F.array(*v).cast("array<string>")
+    compiled = F.struct((i % 4 != 0).alias("passed"), F.concat(F.lit("e"), i.cast("string")).alias("error"))
+    one = F.struct((i % 3 != 0).alias("passed"), strings(F.concat(F.lit("x"), i.cast("string"))).alias("issues"))
+    verdict = F.when(i % 5 == 0, False).when(i % 5 != 1, True)
+    two = F.struct(verdict.alias("passed"), strings(F.lit("p"), F.lit("q")).alias("issues"), F.when(i % 7 == 0, "Tool_TIMEOUT after 9").alias("error"))
+    x = table(spark, d, "events").select(i.alias("i"), providers.verification(compiled, one, two).alias("v"), providers.rolled_up(F.create_map(F.lit("one"), one, F.lit("two"), two.dropFields("error"))).alias("r"))
+    return x.select("i", "v.compiles", "v.first_passed", "v.second_passed", "v.acceptable", "v.error", F.array_join(F.transform("r.remaining", lambda t: t["tool"]), ",").alias("failed"))
+
+
+@query("""select l_orderkey * 10 + l_linenumber fix_id, o_orderkey function_id, o_orderpriority sample_id, o_orderstatus dataset_name, 'wild' dataset_type, 'c' || o_custkey contract_name, 'f' function_name, 'v' vulnerable_code, 'x' || l_partkey fixed_code, case when l_linenumber > 2 then 'why' end fix_analysis, l_returnflag vulnerability_types, l_quantity severity, true compiles, true slither_passed, l_linenumber::int fix_version, 'm' model_name
+from orders join lineitem on l_orderkey = o_orderkey where l_linestatus = 'F' and l_returnflag = 'A' and o_orderstatus in ('F', 'P')""")
+def exported_pairs(spark, d):
+    o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
+    functions = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("sample_id"), F.col("o_orderstatus").alias("dataset_name"), F.lit("wild").alias("dataset_type"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("contract_name"), F.lit("f").alias("function_name"))
+    fixes = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("function_id"), F.lit("v").alias("original_code"), F.concat(F.lit("x"), F.col("l_partkey").cast("string")).alias("fixed_code"), F.when(F.col("l_linenumber") > 2, "why").alias("fix_analysis"), F.col("l_returnflag").alias("vulnerabilities_fixed"), F.col("l_quantity").alias("original_severity"), (F.col("l_linestatus") == "F").alias("compiles"), (F.col("l_returnflag") == "A").alias("slither_passed"), F.col("l_linenumber").cast("int").alias("fix_version"), F.lit("m").alias("model_name"))
+    return joins.fix_pairs(functions, fixes, True, ["F", "P"])
+
+
+@query("""with f as (select o_orderkey k, o_orderpriority d, o_orderstatus = 'F' v from orders), x as (select d, l_linestatus = 'F' c, l_returnflag = 'A' p from lineitem join f on k = l_orderkey),
+a as (select d, grouping(d) g, count(*) functions, count(*) filter (where v) vulnerable from f group by rollup (d)), b as (select d, grouping(d) g, count(*) fixes, count(*) filter (where c) compiling, count(*) filter (where p) passing, count(*) filter (where c and p) successful from x group by rollup (d))
+select a.d dataset_name, a.g = 1 is_total, functions, vulnerable, round(vulnerable / functions::double, 6) vulnerable_rate, coalesce(fixes, 0) fixes, coalesce(compiling, 0) compiling, coalesce(passing, 0) passing, coalesce(successful, 0) successful, round(coalesce(successful / fixes::double, 0), 6) success_rate from a left join b on a.d is not distinct from b.d and a.g = b.g""")
+def store_totals(spark, d):
+    functions = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("dataset_name"), (F.col("o_orderstatus") == "F").alias("is_vulnerable"))
+    fixes = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("function_id"), (F.col("l_linestatus") == "F").alias("compiles"), (F.col("l_returnflag") == "A").alias("slither_passed"))
+    return reports.store_statistics(functions, fixes).withColumns({c: F.round(c, 6) for c in ("vulnerable_rate", "success_rate")})
+
+
+@query("""with b as (select event_id, unnest(case event_type when 'click' then ['A', 'B', 'A'] when 'view' then ['B'] else ['OTHER'] end) bucket from events) select bucket, count(distinct event_id) n from b group by 1""")
+def bucket_presence(spark, d):
+    held = F.when(F.col("event_type") == "click", F.array(*map(F.lit, "ABA"))).when(F.col("event_type") == "view", F.array(F.lit("B"))).when(F.col("event_type") == "error", F.array().cast("array<string>"))
+    return reports.bucket_sizes(table(spark, d, "events").select(held.alias("b")), "b")
+
+
+_PAIRED = f"concat('- Type: DoS, x', {_NL}, case when p_partkey % 4 = 0 then '' else concat('**Function:** g', cast(p_partkey as string)) end, {_NL}, '**Source Code:**', {_NL}, ' ', {_CODE}, {_NL}, case when p_partkey % 3 = 0 then 'Please provide the complete fixed version of it' else '' end)"
+_REPLY = "case p_partkey % 5 when 0 then ' ' when 1 then concat('so:\n```solidity\nfunction h() {{ z; }} function g', cast(p_partkey as string), '(int a) {{ y; }}\n```') when 2 then 'function h() {{ z; }} function' when 3 then 'no code' else 'function open( {{' end".replace("{{", "{").replace("}}", "}")
+
+
+@query(f"""select p_partkey id, case when p_partkey % 4 = 0 then rtrim({_PAIRED}, {_NL}) else 'function g' || p_partkey || '(uint a) internal view {{ b = ' || p_partkey || '; }}' end code_, case p_partkey % 5 when 1 then case when p_partkey % 4 = 0 then 'function h() {{ z; }}' else 'function g' || p_partkey || '(int a) {{ y; }}' end when 2 then 'function h() {{ z; }}' when 3 then 'no code' else 'function open( {{' end fixed_code, 'DoS' vulnerability_type from part where p_partkey % 5 > 0""")
+def repair_documents(spark, d):
+    samples = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lit("i").alias("instruction"), F.expr(_PAIRED).alias("input"), F.expr(_REPLY).alias("output"))
+    return readers.repair_corpus(samples).select("id", F.col("code").alias("code_"), "fixed_code", "vulnerability_type")

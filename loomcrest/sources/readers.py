@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import taxonomy
-from ..functions.text import strip
+from ..functions.source import function_in
+from ..functions.text import function_of_prompt, strip, unwrap_fence, vulnerability_info
 from ..operators.joins import range_join
 
 
@@ -146,6 +147,25 @@ def retrieval_corpus(spark: SparkSession, path: str, limit: int | None = None) -
     return df.limit(limit) if limit else df
 
 
+def repair_corpus(samples: DataFrame, limit: int | None = None) -> DataFrame:
+    """(code, fixed_code, vulnerability_type, id, instruction) of chat samples (id, instruction, input, output).
+
+    The code is the prompt's function, cut out of the contract that it shows, else the whole input; the fixed code is that function
+    in the answer, else the answer's first function, else its first fence's content or all of it. Samples with an empty
+    output drop out; the type is the first that the prompt names, or Unknown. A limit counts what is left, by id.
+    """
+    s = samples.where(strip(F.coalesce("output", F.lit(""))) != "").withColumn("input", F.coalesce("input", F.lit("")))
+    mark, tail = "**Source Code:**", "Please provide the complete fixed version"
+    behind = F.when(F.contains("input", F.lit(mark)), F.substr("input", F.instr("input", mark) + len(mark)))
+    contract = strip(F.when(F.contains(behind, F.lit(tail)), F.left(behind, F.instr(behind, tail) - 1)).otherwise(behind))
+    s = s.select("id", "instruction", "input", contract.alias("contract"), function_of_prompt(F.col("input")).alias("name"), unwrap_fence(F.col("output")).alias("answer"))
+    first = F.nullif(F.regexp_extract("answer", r"(?U)\bfunction\s+([A-Za-z_]\w*)", 1), F.lit(""))
+    own, other = function_in(F.col("answer"), F.col("name")), function_in(F.col("answer"), first)
+    code = F.coalesce(function_in(F.col("contract"), F.col("name")), strip(F.col("input")))
+    out = s.select(code.alias("code"), F.coalesce(own, other, "answer").alias("fixed_code"), vulnerability_info(F.col("input"))["types"][0].alias("vulnerability_type"), "id", "instruction")
+    return out.orderBy("id").limit(limit) if limit else out
+
+
 def taxonomy_types(c: Column) -> Column:
     from ..functions.text import type_line
 

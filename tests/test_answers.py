@@ -170,3 +170,43 @@ def test_records_of_an_analyzer(spark):
     assert (a.has_loops, a.has_if_statements, a.complexity, a.has_external_calls, a.has_state_changes, a.reads_state_vars, a.is_payable, a.visibility) == (True, True, 3, True, False, True, True, "external")
     assert (g.code, g.signature, g.start_line, g.label, g.ast_features.complexity, g.ast_features.visibility, g.slither_result.is_vulnerable) == ("function g() {}", "g", 1, None, 0, "unknown", False)
     assert (h.ast_features.has_require, h.ast_features.uses_tx_origin, h.ast_features.uses_delegatecall, h.ast_features.is_pure, h.label.is_vulnerable, h.label.vulnerability_types) == (True, True, True, True, False, [])
+
+
+def test_verification(spark):
+    from loomcrest.operators import providers
+
+    kind = "c struct<passed:boolean,error:string>, a struct<passed:boolean,issues:array<string>>, b struct<passed:boolean,issues:array<string>,error:string>"
+    rows = [((True, None), (True, []), (True, [], None)), ((False, "bad"), (False, ["x"]), (False, ["y"], None)), ((True, None), (False, ["x", "z"]), (True, [], None)), ((True, None), (True, []), (False, ["p", "q"], "tool_error: gone")), ((True, None), (False, ["x"]), (False, ["p"], None)), ((True, None), None, None), (None, None, None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"i int, {kind}")
+    for unsure, want in ((True, [True, False, False, True, False, True, False]), (False, [True, False, False, False, False, True, False])):
+        got = [r.v for r in df.orderBy("i").select(providers.verification(F.col("c"), F.col("a"), F.col("b"), unsure).alias("v")).collect()]
+        assert [v.acceptable for v in got] == want
+    assert [v.error for v in got] == [None, "does not compile: bad", "first tool: x, z", "second tool: p; q", "second tool: p", None, "does not compile: "]
+    assert got[1].remaining_issues == [] and got[2].remaining_issues == ["x", "z"] and got[1].second_passed
+    tools = spark.createDataFrame([({"a": (False, ["x"]), "b": (None, None), "c": (False, None)},), ({},)], "t map<string,struct<passed:boolean,issues:array<string>>>")
+    r = [x.r for x in tools.select(providers.rolled_up(F.col("t")).alias("r")).collect()]
+    assert not r[0].tools_passed and sorted((x.tool, x.issues) for x in r[0].remaining) == [("a", ["x"]), ("c", [])] and r[1].tools_passed and r[1].remaining == []
+
+
+def test_repair_corpus(spark):
+    show = "**Function:** pay\n**Source Code:**\ncontract C { function payAll() { a; } function pay(uint x) { if (x) { b; } } }\nPlease provide the complete fixed version now"
+    rows = [(1, "i", show, "```solidity\nfunction other() { } function pay(uint x) { c; }\n```"), (2, "i", show, "function other() { d; } end"), (3, "i", "- Type: A\nno code", "text"), (4, "i", show, "  "), (5, None, None, "x"), (6, "i", show.replace("**Function:** pay", "**Function:** none"), "function broken( {")]
+    got = {r.id: r for r in readers.repair_corpus(spark.createDataFrame(rows, "id int, instruction string, input string, output string")).collect()}
+    assert sorted(got) == [1, 2, 3, 5, 6]
+    assert got[1].code == "function payAll() { a; }" and got[1].fixed_code == "function pay(uint x) { c; }"  # the first name that begins so, as the rule says
+    assert got[2].fixed_code == "function other() { d; }" and (got[3].code, got[3].fixed_code, got[3].vulnerability_type) == ("- Type: A\nno code", "text", "A")
+    assert (got[5].code, got[5].vulnerability_type) == ("", "Unknown") and got[6].code.startswith("**Function:** none") and got[6].fixed_code == "function broken( {"
+    assert [r.id for r in readers.repair_corpus(spark.createDataFrame(rows, "id int, instruction string, input string, output string"), 2).orderBy("id").collect()] == [1, 2]
+
+
+def test_fix_pairs_and_statistics(spark):
+    from loomcrest.operators import joins
+
+    f = spark.createDataFrame([(1, "s1", "a", "wild", "c", "f", True), (2, "s2", "b", "wild", "c", "g", None), (3, "s3", None, "wild", "c", "h", False)], "id int, sample_id string, dataset_name string, dataset_type string, contract_name string, function_name string, is_vulnerable boolean")
+    x = spark.createDataFrame([(10, 1, True, True), (11, 1, True, False), (12, 2, None, True), (13, 9, True, True)], "id int, function_id int, compiles boolean, slither_passed boolean").withColumns({c: F.lit("t") for c in ("original_code", "fixed_code", "fix_analysis", "vulnerabilities_fixed", "original_severity", "fix_version", "model_name")})
+    assert [r.fix_id for r in joins.fix_pairs(f, x).collect()] == [10] and sorted(r.fix_id for r in joins.fix_pairs(f, x, False).collect()) == [10, 11, 12]
+    assert [r.fix_id for r in joins.fix_pairs(f, x, False, ["b"]).collect()] == [12] and len(joins.fix_pairs(f, x).columns) == 16
+    got = {(r.dataset_name, r.is_total): r for r in reports.store_statistics(f, x).collect()}
+    assert (got[None, True].functions, got[None, True].fixes, got[None, True].successful, got["a", False].success_rate, got[None, False].functions, got[None, False].fixes) == (3, 3, 1, 0.5, 1, 0)
+    b = spark.createDataFrame([(["A", "A", "B"],), ([],), (None,)], "b array<string>")
+    assert {tuple(r) for r in reports.bucket_sizes(b, "b").collect()} == {("A", 1), ("B", 1), ("OTHER", 2)}
