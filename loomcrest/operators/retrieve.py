@@ -194,15 +194,26 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def jaccard_search(queries: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """(query_id, doc_id, score >= least) of (id, items): Jaccard similarity of sets of items, of rows that share one.
+    """(query_id, doc_id, score >= least > 0) of (id, items): Jaccard similarity of sets of items.
 
-    Equal sets meet once: rows are grouped by their set first, so a hot item costs pairs of different sets only.
+    Null items are none. Equal sets meet once: rows are grouped by their set first. Sets that reach the threshold share one of their rarest
+    n - ceil(least * n) + 1 items, so only those are joined, and a pair counts where the first of them stands: an item that
+    nearly every set has makes pairs only of sets that have little else.
     """
-    key = lambda df, i: df.select(F.col(i), F.array_sort(F.array_distinct("items")).alias("s")).where(F.size("s") > 0).withColumn("k", F.xxhash64("s"))
+    key = lambda df, i: df.select(F.col(i), F.array_sort(F.array_distinct(F.array_compact("items"))).alias("s")).where(F.size("s") > 0).withColumn("k", F.xxhash64("s"))
     q, d = key(queries, "query_id"), key(docs, "doc_id")
-    sets = lambda x, n: x.groupBy("k").agg(F.first("s").alias("s")).select(F.col("k").alias(n), F.size("s").alias(f"n_{n}"), F.explode("s").alias("x"))
-    both = sets(q, "a").join(sets(d, "b"), "x").groupBy("a", "b").agg(F.count("*").alias("c"), F.first("n_a").alias("na"), F.first("n_b").alias("nb"))
-    near = both.withColumn("score", F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).where(F.col("score") >= least).select("a", "b", "score")
+    different = {n: x.groupBy("k").agg(F.first("s").alias("s")) for n, x in (("a", q), ("b", d))}
+    frequent = different["a"].unionAll(different["b"]).select(F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("f"))
+
+    def prefixes(n: str) -> DataFrame:
+        rare_first = different[n].select("k", F.explode("s").alias("x")).join(frequent, "x").groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "x"))), lambda i: i["x"]).alias("s"))
+        size = F.size("s")
+        some = F.slice("s", F.lit(1), (size - F.ceil(size * least - 1e-9) + 1).cast("int"))
+        return rare_first.select(F.col("k").alias(n), F.col("s").alias(f"s_{n}"), some.alias(f"p_{n}")).select("*", F.explode(f"p_{n}").alias("x"))
+
+    both = prefixes("a").join(prefixes("b"), "x").where(F.col("x") == F.get(F.array_intersect("p_a", "p_b"), F.lit(0)))
+    shared = F.size(F.array_intersect("s_a", "s_b"))
+    near = both.withColumn("score", shared / (F.size("s_a") + F.size("s_b") - shared)).where(F.col("score") >= least).select("a", "b", "score")
     return q.select("query_id", F.col("k").alias("a")).join(near, "a").join(d.select("doc_id", F.col("k").alias("b")), "b").select("query_id", "doc_id", "score")
 
 
