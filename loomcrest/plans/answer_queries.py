@@ -162,7 +162,7 @@ def sanitized_sources(spark, d):
 
 @query("""with p as (select p_partkey k, p_partkey // 8 c, p_partkey % 8 f, p_size s, case p_partkey % 3 when 0 then 'function f() { emit E0(); for (i) { require(x); } }' when 1 then 'function f() { y.E1(2); }' else null end code from part where p_partkey % 8 < 6)
 select a.k, a.code is not null coded, case when a.code like '%emit E0%' or b.code like '%emit E0%' then case when a.code like '%E1(%' or b.code like '%E1(%' then 'E0,E1' else 'E0' end when a.code like '%E1(%' or b.code like '%E1(%' then 'E1' else '' end events, case when b.k is not null then 'f' || b.f else '' end callees, (select count(*) from p u where u.c = a.c and u.f = a.f - 1) callers,
-(select count(*) from p v where v.c = a.c) variables, (select arg_min(case when s % 2 = 0 then 'uint public v' || f || ';' else 'own v' || f end, f) from p v where v.c = a.c) "first", (select count(*) from p v where v.c = a.c) n_functions, a.code like '%for (%' has_loops, a.s % 4 complexity, a.s % 4 > 1 has_ifs, a.s % 5 = 0 vulnerable, case when a.s % 7 = 0 then a.s else 1 end start_line, case when a.s % 7 = 0 then case when a.s % 14 = 0 then 'DoS' else '' end end label
+(select count(*) from p v where v.c = a.c) variables, (select arg_min(case when s % 2 = 0 then 'uint public v' || f || ';' else 'own v' || f end, f) from p v where v.c = a.c) "first", (select count(*) from p v where v.c = a.c) n_functions, coalesce(a.code like '%for (%', false) has_loops, a.s % 4 complexity, a.s % 4 > 1 has_ifs, a.s % 5 = 0 vulnerable, case when a.s % 7 = 0 then a.s else 1 end start_line, case when a.s % 7 = 0 then case when a.s % 14 = 0 then 'DoS' else '' end end label
 from p a left join p b on b.c = a.c and b.f = a.f + 1 where a.f > 0""")
 def analyzed_functions(spark, d):
     """Functions of an analyzer's tables, six a contract and the first a constructor, each calling the next."""
@@ -185,7 +185,7 @@ def analyzed_functions(spark, d):
     names = lambda a: F.coalesce(F.array_join(F.transform(a, lambda e: e["name"]), ","), F.lit(""))
     return out.select(
         (F.col("contract").cast("long") * 8 + F.substr("name", F.lit(2)).cast("long")).alias("k"), (F.col("code") != F.concat(F.lit("function "), F.col("name"), F.lit("() {}"))).alias("coded"), names(c["events"]).alias("events"), names("called_functions").alias("callees"), F.coalesce(F.size("caller_functions"), F.lit(0)).cast("long").alias("callers"),
-        F.size(c["state_variables"]).cast("long").alias("variables"), c["state_variables"][0]["code"].alias("first"), c["num_functions"].cast("long").alias("n_functions"), F.when(F.col("code").contains("y.E1") | F.col("code").contains("emit"), F.col("ast_features.has_loops")).alias("has_loops"), F.col("ast_features.complexity").cast("long").alias("complexity"), F.col("ast_features.has_if_statements").alias("has_ifs"), F.col("slither_result.is_vulnerable").alias("vulnerable"), F.col("start_line").cast("long").alias("start_line"), F.array_join("label.vulnerability_types", ",").alias("label"),
+        F.size(c["state_variables"]).cast("long").alias("variables"), c["state_variables"][0]["code"].alias("first"), c["num_functions"].cast("long").alias("n_functions"), F.col("ast_features.has_loops"), F.col("ast_features.complexity").cast("long").alias("complexity"), F.col("ast_features.has_if_statements").alias("has_ifs"), F.col("slither_result.is_vulnerable").alias("vulnerable"), F.col("start_line").cast("long").alias("start_line"), F.array_join("label.vulnerability_types", ",").alias("label"),
     )
 
 
