@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..session import written
 
 GROUP_BITS, BUCKETS = 6, 16
 GROUP = 1 << GROUP_BITS
@@ -38,13 +39,13 @@ def append(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     number = F.monotonically_increasing_id()  # fixed by being written
     rows = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("t")).withColumn("n", number)
     rows.select("doc_id", F.shiftright("n", GROUP_BITS).alias("grp"), F.col("n").bitwiseAND(GROUP - 1).cast("int").alias("slot"), F.coalesce(F.size("t"), F.lit(0)).alias("dl"), F.coalesce("t", F.array().cast("array<string>")).alias("t")).write.mode("overwrite").parquet(at("documents"))
-    written = spark.read.parquet(at("documents"))
-    tf = written.select("grp", "slot", "dl", F.explode("t").alias("token")).groupBy("token", "grp", "slot", "dl").agg(F.count("*").cast("int").alias("tf"))
+    stored = spark.read.parquet(at("documents"))
+    tf = stored.select("grp", "slot", "dl", F.explode("t").alias("token")).groupBy("token", "grp", "slot", "dl").agg(F.count("*").cast("int").alias("tf"))
     blocks = tf.groupBy("token", "grp").agg(F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"), F.array_sort(F.collect_list(F.struct("slot", "tf", "dl"))).alias("postings"))  # GROUP at most
     blocks.withColumn("bucket", _bucket(F.col("token"))).repartition("bucket", F.pmod(F.xxhash64("token"), F.lit(64))).sortWithinPartitions("bucket", "token", "grp").write.mode("overwrite").partitionBy("bucket").parquet(at("postings"))
     kept = spark.read.parquet(at("postings"))
     kept.groupBy("token").agg(F.sum(F.size("postings")).alias("df")).write.mode("overwrite").parquet(at("terms"))
-    written.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words")).coalesce(1).write.mode("overwrite").parquet(at("size"))
+    stored.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words")).coalesce(1).write.mode("overwrite").parquet(at("size"))
     return segment
 
 
@@ -75,12 +76,12 @@ def _gain(tf: Column, dl: Column, k1: float, b: float) -> Column:
 def search_plan(spark: SparkSession, path: str, queries: DataFrame, k: int, first: int = 8, k1: float = 1.5, b: float = 0.75, digits: int = 6) -> dict[str, DataFrame]:
     """The parts of a search: `weights` of the queries' tokens, `bounds` a (query, group), `floors` a query, `groups` to be scored, and `hits`."""
     q = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qf"))
-    weights = q.join(statistics(spark, path), "token").select("query_id", "token", (F.col("qf") * F.col("idf")).alias("weight"), "avgdl")
+    weights = written(q.join(statistics(spark, path), "token").select("query_id", "token", (F.col("qf") * F.col("idf")).alias("weight"), "avgdl"))  # read by all steps, as bounds are
     asked = weights.select("token").distinct()
     blocks = _read(spark, path, "postings")
     heads = blocks.select("segment", "token", "grp", "most_tf", "least_dl").join(asked, "token", "left_semi")
     most = F.greatest(_gain(F.col("most_tf"), F.col("least_dl"), k1, b), F.lit(0.0))
-    bounds = heads.join(weights, "token").groupBy("query_id", "segment", "grp").agg(F.sum(most).alias("bound"))
+    bounds = written(heads.join(weights, "token").groupBy("query_id", "segment", "grp").agg(F.sum(most).alias("bound")))
     lead = bounds.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "segment", "grp"))).where(F.col("_r") <= first).drop("_r")
 
     def scored(groups: DataFrame) -> DataFrame:
