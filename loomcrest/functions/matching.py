@@ -2,7 +2,7 @@
 
 Elements that make up more than a hundredth of a second sequence of 200 or more begin no run (they may lengthen one), so
 long texts are compared by what is rare in them. Of equally long runs the one that begins first in the first sequence
-counts, then first in the second. This is the matching that the reference's scores are defined by; it works on integer
+counts, then first in the second. Scores of similarity are defined by this matching; it works on integer
 codes and rows of run lengths.
 """
 
