@@ -5,6 +5,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomcrest.functions import source
@@ -152,3 +153,16 @@ def test_call_graph_of_names_inside_words(spark):
     code = "contract C { function add(uint a) public { } function addAll(uint a) public { x_add(a); } function both() public { addAll(1); } function add(uint b) public { both(); } }"
     got = {r.name: (r.callees, r.callers) for r in source.function_contexts(spark.createDataFrame([("f", code)], "f string, c string"), "c", "f").collect()}
     assert got == {"add": (["both"], ["addAll", "both"]), "addAll": (["add"], ["both"]), "both": (["add", "addAll"], ["add"])}
+
+
+def test_functions_of_one_range_meet_their_notes_once(spark):
+    n = 20_000
+    functions = spark.range(n).select(F.lit("p").alias("path"), F.col("id").cast("string").alias("name"), F.lit(10).alias("start"), F.lit(19).alias("end"))
+    functions = functions.unionByName(spark.createDataFrame([("p", None, 30, 31), ("p", "open", None, 5), ("q", "none", 1, 2)], "path string, name string, start int, end int"))
+    line = lambda k: (F.lit(k) + F.col("id") * 0).cast("int")
+    notes = spark.range(n).select(F.lit("p").alias("path"), F.concat(F.lit("c"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("category"), F.array(line(12), line(12), line(15), line(30)).alias("lines"))
+    notes = notes.unionByName(notes.where("category = 'c000000'"))
+    got = joins.annotation_counts(functions, notes)
+    assert {tuple(r) for r in got.select("n", "marked", "first_category", F.count("*").over(Window.partitionBy("start", "path"))).distinct().collect()} == {(n + 1, 3 * n + 3, "c000000", n), (n + 1, n + 1, "c000000", 1), (0, 0, None, 1)}
+    few = joins.annotated_functions(functions.where("name is null or name in ('7', 'open', 'none')"), notes.where("category < 'c000003'"))
+    assert {(r.path, r.name): [(v.category[-1], v.lines) for v in r.vulnerabilities] for r in few.collect()} == {("p", "7"): [(c, [12, 12, 15]) for c in "0012"], ("p", None): [(c, [30]) for c in "0012"], ("p", "open"): [], ("q", "none"): []}
