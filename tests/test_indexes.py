@@ -198,3 +198,20 @@ def test_overlap_gives_the_same_rows_on_both_paths(spark, monkeypatch):
         monkeypatch.undo()
     monkeypatch.setattr(retrieve, "_STEP_TOKENS", 2)
     assert rows() == few and few.count((1, 1, 0.666666667)) == 1 and few.count((2, 2, 0.577350269)) == 4
+
+
+def test_bm25_top_keeps_the_best_in_its_tasks(spark, monkeypatch):
+    docs = [(i, " ".join(rng.choice(("alpha", "beta", "gamma", "delta", "of", f"w{i % 7}")) for _ in range(rng.randrange(0, 12)))) for i in range(400)] + [(900, None), (901, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    q = spark.createDataFrame([(1, "alpha w3 w3"), (2, "of beta"), (3, "nothing known"), (4, None)], "query_id long, text string")
+    want = by_query(retrieve.top_k(retrieve.bm25(q, df).withColumn("score", F.round("score", 6)), "query_id", 5))
+    for block in (256, 1):
+        monkeypatch.setattr(retrieve, "_QUERY_BLOCK", block)
+        monkeypatch.setattr(retrieve, "_SCORE_TOKENS", 50)
+        assert by_query(retrieve.bm25_top(q, df, 5)) == want and set(want) == {1, 2}
+    monkeypatch.setattr(retrieve, "QUERY_ROWS", 0)
+    assert by_query(retrieve.bm25_top(q, df, 5)) == want
+    best = retrieve._Best(2, 3)
+    for k in range(1000):
+        best.put(np.array([0, 1]), np.array([float(k % 10), 1.0]), np.array([k, 1000 - k]))
+    assert sum(len(x[0]) for x in best.held) <= 5 * 3 * 2 + 2 and list(best.taken()[2]) == [9, 19, 29, 1, 2, 3]
