@@ -4,8 +4,8 @@ Cells are fitted by k-means on a bounded sample (`sample` rows, those of least h
 stands in blocks of at most BLOCK rows of one cell, written as Parquet. A search meets a query's `probes` nearest cells.
 `exact` then goes on: a cell can hold something better than the k-th best so far only if query . centroid + |query| x
 radius is above it, so just those cells are searched as well, and the result is that of a full scan. Cells (at most
-`cells`, a parameter, x dims numbers) are all that driver and tasks share. Blocks of a cell are spread over tasks, however
-many of all rows it holds.
+`cells`, a parameter, x dims numbers) are all that driver and tasks share. Rows of a cell are spread over tasks, however
+many of all rows it holds, and pass by its queries in steps.
 
 Scores are dot products in doubles. Rows with a null id or vector, or a null or non-finite component, are not indexed
 and ask nothing; repeated rows are rows each; ids are longs; vectors must be of one length.
@@ -22,9 +22,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_folder, written
+from .retrieve import best_in_cells
 
-#: Rows of a block; queries that meet it at once; tasks that the blocks of a cell are spread over for a share of 1 / SPREAD.
-BLOCK, QUERIES, SPREAD = 1024, 256, 64
+#: Rows of a block; queries of a slice, which meets a part of its cell's rows at once; parts that the rows of a cell are spread over for a share of 1 / SPREAD.
+BLOCK, QUERIES, SPREAD = 1024, 8192, 64
 _BLOCK = "cell int, part int, ids array<long>, vectors binary"
 
 
@@ -150,42 +151,35 @@ def _wanted(queries: DataFrame, index: Index, probes: int | None) -> DataFrame:
     return queries.mapInArrow(run, "cell int, id long, v array<double>")
 
 
-def _met(wanted: DataFrame, index: Index, k: int, digits: int) -> DataFrame:
-    """(query_id, doc_id, score): the k best of every block for every query that wants its cell."""
-    parts = np.maximum(1, np.ceil(index.rows / max(index.rows.sum(), 1) * SPREAD)).astype(int)
-    spread = F.array(*(F.lit(int(p)) for p in parts))
-    cells = F.array_max(F.array(F.lit(1), F.get(spread, F.col("cell"))))
-    blocks = index.blocks().withColumn("_s", F.pmod(F.xxhash64("ids"), cells).cast("int")).select("cell", "_s", "ids", "vectors")
+def _rows(index: Index) -> DataFrame:
+    """(cell, id, v) of all blocks."""
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for cell, ids, vectors in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                x = np.frombuffer(vectors.as_buffer())
+                ends = np.arange(len(ids) + 1, dtype=np.int32) * (len(x) // len(ids))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), cell, np.int32)), ids.values, pa.ListArray.from_arrays(pa.array(ends), pa.array(x))], ["cell", "id", "v"])
 
-        def block(c: int) -> pa.RecordBatch:
-            ids, vs = zip(*held.pop(c), strict=True)
-            return pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([list(ids)], pa.list_(pa.int64())), pa.array([np.array(vs, np.float64).tobytes()], pa.binary())], ["cell", "ids", "vectors"])
+    return index.blocks().select("cell", "ids", "vectors").mapInArrow(run, "cell int, id long, v array<double>")
 
-        for b in batches:
-            for c, i, v in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                held.setdefault(c, []).append((i, v))
-                if len(held[c]) == QUERIES:
-                    yield block(c)
-        for c in list(held):
-            yield block(c)
 
-    asked = wanted.mapInArrow(packed, "cell int, ids array<long>, vectors binary").withColumn("_s", F.explode(F.sequence(F.lit(0), cells - 1)))
-    pairs = blocks.join(asked.select("cell", "_s", F.col("ids").alias("q"), F.col("vectors").alias("qv")), ["cell", "_s"]).select("ids", "vectors", "q", "qv")
+def _met(wanted: DataFrame, index: Index, k: int, digits: int) -> DataFrame:
+    """(query_id, doc_id, score): the k best of every part of a cell for every query that wants the cell.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for ds, dv, qs, qv in zip(b.column(0), b.column(1), b.column(2), b.column(3), strict=True):
-                ds, qs = (x.values.to_numpy(zero_copy_only=False) for x in (ds, qs))
-                score = np.round(np.frombuffer(qv.as_buffer()).reshape(len(qs), -1) @ np.frombuffer(dv.as_buffer()).reshape(len(ds), -1).T, digits)
-                by = np.argsort(ds, kind="stable")
-                best = by[np.argsort(-score[:, by], axis=1, kind="stable")[:, :k]]
-                cols = np.repeat(qs, best.shape[1]), ds[best].ravel(), np.take_along_axis(score, best, 1).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "doc_id", "score"])
-
-    return pairs.mapInArrow(run, "query_id long, doc_id long, score double")
+    A cell's rows are dealt to parts, its queries to slices of about QUERIES, and each slice meets each part.
+    """
+    parts = np.maximum(1, np.ceil(index.rows / max(index.rows.sum(), 1) * SPREAD)).astype(int)
+    asked = dict(wanted.groupBy("cell").count().collect())  # a row a cell
+    slices = [max(1, -(-asked.get(c, 0) // QUERIES)) for c in range(len(parts))]
+    first = np.concatenate(([0], np.cumsum(parts * slices)))
+    n = {name: F.get(F.array(*(F.lit(int(x)) for x in values)), F.col("cell")) for name, values in (("parts", parts), ("slices", slices), ("first", first))}
+    every = lambda name: F.explode(F.sequence(F.lit(0), n[name] - 1))
+    of = lambda name, seed: F.pmod(F.xxhash64("id", F.lit(seed)), n[name]).cast("int")
+    placed = lambda x: x.select((n["first"] + F.col("slice") * n["parts"] + F.col("part")).alias("cell"), "id", "v")
+    queries = placed(wanted.withColumn("part", every("parts")).withColumn("slice", of("slices", 1)))
+    met = _rows(index).where(F.col("cell").isin([c for c in range(len(parts)) if asked.get(c)]))
+    return best_in_cells(queries, placed(met.withColumn("slice", every("slices")).withColumn("part", of("parts", 2))), k, digits)
 
 
 def search(index: Index, queries: DataFrame, query: str, vector: str, k: int, probes: int = 8, exact: bool = False, digits: int = 9) -> DataFrame:

@@ -215,3 +215,17 @@ def test_bm25_top_keeps_the_best_in_its_tasks(spark, monkeypatch):
     for k in range(1000):
         best.put(np.array([0, 1]), np.array([float(k % 10), 1.0]), np.array([k, 1000 - k]))
     assert sum(len(x[0]) for x in best.held) <= 5 * 3 * 2 + 2 and list(best.taken()[2]) == [9, 19, 29, 1, 2, 3]
+
+
+def test_cells_pass_by_their_queries_in_steps(spark, monkeypatch, cloud):
+    rows, df = cloud
+    queries = [r for r in rows if r[0] % 20 == 0]
+    want, ask = brute_topk(rows, queries, 5, 6), df.where("vec_id % 20 = 0")
+    monkeypatch.setattr(retrieve, "_STEP_PRODUCTS", 300)
+    monkeypatch.setattr(vector_index, "QUERIES", 7)
+    index = vector_index.build_index(df, "vec_id", "embedding", cells=5, sample=500)
+    assert by_query(vector_index.search(index, ask, "vec_id", "embedding", 5, 2, exact=True, digits=6)) == want
+    good = lambda x: vector_index._vectors(x, "vec_id", "embedding").withColumn("cell", F.lit(3))
+    hits = retrieve.best_in_cells(good(ask), good(df), 5, 6)
+    assert by_query(retrieve.top_k(hits, "query_id", 5)) == want and hits.count() == 5 * len(queries)
+    assert retrieve.best_in_cells(good(ask), good(df).withColumn("cell", F.lit(4)), 5, 6).count() == 0
