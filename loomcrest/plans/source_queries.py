@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import source
-from ..session import table
+from ..session import spread, table
 from .registry import query
 
 #: a pragma of some form, then some of the snippets
@@ -119,7 +119,7 @@ def contract_contexts(spark, d):
 @query(f"""with x as (select p_partkey, unnest([1, 2]) k from part)
 select p_partkey, 'C' || {_F} contract_name, case k when 1 then 'f' else 'g' end || {_F} as name, case k when 1 then 'external' else 'internal' end visibility, case k when 1 then 'payable' else 'view' end mutability, case k when 1 then 'g' || {_F} else '' end callees, case k when 2 then 'f' || {_F} else '' end callers, k = 1 has_if_statements, k = 2 has_state_changes, case k when 1 then 2 else 1 end complexity from x""")
 def function_contexts(spark, d):
-    x = source.function_contexts(table(spark, d, "part").select("p_partkey", F.expr(_CODE).alias("c")), "c", "p_partkey")
+    x = source.function_contexts(spread(table(spark, d, "part"), "p_partkey").select("p_partkey", F.expr(_CODE).alias("c")), "c", "p_partkey")
     f = lambda n: F.col(f"features.{n}")
     return x.where(source.kept_function(F.col("name"))).select(F.col("file").alias("p_partkey"), "contract_context.contract_name", "name", "visibility", "mutability", F.array_join("callees", ",").alias("callees"), F.array_join("callers", ",").alias("callers"), f("has_if_statements"), f("has_state_changes"), f("complexity"))
 
