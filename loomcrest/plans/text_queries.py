@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from ..functions import responses, similarity, source, text
-from ..session import shared_folder, table
+from ..session import shared_folder, spread, table
 from ..sources import readers, sinks
 from .registry import query
 
@@ -50,7 +50,7 @@ _PROMPT = f"""concat('- Type: DoS, ', p_brand, '; x | y', {_NL}, case when p_par
 select k, 'DoS|' || p_brand || '|x|y' || case when k % 2 = 0 then '|A|B' else '' end types, case when k % 4 = 0 then 3 when k % 3 = 0 then p_size + 0.5 end::double severity, 'f' || k as name, case when k % 5 = 0 then 'no_code' else 'changed' end status, md5(case when k % 5 = 0 then t else regexp_extract(t, '^((?:.|\\n)*\\*\\*Source Code:\\*\\*)', 1) || {_NL} || 'function f' || k || '() {{ a; }}' || {_NL} || 'Please provide more' end) h, 'DoS,' || p_brand || '; x | y' first_types from x""")
 def prompts(spark, d):
     t = F.expr(_PROMPT)
-    x = table(spark, d, "part").select("p_partkey", t.alias("t"))
+    x = spread(table(spark, d, "part"), "p_partkey").select("p_partkey", t.alias("t"))
     block = lambda code, name: F.get(F.transform(F.filter(source.functions(F.coalesce(code, F.lit(""))), lambda f: f["name"] == name), lambda f: f["code"]), F.lit(0))
     info, new = text.vulnerability_info(F.col("t")), text.shrunk_prompt(F.col("t"), text.token_estimate(F.col("t")), 5, block)
     x = x.select(F.col("p_partkey").alias("k"), info.alias("i"), text.function_of_prompt(F.col("t")).alias("name"), new.alias("n"), text.type_line(F.col("t")).alias("first"))
@@ -81,7 +81,7 @@ _JSON = """case p_partkey % 4 when 0 then '{"fix":{"a":null,"b":[null,{"c":null,
 @query("""select p_partkey, case p_partkey % 4 when 0 then '{"fix":{"b":[null,{"d":1}]},"x":null}' when 1 then '{"fix":1}' when 2 then 'broken' end bare, case when p_partkey % 2 = 0 then '--- ' || chr(10) || '+++ ' || chr(10) || '@@ -1,2 +1,2 @@' || chr(10) || ' a' || chr(10) || '-b' || chr(10) || '+c' else '' end changes from part""")
 def cleaned_json(spark, d):
     new = F.when(F.col("p_partkey") % 2 == 0, "a\nc").otherwise("a\nb")
-    return table(spark, d, "part").select("p_partkey", responses.strip_nulls(F.expr(_JSON)).alias("bare"), similarity.diff(F.lit("a\nb"), new).alias("changes"))
+    return spread(table(spark, d, "part"), "p_partkey").select("p_partkey", responses.strip_nulls(F.expr(_JSON)).alias("bare"), similarity.diff(F.lit("a\nb"), new).alias("changes"))
 
 
 @query("""with x as (select p_partkey k, p_partkey % 3 n, p_size, p_brand b from part)
