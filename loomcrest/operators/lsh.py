@@ -1,11 +1,13 @@
 """MinHash LSH search: signatures of sets, bands, candidates by bucket, estimated and exact Jaccard similarity.
 
 Rows collapse to their different sets first; signatures, bands and candidates are those of sets, and pairs of rows are
-made at the very end, so equal sets cost one another nothing. A pair of sets is made in the first band where both agree,
-so candidates need no later distinct. Buckets with a large share of a side are split.
+made at the very end, so equal sets cost one another nothing. Slices of the queries' sets are held by tasks, with their
+bands' buckets; the other sets pass by. A task keeps of its candidates those whose sizes and estimate allow the
+similarity asked for, and counts what these share, so what is exchanged are sets, once a slice, and pairs found.
 
 A pair of similarity s shares a bucket with probability 1 - (1 - s^rows)^bands: with the 64 bands of 2 that are the
-default a pair of 0.5 is missed once in 10^8, with 42 bands of 3 (of 126 permutations) once in 270.
+default a pair of 0.5 is missed once in 10^8, with 42 bands of 3 (of 126 permutations) once in 270; `bands_for` says how
+many bands of more rows miss as little and meet fewer pairs of low similarity.
 
 Null items are no items; rows without items are found by nothing and find nothing; repeated rows are rows each.
 """
@@ -13,28 +15,43 @@ Null items are no items; rows without items are found by nothing and find nothin
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, log, log1p, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shares import copied, dealt, hot_keys
+from ..session import written
 
 PERMUTATIONS, BANDS, ROWS = 128, 64, 2
-#: Buckets with one in so many rows are dealt to PARTS tasks.
-SHARES, PARTS = 256, 16
-#: Items of a step of the signatures.
-_STEP = 4096
+#: Different sets of queries that a task holds; the others are dealt to PARTS tasks a core, or more if a task would get more than _PASSING.
+SHARES, PARTS, _PASSING = 1 << 14, 2, 1 << 16
+#: Items of a step of the signatures; pairs of a step of the buckets and of the estimates.
+_STEP, _MARKS, _PAIRS = 64, 1 << 21, 1 << 12
+#: Standard deviations below the similarity asked for at which an estimate is given up: one in 10^8.
+_SLACK = 5.6
+_SIGNED = "k long, s array<long>, m array<short>"
+
+
+def bands_for(least: float, rows: int, miss: float = 1e-8) -> int:
+    """How many bands of so many rows miss a pair of similarity `least` with that probability at most."""
+    return ceil(log(miss) / log1p(-(least**rows)))
 
 
 def permuted(hashes: np.ndarray, permutations: int) -> np.ndarray:
-    """(items, permutations): each item's hash mixed with each permutation's seed (public-domain splitmix64)."""
-    y = hashes.astype(np.uint64)[:, None] ^ (np.arange(1, permutations + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        y ^= y >> np.uint64(shift)
-        y *= np.uint64(factor)
-    return y ^ (y >> np.uint64(31))
+    """(items, permutations): each item's hash, folded to 32 bits, mixed with each permutation's seed and multiplied by its odd factor, twice."""
+    n = np.arange(1, permutations + 1, dtype=np.uint64)
+    seeds = n * np.uint64(0x9E3779B97F4A7C15)
+    seeds ^= seeds >> np.uint64(29)
+    seeds *= np.uint64(0xBF58476D1CE4E5B9)
+    h = hashes.astype(np.uint64)
+    y = (h ^ (h >> np.uint64(32))).astype(np.uint32)[:, None] ^ (seeds >> np.uint64(32)).astype(np.uint32)[None, :]
+    y *= (seeds.astype(np.uint32) | np.uint32(1))[None, :]
+    y ^= y >> np.uint32(15)
+    y *= np.uint32(0x2C1B3C6D)
+    return y
 
 
 def sets(df: DataFrame, row_id: str, items: str) -> tuple[DataFrame, DataFrame]:
@@ -45,38 +62,119 @@ def sets(df: DataFrame, row_id: str, items: str) -> tuple[DataFrame, DataFrame]:
 
 
 def signatures(different: DataFrame, permutations: int = PERMUTATIONS) -> DataFrame:
-    """(k, s, m): the least value of every permutation over a set's items."""
+    """(k, s, m): 16 bits of the least value of every permutation over a set's items; those of two sets agree as often as the sets are similar, and else once in 2^16."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for x in batch.column(1):
+            out = np.empty((batch.num_rows, permutations), np.int16)
+            for n, x in enumerate(batch.column(1)):
                 h = x.values.to_numpy(zero_copy_only=False)
                 least = [permuted(h[k : k + _STEP], permutations).min(0) for k in range(0, len(h), _STEP)]
-                out.append(np.minimum.reduce(least).view(np.int64))
-            if out:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int64()))], ["k", "s", "m"])
-
-    return different.select("k", "s").mapInArrow(run, "k long, s array<long>, m array<long>")
-
-
-def _bands(signed: DataFrame, bands: int, rows: int, prefix: str) -> DataFrame:
-    hashes = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(F.slice("m", i * rows + 1, rows)))
-    return signed.select(F.col("k").alias(f"{prefix}k"), F.col("s").alias(f"{prefix}s"), F.col("m").alias(f"{prefix}m"), hashes.alias(f"{prefix}h")).select("*", F.posexplode(f"{prefix}h").alias("band", "hash"))
-
-
-def estimated(a: Column, b: Column) -> Column:
-    """The share of permutations with equal minima."""
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x)) / F.size(a)
-
+                out[n] = np.minimum.reduce(least).astype(np.uint16).view(np.int16)
+            if len(out):
+                ends = np.arange(len(out) + 1, dtype=np.int32) * permutations
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()))], ["k", "s", "m"])
+
+    return different.select("k", "s").mapInArrow(run, _SIGNED)
+
+
+def _buckets(m: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """(bands, sets): 64 bits of each band of each set's signature."""
+    key = np.zeros((len(m), bands), np.uint64)
+    for k in range(rows):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + m[:, k : bands * rows : rows].view(np.uint16)
+    return np.ascontiguousarray(key.T)
+
+
+class _Held:
+    """A slice of the queries' sets: (names, sets in a row, where each begins, signatures), and every band's buckets."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, ...]], bands: int, rows: int):
+        k, flat, sizes, m = zip(*parts, strict=True)
+        self.k, self.flat, self.sizes, self.m = np.concatenate(k), np.concatenate(flat), np.concatenate(sizes), np.concatenate(m)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.bands, self.rows = bands, rows
+        keys = _buckets(self.m, bands, rows)
+        self.order = np.argsort(keys, axis=1, kind="stable")
+        self.keys = np.take_along_axis(keys, self.order, 1)
+
+    def candidates(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(set, query) of sets with the signatures m: pairs that share a bucket, each once."""
+        met = np.zeros((len(m), len(self.k)), bool)
+        for keys, order, own in zip(self.keys, self.order, _buckets(m, self.bands, self.rows), strict=True):
+            left = np.searchsorted(keys, own, "left")
+            n = np.searchsorted(keys, own, "right") - left
+            at = np.repeat(left - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            met[np.repeat(np.arange(len(m)), n), order[at]] = True
+        return met.nonzero()
+
+
+def candidates(queries: DataFrame, docs: DataFrame, bands: int = BANDS, rows: int = ROWS, least: float = 0.0, exact: bool = True, expected: int = 0) -> DataFrame:
+    """(qk, dk, estimate, score) of signed sets that share a bucket and have a score >= least: with `exact` what the sets share, else the estimate, the share of permutations with equal minima.
+
+    Queries are read more than once. A task holds a slice of their sets, whatever their number; the other sets, of which
+    there are `expected` at most, are copied once a slice.
+    """
+    slices = -(-queries.count() // SHARES) or 1
+    parts = max(-(-PARTS * queries.sparkSession.sparkContext.defaultParallelism // slices), -(-expected // _PASSING))
+    of = lambda n, seed: F.pmod(F.xxhash64("k", F.lit(seed)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.withColumn("part", every(parts)).withColumn("slice", of(slices, 1)).withColumn("kind", F.lit(0))
+    passing = docs.withColumn("slice", every(slices)).withColumn("part", of(parts, 2)).withColumn("kind", F.lit(1))
+    both = asked.unionByName(passing).select((F.col("slice") * parts + F.col("part")).alias("cell"), "kind", "k", "s", "m")
 
-def candidates(queries: DataFrame, docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(qk, qs, dk, ds, estimate) of signed sets that share a bucket."""
-    q, d = _bands(queries, bands, rows, "q"), _bands(docs, bands, rows, "d")
-    hot = hot_keys(d.select("band", "hash"), ["band", "hash"], SHARES * bands)
-    pairs = copied(q, hot, ["band", "hash"], PARTS).join(dealt(d, hot, ["band", "hash"], PARTS, F.col("dk")), ["band", "hash", "_part"])
-    first = F.array_position(F.zip_with("qh", "dh", lambda x, y: x == y), True) - 1
-    return pairs.where(first == F.col("band")).select("qk", "qs", "dk", "ds", estimated(F.col("qm"), F.col("dm")).alias("estimate"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, waiting, held = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cells, kinds, k = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:3])
+            flat = batch.column(3).flatten().to_numpy(zero_copy_only=False)
+            sizes = pc.list_value_length(batch.column(3)).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.append(0, np.cumsum(sizes))
+            m = batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            begins = np.flatnonzero(np.concatenate(([True], (cells[1:] != cells[:-1]) | (kinds[1:] != kinds[:-1]))))
+            for at, to in zip(begins, [*begins[1:], batch.num_rows], strict=True):
+                if cells[at] != cell:
+                    cell, waiting, held = cells[at], [], None
+                if kinds[at] == 0:
+                    waiting.append((k[at:to].copy(), flat[ends[at] : ends[to]].copy(), sizes[at:to], m[at:to].copy()))
+                    continue
+                if waiting:
+                    held, waiting = _Held(waiting, bands, rows), []
+                if held is None:
+                    continue  # no query has this cell
+                step = max(1, _MARKS // len(held.k))
+                for n in range(at, to, step):
+                    upto = min(n + step, to)
+                    yield from found(held, k[n:upto], flat, ends[n : upto + 1], m[n:upto])
+
+    def found(held: _Held, k: np.ndarray, flat: np.ndarray, ends: np.ndarray, m: np.ndarray) -> Iterator[pa.RecordBatch]:
+        doc, query = held.candidates(m)
+        sizes = np.diff(ends)
+        if exact:
+            a, b = sizes[doc], held.sizes[query]
+            on = np.minimum(a, b) >= least * np.maximum(a, b)
+            doc, query = doc[on], query[on]
+        estimate = np.concatenate([np.zeros(0), *((m[doc[x : x + _PAIRS]] == held.m[query[x : x + _PAIRS]]).mean(1) for x in range(0, len(doc), _PAIRS))])
+        on = estimate >= (least - _SLACK * sqrt(least * (1 - least) / m.shape[1]) if exact else least)
+        doc, query, estimate = doc[on], query[on], estimate[on]
+        score = np.array(estimate)
+        if exact and len(doc):
+            begins = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+            for x, to in zip(begins, [*begins[1:], len(doc)], strict=True):
+                own, q = flat[ends[doc[x]] : ends[doc[x] + 1]], query[x:to]
+                for y in range(0, len(q), _PAIRS):
+                    some = q[y : y + _PAIRS]
+                    items = np.concatenate([held.flat[held.starts[i] : held.starts[i] + held.sizes[i]] for i in some])
+                    shared = own[np.minimum(np.searchsorted(own, items), len(own) - 1)] == items
+                    shared = np.add.reduceat(shared, np.cumsum(held.sizes[some]) - held.sizes[some], dtype=np.int64)
+                    score[x + y : x + y + len(some)] = shared / (len(own) + held.sizes[some] - shared)
+        on = score >= least
+        yield pa.RecordBatch.from_arrays([pa.array(c[on]) for c in (held.k[query], k[doc], estimate, score)], ["qk", "dk", "estimate", "score"])
+
+    cells = both.repartition(slices * parts, "cell").sortWithinPartitions("cell", "kind")
+    return cells.mapInArrow(run, "qk long, dk long, estimate double, score double")
 
 
 def lsh_search(queries: DataFrame, docs: DataFrame, least: float, items: str = "items", exact: bool = True, permutations: int = PERMUTATIONS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -88,8 +186,5 @@ def lsh_search(queries: DataFrame, docs: DataFrame, least: float, items: str = "
         raise ValueError("bands * rows is more than the permutations")
     q, q_sets = sets(queries, "query_id", items)
     d, d_sets = sets(docs, "doc_id", items)
-    got = candidates(signatures(q_sets, permutations), signatures(d_sets, permutations), bands, rows)
-    both = F.size(F.array_intersect("qs", "ds"))
-    score = both / (F.size("qs") + F.size("ds") - both) if exact else F.col("estimate")
-    near = got.withColumn("score", score).where(F.col("score") >= least).select("qk", "dk", "estimate", "score")
+    near = candidates(written(signatures(q_sets, permutations)), signatures(d_sets, permutations), bands, rows, least, exact, docs.count())
     return q.withColumnRenamed("k", "qk").join(near, "qk").join(d.withColumnRenamed("k", "dk"), "dk").select("query_id", "doc_id", "estimate", "score")

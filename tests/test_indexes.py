@@ -67,6 +67,23 @@ def test_lsh_estimates_and_hot_buckets(spark, families, monkeypatch):
         lsh.lsh_search(q, df, 0.5, bands=65)
 
 
+def test_lsh_holds_slices_of_queries(spark, families, monkeypatch):
+    rows, df = families
+    sets = {i: {x for x in s or [] if x is not None} for i, s in rows}
+    q = df.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    bands = lsh.bands_for(0.5, 3)
+    assert (1 - 0.5**3) ** bands <= 1e-8 < (1 - 0.5**3) ** (bands - 1)
+    pairs = lambda: sorted((r.query_id, r.doc_id) for r in lsh.lsh_search(q, df, 0.5, permutations=3 * bands, bands=bands, rows=3).collect())
+    want = sorted((a, b) for a in sets if a % 20 == 0 and sets[a] for b in sets if sets[b] and jaccard(sets[a], sets[b]) >= 0.5)
+    assert pairs() == want
+    for name, few in (("SHARES", 7), ("_MARKS", 20), ("_PAIRS", 2), ("_STEP", 3)):
+        monkeypatch.setattr(lsh, name, few)
+    assert pairs() == want
+    # no set or signature goes with a candidate
+    signed = lsh.signatures(lsh.sets(df, "doc_id", "items")[1])
+    assert lsh.candidates(signed, signed).columns == ["qk", "dk", "estimate", "score"]
+
+
 def vectors(n, dims, kinds=9):
     g = np.random.default_rng(n)
     x = g.normal(size=(kinds, dims))[g.integers(0, kinds, n)] + 0.3 * g.normal(size=(n, dims))
