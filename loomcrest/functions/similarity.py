@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
-from .matching import changes, ratio
+from .matching import LONG, changes, ratio
 from .text import strip_comments
 
 
@@ -28,6 +28,10 @@ def bleu(reference: list[str], candidate: list[str], epsilon: float = 0.1) -> fl
     """Sentence BLEU-4 of token lists; zero counts are smoothed by epsilon."""
     if not candidate or not reference:
         return 0.0
+    if len(candidate) > 3 and candidate == reference:
+        return 1.0  # every count is met
+    if set(candidate).isdisjoint(reference):
+        return 0.0
     total = 0.0
     for n in range(1, 5):
         have = Counter(tuple(candidate[i : i + n]) for i in range(len(candidate) - n + 1))
@@ -41,7 +45,11 @@ def bleu(reference: list[str], candidate: list[str], epsilon: float = 0.1) -> fl
 
 
 def edit_ratio(a: list[str], b: list[str]) -> float:
-    return ratio(a, b) if a and b else 0.0
+    if not a or not b:
+        return 0.0
+    if len(a) < LONG and a == b:
+        return 1.0  # one run; in longer lists frequent elements begin none
+    return 0.0 if set(a).isdisjoint(b) else ratio(a, b)
 
 
 def visible(text: str) -> str:

@@ -184,23 +184,25 @@ def run_records(files: DataFrame) -> DataFrame:
     details: 0 where no sample has a reference and a passed candidate. Details that are no objects, and texts that are
     none, are passed over.
     """
-    kind = lambda v, k: F.coalesce(F.startswith(F.schema_of_variant(v), F.lit(k)), F.lit(False))
-    good = files.where(kind(F.col("meta"), "OBJECT") & kind(F.col("metrics"), "OBJECT"))
     get = lambda n, t: F.try_variant_get("meta", f"$.{n}", t)
     number = lambda n, t: F.coalesce(get(n, "string").try_cast(t), F.when(get(n, "variant").isNull(), F.lit(0).cast(t)))
     p = F.lower(F.trim(get("top_p", "string")))
     config = F.struct(F.coalesce(get("model", "string"), F.lit("")).alias("model"), number("n_samples", "int").alias("n_samples"), number("temperature", "double").alias("temperature"), F.when(~p.isin("none", "null", ""), p.try_cast("double")).alias("top_p"), number("seed", "long").alias("seed"), F.coalesce(F.nullif(get("rag_mode", "string"), F.lit("")), F.lit("off")).alias("rag_mode"), get("jsonl_path", "string").alias("jsonl_path"), get("limit", "string").try_cast("int").alias("limit"))
     metrics = F.transform_values(F.try_variant_get("metrics", "$", "map<string,variant>"), lambda _, v: F.try_variant_get(v, "$", "double"))
-    rows = good.select("path", "modified", config.alias("config"), metrics.alias("metrics"), "details").where("config.n_samples is not null and config.temperature is not null and config.seed is not null")
-    words = lambda v, n: F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{n}", "variant")) == "STRING", F.try_variant_get(v, f"$.{n}", "string"))
-    d = rows.select("path", F.posexplode(F.try_variant_get("details", "$", "array<variant>")).alias("at", "d")).where(kind(F.col("d"), "OBJECT"))
-    d = d.select("path", "at", words(F.col("d"), "reference_code").alias("ref"), F.explode(F.try_variant_get("d", "$.passed_candidate_codes", "array<variant>")).alias("c"))
-    d = d.withColumn("c", F.when(F.schema_of_variant("c") == "STRING", F.try_variant_get("c", "$", "string"))).where("ref <> '' and c <> ''")
+    # a list of one record or none: a filter behind the record would be moved before it and parse all again
+    good = lambda r: F.coalesce(F.startswith(r["kind"], F.lit("OBJECT")), F.lit(False)) & r["metrics"].isNotNull() & r["config"]["n_samples"].isNotNull() & r["config"]["temperature"].isNotNull() & r["config"]["seed"].isNotNull()
+    record = F.struct(F.schema_of_variant("meta").alias("kind"), config.alias("config"), metrics.alias("metrics"))
+    rows = files.select("path", "modified", F.explode(F.filter(F.array(record), good)).alias("r")).select("path", "modified", "r.config", "r.metrics")
+    text = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    # details of files that drop out drop out by the join; what has no fields has no reference
+    d = files.select("path", F.posexplode(F.try_variant_get("details", "$", "array<variant>")).alias("at", "d"))
+    d = d.select("path", "at", F.try_variant_get("d", "$.reference_code", "variant").alias("ref"), F.explode(F.try_variant_get("d", "$.passed_candidate_codes", "array<variant>")).alias("c"))
+    d = d.select("path", "at", text(F.col("ref")).alias("ref"), text(F.col("c")).alias("c")).where("ref <> '' and c <> ''")
     best = d.groupBy("path", "at").agg(*(F.max(f(F.col("ref"), F.col("c"))).alias(n) for n, f in HIGHEST.items()))
     mean = best.groupBy("path").agg(*(F.avg(n).alias(n) for n in HIGHEST))
     made = F.create_map(*(x for n in HIGHEST for x in (F.lit(n), F.coalesce(n, F.lit(0.0)))))
     missing = F.map_filter(made, lambda k, _: ~F.map_contains_key("metrics", k))
-    return rows.drop("details").join(mean, "path", "left").select("path", "modified", "config", F.map_concat("metrics", missing).alias("metrics"))
+    return rows.join(mean, "path", "left").select("path", "modified", "config", F.map_concat("metrics", missing).alias("metrics"))
 
 
 def last_runs(records: DataFrame) -> DataFrame:

@@ -210,3 +210,16 @@ def test_fix_pairs_and_statistics(spark):
     assert (got[None, True].functions, got[None, True].fixes, got[None, True].successful, got["a", False].success_rate, got[None, False].functions, got[None, False].fixes) == (3, 3, 1, 0.5, 1, 0)
     b = spark.createDataFrame([(["A", "A", "B"],), ([],), (None,)], "b array<string>")
     assert {tuple(r) for r in reports.bucket_sizes(b, "b").collect()} == {("A", 1), ("B", 1), ("OTHER", 2)}
+
+
+def test_equal_and_disjoint_texts_need_no_matching(monkeypatch):
+    from loomcrest.functions import similarity
+
+    frequent = ["a", "b"] * 150  # no element begins a run
+    want = similarity.ratio(frequent, frequent)
+    assert similarity.edit_ratio(frequent, list(frequent)) == want
+    assert [similarity.ratio(x, y) for x, y in (("abc", "abc"), ("abc", "xyz"))] == [1.0, 0.0]
+    monkeypatch.setattr(similarity, "ratio", None)
+    assert similarity.edit_ratio(list("abc"), list("abc")) == 1.0 and similarity.edit_ratio(list("abc"), list("xyz")) == 0.0
+    monkeypatch.setattr(similarity, "Counter", None)
+    assert similarity.bleu(list("abcd"), list("abcd")) == 1.0 and similarity.bleu(list("abcd"), list("wxyz")) == 0.0
