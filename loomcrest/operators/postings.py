@@ -20,7 +20,11 @@ reported each; a query without known tokens finds nothing.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +33,8 @@ from ..session import written
 
 GROUP_BITS, BUCKETS = 6, 16
 GROUP = 1 << GROUP_BITS
+#: Tokens of a step of an append, as far as groups are whole.
+_COUNT_TOKENS = 1 << 20
 
 
 def append(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", segment: str | None = None) -> str:
@@ -40,8 +46,7 @@ def append(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     rows = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("t")).withColumn("n", number)
     rows.select("doc_id", F.shiftright("n", GROUP_BITS).alias("grp"), F.col("n").bitwiseAND(GROUP - 1).cast("int").alias("slot"), F.coalesce(F.size("t"), F.lit(0)).alias("dl"), F.coalesce("t", F.array().cast("array<string>")).alias("t")).write.mode("overwrite").parquet(at("documents"))
     stored = spark.read.parquet(at("documents"))
-    tf = stored.select("grp", "slot", "dl", F.explode("t").alias("token")).groupBy("token", "grp", "slot", "dl").agg(F.count("*").cast("int").alias("tf"))
-    blocks = tf.groupBy("token", "grp").agg(F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"), F.array_sort(F.collect_list(F.struct("slot", "tf", "dl"))).alias("postings"))  # GROUP at most
+    blocks = _blocks(stored)
     blocks.withColumn("bucket", _bucket(F.col("token"))).repartition("bucket", F.pmod(F.xxhash64("token"), F.lit(64))).sortWithinPartitions("bucket", "token", "grp").write.mode("overwrite").partitionBy("bucket").parquet(at("postings"))
     kept = spark.read.parquet(at("postings"))
     kept.groupBy("token").agg(F.sum(F.size("postings")).alias("df")).write.mode("overwrite").parquet(at("terms"))
@@ -49,6 +54,52 @@ def append(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     return segment
 
 
+def _blocks(stored: DataFrame) -> DataFrame:
+    """(token, grp, most_tf, least_dl, postings) of documents (grp, slot, dl, t).
+
+    Documents of a group stand behind one another in a file, so a task counts them where it reads them. Where a read ends
+    inside a group, two blocks share a token: sums over blocks count each posting once, and a bound is only higher by it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            group = whole.column(0).to_numpy(zero_copy_only=False)
+            cuts = np.append(0, np.flatnonzero(np.diff(group)) + 1)
+            upto = np.cumsum(pc.list_value_length(whole.column(3)).to_numpy(zero_copy_only=False))
+            start = 0
+            while start < whole.num_rows:  # whole groups, of so many tokens in all
+                most = int(np.searchsorted(upto, (upto[start - 1] if start else 0) + _COUNT_TOKENS, "right"))
+                stop = int(np.append(cuts[cuts <= most], start)[-1]) if most < whole.num_rows else whole.num_rows
+                if stop <= start:
+                    stop = int(np.append(cuts[cuts > start], whole.num_rows)[0])
+                yield counted(whole.slice(start, stop - start))
+                start = stop
+
+    def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
+        group, slot, dl = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:3])
+        coded = batch.column(3).flatten().dictionary_encode()
+        known = len(coded.dictionary)
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(dl)), pc.list_value_length(batch.column(3)).to_numpy(zero_copy_only=False))
+        # rows are in order of their groups, and of their slots inside them
+        place = np.cumsum(np.append(0, np.diff(group) != 0))[: len(dl)]
+        order = np.lexsort((slot, place))
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        each, tf = np.unique((place[row] * known + code) * len(dl) + rank[row], return_counts=True)
+        block, at = np.divmod(each, len(dl)) if len(dl) else (each, each)
+        at, tf = order[at], tf.astype(np.int32)
+        begins = np.flatnonzero(np.concatenate((np.ones(min(len(block), 1), bool), block[1:] != block[:-1])))
+        none = np.zeros(0, np.int32)
+        entries = pa.StructArray.from_arrays([pa.array(slot[at].astype(np.int32)), pa.array(tf), pa.array(dl[at].astype(np.int32))], ["slot", "tf", "dl"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(begins, len(block)).astype(np.int32)), entries)
+        most = np.maximum.reduceat(tf, begins) if len(begins) else none
+        least = np.minimum.reduceat(dl[at], begins).astype(np.int32) if len(begins) else none
+        return pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(block[begins] % max(known, 1))), pa.array(group[at[begins]]), pa.array(most), pa.array(least), lists], ["token", "grp", "most_tf", "least_dl", "postings"])
+
+    return stored.select("grp", "slot", "dl", "t").mapInArrow(run, "token string, grp long, most_tf int, least_dl int, postings array<struct<slot:int,tf:int,dl:int>>")
+
+
 def _bucket(token: Column) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(1 << 20)).cast("int") % BUCKETS
 

@@ -192,6 +192,26 @@ def test_postings_index_over_segments(spark, tmp_path):
     assert plan["groups"].count() <= plan["bounds"].count()
 
 
+def test_postings_are_counted_where_documents_are_read(spark, tmp_path, monkeypatch):
+    docs = list(enumerate(texts(300, 5))) + [(900, None), (901, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    rows = lambda path: sorted((r.token, r.grp, r.most_tf, r.least_dl, [tuple(p) for p in r.postings]) for r in spark.read.parquet(f"{path}/postings").collect())
+    postings.append(df, f"file://{tmp_path}/a")
+    got = rows(f"file://{tmp_path}/a")
+    own = {}
+    for n, (_, text) in enumerate(docs):
+        words = (text or "").split()
+        for w, tf in Counter(words).items():
+            own.setdefault((w, n >> postings.GROUP_BITS), []).append((n & (postings.GROUP - 1), tf, len(words)))
+    assert got == sorted((w, g, max(p[1] for p in ps), min(p[2] for p in ps), ps) for (w, g), ps in own.items())
+    monkeypatch.setattr(postings, "_COUNT_TOKENS", 3)
+    postings.append(df, f"file://{tmp_path}/b")
+    assert rows(f"file://{tmp_path}/b") == got
+    stored = spark.read.parquet(f"file://{tmp_path}/a/documents")
+    plan = postings._blocks(stored)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_postings_of_low_groups_are_left_out(spark, tmp_path):
     docs = [(i, "common " + ("rare " * (1 + i % 7) if i < 64 else " ".join(["filler"] * 30))) for i in range(2000)]
     path = f"file://{tmp_path}/index"
