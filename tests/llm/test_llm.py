@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -217,6 +218,49 @@ def test_range_coder_round_trip(sizes):
         range_coder.encode([np.array([1 << 16])])
 
 
+@pytest.mark.parametrize("ids", [np.arange(1 << 16), np.random.default_rng(1).integers(0, 40_000, 50_000), np.repeat([0, 65535, 7], 30_000), np.zeros(0, np.int64)])
+def test_range_coder_wide_and_plain_blocks(ids):
+    (coded,) = range_coder.encode([ids])
+    assert np.array_equal(range_coder.decode([coded])[0], ids)
+    for k in (2, 6, 17, len(coded) - 1):
+        broken = bytearray(coded)
+        broken[k] ^= 16
+        with pytest.raises(ValueError):
+            range_coder.decode([bytes(broken)])
+    with pytest.raises(ValueError):
+        range_coder.decode([coded[:-1]])
+
+
+def test_range_coder_mixes_two_contexts():
+    """What follows is one of two ids by the two ids before, each of which alone says less: a bit an id and what is spent on learning, not log2(12)."""
+    rng = np.random.default_rng(3)
+    ids = [0, 1]
+    for side in rng.integers(0, 2, 40_000).tolist():
+        ids.append((5 * ids[-1] + 3 * ids[-2] + 6 * side) % 12)
+    ids = np.array(ids)
+    (coded,) = range_coder.encode([ids])
+    assert np.array_equal(range_coder.decode([coded])[0], ids) and 8 * len(coded) < 2 * len(ids)
+
+
+def test_token_output_takes_little_time_and_room(spark):
+    """Tokenizing, writing and reading: microseconds an id of a machine that adds 50 million numbers a second in Python."""
+    texts = [r.text for r in spark.read.parquet(SF.replace("0.001", "0.01") + "/documents.parquet").select("text").collect()]
+    encoder = token_output.PieceEncoder(token_output.default_vocabulary())
+
+    def spent(f):
+        at = time.thread_time()
+        out = f()
+        return time.thread_time() - at, out
+
+    took, (ids, _) = spent(lambda: encoder.encode(texts))
+    blocks = np.split(ids, range(range_coder.BLOCK_IDS, len(ids), range_coder.BLOCK_IDS))
+    wrote, coded = spent(lambda: range_coder.encode(blocks))
+    read, back = spent(lambda: range_coder.decode(coded))
+    slow = sorted(spent(lambda: sum(range(50_000)))[0] for _ in range(99))[49] / 1e-3
+    assert np.array_equal(np.concatenate(back), ids) and 8 * sum(map(len, coded)) < 8 * len(ids)
+    assert (took + wrote + read) / len(ids) * 1e6 < 1.5 * slow, (took, wrote, read, len(ids), slow)
+
+
 def plain_tokens(rows):
     from tokenizers import Tokenizer
 
@@ -247,6 +291,18 @@ def test_pieces_equal_whole_texts():
     assert ids.tolist() == [x for e in want for x in e] and n.tolist() == list(map(len, want))
 
 
+@pytest.mark.parametrize("known", [0, 60, 10**6])
+def test_pieces_stay_right_when_some_are_forgotten(monkeypatch, known):
+    monkeypatch.setattr(token_output, "_KNOWN_PIECES", known)
+    rng = random.Random(known)
+    encoder = token_output.PieceEncoder(token_output.default_vocabulary())
+    for _ in range(12):
+        texts = [" ".join(rng.choices(["né", "ab,", "a\n", "x<|endoftext|>y", "", "\u3000", "Ω", *map(str, range(40))], k=rng.randrange(9))) for _ in range(50)] + [None]
+        ids, n = encoder.encode(texts)
+        want = [e.ids for e in encoder.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        assert ids.tolist() == [x for e in want for x in e] and n.tolist() == list(map(len, want))
+
+
 # --- mixing
 
 
