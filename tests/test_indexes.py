@@ -224,6 +224,27 @@ def test_postings_of_low_groups_are_left_out(spark, tmp_path):
     assert [i for i, _ in got[1]] == [i for i, _ in want[1]]
 
 
+def test_postings_tasks_keep_the_best(spark, tmp_path, monkeypatch):
+    docs = [(f"d{i:04}", t) for i, t in enumerate(["same words here"] * 500 + texts(200, 7))] + [(None, "same word3"), ("e", None), ("e", "word9 word9"), ("e", "word9")]
+    queries = [(i, t) for i, t in enumerate(texts(6, 8))] + [(50, "same here"), (51, "unknown"), (52, "word9")]
+    path = f"file://{tmp_path}/index"
+    df = spark.createDataFrame(docs, "doc_id string, text string").repartition(3)
+    for k in range(2):
+        postings.append(df.where(f"pmod(xxhash64(doc_id), 2) = {k}"), path, segment=f"s{k}")
+    q = spark.createDataFrame(queries, "query_id long, text string")
+    rows = lambda: by_query(postings.search(spark, path, q, 5))
+    got = rows()
+    want = brute_bm25([(i or "", t) for i, t in docs], queries, 5)
+    assert {a: [(i or "", round(s, 5)) for i, s in b] for a, b in got.items()} == {a: [(i, round(s, 5)) for i, s in b] for a, b in want.items()}
+    # no row a pair: each task has the k best of a query at most
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert postings.search_plan(spark, path, q, 5)["hits"].count() <= 5 * len(queries) * parts < 500
+    # blocks of queries, and tables that are not broadcast
+    for name, most in (("_BLOCK_TOKENS", 40), ("_SENT_GROUPS", 0), ("_ASKED", 0)):
+        monkeypatch.setattr(postings, name, most)
+    assert rows() == got
+
+
 def test_overlap_gives_the_same_rows_on_both_paths(spark, monkeypatch):
     q = spark.createDataFrame([(1, "a b c"), (1, "a b"), (2, "a b c"), (2, "a b c"), (3, None), (4, ""), (None, "a")], "query_id long, text string")
     d = spark.createDataFrame([(1, "a b x"), (1, "a x y z"), (2, "c"), (2, "c"), (3, None), (4, ""), (None, "b c")], "doc_id long, text string")
