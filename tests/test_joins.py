@@ -166,3 +166,15 @@ def test_functions_of_one_range_meet_their_notes_once(spark):
     assert {tuple(r) for r in got.select("n", "marked", "first_category", F.count("*").over(Window.partitionBy("start", "path"))).distinct().collect()} == {(n + 1, 3 * n + 3, "c000000", n), (n + 1, n + 1, "c000000", 1), (0, 0, None, 1)}
     few = joins.annotated_functions(functions.where("name is null or name in ('7', 'open', 'none')"), notes.where("category < 'c000003'"))
     assert {(r.path, r.name): [(v.category[-1], v.lines) for v in r.vulnerabilities] for r in few.collect()} == {("p", "7"): [(c, [12, 12, 15]) for c in "0012"], ("p", None): [(c, [30]) for c in "0012"], ("p", "open"): [], ("q", "none"): []}
+
+
+def test_counts_of_notes_are_read_of_their_lists(spark):
+    functions = spark.createDataFrame([("p", "a", 1, 9), ("p", "b", 1, 9), ("p", "c", 20, 30), ("p", None, None, 3), ("q", "d", 1, 9)], "path string, name string, start int, end int")
+    notes = spark.createDataFrame([("p", "y", [3, 40, 3]), ("p", "y", [3, 40, 3]), ("p", "x", [9]), ("p", None, [5, 21]), ("p", "z", None), (None, "z", [1])], "path string, category string, lines array<int>")
+    lists = joins.annotated_functions(functions, notes)
+    got = {(r.path, r.name): r for r in joins.annotation_counts(functions, notes).collect()}
+    for r in lists.collect():
+        v, c = r.vulnerabilities, got[r.path, r.name]
+        assert (c.n, c.marked, c.first_category, c.is_vulnerable) == (len(v), sum(len(x.lines) for x in v), min((x.category for x in v if x.category is not None), default=None), r.is_vulnerable)
+    assert [(x.category, x.lines) for x in lists.where("name = 'b'").first().vulnerabilities] == [(None, [5]), ("x", [9]), ("y", [3, 3]), ("y", [3, 3])]
+    assert "collect_list" in joins.annotation_counts(functions, notes)._jdf.queryExecution().optimizedPlan().toString()
