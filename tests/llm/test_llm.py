@@ -242,6 +242,17 @@ def test_range_coder_mixes_two_contexts():
     assert np.array_equal(range_coder.decode([coded])[0], ids) and 8 * len(coded) < 2 * len(ids)
 
 
+def test_classes_are_found_on_all_ids_of_a_block():
+    """Ids that come late in a block have classes too: two kinds that take turns need a bit less an id."""
+    rng = np.random.default_rng(3)
+    late = rng.integers(0, 256, 1 << 19) + 1000 + 256 * (np.arange(1 << 19) % 2)
+    for ids in (np.concatenate((rng.integers(0, 100, 1 << 17), late)), np.concatenate((rng.integers(0, 1 << 16, 1 << 17), late))):
+        (coded,) = range_coder.encode([ids])
+        assert np.array_equal(range_coder.decode([coded])[0], ids)
+        (alone,) = range_coder.encode([ids[: 1 << 17]])
+        assert 8 * (len(coded) - len(alone)) < 8.8 * len(late)
+
+
 def test_token_output_takes_little_time_and_room(spark):
     """Tokenizing, writing and reading: microseconds an id of a machine that adds 50 million numbers a second in Python."""
     texts = [r.text for r in spark.read.parquet(SF.replace("0.001", "0.01") + "/documents.parquet").select("text").collect()]
